@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, neardup, toxicity
+from tidemark.llm import decontaminate, langid, neardup, toxicity
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,30 @@ reach as (select doc_id as x, doc_id as y from documents union select r.x, l.y f
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.y) as component_id, s.doc_id = min(r.y) as kept
 from sets s join reach r on r.x = s.doc_id group by s.doc_id, len(s.s)
 """
+
+
+@query
+def op9_suffix_automaton_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op9_suffix_automaton_leaks"] = r"""
+with dw as (
+    select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+bw as (
+    select cast(item_id as varchar) as item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark where item_id is not null and text is not null),
+windows as (
+    select distinct item_id, least(10, len(w)) as k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as g
+    from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from bw where len(w) > 0)),
+sizes as (select distinct k from windows),
+grams as (
+    select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as g
+    from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from dw, sizes where len(w) >= k)),
+found as (select doc_id, x.k, i, item_id from grams x join windows y on x.k = y.k and x.g = y.g),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from found) group by 1),
+items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as s from found group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(s, '')) as items_sha256,
+    coalesce(n_hit, 0) > 0 as contaminated
+from dw d left join hit using (doc_id) left join items using (doc_id)
+"""
