@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, decontaminate, langid, neardup, toxicity
+from tidemark.llm import chunks, decontaminate, langid, licenses, neardup, toxicity
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,38 @@ from dw d left join hit using (doc_id) left join items using (doc_id)
 @query
 def op7_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+_GRAMS = ",\n    ".join(f"('{label}', {base}, {k}, {grams}, {j}, '{' '.join(words)}')" for label, base, k, grams, j, words in licenses.template_rows())
+ORACLES["op10_license_diagonals"] = rf"""
+with t(label, base, k, grams, j, g) as (values {_GRAMS}),
+dw as (
+    select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+grams as (
+    select doc_id, k, i - 1 as i, array_to_string(w[i:i + k - 1], ' ') as g
+    from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from dw, (select distinct k from t) where len(w) >= k)),
+votes as (
+    select doc_id, label, base, t.k, grams, i - j as diagonal, list(distinct j) as js, min(i) as first
+    from grams d join t on d.k = t.k and d.g = t.g group by all),
+marked as (
+    select *, case when coalesce(diagonal - lag(diagonal) over o > case when k = {licenses.LONG} then {licenses.SLACK} else 0 end, true) then 1 else 0 end as fresh
+    from votes window o as (partition by doc_id, label order by diagonal)),
+runs as (select *, sum(fresh) over (partition by doc_id, label order by diagonal) as run from marked),
+spans as (
+    select doc_id, label, base, k, run, min(first) as first, len(list_distinct(flatten(list(js)))) / grams as coverage
+    from runs group by doc_id, label, base, k, grams, run),
+judged as (select *, (k = {licenses.LONG} and coverage >= {licenses.LEAST}) or coverage = 1 as counts from spans),
+found as (
+    select doc_id, count(*) filter (counts and base) as n_base, min(first) filter (counts and base) as first_word, max(first) filter (counts and base) as last_word,
+        string_agg(distinct label, ',' order by label) filter (counts and base) as base_labels, string_agg(distinct label, ',' order by label) filter (counts) as labels,
+        max(coverage) filter (counts or k = {licenses.LONG}) as score
+    from judged group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
+    coalesce(labels, '') as labels, coalesce(score, 0.0::double) as score
+from dw d left join found using (doc_id)
+"""
