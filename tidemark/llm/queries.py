@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, decontaminate, langid, licenses, neardup, toxicity
+from tidemark.llm import chunks, decontaminate, langid, licenses, neardup, topk, toxicity
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,20 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_bas
     coalesce(labels, '') as labels, coalesce(score, 0.0::double) as score
 from dw d left join found using (doc_id)
 """
+
+
+@query
+def op3_sorted_list_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op3_sorted_list_topk"] = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+    select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+    from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+select query_id, cast(rank as int) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 5
+"""
