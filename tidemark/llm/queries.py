@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, decontaminate, langid, licenses, neardup, pieces, topk, toxicity
+from tidemark.llm import chunks, decontaminate, langid, licenses, neardup, pieces, shards, topk, toxicity
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,8 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 @query
 def op5_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(table(spark, sf_dir, "documents"))
