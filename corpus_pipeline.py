@@ -1 +1,60 @@
-"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, tokens."""
+"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, tokens.
+
+Each stage takes (spark, docs, sf_dir) and gets all that its predecessor kept. All but the last return the columns of documents.
+Rows of null, empty or very long texts, repeated rows and further columns go through each stage as its operator's docstring says.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import chunks, decontaminate, neardup, pieces, toxicity
+from tidemark.llm.common import Scratch, crc_mod, table
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier (fitted on four fifths of the labelled rows) scores below 0.5; rows without an id stay if no such row is rejected."""
+    model = toxicity.fit(docs.where(crc_mod("doc_id", 5) != 0), table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
+    return toxicity.kept(docs, model)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group; rows without an id stay."""
+    dropped = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(Scratch(spark).keep(dropped, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has too are cut."""
+    return chunks.deduplicated(docs)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut; documents that are mostly such passages go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and round_trip."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", without_near_duplicates),
+    ("repeated_passages", without_repeats),
+    ("benchmark_leaks", without_leaks),
+    ("tokens", tokens),
+]
+
+#: SQL can't express the learned, hashed and merged stages; tests/llm hold them against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each written and read again, so that a lost executor costs one stage at most."""
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, decontaminate, langid, licenses, neardup, pieces, shards, topk, toxicity
+from tidemark.llm import chunks, decontaminate, langid, licenses, neardup, pieces, shards, topk, toxicity, warc
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,17 @@ def op5_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.built(table(spark, sf_dir, "pages"))
+    shown = F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"]))
+    return records.withColumn("headers", F.array_join(shown, "\n")).withColumn("block", F.col("block").cast("string"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
