@@ -69,11 +69,22 @@ def signed(docs: DataFrame, words: int, rows: int, bands: int, text: str, id_col
     return docs.select(F.col(id_column).cast("long"), F.col(text).cast("string")).mapInArrow(run, SIGNED)
 
 
-def full_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
-    """cls and the sorted shingle hashes of every row that has some."""
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, id_column: str) -> DataFrame:
+    """cls and the sorted shingle hashes of the rows with a wanted id (and of a few more), so that no text need be shuffled.
+
+    Ids are told by a bitmap of 16 bits for each wanted one, 2**30 bits (128 MB) at most: it grows no further, only tells less."""
+    bits = 1 << min(30, max(15, (16 * wanted.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marks = wanted.select((slot(F.col("rep")) + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in marks.toLocalIterator():
+        bitmap[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            place = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array((shared.value[place >> 3] >> (place & 7)) & 1 > 0))
             for _, s in slices(batch, 0, SPACED):
                 sets, of = distinct_sets(*s.shingles(s.hashes(), words), s.n)
                 sizes = np.bincount(of, minlength=s.n)
@@ -84,7 +95,7 @@ def full_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
                     names=["cls", "elements"],
                 )
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "cls long, elements array<long>")
+    return docs.where(F.col(id_column).isNotNull()).select(F.col(text).cast("string"), slot(F.col(id_column).cast("long"))).mapInArrow(run, "cls long, elements array<long>")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -148,8 +159,7 @@ def near_duplicates(
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, text: str, id_column: str, scratch: Scratch) -> DataFrame:
     """cls and elements of the wanted classes, made from one text of each."""
     wanted = scratch.keep(wanted.join(classes.select("cls", "rep"), "cls").select("cls", "rep"), "wanted")
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    made = full_sets(texts, words, "t").join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("elements").alias("elements"))
+    made = full_sets(docs, wanted, words, text, id_column).join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("elements").alias("elements"))
     return scratch.keep(made, "sets")
 
 
