@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def overlap_seconds(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))
 
@@ -92,20 +99,29 @@ def chunk_window(start: Column, end: Column, offset: Column, length: Column, lea
     Each encoding takes the basis with the larger usable overlap (local on ties); among encodings with `least` usable seconds decimal
     seconds win; with none, the larger overlap. The window is clamped to the chunk and moved to the source's time.
     """
-    readings = _readings(start, end, offset, length, least, tolerance)
-    best_of = lambda d: F.array_max(F.transform(F.filter(readings, lambda r: r["decimal"] == d), lambda r: F.struct(r["overlap"].alias("overlap"), r["prefer"].alias("prefer"), r.alias("r"))))["r"]
-    decimal, minutes = best_of(1), best_of(0)
-    usable = lambda r: F.coalesce(r["valid"] == 1, F.lit(False))
-    chosen = F.when(usable(decimal), decimal).when(usable(minutes), minutes).when(minutes.isNull(), decimal).when(decimal.isNull(), minutes)
-    chosen = chosen.when(minutes["overlap"] > decimal["overlap"], minutes).otherwise(decimal)
-    low, high = F.greatest(F.lit(0.0), chosen["local_start"]), F.least(length.cast("double"), chosen["local_end"])
-    moved = (F.abs(low - chosen["local_start"]) > 0.001) | (F.abs(high - chosen["local_end"]) > 0.001)
     bad = ~F.coalesce((end > start) & (length > 0), F.lit(False))
-    reason = F.when(bad, "invalid_numeric_window").when(chosen.isNull(), "timestamp_outside_chunk_bounds").when((low >= length) | (high - low < least), "insufficient_time_inside_chunk")
-    return F.struct(
-        reason.isNull().alias("valid"), reason.alias("reason"), F.when(~bad, chosen["encoding"]).alias("encoding"), F.when(~bad, chosen["basis"]).alias("basis"),
-        F.when(reason.isNull(), moved).alias("clamped"), F.when(reason.isNull(), offset + low).alias("start"), F.when(reason.isNull(), F.least(offset + length, offset + high)).alias("end"),
-    )
+
+    def best_of(readings: Column, decimal: int) -> Column:
+        ranked = F.transform(F.filter(readings, lambda r: r["decimal"] == decimal), lambda r: F.struct(r["overlap"].alias("overlap"), r["prefer"].alias("prefer"), r.alias("r")))
+        return F.array_max(ranked)["r"]
+
+    def better(two: Column) -> Column:
+        decimal, minutes = two["d"], two["m"]
+        usable = lambda r: F.coalesce(r["valid"] == 1, F.lit(False))
+        worse = F.coalesce(minutes["overlap"] > decimal["overlap"], decimal.isNull())
+        return F.when(usable(decimal), decimal).when(usable(minutes), minutes).when(worse, minutes).otherwise(decimal)
+
+    def judged(c: Column) -> Column:
+        low, high = F.greatest(F.lit(0.0), c["local_start"]), F.least(length.cast("double"), c["local_end"])
+        moved = (F.abs(low - c["local_start"]) > 0.001) | (F.abs(high - c["local_end"]) > 0.001)
+        reason = F.when(bad, "invalid_numeric_window").when(c.isNull(), "timestamp_outside_chunk_bounds").when((low >= length) | (high - low < least), "insufficient_time_inside_chunk")
+        return F.struct(
+            reason.isNull().alias("valid"), reason.alias("reason"), F.when(~bad, c["encoding"]).alias("encoding"), F.when(~bad, c["basis"]).alias("basis"),
+            F.when(reason.isNull(), moved).alias("clamped"), F.when(reason.isNull(), offset + low).alias("start"), F.when(reason.isNull(), F.least(offset + length, offset + high)).alias("end"),
+        )
+
+    chosen = let(_readings(start, end, offset, length, least, tolerance), lambda x: let(F.struct(best_of(x, 1).alias("d"), best_of(x, 0).alias("m")), better))
+    return let(chosen, judged)
 
 
 def tail_guard(end: Column, outcome: Column, source_end: Column, pad: float = 3.0) -> Column:
@@ -139,37 +155,57 @@ def resolved_window(start: Column, end: Column, source_end: Column, setup: Colum
     reach the outcome, or trim a tail of more than `tail` seconds after it; cap at `cap` seconds around the peak where phases are
     known (no cut if they don't fit), else keep the end.
     """
-    none = start >= source_end - 2.0
-    s0 = F.greatest(F.lit(0.0), F.least(start, F.greatest(F.lit(0.0), source_end - least)))
-    e0 = F.least(F.greatest(end, s0 + least), source_end)
-    none = none | (e0 - s0 < least)
-    early = F.coalesce(setup < s0, F.lit(False))
-    s1 = F.when(early, F.greatest(F.lit(0.0), setup)).otherwise(s0)
-    off = F.coalesce(~((peak >= s1) & (peak <= e0)), F.lit(False))
-    s2 = F.when(off, F.greatest(F.lit(0.0), F.least(s1, peak - 2.0))).otherwise(s1)
-    e2 = F.when(off, F.least(source_end, F.greatest(e0, peak + 3.0))).otherwise(e0)
-    late = F.coalesce(outcome > e2, F.lit(False))
-    trimmed = F.greatest(outcome + tail, s2 + least, F.coalesce(peak + tail, s2 + least))
-    trim = F.coalesce(~late & (e2 - outcome > tail) & (trimmed < e2), F.lit(False))
-    e3 = F.when(late, F.least(source_end, outcome)).when(trim, trimmed).otherwise(e2)
+    zero = F.lit(0.0)
+
+    def clamped(_: Column) -> Column:
+        s = F.greatest(zero, F.least(start, F.greatest(zero, source_end - least)))
+        return F.struct(s.alias("s"), F.least(F.greatest(end, s + least), source_end).alias("e"))
+
+    def reached_back(w: Column) -> Column:
+        early = F.coalesce(setup < w["s"], F.lit(False))
+        s = F.when(early, F.greatest(zero, setup)).otherwise(w["s"])
+        return F.struct(s.alias("s"), w["e"].alias("e"), early.alias("early"), (w["e"] - w["s"] < least).alias("none"))
+
+    def with_peak(w: Column) -> Column:
+        off = F.coalesce(~((peak >= w["s"]) & (peak <= w["e"])), F.lit(False))
+        s = F.when(off, F.greatest(zero, F.least(w["s"], peak - 2.0))).otherwise(w["s"])
+        e = F.when(off, F.least(source_end, F.greatest(w["e"], peak + 3.0))).otherwise(w["e"])
+        return F.struct(s.alias("s"), e.alias("e"), w["early"].alias("early"), w["none"].alias("none"), off.alias("off"))
+
+    def with_outcome(w: Column) -> Column:
+        late = F.coalesce(outcome > w["e"], F.lit(False))
+        trimmed = F.greatest(outcome + tail, w["s"] + least, F.coalesce(peak + tail, w["s"] + least))
+        trim = F.coalesce(~late & (w["e"] - outcome > tail) & (trimmed < w["e"]), F.lit(False))
+        e = F.when(late, F.least(source_end, outcome)).when(trim, trimmed).otherwise(w["e"])
+        return F.struct(w["s"].alias("s"), e.alias("e"), w["early"].alias("early"), w["none"].alias("none"), w["off"].alias("off"), late.alias("late"), trim.alias("trim"))
+
     phases = setup.isNotNull() | peak.isNotNull() | outcome.isNotNull()
-    over = e3 - s2 > cap
-    need_s = F.coalesce(setup, s2)
-    need_p = F.coalesce(peak, need_s)
-    need_e = F.when(outcome.isNotNull(), F.greatest(outcome, need_p)).otherwise(F.greatest(need_p, e3))
-    a = F.greatest(F.lit(0.0), need_p - cap * 0.45)
-    a1 = F.when(need_s < a, F.greatest(F.lit(0.0), need_s)).otherwise(a)
-    b1 = F.least(source_end, a1 + cap)
-    b2 = F.when(need_e > b1, F.least(source_end, need_e)).otherwise(b1)
-    a2 = F.when(need_e > b1, F.greatest(F.lit(0.0), b2 - cap)).otherwise(a1)
-    none = none | (over & phases & (need_e - need_s > cap))
-    s4 = F.when(over & phases, a2).when(over, F.greatest(F.lit(0.0), e3 - cap)).otherwise(s2)
-    e4 = F.when(over & phases, b2).otherwise(e3)
-    none = none | (e4 - s4 < least)
-    said = F.array_compact(
-        F.array(
-            F.when(early, "setup"), F.when(off, "peak"), F.when(late, "outcome"), F.when(trim, "outcome_trim"),
-            F.when(over & phases, "cap_preserved_action"), F.when(over & ~phases, "cap_no_phase"),
-        )
-    )
-    return F.when(~none, F.struct(s4.alias("start"), e4.alias("end"), F.when(F.size(said) == 0, "valid").otherwise(F.array_join(said, "+")).alias("reason")))
+
+    def under_cap(w: Column) -> Column:
+        over = w["e"] - w["s"] > cap
+        need_s = F.coalesce(setup, w["s"])
+        need_p = F.coalesce(peak, setup, w["s"])
+        need_e = F.when(outcome.isNotNull(), F.greatest(outcome, need_p)).otherwise(F.greatest(need_p, w["e"]))
+        mid = F.greatest(zero, need_p - cap * 0.45)
+        begin = F.when(need_s < mid, F.greatest(zero, need_s)).otherwise(mid)
+        past = F.least(source_end, begin + cap)
+        shifted = need_e > past
+        last = F.when(shifted, F.least(source_end, need_e)).otherwise(past)
+        s = F.when(over & phases, F.when(shifted, F.greatest(zero, last - cap)).otherwise(begin)).when(over, F.greatest(zero, w["e"] - cap)).otherwise(w["s"])
+        none = w["none"] | (over & phases & (need_e - need_s > cap))
+        said = F.array_compact(
+            F.array(
+                F.when(w["early"], "setup"), F.when(w["off"], "peak"), F.when(w["late"], "outcome"), F.when(w["trim"], "outcome_trim"),
+                F.when(over & phases, "cap_preserved_action"), F.when(over & ~phases, "cap_no_phase"),
+            )
+        )
+        return F.struct(s.alias("s"), F.when(over & phases, last).otherwise(w["e"]).alias("e"), none.alias("none"), said.alias("said"))
+
+    def told(w: Column) -> Column:
+        fits = ~(w["none"] | (w["e"] - w["s"] < least) | (start >= source_end - 2.0))
+        return F.when(fits, F.struct(w["s"].alias("start"), w["e"].alias("end"), F.when(F.size(w["said"]) == 0, "valid").otherwise(F.array_join(w["said"], "+")).alias("reason")))
+
+    out = let(F.lit(0), clamped)
+    for step in (reached_back, with_peak, with_outcome, under_cap, told):
+        out = let(out, step)
+    return out

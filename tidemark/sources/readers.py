@@ -26,9 +26,10 @@ SIDECAR = T.StructType(
 def json_objects(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows that fit the schema with their file, and the others' files and text. Files hold one object each, or one a line."""
     whole = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    rows = spark.read.schema(whole).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("recursiveFileLookup", True).json(path)
-    rows = rows.withColumn("file", F.col("_metadata.file_path"))
-    return rows.where(F.col(BAD).isNull()).drop(BAD), rows.where(F.col(BAD).isNotNull()).select("file", F.col(BAD).alias("text"))
+    texts = spark.read.option("recursiveFileLookup", True).option("wholetext", not lines).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = texts.select("file", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r"), "value")
+    good = F.col("r").isNotNull() & F.col(f"r.{BAD}").isNull()
+    return rows.where(good).select(*(f"r.{c}" for c in schema.names), "file"), rows.where(~good).select("file", F.col("value").alias("text"))
 
 
 def detections(sidecars: DataFrame) -> DataFrame:
