@@ -64,3 +64,58 @@ def output_issues(width: Column, height: Column, seconds: Column, audio: Column,
 def review_reasons(**flags: Column) -> Column:
     """The names of the flags that hold, in order."""
     return F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in flags.items())))
+
+
+# Terms of failed take-offs, and of the input modes' size limit.
+FAILED_TAKEOFF = ["failed takeoff", "failed take-off", "missed takeoff", "missed the wave", "did not catch", "no ride"]
+LARGE_FILE = 100_000_000
+
+
+def failed_takeoff(description: Column, reason: Column) -> Column:
+    from tidemark.functions.text import has_any
+
+    return has_any(description, FAILED_TAKEOFF) | has_any(reason, FAILED_TAKEOFF)
+
+
+def admitted(score: Column, surf: Column, failed: Column, least: int = 6) -> Column:
+    """Scored enough, or any surf moment that isn't a failed take-off."""
+    return F.coalesce(score >= least, F.lit(False)) | (surf & ~failed)
+
+
+def event_fingerprint(strong: list[Column], trajectory: list[Column], sync_seconds: Column, box_bucket: Column, confidence: Column, visible: Column, bucket: float = 1.5, least: float = 0.5) -> Column:
+    """The first strong field there is, else the first trajectory field, else (with enough evidence) a hash of the synchronous time's bucket and the box's place, else null."""
+    known = lambda c: F.when(F.trim(c.cast("string")) != "", F.trim(c.cast("string")))
+    text = lambda kind, cols: [F.concat(F.lit(f"{kind}{k}:"), known(c)) for k, c in enumerate(cols)]
+    place = F.concat_ws(":", F.rint(sync_seconds / bucket).cast("long").cast("string"), box_bucket.cast("string"))
+    medium = F.when((confidence >= least) & (visible >= least) & sync_seconds.isNotNull() & box_bucket.isNotNull(), F.concat(F.lit("medium:"), F.substring(F.sha1(place.cast("binary")), 1, 16)))
+    return F.coalesce(*text("strong", strong), *text("trajectory", trajectory), medium)
+
+
+def input_mode(n: Column, largest: Column) -> Column:
+    """none, single, long (a file over LARGE_FILE) or multi."""
+    return F.when(n == 0, "none").when(largest > LARGE_FILE, "long").when(n == 1, "single").otherwise("multi")
+
+
+def render_tier(width: Column, height: Column) -> Column:
+    short = F.least(width, height)
+    return F.when(~F.coalesce(short > 0, F.lit(False)), "unknown").when(short >= 2160, "4k").when(short >= 1440, "1440p").when(short >= 1080, "1080p").when(short >= 720, "720p").otherwise("low")
+
+
+def framing(samples: Column, confidence: Column, visible: Column, height_share: Column, area_share: Column, edge: Column, fits: Column) -> Column:
+    """struct(mode, reason): a tracked crop needs enough of a sure, visible, large track that stays inside the crop; else the whole frame."""
+    reason = (
+        F.when(samples < 2, "too_few_samples").when(confidence < 0.60, "low_confidence").when(visible < 0.55, "low_visible_ratio")
+        .when((height_share < 0.065) | (area_share < 0.0025), "subject_too_small").when(edge < 0.08, "subject_at_edge").when(~fits, "track_motion_requires_contain")
+    )
+    return F.struct(F.when(reason.isNull(), "tracked_crop").otherwise("contain").alias("mode"), F.coalesce(reason, F.lit("stable_track_trajectory")).alias("reason"))
+
+
+def transitions(place: Column, last: Column, wanted: Column) -> Column:
+    """"zoom" only on the event before the last."""
+    return F.when((wanted == "zoom") & (place != last - 1), "slide").otherwise(wanted)
+
+
+def required_evidence(has_box: Column, visible: Column, track: Column, tracks: Column, least: float = 0.35) -> Column:
+    """A usable box, and a track that is the only one or named among several."""
+    bound = (F.size(tracks) <= 1) | F.coalesce(F.array_contains(tracks, track), F.lit(False))
+    return has_box & F.coalesce(visible >= least, F.lit(False)) & track.isNotNull() & bound

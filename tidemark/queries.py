@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry, intervals, scores, text
-from tidemark.operators import greedy, identity, ledger, overlap, reports, sequential, states, timeline
+from tidemark.operators import greedy, identity, ledger, lookups, overlap, reports, sequential, states, timeline
 from tidemark.plans import decisions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -602,3 +602,86 @@ def q65_normalised_score(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", (1 + F.col("event_id") % 10).cast("int").alias("score"))
     peak = F.max("score").over(timeline.Window.partitionBy("user_id"))
     return e.withColumn("peak", peak).select("event_id", scores.normalised_score(F.col("score"), F.col("peak")).alias("score"))
+
+
+@query("""select event_id, case when contains(event_type || ' ' || user_id, 'error 1') then 'first' when contains(event_type || ' ' || user_id, 'e') then 'any e' when contains(event_type || ' ' || user_id, 'signup') then 'sign' end as label from events""")
+def q66_first_pattern(spark, d):
+    patterns = spark.createDataFrame([(3, "SIGNUP", "sign"), (1, "Error 1", "first"), (2, "e", "any e")], "ordinal int, pattern string, label string")
+    rows = table(spark, d, "events").select("event_id", F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("said"))
+    return lookups.first_pattern(rows, "said", patterns, "event_id").select("event_id", "label")
+
+
+@query(f"""with {_MOMENTS}, t as (select *, coalesce(sum("end" - start) over (partition by person order by ordinal rows between unbounded preceding and 1 preceding), 0) as rs from m),
+    f as (select event_id as defect_id, user_id as reel, case when event_id % 4 = 0 then event_id end as wanted, event_id % 5000 as at from events where event_id % 10 = 0),
+    a as (select defect_id, min(ordinal) as a from f join t on f.reel = t.person and f.wanted = t.ordinal group by 1), b as (select defect_id, min(ordinal) as b from f join t on f.reel = t.person and f.at between rs and rs + ("end" - start) group by 1)
+    select defect_id, coalesce(a, b) as ordinal from f left join a using (defect_id) left join b using (defect_id)""")
+def q67_defect_events(spark, d):
+    e = timeline.rendered_timeline(moments(spark, d), "person", 0.0).select(F.col("person").alias("reel"), "ordinal", F.col("ordinal").alias("event_id"), "rendered_start", "rendered_end")
+    o = F.col("event_id")
+    defects = table(spark, d, "events").where(o % 10 == 0).select(o.alias("defect_id"), F.col("user_id").alias("reel"), (o % 5000).alias("at_seconds"), F.when(o % 4 == 0, o).alias("event_id"))
+    return lookups.defect_events(defects, e)
+
+
+@query("""with s as (select l_orderkey as id, list_sort(list_distinct(list(l_suppkey % 7))) as k from lineitem group by 1), l as (select * from s where id % 10 = 0), r as (select * from s where id % 10 > 7)
+    select l.id as left_id, count(r.id) as matches, case when count(r.id) = 1 then min(r.id) end as right_id from l left join r using (k) group by 1""")
+def q68_matching_sets(spark, d):
+    s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.col("l_suppkey") % 7).alias("ids"))
+    return lookups.matching_sets(s.where("id % 10 = 0"), s.where("id % 10 > 7"))
+
+
+@query(f"""with {_MOMENTS}, g as (select source, person % 8 as who, list({{'p': -score, 'o': ordinal, 's': start + 480 * (ordinal % 3)}} order by -score, ordinal) as rows from m group by 1, 2),
+    k as (select {_FOLD.format(meets='abs(x[1].s - y.s) < 5000')} as kept from g), f as (select unnest(kept, recursive := true) from k)
+    select m.ordinal, f.o is not null as kept from m left join f on m.ordinal = f.o""")
+def q69_chunks_merged(spark, d):
+    m = moments(spark, d).withColumn("chunk_offset", F.col("ordinal") % 3 * 480).withColumn("description", F.concat(F.lit("Person "), (F.col("person") % 8).cast("string")))
+    return lookups.chunks_merged(m, 5000).select("ordinal", "kept")
+
+
+@query("""with c as (select user_id, event_type, count(*) as n, min(event_id) as f from events where event_type not in ('view', 'click') group by 1, 2), r as (select *, row_number() over (partition by user_id order by n desc, f) as k from c)
+    select u.user_id, coalesce(event_type, 'none') as dominant from (select distinct user_id from events) u left join r on u.user_id = r.user_id and k = 1""")
+def q70_dominant_activity(spark, d):
+    return lookups.dominant(table(spark, d, "events"), ["user_id"], "event_type", "event_id", ["view", "click"], F.lit("none"))
+
+
+@query("""select user_id % 10 as k, sum(1 + event_id % 3)::bigint as total, count(distinct event_type) as names from events group by 1""")
+def q71_counters_merged(spark, d):
+    p = table(spark, d, "events").select((F.col("user_id") % 10).alias("k"), F.create_map("event_type", 1 + F.col("event_id") % 3).alias("counts"))
+    out = lookups.counters_merged(p, ["k"], "counts")
+    return out.select("k", F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.size("counts").cast("long").alias("names"))
+
+
+@query("""with s as (select user_id % 40 as g, event_id % 2 as track, event_id % 300 / 1024.0 + 0.25 as x1, event_id % 300 / 1024.0 + 0.375 as x2 from events where event_id % 3 = 0), m as (select g, median((x1 + x2) / 2) as c from s group by 1)
+    select g, count(*) as samples, count(distinct track) as tracks, bool_and(x1 >= c - 0.25 + 0.015625 and x2 <= c + 0.25 - 0.015625) and count(*) >= 2 and count(distinct track) = 1 as fits from s join m using (g) group by 1""")
+def q72_fits_in_crop(spark, d):
+    o = F.col("event_id")
+    s = table(spark, d, "events").where(o % 3 == 0).select((F.col("user_id") % 40).alias("g"), (o % 2).alias("track"), (o % 300 / 1024.0 + 0.25).alias("x1"), (o % 300 / 1024.0 + 0.375).alias("x2"), F.lit(0.5).alias("crop"))
+    return lookups.fits_in_crop(s, ["g"], 0.015625)
+
+
+@query("""select user_id, case when max(value) > 400 then 'long' when count(*) = 1 then 'single' else 'multi' end as mode from events group by 1""")
+def q73_input_mode(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("largest"))
+    return e.select("user_id", scores.input_mode(F.col("n"), F.col("largest") * 250_000).alias("mode"))
+
+
+@query("""select event_id, case when event_id % 3 = 0 then 'strong0:' || user_id when event_id % 5 = 0 then 'trajectory1:' || event_type when value >= 50 then 'medium:' || substr(sha1(cast(event_id // 4 as varchar) || ':' || (event_id % 20)), 1, 16) end as fingerprint from events""")
+def q74_event_fingerprint(spark, d):
+    o = F.col("event_id")
+    print_ = scores.event_fingerprint([F.when(o % 3 == 0, F.col("user_id"))], [F.lit(None).cast("string"), F.when(o % 5 == 0, F.col("event_type"))], F.floor(o / 4) * 1.5, o % 20, F.col("value") / 100, F.lit(1.0))
+    return table(spark, d, "events").select("event_id", print_.alias("fingerprint"))
+
+
+@query("""with t as (select o_custkey as draft_id, o_orderkey as task_id, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders where o_orderstatus <> 'F'), a as (select l_suppkey as draft_id, bool_and(l_quantity > 2) as p from lineitem group by 1)
+    select c_custkey as draft_id, task_id, coalesce(p, false) as publishable, p is not null as authority_known from customer left join t on c_custkey = t.draft_id and r = 1 left join a on c_custkey = a.draft_id""")
+def q75_drafts_enriched(spark, d):
+    tasks = table(spark, d, "orders").select(F.col("o_custkey").alias("draft_id"), F.col("o_orderkey").alias("task_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("pending").alias("state"))
+    authority = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("draft_id"), (F.col("l_quantity") > 2).alias("publishable"))
+    return lookups.with_tasks(table(spark, d, "customer").select(F.col("c_custkey").alias("draft_id")), tasks, authority).select("draft_id", "task_id", "publishable", "authority_known")
+
+
+@query("""select point_id, case when samples < 2 then 'too_few_samples' when confidence < 60 then 'low_confidence' when x1 % 7 = 0 then 'subject_at_edge' else 'stable_track_trajectory' end as reason
+    from (select event_id as point_id, event_id % 5 as samples, value as confidence, event_id * 37 % 1600 as x1 from events)""")
+def q76_framing(spark, d):
+    p = detections(spark, d)
+    f = scores.framing(F.col("point_id") % 5, F.col("confidence") / 100, F.lit(0.9), F.lit(0.2), F.lit(0.02), F.when(F.col("x1") % 7 == 0, 0.01).otherwise(0.5), F.lit(True))
+    return p.select("point_id", f["reason"].alias("reason"))
