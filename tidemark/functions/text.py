@@ -82,3 +82,14 @@ def batch_id(raw: Column) -> Column:
 def first_truthy(*cols: Column) -> Column:
     """The first text that isn't null or blank."""
     return F.coalesce(*(F.when(F.trim(c) != "", c) for c in cols))
+
+
+def vocabulary_overlap(a: Column, b: Column, vocabulary: list[str]) -> Column:
+    """The tokens of a vocabulary that both sets have, sorted."""
+    known = F.array(*(F.lit(w) for w in vocabulary)).cast("array<string>")
+    return F.array_sort(F.array_intersect(F.array_intersect(a, b), known))
+
+
+def draft_label(name: Column) -> Column:
+    """A draft's name without its DRAFT prefix and its date or part suffix."""
+    return F.trim(F.regexp_replace(F.regexp_replace(name, r"(?i)^\s*draft[\s_:-]*", ""), r"(?i)[\s_-]*((\d{4}-?\d{2}-?\d{2})|(part[\s_-]*\d+)|(_\d{2}))\s*$", ""))

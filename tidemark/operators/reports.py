@@ -154,3 +154,38 @@ def schema_contract(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """item and ok for each wanted column and type."""
     have = dict(df.dtypes)
     return df.sparkSession.createDataFrame([(c, have.get(c) == t) for c, t in wanted.items()], "item string, ok boolean")
+
+
+def issue_reasons(rows: DataFrame, by: list[str], reason: str) -> DataFrame:
+    """The distinct reasons of each group, sorted and joined; groups without one have an empty text."""
+    return rows.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set(reason)), ", ").alias("reasons"))
+
+
+def grouped_reels(rows: DataFrame, by: list[str], ordinal: str, item: str) -> DataFrame:
+    """Groups with their first row's ordinal (their order) and their items in order."""
+    out = rows.groupBy(*by).agg(F.min(ordinal).alias("first"), F.array_sort(F.collect_list(F.struct(ordinal, item))).alias("_i"))
+    return out.select(*by, "first", F.transform("_i", lambda x: x[item]).alias("items"))
+
+
+def draft_trace(windows: DataFrame, draft: str) -> DataFrame:
+    """Of each draft: bounds, windows, sources (distinct, sorted), whether every window names its athlete, and the best score."""
+    named = F.coalesce(F.trim(F.col("athlete").cast("string")) != "", F.lit(False))
+    return windows.groupBy(draft).agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("windows"), F.array_sort(F.collect_set("source")).alias("sources"), F.bool_and(named).alias("lineage_complete"), F.max("score").alias("score")
+    )
+
+
+def constraint_violations(rows: DataFrame, ident: str, rules: dict[str, Column]) -> DataFrame:
+    """id and rule of every row that breaks a rule. Like CHECK, an unknown result breaks nothing."""
+    broken = F.array_compact(F.array(*(F.when(~rule, F.lit(name)) for name, rule in rules.items())))
+    return rows.select(F.col(ident), F.explode(broken).alias("rule"))
+
+
+def coverage_violations(rows: DataFrame, summary: DataFrame, run: str) -> DataFrame:
+    """run, rule: athletes named twice, unaccounted athletes, and totals that differ from the summary's. rows: run, athlete, accounted; summary: run, athletes, accounted."""
+    twice = rows.groupBy(run, "athlete").count().where("count > 1").select(run, F.lit("athlete_repeated").alias("rule")).distinct()
+    gaps = rows.where(~F.col("accounted")).select(run, F.lit("athlete_unaccounted").alias("rule")).distinct()
+    own = rows.groupBy(run).agg(F.count_distinct("athlete").alias("n"), F.count_if("accounted").alias("k"))
+    both = own.join(summary.select(F.col(run).alias("_run"), "athletes", F.col("accounted").alias("said")), F.col(run) == F.col("_run"), "full_outer").select(F.coalesce(run, "_run").alias(run), "n", "k", "athletes", "said")
+    wrong = both.where(~F.col("n").eqNullSafe(F.col("athletes")) | ~F.col("k").eqNullSafe(F.col("said"))).select(run, F.lit("summary_differs").alias("rule"))
+    return twice.unionByName(gaps).unionByName(wrong)

@@ -139,3 +139,14 @@ def qa_applied(parts: DataFrame, evidence: DataFrame) -> DataFrame:
     out = parts.join(evidence.select("path", F.col("verdict").alias("_v"), F.col("critical").alias("_c")), "path", "left")
     passed = F.when(F.col("_v").isNotNull(), (F.col("_v") == "PASS") & (F.coalesce("_c", F.lit(0)) == 0))
     return out.withColumn("qa_recorded", F.col("_v").isNotNull()).withColumn("qa_passed", passed).withColumn("publishable", F.coalesce(passed, F.lit(False)) & (F.size("technical_issues") == 0)).drop("_v", "_c")
+
+
+def touched(rows: DataFrame, changed: Column, as_of: Column, column: str = "updated_at") -> DataFrame:
+    """Rows with the time of their last change."""
+    return rows.withColumn(column, F.when(changed, as_of).otherwise(F.col(column)))
+
+
+def manifest_upserts(manifest: DataFrame, rows: DataFrame) -> DataFrame:
+    """athlete_key, parts, uploaded, revision: the latest revision of an athlete wins; `publishable` where all of its parts are uploaded."""
+    merged = upsert(manifest, rows, ["athlete_key"], [F.desc("revision")])
+    return merged.withColumn("publishable", (F.col("parts") > 0) & (F.col("uploaded") == F.col("parts")))

@@ -685,3 +685,36 @@ def q76_framing(spark, d):
     p = detections(spark, d)
     f = scores.framing(F.col("point_id") % 5, F.col("confidence") / 100, F.lit(0.9), F.lit(0.2), F.lit(0.02), F.when(F.col("x1") % 7 == 0, 0.01).otherwise(0.5), F.lit(True))
     return p.select("point_id", f["reason"].alias("reason"))
+
+
+@query("""select user_id, array_to_string(list_sort(list_distinct(list(event_type))), ', ') as reasons from events where event_id % 6 = 0 group by 1""")
+def q77_issue_reasons(spark, d):
+    return reports.issue_reasons(table(spark, d, "events").where("event_id % 6 = 0"), ["user_id"], "event_type")
+
+
+@query("""select cast(cast(ts as date) as varchar) as day, event_type, min(event_id) as first, string_agg(cast(user_id as varchar), ',' order by event_id) as items from events where event_id % 4 = 0 group by 1, 2""")
+def q78_session_groups(spark, d):
+    e = table(spark, d, "events").where("event_id % 4 = 0").select(F.to_date("ts").cast("string").alias("day"), "event_type", "event_id", "user_id")
+    return reports.grouped_reels(e, ["day", "event_type"], "event_id", "user_id").withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
+
+
+@query(f"""with {_MOMENTS} select person as draft, min(start) as start, max("end") as "end", count(*) as windows, array_to_string(list_sort(list_distinct(list(source))), ',') as sources, bool_and(ordinal % 97 > 0) as lineage_complete, max(score) as score from m group by 1""")
+def q79_draft_trace(spark, d):
+    m = moments(spark, d).withColumn("athlete", F.when(F.col("ordinal") % 97 > 0, F.col("person")))
+    return reports.draft_trace(m.withColumnRenamed("person", "draft"), "draft").withColumn("sources", F.array_join("sources", ","))
+
+
+@query("""with r as (select l_orderkey as run, l_suppkey % 30 as athlete, l_quantity > 4 as accounted from lineitem), s as (select o_orderkey as run, 4 as athletes, 4 as accounted from orders),
+    o as (select run, count(distinct athlete) as n, count(*) filter (accounted) as k from r group by 1)
+    select run, rule from (select distinct run, 'athlete_repeated' as rule from (select run, athlete from r group by 1, 2 having count(*) > 1)) union all select distinct run, 'athlete_unaccounted' from r where not accounted
+    union all select coalesce(o.run, s.run), 'summary_differs' from o full outer join s on o.run = s.run where n is distinct from athletes or k is distinct from s.accounted""")
+def q80_coverage_violations(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey as run", "l_suppkey % 30 as athlete", "l_quantity > 4 as accounted")
+    summary = table(spark, d, "orders").selectExpr("o_orderkey as run", "4L as athletes", "4L as accounted")
+    return reports.coverage_violations(rows, summary, "run")
+
+
+@query("""select c_custkey, unnest(list_filter([case when not regexp_matches(c_name, '^Customer#[0-9]*[02468]$') then 'name' end, case when not c_acctbal >= 0 then 'balance' end, case when not c_mktsegment in ('BUILDING', 'MACHINERY') then 'segment' end], lambda x: x is not null)) as rule from customer""")
+def q81_constraint_violations(spark, d):
+    rules = {"name": F.rlike("c_name", F.lit("^Customer#[0-9]*[02468]$")), "balance": F.col("c_acctbal") >= 0, "segment": F.col("c_mktsegment").isin("BUILDING", "MACHINERY")}
+    return reports.constraint_violations(table(spark, d, "customer"), "c_custkey", rules)
