@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chunks, decontaminate, neardup, pieces, toxicity
-from tidemark.llm.common import Scratch, crc_mod, table
+from tidemark.llm.common import Scratch, crc_mod, split_by_ids, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group; rows without an id stay."""
-    dropped = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(Scratch(spark).keep(dropped, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    scratch = Scratch(spark)
+    dropped = neardup.near_duplicates(docs, scratch=scratch).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = Scratch(spark).keep(dropped, "gone")
+    scratch.clear()
+    maybe, others = split_by_ids(docs, gone, "_gone")  # texts of documents that surely stay are not shuffled
+    return maybe.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").union(others)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

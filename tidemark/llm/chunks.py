@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, split_by_ids
 from tidemark.llm.decontaminate import without
 from tidemark.llm.words import BASE, SPACED, Slice, mixed, slices
 
@@ -84,7 +84,7 @@ def chunk_pairs(docs: DataFrame, span: int = 10, text: str = "text", id_column:
     return docs.select(F.col(id_column).cast("long"), F.col(text).cast("string")).where(F.col(id_column).isNotNull()).mapInArrow(run, PAIRS)
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 28, span: int = 10, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = 28, span: int = 10, text: str = "text", id_column: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, begin and end (bytes of the UTF-8 text), words and first_doc_id (the least id that any of its chunks is in) of every
     passage of at least `least_words` words whose pairs of chunks all stand in documents with smaller ids too.
 
@@ -93,7 +93,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 28, span: int = 10, te
     repeats within its own document is no repeat. Digests are counted before any join, so a passage in a third of all rows is
     one row for each task; the join of chunks with repeated digests can be split by Spark wherever one digest is frequent.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     pairs = chunk_pairs(docs, span, text, id_column)
     seen = pairs.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").select("digest", "first_doc_id")
     seen = scratch.keep(seen, "digests")
@@ -112,8 +112,11 @@ def repeated_passages(docs: DataFrame, least_words: int = 28, span: int = 10, te
 
 def deduplicated(docs: DataFrame, least_words: int = 28, span: int = 10, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The documents without their repeated passages (each leaves a blank); all others keep their text as it is, null too."""
-    passages = repeated_passages(docs, least_words, span, text, id_column)
+    scratch = Scratch(docs.sparkSession)
+    passages = repeated_passages(docs, least_words, span, text, id_column, scratch)
     spans = passages.groupBy(F.col("doc_id").alias("_own")).agg(F.array_sort(F.collect_list(F.struct(F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end")))).alias("_spans"))
     spans = Scratch(docs.sparkSession).keep(spans, "spans")
-    out = docs.join(spans, F.col(id_column) == F.col("_own"), "left")
-    return out.withColumn(text, F.when(F.col("_spans").isNotNull(), without(F.col(text), F.col("_spans"))).otherwise(F.col(text))).select(*docs.columns)
+    scratch.clear()
+    touched, others = split_by_ids(docs, spans, "_own", id_column)  # texts without a passage are not shuffled
+    out = touched.join(spans, F.col(id_column) == F.col("_own"), "left")
+    return out.withColumn(text, F.when(F.col("_spans").isNotNull(), without(F.col(text), F.col("_spans"))).otherwise(F.col(text))).select(*docs.columns).union(others)

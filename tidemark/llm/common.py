@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,42 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        """Frees all tables of this scratch; nothing may read them afterwards."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def id_slot(column: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits))
+
+
+def id_bitmap(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A bitmap of the ids' hashes: 16 bits for each id, 2**30 bits (128 MB) at most; it grows no further, only tells less."""
+    bits = 1 << min(30, max(15, (16 * ids.count()).bit_length()))
+    marks = ids.select((id_slot(F.col(column), bits) + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in marks.toLocalIterator():
+        bitmap[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    return bitmap, bits
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame, column: str, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows whose id may be among `ids` (all that are, and a few more), and the others: so that a join need not shuffle the others' texts."""
+    bitmap, bits = id_bitmap(ids, column)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = batch.column(batch.num_columns - 1).to_numpy()
+                hit = ((shared.value[place >> 3] >> (place & 7)) & 1 > 0) == wanted
+                yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(hit))
+
+        return docs.select("*", id_slot(F.col(id_column).cast("long"), bits).alias("_slot")).mapInArrow(run, docs.schema)
+
+    return part(True), part(False)
+
 
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, mod n; a null id counts as remainder -1, so that it is in no named fold."""

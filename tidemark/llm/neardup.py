@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, id_bitmap, id_slot
 from tidemark.llm.superminhash import signatures
 from tidemark.llm.words import SPACED, mixed, slices
 
@@ -72,13 +72,8 @@ def signed(docs: DataFrame, words: int, rows: int, bands: int, text: str, id_col
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, id_column: str) -> DataFrame:
     """cls and the sorted shingle hashes of the rows with a wanted id (and of a few more), so that no text need be shuffled.
 
-    Ids are told by a bitmap of 16 bits for each wanted one, 2**30 bits (128 MB) at most: it grows no further, only tells less."""
-    bits = 1 << min(30, max(15, (16 * wanted.count()).bit_length()))
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    marks = wanted.select((slot(F.col("rep")) + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for r in marks.toLocalIterator():
-        bitmap[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    Ids are told by a bitmap of bounded size."""
+    bitmap, bits = id_bitmap(wanted, "rep")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +90,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, id_colu
                     names=["cls", "elements"],
                 )
 
-    return docs.where(F.col(id_column).isNotNull()).select(F.col(text).cast("string"), slot(F.col(id_column).cast("long"))).mapInArrow(run, "cls long, elements array<long>")
+    return docs.where(F.col(id_column).isNotNull()).select(F.col(text).cast("string"), id_slot(F.col(id_column).cast("long"), bits)).mapInArrow(run, "cls long, elements array<long>")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -114,7 +109,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = WORDS, percent: int = 75, rows: int = ROWS, bands: int = BANDS, block: int = 1024, text: str = "text", id_column: str = "doc_id"
+    docs: DataFrame, words: int = WORDS, percent: int = 75, rows: int = ROWS, bands: int = BANDS, block: int = 1024, text: str = "text", id_column: str = "doc_id", scratch: Scratch | None = None
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
@@ -124,7 +119,7 @@ def near_duplicates(
     without an id is its own group: component_id null, kept. component_id is the least id of the group; other columns are not
     looked at, so clashing names do no harm.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     table = scratch.keep(signed(docs, words, rows, bands, text, id_column), "signed")
     classes = scratch.keep(table.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("cls", "n", F.explode("bands").alias("band"))
