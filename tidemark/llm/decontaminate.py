@@ -128,10 +128,12 @@ class Detector:
             return []
         joined = np.zeros(len(h) + 1, bool)  # joined[i]: words i - 1 and i may stand together in an item
         joined[1:-1] = self.two[self._pairs(h)] & (s.text_of[1:] == s.text_of[:-1])
+        at = np.flatnonzero(joined)  # a pair may collide with an item's: a word of no item splits a run, it never costs the run
+        joined[at] = self.one[h[at - 1] >> self.shift] & self.one[h[at] >> self.shift]
         starts = np.flatnonzero(~joined)  # every run of joined words, single words too
         long = np.diff(starts) >= self.least
         begin, end = starts[:-1][long], starts[1:][long]
-        known = self.one[h[begin] >> self.shift]
+        known = self.one[h[begin] >> self.shift]  # rules out single words only, longer runs have none but known words
         return list(zip(begin[known].tolist(), end[known].tolist(), strict=True))
 
     def hits(self, s: Slice) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
