@@ -1,8 +1,8 @@
 """Passages that repeat across documents, by content-defined chunks.
 
-A gear hash rolls over a text's bytes (h = 2h + gear[byte], so that its low 32 bits see the last 32 bytes). A chunk ends after a word
-whose hash is the least of some `span` neighbouring words: cuts depend on nearby content alone, an insertion shifts none
-beyond its neighbourhood, and two cuts are never more than `span` words apart. Each two neighbouring chunks have a digest; where
+A gear hash rolls over a text's words (h = 2**16 h + word, so that its 64 bits see the last 4 words, of whatever length; a text begins
+with none). A chunk ends after a word whose hash is the least of some `span` neighbouring words: cuts depend on nearby content alone,
+an insertion shifts none beyond its neighbourhood, and two cuts are never more than `span` words apart. Each two neighbouring chunks have a digest; where
 it also stands in a document with a smaller id they are a repeat, and overlapping repeats make a passage. (Single chunks would
 also join short lines that are common for themselves.)
 """
@@ -20,27 +20,25 @@ from tidemark.llm.common import Scratch, split_by_ids
 from tidemark.llm.decontaminate import without
 from tidemark.llm.words import BASE, SPACED, Slice, mixed, slices
 
-GEAR = (mixed(np.arange(256, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 PAIRS = "doc_id long, digest long, begin int, middle int, end int, words int, next_words int"
 
 
-def gear_hashes(raw: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte: the sum of gear[raw[i - k]] << k for k < 32, by doubling."""
-    h = GEAR[raw]
-    for step in (1, 2, 4, 8, 16):
-        h[step:] = h[step:] + (h[:-step] << np.uint32(step))
-    return h
+def gear_hashes(s: Slice, hashes: np.ndarray) -> np.ndarray:
+    """The rolling hash after each word: the sum of hashes[i - k] << 16 k for k < 4 words of the same text, by doubling."""
+    h, place = hashes.copy(), np.arange(len(hashes)) - s.word_at[s.text_of]
+    for step in (1, 2):
+        h[step:] = h[step:] + np.where(place[step:] >= step, h[:-step] << np.uint64(16 * step), np.uint64(0))
+    return mixed(h)  # the low bits must see all words too
 
 
-def cuts(s: Slice, span: int) -> np.ndarray:
+def cuts(s: Slice, span: int, hashes: np.ndarray | None = None) -> np.ndarray:
     """Whether each word ends a chunk: its hash is the least (the last of equals) in some `span` neighbouring words of its text. A text's last word does."""
     n = len(s.end)
     ends = np.zeros(n, bool)
     if not n:
         return ends
     ends[s.word_at[1:][s.n_words > 0] - 1] = True
-    h = (gear_hashes(s.low)[s.end - 1].astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)  # high bits must see all bytes too
-    h = (h ^ (h >> np.uint64(15))) * np.uint64(0x85EBCA6B) & np.uint64(0xFFFFFFFF)
+    h = gear_hashes(s, s.hashes() if hashes is None else hashes)
     if n >= span:
         windows = np.lib.stride_tricks.sliding_window_view(h, span)[:, ::-1]
         inside = s.text_of[: n - span + 1] == s.text_of[span - 1 :]
@@ -58,9 +56,10 @@ def chunk_pairs(docs: DataFrame, span: int = 10, text: str = "text", id_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, s in slices(batch, 1, SPACED):
-                last = np.flatnonzero(cuts(s, span))
+                h = s.hashes()
+                last = np.flatnonzero(cuts(s, span, h))
                 first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)[: len(last)]
-                words, of, h = last - first + 1, s.text_of[last], s.hashes()
+                words, of = last - first + 1, s.text_of[last]
                 place = (np.arange(len(h)) - np.repeat(first, words)).astype(np.int64)
                 power = np.array([pow(int(BASE), k, 1 << 64) for k in range(int(place.max(initial=0)) + 1)], np.uint64)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[place], dtype=np.uint64)])
@@ -88,7 +87,8 @@ def repeated_passages(docs: DataFrame, least_words: int = 28, span: int = 10, te
     """doc_id, begin and end (bytes of the UTF-8 text), words and first_doc_id (the least id that any of its chunks is in) of every
     passage of at least `least_words` words whose pairs of chunks all stand in documents with smaller ids too.
 
-    Any passage of 51 words or more that two documents share holds such a run, since two cuts are at most `span` words apart. Rows
+    Any passage of 51 words or more that two documents share holds such a run: its hashes are the same from the 4th word on, a cut that
+    both have is among the `span` words from there and among its last `span`, so 51 - 3 - 2 (span - 1) - 1 = 29 words lie between. Rows
     without an id, without text or with a blank text have none; rows that repeat an id are one document. A chunk that only
     repeats within its own document is no repeat. Digests are counted before any join, so a passage in a third of all rows is
     one row for each task; the join of chunks with repeated digests can be split by Spark wherever one digest is frequent.
