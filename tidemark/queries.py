@@ -569,7 +569,7 @@ def q59_distribution(spark, d):
 
 @query()
 def q60_stitched_tracks(spark, d):
-    p = detections(spark, d).where("point_id % 5 = 0").select("source", F.lit("person").alias("class"), F.concat_ws("-", "track", F.floor(F.col("t") / 86400)).alias("raw"), "t", F.col("point_id").alias("frame"), "x1", "y1", "x2", "y2", F.lit(1920).alias("width"), F.lit(1080).alias("height"))
+    p = detections(spark, d).select("source", F.lit("person").alias("class"), F.concat_ws("-", "track", F.floor(F.col("t") / 86400)).alias("raw"), "t", F.col("point_id").alias("frame"), "x1", "y1", "x2", "y2", F.lit(1920).alias("width"), F.lit(1080).alias("height"))
     return sequential.stitched_tracks(p, 86400, 0.5).groupBy("source").agg(F.count_distinct("raw").alias("raw_tracks"), F.count_distinct("track").alias("tracks"))
 
 
