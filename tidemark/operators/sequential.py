@@ -27,7 +27,8 @@ def stitched_tracks(detections: DataFrame, most_gap: float = 3.0, most_distance:
 
     Segments of a source and class in order of (first, last, raw) join the earlier canonical track whose last box is nearest (then: smallest
     gap, largest overlap) among those that ended at most `most_gap` seconds before, overlap or stand close, and are of like size. A joined
-    segment that ends later moves its track's end. Detections without a track pass through. `canonical` ids are text.
+    segment that ends later moves its track's end. Detections without a track pass through. `canonical` ids are text. Segments are first
+    cut into stretches with no pause above `most_gap` (window functions), since no track goes on after one: Python gets one stretch at a time.
     """
     box = lambda r, p: tuple(r[f"{p}_{c}"] for c in ("x1", "y1", "x2", "y2"))
 
@@ -59,7 +60,10 @@ def stitched_tracks(detections: DataFrame, most_gap: float = 3.0, most_distance:
         "source", "class", "raw", "first_t", "last_t", *(F.col(f"{p}.{c}").cast("double").alias(f"{p}_{c}") for p in ("first", "last") for c in ("x1", "y1", "x2", "y2")),
         F.col("first.width").cast("double").alias("width"), F.col("first.height").cast("double").alias("height"),
     )
-    names = flat.groupBy("source", "class").applyInPandas(one, SEGMENT)
+    order = Window.partitionBy("source", "class").orderBy(F.asc_nulls_last("first_t"), "last_t", "raw")
+    ended = F.max("last_t").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = flat.withColumn("fresh", F.when(F.col("first_t") - ended > most_gap, 1).otherwise(0)).withColumn("stretch", F.sum("fresh").over(order)).drop("fresh")
+    names = cut.groupBy("source", "class", "stretch").applyInPandas(one, SEGMENT)
     out = detections.join(names, ["source", "class", "raw"], "left")
     return out.withColumn("track", F.col("canonical")).withColumn("status", F.when(F.col("canonical").isNull(), "passthrough").otherwise("canonicalized")).drop("canonical")
 
