@@ -20,13 +20,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group; rows without an id stay."""
+    """The document of the least id of each group; rows without an id stay, rows that repeat an id are judged by their own text."""
     scratch = Scratch(spark)
-    dropped = neardup.near_duplicates(docs, scratch=scratch).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    dropped = neardup.near_duplicates(docs, scratch=scratch, hashed=True).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
     gone = Scratch(spark).keep(dropped, "gone")
     scratch.clear()
     maybe, others = split_by_ids(docs, gone, "_gone")  # texts of documents that surely stay are not shuffled
-    return maybe.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").union(others)
+    return maybe.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_hash")), "left_anti").union(others)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

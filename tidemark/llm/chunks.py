@@ -20,7 +20,7 @@ from tidemark.llm.common import Scratch, split_by_ids
 from tidemark.llm.decontaminate import without
 from tidemark.llm.words import BASE, SPACED, Slice, mixed, slices
 
-PAIRS = "doc_id long, digest long, begin int, middle int, end int, words int, next_words int"
+PAIRS = "doc_id long, text_hash long, digest long, begin int, middle int, end int, words int, next_words int"
 
 
 def gear_hashes(s: Slice, hashes: np.ndarray) -> np.ndarray:
@@ -48,14 +48,14 @@ def cuts(s: Slice, span: int, hashes: np.ndarray | None = None) -> np.ndarray:
 
 
 def chunk_pairs(docs: DataFrame, span: int = 10, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """doc_id, digest (of the words, A-Z lower-cased, whatever the blanks between), byte places and words of each two neighbouring chunks.
+    """doc_id, text_hash (xxhash64), digest (of the words, A-Z lower-cased, whatever the blanks between), byte places and words of each two neighbouring chunks.
 
     A chunk's bytes run up to the next chunk's first word, a text's last chunk's to the end of its last word.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, s in slices(batch, 1, SPACED):
+            for part, s in slices(batch, 2, SPACED):
                 h = s.hashes()
                 last = np.flatnonzero(cuts(s, span, h))
                 first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)[: len(last)]
@@ -71,26 +71,27 @@ def chunk_pairs(docs: DataFrame, span: int = 10, text: str = "text", id_column:
                 yield pa.record_batch(
                     [
                         part.column(0).cast(pa.int64()).take(pa.array(of[two])),
+                        part.column(1).take(pa.array(of[two])),
                         pa.array(mixed(digest[two] * BASE + digest[two + 1]).view(np.int64)),
                         *(whole(x[two] - origin[two]) for x in (begin, ends)),
                         whole(ends[two + 1] - origin[two]),
                         whole(words[two]),
                         whole(words[two + 1]),
                     ],
-                    names=["doc_id", "digest", "begin", "middle", "end", "words", "next_words"],
+                    names=["doc_id", "text_hash", "digest", "begin", "middle", "end", "words", "next_words"],
                 )
 
-    return docs.select(F.col(id_column).cast("long"), F.col(text).cast("string")).where(F.col(id_column).isNotNull()).mapInArrow(run, PAIRS)
+    return docs.select(F.col(id_column).cast("long"), F.xxhash64(F.col(text).cast("string")), F.col(text).cast("string")).where(F.col(id_column).isNotNull()).mapInArrow(run, PAIRS)
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 28, span: int = 10, text: str = "text", id_column: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = 28, span: int = 10, text: str = "text", id_column: str = "doc_id", scratch: Scratch | None = None, hashed: bool = False) -> DataFrame:
     """doc_id, begin and end (bytes of the UTF-8 text), words and first_doc_id (the least id that any of its chunks is in) of every
-    passage of at least `least_words` words whose pairs of chunks all stand in documents with smaller ids too.
+    passage of at least `least_words` words whose pairs of chunks all stand in documents with smaller ids too; with `hashed`, text_hash (xxhash64) too.
 
     Any passage of 51 words or more that two documents share holds such a run: its hashes are the same from the 4th word on, a cut that
     both have is among the `span` words from there and among its last `span`, so 51 - 3 - 2 (span - 1) - 1 = 29 words lie between. Rows
-    without an id, without text or with a blank text have none; rows that repeat an id are one document. A chunk that only
-    repeats within its own document is no repeat. Digests are counted before any join, so a passage in a third of all rows is
+    without an id, without text or with a blank text have none. Rows that repeat an id are one document: a chunk that only repeats
+    within it is no repeat, but places are those of each row's own text. Digests are counted before any join, so a passage in a third of all rows is
     one row for each task; the join of chunks with repeated digests can be split by Spark wherever one digest is frequent.
     """
     scratch = scratch or Scratch(docs.sparkSession)
@@ -98,25 +99,25 @@ def repeated_passages(docs: DataFrame, least_words: int = 28, span: int = 10, te
     seen = pairs.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").select("digest", "first_doc_id")
     seen = scratch.keep(seen, "digests")
     pack = lambda high, low: F.shiftleft(F.col(high).cast("long"), 32) + F.col(low)  # noqa: E731  rows are shuffled by the million: three numbers beside the digest
-    packed = pairs.select("digest", "doc_id", pack("begin", "middle").alias("b"), (pack("end", "next_words") + F.col("words") * 65536).alias("e"))
-    found = packed.join(seen, "digest").where("doc_id > first_doc_id").select("doc_id", "first_doc_id", "b", "e").distinct()
+    packed = pairs.select("digest", "doc_id", "text_hash", pack("begin", "middle").alias("b"), (pack("end", "next_words") + F.col("words") * 65536).alias("e"))
+    found = packed.join(seen, "digest").where("doc_id > first_doc_id").select("doc_id", "text_hash", "first_doc_id", "b", "e").distinct()
     high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF))
-    rows = found.select("doc_id", "first_doc_id", high("b").alias("begin"), low("b").alias("middle"), high("e").alias("end"), F.shiftright(low("e"), 16).alias("words"), low("e").bitwiseAND(0xFFFF).alias("next_words"))
-    order = Window.partitionBy("doc_id").orderBy("begin")
+    rows = found.select("doc_id", "text_hash", "first_doc_id", high("b").alias("begin"), low("b").alias("middle"), high("e").alias("end"), F.shiftright(low("e"), 16).alias("words"), low("e").bitwiseAND(0xFFFF).alias("next_words"))
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("begin")
     fresh = F.when(F.lag("middle").over(order) == F.col("begin"), 0).otherwise(1)
     runs = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
     words = F.sum("words") + F.max_by("next_words", "begin")
-    passages = runs.groupBy("doc_id", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), words.alias("words"), F.min("first_doc_id").alias("first_doc_id"))
-    return passages.where(F.col("words") >= least_words).select("doc_id", "begin", "end", "words", "first_doc_id")
+    passages = runs.groupBy("doc_id", "text_hash", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), words.alias("words"), F.min("first_doc_id").alias("first_doc_id"))
+    return passages.where(F.col("words") >= least_words).select("doc_id", "begin", "end", "words", "first_doc_id", *(["text_hash"] if hashed else []))
 
 
 def deduplicated(docs: DataFrame, least_words: int = 28, span: int = 10, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The documents without their repeated passages (each leaves a blank); all others keep their text as it is, null too."""
+    """The documents without their repeated passages (each leaves a blank; rows that repeat an id are cut by their own text); all others keep their text as it is, null too."""
     scratch = Scratch(docs.sparkSession)
-    passages = repeated_passages(docs, least_words, span, text, id_column, scratch)
-    spans = passages.groupBy(F.col("doc_id").alias("_own")).agg(F.array_sort(F.collect_list(F.struct(F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end")))).alias("_spans"))
+    passages = repeated_passages(docs, least_words, span, text, id_column, scratch, hashed=True)
+    spans = passages.groupBy(F.col("doc_id").alias("_own"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(F.struct(F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end")))).alias("_spans"))
     spans = Scratch(docs.sparkSession).keep(spans, "spans")
     scratch.clear()
     touched, others = split_by_ids(docs, spans, "_own", id_column)  # texts without a passage are not shuffled
-    out = touched.join(spans, F.col(id_column) == F.col("_own"), "left")
+    out = touched.join(spans, (F.col(id_column) == F.col("_own")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_hash")), "left")
     return out.withColumn(text, F.when(F.col("_spans").isNotNull(), without(F.col(text), F.col("_spans"))).otherwise(F.col(text))).select(*docs.columns).union(others)

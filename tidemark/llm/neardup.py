@@ -41,8 +41,8 @@ def digests(sets: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mixed(total[ends] - total[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
 
 
-def signed(docs: DataFrame, words: int, rows: int, bands: int, text: str, id_column: str) -> DataFrame:
-    """doc_id, set size, class and band keys of every row."""
+def signed(docs: DataFrame, words: int, rows: int, bands: int, text: str, id_column: str, hashed: bool = False) -> DataFrame:
+    """doc_id, set size, class and band keys of every row; with `hashed`, its text_hash too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
@@ -56,7 +56,7 @@ def signed(docs: DataFrame, words: int, rows: int, bands: int, text: str, id_col
                     keys = mixed(keys ^ values[:, :, r]) + salt
                 some = sizes > 0
                 ends = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
-                yield pa.record_batch(
+                out = pa.record_batch(
                     [
                         part.column(0).cast(pa.int64()),
                         pa.array(sizes.astype(np.int64)),
@@ -65,8 +65,12 @@ def signed(docs: DataFrame, words: int, rows: int, bands: int, text: str, id_col
                     ],
                     names=["doc_id", "n_shingles", "cls", "bands"],
                 )
+                for c in part.schema.names[2:]:
+                    out = out.append_column(c, part.column(c))
+                yield out
 
-    return docs.select(F.col(id_column).cast("long"), F.col(text).cast("string")).mapInArrow(run, SIGNED)
+    more = [F.xxhash64(F.col(text).cast("string")).alias("text_hash")] if hashed else []
+    return docs.select(F.col(id_column).cast("long"), F.col(text).cast("string"), *more).mapInArrow(run, SIGNED + (", text_hash long" if hashed else ""))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, id_column: str) -> DataFrame:
@@ -109,9 +113,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = WORDS, percent: int = 75, rows: int = ROWS, bands: int = BANDS, block: int = 1024, text: str = "text", id_column: str = "doc_id", scratch: Scratch | None = None
+    docs: DataFrame, words: int = WORDS, percent: int = 75, rows: int = ROWS, bands: int = BANDS, block: int = 1024, text: str = "text", id_column: str = "doc_id", scratch: Scratch | None = None, hashed: bool = False
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row.
+    """doc_id, n_shingles, component_id and kept for every row; with `hashed`, text_hash (xxhash64) too, which tells rows that repeat an id apart.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. A set holds the distinct `words`-word shingles, or the whole sequence
     where there are fewer words; documents link where 100 * intersection >= percent * union, checked on the full sets.
@@ -120,7 +124,7 @@ def near_duplicates(
     looked at, so clashing names do no harm.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    table = scratch.keep(signed(docs, words, rows, bands, text, id_column), "signed")
+    table = scratch.keep(signed(docs, words, rows, bands, text, id_column, hashed), "signed")
     classes = scratch.keep(table.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("cls", "n", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -146,9 +150,10 @@ def near_duplicates(
     least = members.groupBy("comp").agg(F.min("rep").alias("component_id"))
     grouped = members.join(least, "comp").select("cls", "component_id")
     grouped = grouped.withColumnRenamed("cls", "its")
-    out = table.select("doc_id", "n_shingles", "cls").join(grouped, (F.col("cls") == F.col("its")) & F.col("doc_id").isNotNull(), "left")
+    more = ["text_hash"] if hashed else []
+    out = table.select("doc_id", "n_shingles", "cls", *more).join(grouped, (F.col("cls") == F.col("its")) & F.col("doc_id").isNotNull(), "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), *more)
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, text: str, id_column: str, scratch: Scratch) -> DataFrame:
