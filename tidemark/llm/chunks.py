@@ -1,9 +1,9 @@
-"""Passages that repeat across documents, by content-defined chunks.
+"""Passages that repeat, across documents or within one, by content-defined chunks.
 
 A gear hash rolls over a text's words (h = 2**16 h + word, so that its 64 bits see the last 4 words, of whatever length; a text begins
 with none). A chunk ends after a word whose hash is the least of some `span` neighbouring words: cuts depend on nearby content alone,
 an insertion shifts none beyond its neighbourhood, and two cuts are never more than `span` words apart. Each two neighbouring chunks have a digest; where
-it also stands in a document with a smaller id they are a repeat, and overlapping repeats make a passage. (Single chunks would
+it also stands in a document with a smaller id, or earlier in the same text, they are a repeat, and overlapping repeats make a passage. (Single chunks would
 also join short lines that are common for themselves.)
 """
 
@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, split_by_ids
+from tidemark.llm.common import Scratch, free_name, id_marks, told_apart
 from tidemark.llm.decontaminate import without
 from tidemark.llm.words import BASE, SPACED, Slice, mixed, slices
 
-PAIRS = "doc_id long, text_hash long, digest long, begin int, middle int, end int, words int, next_words int"
+PAIRS = "doc_id long, text_hash long, digest long, begin int, middle int, end int, words int, next_words int, again boolean"
 
 
 def gear_hashes(s: Slice, hashes: np.ndarray) -> np.ndarray:
@@ -48,7 +48,8 @@ def cuts(s: Slice, span: int, hashes: np.ndarray | None = None) -> np.ndarray:
 
 
 def chunk_pairs(docs: DataFrame, span: int = 10, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """doc_id, text_hash (xxhash64), digest (of the words, A-Z lower-cased, whatever the blanks between), byte places and words of each two neighbouring chunks.
+    """doc_id, text_hash (xxhash64), digest (of the words, A-Z lower-cased, whatever the blanks between), byte places and words of each two
+    neighbouring chunks, and whether the same two stand earlier in the text.
 
     A chunk's bytes run up to the next chunk's first word, a text's last chunk's to the end of its last word.
     """
@@ -65,6 +66,10 @@ def chunk_pairs(docs: DataFrame, span: int = 10, text: str = "text", id_column:
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[place], dtype=np.uint64)])
                 digest = mixed(total[last + 1] - total[first] + words.astype(np.uint64))
                 two = np.flatnonzero(of[1:] == of[:-1])  # a chunk with one after it
+                both = mixed(digest[two] * BASE + digest[two + 1])
+                order = np.lexsort((two, both, of[two]))
+                again = np.zeros(len(two), bool)
+                again[order[1:]] = (both[order[1:]] == both[order[:-1]]) & (of[two][order[1:]] == of[two][order[:-1]])
                 origin, begin = s.at[of], s.begin[first]
                 ends = np.where(np.concatenate([of[1:] != of[:-1], [True]])[: len(last)], s.end[last], np.concatenate([begin[1:], [0]])[: len(last)])
                 whole = lambda x: pa.array(x.astype(np.int32))
@@ -72,13 +77,14 @@ def chunk_pairs(docs: DataFrame, span: int = 10, text: str = "text", id_column:
                     [
                         part.column(0).cast(pa.int64()).take(pa.array(of[two])),
                         part.column(1).take(pa.array(of[two])),
-                        pa.array(mixed(digest[two] * BASE + digest[two + 1]).view(np.int64)),
+                        pa.array(both.view(np.int64)),
                         *(whole(x[two] - origin[two]) for x in (begin, ends)),
                         whole(ends[two + 1] - origin[two]),
                         whole(words[two]),
                         whole(words[two + 1]),
+                        pa.array(again),
                     ],
-                    names=["doc_id", "text_hash", "digest", "begin", "middle", "end", "words", "next_words"],
+                    names=["doc_id", "text_hash", "digest", "begin", "middle", "end", "words", "next_words", "again"],
                 )
 
     return docs.select(F.col(id_column).cast("long"), F.xxhash64(F.col(text).cast("string")), F.col(text).cast("string")).where(F.col(id_column).isNotNull()).mapInArrow(run, PAIRS)
@@ -86,21 +92,24 @@ def chunk_pairs(docs: DataFrame, span: int = 10, text: str = "text", id_column:
 
 def repeated_passages(docs: DataFrame, least_words: int = 28, span: int = 10, text: str = "text", id_column: str = "doc_id", scratch: Scratch | None = None, hashed: bool = False) -> DataFrame:
     """doc_id, begin and end (bytes of the UTF-8 text), words and first_doc_id (the least id that any of its chunks is in) of every
-    passage of at least `least_words` words whose pairs of chunks all stand in documents with smaller ids too; with `hashed`, text_hash (xxhash64) too.
+    passage of at least `least_words` words whose pairs of chunks all stand in documents with smaller ids, or earlier in the same
+    text, too; with `hashed`, text_hash (xxhash64) too.
 
     Any passage of 51 words or more that two documents share holds such a run: its hashes are the same from the 4th word on, a cut that
     both have is among the `span` words from there and among its last `span`, so 51 - 3 - 2 (span - 1) - 1 = 29 words lie between. Rows
-    without an id, without text or with a blank text have none. Rows that repeat an id are one document: a chunk that only repeats
-    within it is no repeat, but places are those of each row's own text. Digests are counted before any join, so a passage in a third of all rows is
-    one row for each task; the join of chunks with repeated digests can be split by Spark wherever one digest is frequent.
+    without an id, without text or with a blank text have none. A chunk that only repeats between rows of one id is no repeat, and
+    places are those of each row's own text. Digests are counted before any join, so a passage in a third of all rows is one row for
+    each task; only chunks whose digest may be repeated (a bitmap tells) are joined, and Spark can split that join wherever one digest is frequent.
     """
     scratch = scratch or Scratch(docs.sparkSession)
+    pack = lambda high, low: F.shiftleft(F.col(high).cast("long"), 32) + F.col(low)  # noqa: E731  rows come by the million: three numbers beside the digest
     pairs = chunk_pairs(docs, span, text, id_column)
+    pairs = scratch.keep(pairs.select("digest", "doc_id", "text_hash", pack("begin", "middle").alias("b"), (pack("end", "next_words") + F.col("words") * 65536).alias("e"), "again"), "pairs")
     seen = pairs.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").select("digest", "first_doc_id")
     seen = scratch.keep(seen, "digests")
-    pack = lambda high, low: F.shiftleft(F.col(high).cast("long"), 32) + F.col(low)  # noqa: E731  rows are shuffled by the million: three numbers beside the digest
-    packed = pairs.select("digest", "doc_id", "text_hash", pack("begin", "middle").alias("b"), (pack("end", "next_words") + F.col("words") * 65536).alias("e"))
-    found = packed.join(seen, "digest").where("doc_id > first_doc_id").select("doc_id", "text_hash", "first_doc_id", "b", "e").distinct()
+    maybe, others = told_apart(pairs, F.col("digest"), *id_marks(seen, "digest", scratch))
+    met = maybe.join(seen, "digest", "left").where("again or doc_id > first_doc_id").select("doc_id", "text_hash", F.coalesce("first_doc_id", "doc_id").alias("first_doc_id"), "b", "e")
+    found = met.union(others.where("again").select("doc_id", "text_hash", "doc_id", "b", "e")).distinct()
     high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF))
     rows = found.select("doc_id", "text_hash", "first_doc_id", high("b").alias("begin"), low("b").alias("middle"), high("e").alias("end"), F.shiftright(low("e"), 16).alias("words"), low("e").bitwiseAND(0xFFFF).alias("next_words"))
     order = Window.partitionBy("doc_id", "text_hash").orderBy("begin")
@@ -113,11 +122,13 @@ def repeated_passages(docs: DataFrame, least_words: int = 28, span: int = 10, te
 
 def deduplicated(docs: DataFrame, least_words: int = 28, span: int = 10, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The documents without their repeated passages (each leaves a blank; rows that repeat an id are cut by their own text); all others keep their text as it is, null too."""
-    scratch = Scratch(docs.sparkSession)
+    scratch, own = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     passages = repeated_passages(docs, least_words, span, text, id_column, scratch, hashed=True)
-    spans = passages.groupBy(F.col("doc_id").alias("_own"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(F.struct(F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end")))).alias("_spans"))
-    spans = Scratch(docs.sparkSession).keep(spans, "spans")
+    spans = passages.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(F.struct(F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end")))).alias("_spans"))
+    spans = own.keep(spans, "spans")
     scratch.clear()
-    touched, others = split_by_ids(docs, spans, "_own", id_column)  # texts without a passage are not shuffled
-    out = touched.join(spans, (F.col(id_column) == F.col("_own")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_hash")), "left")
-    return out.withColumn(text, F.when(F.col("_spans").isNotNull(), without(F.col(text), F.col("_spans"))).otherwise(F.col(text))).select(*docs.columns).union(others)
+    touched, others = told_apart(docs, F.col(id_column).cast("long"), *id_marks(spans, "_id", own))  # texts without a passage are not shuffled
+    rows = touched.select(F.struct("*").alias("_row"), F.col(id_column).cast("long").alias("_own"), F.xxhash64(F.col(text).cast("string")).alias("_text"))
+    cut = free_name(docs, "spans")
+    rows = rows.join(spans, (F.col("_own") == F.col("_id")) & (F.col("_text") == F.col("_hash")), "left").select("_row.*", F.col("_spans").alias(cut))
+    return rows.withColumn(text, F.when(F.col(cut).isNotNull(), without(F.col(text), F.col(cut))).otherwise(F.col(text))).select(*docs.columns).union(others)

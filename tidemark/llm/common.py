@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's own, else (tests) a new temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's own checkpoint folder. Without either a
+    ValueError: no other folder is known to be seen by all. In local mode a folder of the warehouse does, as all run on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root and spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.scratch"
     if not root:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-            own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = own.get()
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return root.rstrip("/")
 
 
@@ -55,35 +52,31 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def id_slot(column: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(bits))
-
-
-def id_bitmap(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """A bitmap of the ids' hashes: 16 bits for each id, 2**30 bits (128 MB) at most; it grows no further, only tells less."""
+def id_marks(ids: DataFrame, column: str, scratch: Scratch) -> tuple[DataFrame, int]:
+    """A bitmap of the ids' hashes as rows (bucket, bits) of 4096 bytes, and its size in bits: 16 bits for each id, 2**30 bits
+    (128 MB) at most; beyond that it grows no further, only tells less."""
     bits = 1 << min(30, max(15, (16 * ids.count()).bit_length()))
-    marks = ids.select((id_slot(F.col(column), bits) + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for r in marks.toLocalIterator():
-        bitmap[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
-    return bitmap, bits
-
+    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(bits)) + 1
+    marks = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits"))
+    return scratch.keep(marks, "marks"), bits
 
-def split_by_ids(docs: DataFrame, ids: DataFrame, column: str, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The rows whose id may be among `ids` (all that are, and a few more), and the others: so that a join need not shuffle the others' texts."""
-    bitmap, bits = id_bitmap(ids, column)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def part(wanted: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                place = batch.column(batch.num_columns - 1).to_numpy()
-                hit = ((shared.value[place >> 3] >> (place & 7)) & 1 > 0) == wanted
-                yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(hit))
+def told_apart(rows: DataFrame, key: Column, marks: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among the marked ids (all that are, and a few more), and the others, null keys among them: so that a
+    later join need not shuffle the others. The bitmap is broadcast (its bound: see id_marks), rows never leave the JVM."""
+    slot = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    packed = rows.select(F.struct("*").alias("_row"), F.bitmap_bucket_number(slot).alias("_own"), F.bitmap_bit_position(slot).alias("_place"), key.isNotNull().alias("_known"))
+    both = packed.join(F.broadcast(marks), F.col("_own") == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.col("_known") & F.coalesce(F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1, F.lit(False))
+    return both.where(hit).select("_row.*"), both.where(~hit).select("_row.*")
 
-        return docs.select("*", id_slot(F.col(id_column).cast("long"), bits).alias("_slot")).mapInArrow(run, docs.schema)
 
-    return part(True), part(False)
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or it with underscores behind where the table has such a column."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def crc_mod(column: str, n: int) -> Column:
@@ -91,17 +84,23 @@ def crc_mod(column: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1))
 
 
-def bounded(rows: DataFrame, by: str, each: int, id_column: str, seed: int = 7, most_classes: int = 256) -> DataFrame:
-    """About `each` rows of every class in `by` (all, where there are fewer), picked by a hash of the id, `2 * each` at the very most.
+def bounded(rows: DataFrame, by: str, each: int, id_column: str, seed: int = 7, most_rows: int = 8192, most_classes: int = 4096) -> DataFrame:
+    """About `each` rows of every class in `by` (all, where there are fewer), fewer of each where all classes together would give more than
+    `most_rows`; picked by a hash of the id, twice as many in all at the very most. More than `most_classes` classes are a ValueError: none is left out.
 
     One grouped count, then a filter on the scan: nothing is shuffled by class, so a class with most of the rows does no harm.
     """
-    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(most_classes).collect()
+    counts = rows.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(by).limit(most_classes + 1).collect()
+    if len(counts) > most_classes:
+        raise ValueError(f"more than {most_classes} classes")
+    each = min(each, most_rows // max(1, len(counts)))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_column)), F.lit(1 << 30))
-    keep = F.lit(False)
-    for value, n in counts:
-        keep = keep | ((F.col(by) == F.lit(value)) & (draw < int((1 << 30) * min(1.0, each / n))))
-    return rows.where(keep).limit(2 * each * max(1, len(counts)))
+    shares = {value: int((1 << 30) * min(1.0, each / n)) for value, n in counts if n > each}
+    part = F.lit(1 << 30)
+    if shares:
+        listed = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))
+        part = F.coalesce(F.try_element_at(listed, F.col(by)), part)
+    return rows.where(F.col(by).isNotNull() & (draw < part)).limit(2 * each * max(1, len(counts)))
 
 
 def per_text(docs: DataFrame, fields: str, fn: Callable[[list], list], text: str = "text", id_column: str = "doc_id", rows: int = 1024, more: tuple[str, ...] = ()) -> DataFrame:

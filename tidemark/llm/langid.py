@@ -47,12 +47,14 @@ def hashed_ngrams(text: str, dims: int) -> np.ndarray | None:
 def codebook(n: int, bits: int, seed: int) -> np.ndarray:
     """n codewords of -1/1: of many random books, one whose two nearest words are farthest apart and whose columns all split."""
     rng, best, most = np.random.default_rng(seed), None, -1
-    for _ in range(200):
+    for _ in range(200 if n <= 64 else 8):
         book = rng.choice(np.array([-1.0, 1.0], np.float32), (n, bits))
         if n > 1 and (np.abs(book.sum(0)) == n).any():
             flat = np.abs(book.sum(0)) == n
             book[rng.integers(n), flat] *= -1
-        gap = min((int((book[i] != book[j]).sum()) for i in range(n) for j in range(i)), default=bits)
+        alike = book @ book.T
+        np.fill_diagonal(alike, -bits)
+        gap = int((bits - alike.max(initial=-bits)) // 2)
         if gap > most:
             best, most = book, gap
     return best
@@ -92,10 +94,11 @@ class LanguageModel:
             out[i] = (self.languages[first], float(share[k, first]), None if second is None else self.languages[second], bool(gap < self.min_margin))
 
 
-def train(features: np.ndarray, labels: list[str], bits: int = 15, rounds: int = 300, seed: int = 11, min_margin: float = 0.1) -> LanguageModel:
-    """All bits at once by Nesterov gradient steps on the logistic loss; every language weighs the same."""
+def train(features: np.ndarray, labels: list[str], bits: int | None = None, rounds: int = 300, seed: int = 11, min_margin: float = 0.1) -> LanguageModel:
+    """All bits (by default 15, more beyond 8 languages) at once by Nesterov gradient steps on the logistic loss; every language weighs the same."""
     languages = sorted(set(labels))
     dims = features.shape[1] if len(labels) else 1
+    bits = bits or max(15, 4 * len(languages).bit_length())  # more languages need longer words
     book = codebook(max(1, len(languages)), bits, seed)
     weights, bias = np.zeros((dims, bits), np.float32), np.zeros(bits, np.float32)
     if len(languages) > 1:
@@ -115,18 +118,23 @@ def train(features: np.ndarray, labels: list[str], bits: int = 15, rounds: int =
     return LanguageModel(languages, book, weights, bias, min_margin)
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id", each: int = 400, dims: int = 4096, most_languages: int = 64) -> LanguageModel:
-    """Fits on about `each` rows (2 * each at most) of each of the `most_languages` commonest languages, a stated bounded sample;
-    whole texts become `dims` counts on the executors, so the driver holds 2 * each * most_languages * dims * 4 bytes at most."""
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id", each: int = 400, dims: int = 4096, most_rows: int = 8192) -> LanguageModel:
+    """Fits on about `each` rows of every language there is (fewer of each where they would be over `most_rows` in all, twice that at
+    most), a stated bounded sample. Whole texts become counts on the executors, of which only those above 0 are sent; the driver
+    holds 2 * most_rows * dims * 4 bytes at most."""
 
     def features(texts: list, langs: list) -> list:
-        return [langs, [None if (x := hashed_ngrams(t, dims)) is None else x.tobytes() for t in texts]]
+        got = [hashed_ngrams(t, dims) for t in texts]
+        places = [None if x is None else np.flatnonzero(x).astype(np.uint16) for x in got]
+        return [langs, [None if p is None else p.tobytes() for p in places], [None if x is None else x[p].tobytes() for x, p in zip(got, places, strict=True)]]
 
     labelled = rows.select(F.col(id_column).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("y")).where("t is not null and y is not null")
-    sample = bounded(labelled, "y", each, "i", most_classes=most_languages)
-    got = per_text(sample, "y string, x binary", features, "t", "i", more=("y",)).where("x is not null").select("y", "x").collect()
+    sample = bounded(labelled, "y", each, "i", most_rows=most_rows)
+    got = per_text(sample, "y string, p binary, x binary", features, "t", "i", more=("y",)).where("x is not null").select("y", "p", "x").collect()
     got.sort()  # the same model however the rows were dealt
-    x = np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(len(got), dims)
+    x = np.zeros((len(got), dims), np.float32)
+    for k, r in enumerate(got):
+        x[k, np.frombuffer(r.p, np.uint16)] = np.frombuffer(r.x, np.float32)
     return train(x, [r.y for r in got])
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, id_bitmap, id_slot
+from tidemark.llm.common import Scratch, id_marks, told_apart
 from tidemark.llm.superminhash import signatures
 from tidemark.llm.words import SPACED, mixed, slices
 
@@ -73,17 +73,11 @@ def signed(docs: DataFrame, words: int, rows: int, bands: int, text: str, id_col
     return docs.select(F.col(id_column).cast("long"), F.col(text).cast("string"), *more).mapInArrow(run, SIGNED + (", text_hash long" if hashed else ""))
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, id_column: str) -> DataFrame:
-    """cls and the sorted shingle hashes of the rows with a wanted id (and of a few more), so that no text need be shuffled.
-
-    Ids are told by a bitmap of bounded size."""
-    bitmap, bits = id_bitmap(wanted, "rep")
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, id_column: str, scratch: Scratch) -> DataFrame:
+    """cls and the sorted shingle hashes of the rows with a wanted id (and of a few more), so that no text need be shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column(1).to_numpy()
-            batch = batch.filter(pa.array((shared.value[place >> 3] >> (place & 7)) & 1 > 0))
             for _, s in slices(batch, 0, SPACED):
                 sets, of = distinct_sets(*s.shingles(s.hashes(), words), s.n)
                 sizes = np.bincount(of, minlength=s.n)
@@ -94,7 +88,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, id_colu
                     names=["cls", "elements"],
                 )
 
-    return docs.where(F.col(id_column).isNotNull()).select(F.col(text).cast("string"), id_slot(F.col(id_column).cast("long"), bits)).mapInArrow(run, "cls long, elements array<long>")
+    rows = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
+    return told_apart(rows, F.col("i"), *id_marks(wanted, "rep", scratch))[0].select("t").mapInArrow(run, "cls long, elements array<long>")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -113,7 +108,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = WORDS, percent: int = 75, rows: int = ROWS, bands: int = BANDS, block: int = 1024, text: str = "text", id_column: str = "doc_id", scratch: Scratch | None = None, hashed: bool = False
+    docs: DataFrame, words: int = WORDS, percent: int = 75, rows: int = ROWS, bands: int = BANDS, block: int = 1024, block_bytes: int = 4 << 20, text: str = "text", id_column: str = "doc_id", scratch: Scratch | None = None, hashed: bool = False
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row; with `hashed`, text_hash (xxhash64) too, which tells rows that repeat an id apart.
 
@@ -133,13 +128,14 @@ def near_duplicates(
     apart = F.col("cls") != F.col("hub.cls")
     near = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent  # sizes alone rule other links out
     pairs = scratch.keep(crowd.where(apart & near).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
-    met = crowd.where(apart).select(F.col("hub.cls").alias("hub"), "cls").distinct()
+    met = crowd.where(apart).select(F.col("hub.cls").alias("hub"), "cls", "n").distinct()
     sets = _sets_of(docs, classes, pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), words, text, id_column, scratch)
     links = scratch.keep(_verified(pairs, sets, percent), "links")
     labels = components(links, scratch)
-    placed = scratch.keep(met.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("hub", "cls", F.coalesce("comp", "cls").alias("comp")), "placed")
-    mixed_ = placed.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("k")).where("low < high")
-    mixed_ = scratch.keep(placed.join(mixed_.select("hub", F.ceil(F.col("k") / block).alias("blocks")), "hub"), "mixed")
+    placed = scratch.keep(met.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("hub", "cls", "n", F.coalesce("comp", "cls").alias("comp")), "placed")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") * 8 / block_bytes))  # of some classes each, and of some bytes each
+    apart_ = placed.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), blocks.alias("blocks")).where("low < high")
+    mixed_ = scratch.keep(spread(placed.drop("n"), apart_.select("hub", "blocks"), "hub", "cls"), "mixed")
     missing = mixed_.select("cls").distinct().join(sets, "cls", "left_anti")
     sets = sets.union(_sets_of(docs, classes, missing, words, text, id_column, scratch))
     found = scratch.keep(_between_blocks(mixed_, sets, percent, scratch), "links")
@@ -159,7 +155,7 @@ def near_duplicates(
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, text: str, id_column: str, scratch: Scratch) -> DataFrame:
     """cls and elements of the wanted classes, made from one text of each."""
     wanted = scratch.keep(wanted.join(classes.select("cls", "rep"), "cls").select("cls", "rep"), "wanted")
-    made = full_sets(docs, wanted, words, text, id_column).join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("elements").alias("elements"))
+    made = full_sets(docs, wanted, words, text, id_column, scratch).join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("elements").alias("elements"))
     return scratch.keep(made, "sets")
 
 
@@ -167,12 +163,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, share: int = 256)
     """The pairs whose full sets are alike enough. A hub of many pairs is dealt to several tasks, `share` pairs each."""
     load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / share).alias("deals"))
     left = load.join(sets, load.a == sets.cls).select("a", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("elements").alias("x"))
-    dealt = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("deals")).alias("deal"))
+    dealt = spread(pairs, load, "a", "b").select("a", "b", F.pmod(F.xxhash64("b"), F.col("deals")).alias("deal"))
     right = dealt.join(sets, dealt.b == sets.cls).select("a", "b", "deal", F.col("elements").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return right.join(left, ["a", "deal"]).select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("all")).where(F.col("both") * 100 >= F.col("all") * percent).select("a", "b")
 
 
+def spread(rows: DataFrame, one: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """rows joined with the one row of each key: a key of many rows is dealt to `salts` tasks by a hash of `by`."""
+    salted = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+
+
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all sets of a with all of b: frequent elements by a matrix product, rare ones pair by pair."""
     flat = np.concatenate([*a, *b])
@@ -230,10 +232,13 @@ def joining(a: list[tuple], b: list[tuple], percent: int) -> list[tuple[int, int
 
 
 def _between_blocks(mixed_: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between different groups of the same hub: each block of classes is one row, each two blocks of a hub meet once."""
-    blocks = mixed_.join(sets, "cls").groupBy("hub", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("cls", "comp", "elements")).alias("members"))
+    """Links (a, b) between different groups of the same hub: each block of classes is one row, each two blocks of a hub meet once, in the
+    task that their three numbers (hub, i, j) are dealt to."""
+    blocks = mixed_.join(sets, "cls").groupBy("hub", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block"), "blocks").agg(F.collect_list(F.struct("cls", "comp", "elements")).alias("members"))
     blocks = scratch.keep(blocks, "blocks")
-    two = blocks.select("hub", F.col("block").alias("i"), F.col("members").alias("x")).join(blocks.select("hub", F.col("block").alias("j"), F.col("members").alias("y")), "hub").where("i <= j").select("x", "y")
+    left = blocks.select("hub", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("members").alias("x"))
+    right = blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), F.col("members").alias("y"))
+    two = left.join(right, ["hub", "i", "j"]).select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+EDGE = re.compile(f"(?<=[^ {MARK}])[ {MARK}]")  # where a word ends and the next begins
 DEFAULT_MODEL = "piece_bpe_32k.model"
 
 
@@ -30,15 +31,59 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_MODEL)
 
 
+KINDS = {1: "unigram", 2: "bpe"}  # fixed values: the model file's numbers of kinds
+USER_DEFINED = 4  # fixed value: the model file's number of this type of piece
+
+
+def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protobuf message: whole numbers, or bytes of texts, messages and fixed-size numbers."""
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            value |= (byte & 127) << shift
+            at, shift = at + 1, shift + 7
+            if byte < 128:
+                return value, at
+
+    at = 0
+    while at < len(raw):
+        tag, at = number(at)
+        if tag & 7 == 0:
+            value, at = number(at)
+        else:
+            size, at = number(at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+            value, at = raw[at : at + size], at + size
+        yield tag >> 3, value
+
+
 class Pieces:
-    """A model's pieces, read from its file on the driver; small and fixed, so that it can be broadcast."""
+    """A model's pieces, read from its file on the driver; small and fixed, so that it can be broadcast.
 
-    def __init__(self, path: str, kind: str = "bpe"):
+    The kind (bpe or unigram) and whether a text is given a blank at its begin are read from the file. A model that changes texts in
+    other ways (a normaliser, joined blanks), that has user-defined pieces or pieces across words, is refused with a ValueError.
+    """
+
+    def __init__(self, path: str, kind: str | None = None):
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=path)
+        trainer, normaliser, types = {}, {}, set()
+        for n, value in fields(p.serialized_model_proto()):
+            if n == 1:
+                types.add(dict(fields(value)).get(3, 1))
+            elif n == 2:
+                trainer = dict(fields(value))
+            elif n == 3:
+                normaliser = dict(fields(value))
+        kind = kind or KINDS.get(trainer.get(3, 1))
+        if kind not in KINDS.values():
+            raise ValueError("neither a unigram nor a BPE model")
+        if normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(5, 1) or USER_DEFINED in types:
+            raise ValueError("the model normalises texts or has pieces of the user's own")
         n = p.get_piece_size()
-        self.kind, self.unknown = kind, p.unk_id()
+        self.kind, self.unknown, self.lead = kind, p.unk_id(), MARK if normaliser.get(3, 1) else ""
         self.ids, self.scores, self.byte_ids, self.shown = {}, {}, [self.unknown] * 256, [b""] * n
         for i in range(n):
             piece = p.id_to_piece(i)
@@ -50,7 +95,6 @@ class Pieces:
                 self.shown[i] = piece.replace(MARK, " ").encode()
         if any(MARK in x.lstrip(MARK) for x in self.ids):
             raise ValueError("a piece crosses words")
-        self.longest = max(map(len, self.ids))
         self.byte_at = np.cumsum([0, *map(len, self.shown)])
         self.bytes = np.frombuffer(b"".join(self.shown), np.uint8)
 
@@ -69,33 +113,40 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes words, remembering up to `most` of them; what is remembered changes no result."""
-
-    def __init__(self, pieces: Pieces, most: int = 400_000):
-        self.p, self.most = pieces, most
-        self.pairs: dict[str, dict[str, bool]] = {}
-        self.n_pairs = 0
-        self.forget()
+    """Encodes words and remembers some of them, within `most_bytes`; what is remembered changes no result.
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.size = array("i"), array("q"), array("i")
+    Words are kept in two generations: when the young one is full it becomes the old one, and words met again move up. States and
+    pairs are numbers: a piece's id, or the model's size and more for a character that no piece has; all are bounded.
+    """
 
-    def fits(self, before: str, piece: str) -> bool:
-        if self.n_pairs > 1 << 20:
+    def __init__(self, pieces: Pieces, most_bytes: int = 24 << 20, most_pairs: int = 1 << 17):
+        self.p, self.most_pairs = pieces, most_pairs
+        self.most = most_bytes // 2
+        self.pairs: dict[int, bool] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of the young words, about
+        self.names = {i: x for x, i in pieces.ids.items()}
+        self.base = len(pieces.shown)
+        self.tails = {x[k:]: -1 for x in pieces.ids for k in range(1, len(x))} | pieces.ids  # what pieces end with: -1 where it is no piece itself
+
+    def spelt(self, state: int) -> str:
+        return "" if state < 0 else chr(state - self.base) if state >= self.base else self.names[state]
+
+    def fits(self, before: int, piece: int) -> bool:
+        if len(self.pairs) >= self.most_pairs:
             self.pairs.clear()
-            self.n_pairs = 0
-        self.n_pairs += 1
-        good = self.p.merged(before + piece) == ([before, piece] if before else [piece])
-        self.pairs.setdefault(before, {})[piece] = good
+        a, b = self.spelt(before), self.names[piece]
+        good = self.p.merged(a + b) == ([a, b] if a else [b])
+        self.pairs[before << 24 | piece] = good
         return good
 
-    def add(self, words: Iterable[str]) -> None:
-        """Depth first through the trie of some new words: `last` and `total` hold the states of the present word's prefixes."""
-        ids, longest, fits, bpe = self.p.ids, self.p.longest, self.fits, self.p.kind == "bpe"
-        scores, pairs, nothing = self.p.scores, self.pairs, {}
-        last: list[str] = [""]  # the last piece of the best way to each prefix
-        total: list[float] = [0.0]
+    def add(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Each of some new words with its ids. Depth first through their trie: `last`, `size` and `total` hold the states of the present
+        word's prefixes (last piece, its length, score so far), and a word goes on from the states of the prefix it shares with the one before."""
+        tails, fits, bpe = self.tails, self.fits, self.p.kind == "bpe"
+        scores, pairs, base = self.p.scores, self.pairs, self.base
+        last, size, total = [-1], [0], [0.0]
         before = ""
         for word in sorted(words):
             shared = 0
@@ -103,54 +154,82 @@ class Encoder:
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :], total[shared + 1 :]
+            del last[shared + 1 :], size[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                best, way = None, word[end - 1]  # an unknown character stands for itself
-                for begin in range(end - 1, max(-1, end - longest - 1), -1):
-                    piece = word[begin:end]
-                    if piece in ids:
-                        if bpe:
-                            ok = pairs.get(last[begin], nothing).get(piece)
-                            if ok or ok is None and fits(last[begin], piece):
-                                way = piece
-                                break
-                        elif best is None or total[begin] + scores[piece] > best:
-                            best, way = total[begin] + scores[piece], piece
+                best, way, n = None, base + ord(word[end - 1]), 1  # an unknown character stands for itself
+                for begin in range(end - 1, -1, -1):
+                    piece = tails.get(word[begin:end])
+                    if piece is None:
+                        break
+                    if piece < 0:
+                        continue
+                    if bpe:
+                        ok = pairs.get(last[begin] << 24 | piece)
+                        if ok or ok is None and fits(last[begin], piece):
+                            way, n = piece, end - begin
+                            break
+                    else:
+                        score = total[begin] + scores[word[begin:end]]
+                        if best is None or score > best:
+                            best, way, n = score, piece, end - begin
                 last.append(way)
+                size.append(n)
                 if not bpe:
                     total.append(best if best is not None else total[end - 1] - 1e4)
             before = word
             back, end = [], len(word)
             while end:
                 back.append(last[end])
-                end -= len(last[end])
-            self.known[word] = len(self.start)
-            self.start.append(len(self.flat))
-            for piece in reversed(back):
-                i = ids.get(piece)
-                if i is None:
-                    self.flat.extend(self.p.byte_ids[b] for b in piece.encode())
+                end -= size[end]
+            flat = array("i")
+            for state in reversed(back):
+                if state < base:
+                    flat.append(state)
                 else:
-                    self.flat.append(i)
-            self.size.append(len(self.flat) - self.start[-1])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids in one array, and where each text's begin (one more than texts). Null and empty texts have none."""
+                    flat.extend(self.p.byte_ids[b] for b in chr(state - base).encode("utf-8", "surrogatepass"))
+            yield word, flat.tobytes()
+
+    def coded(self, words: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        for w in set(words).difference(young):
+            x = old.get(w)
+            if x is not None:
+                young[w] = x
+                self.held += 2 * len(w) + len(x) + 160
+        for w, x in self.add(set(words).difference(young)):
+            young[w] = x
+            self.held += 2 * len(w) + len(x) + 160
+        out = list(map(young.__getitem__, words))
+        if self.held > self.most:
+            self.old, self.young, self.held = young, {}, 0
+        return out
+
+    def encode(self, texts: list[str | None], at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, and where each text's begin (one more than texts). Null and empty texts have none.
+        Words are made and coded for about `at_once` characters at a time, so that a long text is never held as words."""
+        flat, sizes, ends = [], [], [0]
         words: list[str] = []
-        ends = [0]
+        read = n = 0
         for t in texts:
-            if t:
-                words += WORD.findall(MARK + t.replace(" ", MARK))
-            ends.append(len(words))
-        if len(self.known) > self.most:
-            self.forget()
-        fresh = set(words)
-        fresh.difference_update(self.known)
-        self.add(fresh)
-        code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        flat, start, size = np.array(self.flat, np.int32), np.array(self.start, np.int64)[code], np.array(self.size, np.int64)[code]
-        at = np.concatenate([[0], np.cumsum(size)])
-        return flat[np.repeat(start - at[:-1], size) + np.arange(at[-1])], at[ends]
+            low = 0
+            while t and low < len(t):
+                cut = EDGE.search(t, min(len(t), low + at_once))
+                high = cut.start() if cut else len(t)
+                words += WORD.findall(("" if low else self.p.lead) + t[low:high].replace(" ", MARK))
+                read, low = read + high - low, high
+                if read >= at_once:
+                    n += len(words)
+                    self._code(words, flat, sizes)
+                    words, read = [], 0
+            ends.append(n + len(words))
+        self._code(words, flat, sizes)
+        at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        return np.frombuffer(b"".join(flat), np.int32), at[ends]
+
+    def _code(self, words: list[str], flat: list[bytes], sizes: list[np.ndarray]) -> None:
+        got = self.coded(words)
+        flat.append(b"".join(got))
+        sizes.append(np.fromiter(map(len, got), np.int64, len(got)) // 4)
 
 
 def decoded(pieces: Pieces, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -159,7 +238,7 @@ def decoded(pieces: Pieces, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
     ends = np.concatenate([[0], np.cumsum(size)])
     raw = pieces.bytes[np.repeat(pieces.byte_at[:-1][ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
     where = ends[at].tolist()
-    return [raw[a + 1 : b] if raw[a : a + 1] == b" " else raw[a:b] for a, b in zip(where[:-1], where[1:], strict=True)]
+    return [raw[a + 1 : b] if pieces.lead and raw[a : a + 1] == b" " else raw[a:b] for a, b in zip(where[:-1], where[1:], strict=True)]
 
 
 def _parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
@@ -170,13 +249,13 @@ def _parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.R
         low = high
 
 
-def encode(docs: DataFrame, model_path: str | None = None, kind: str = "bpe", text: str = "text", id_column: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, model_path: str | None = None, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (decoding the ids gives the text again) of every whole text. One pass, nothing shuffled.
 
     Null and empty texts have no ids. A text with U+2581 itself decodes to blanks there, so its round_trip is false. Characters
     that no piece has become their UTF-8 bytes' pieces. Repeated rows give repeated results; other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Pieces(model_path or default_path(), kind))  # the model's size, whatever the input's
+    shared = docs.sparkSession.sparkContext.broadcast(Pieces(model_path or default_path()))  # the model's size, whatever the input's
     state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +263,7 @@ def encode(docs: DataFrame, model_path: str | None = None, kind: str = "bpe", te
             state["it"] = Encoder(shared.value)
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            for part in _parts(batch, lengths, 2 << 20):
+            for part in _parts(batch, lengths, 1 << 19):
                 texts = part.column(1).to_pylist()
                 ids, at = state["it"].encode(texts)
                 same = [(t or "").encode("utf-8", "surrogatepass") == d for t, d in zip(texts, decoded(shared.value, ids, at), strict=True)]
