@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chunks, decontaminate, neardup, pieces, toxicity
-from tidemark.llm.common import Scratch, crc_mod, split_by_ids, table
+from tidemark.llm.common import Scratch, crc_mod, id_marks, table, told_apart
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,13 +20,17 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group; rows without an id stay, rows that repeat an id are judged by their own text."""
-    scratch = Scratch(spark)
-    dropped = neardup.near_duplicates(docs, scratch=scratch, hashed=True).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    gone = Scratch(spark).keep(dropped, "gone")
+    """The document of the least id of each group. Rows without an id stay, rows that repeat an id are judged by their own text, and of
+    rows that repeat id and text one stays."""
+    scratch, own = Scratch(spark), Scratch(spark)
+    judged = neardup.near_duplicates(docs, scratch=scratch, hashed=True).where("doc_id is not null")
+    fate = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.bool_or("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    fate = own.keep(fate.where("not _kept or _n > 1").select("_id", "_hash", "_kept"), "fate")
     scratch.clear()
-    maybe, others = split_by_ids(docs, gone, "_gone")  # texts of documents that surely stay are not shuffled
-    return maybe.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_hash")), "left_anti").union(others)
+    maybe, others = told_apart(docs, F.col("doc_id").cast("long"), *id_marks(fate, "_id", own))  # texts of documents that surely stay are not shuffled
+    maybe = maybe.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_own"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    stay = maybe.join(fate, (F.col("_own") == F.col("_id")) & (F.col("_text") == F.col("_hash")), "left").where("_kept is null or _kept")
+    return stay.dropDuplicates(["_own", "_text"]).select("_row.*").union(others)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
