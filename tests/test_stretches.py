@@ -8,6 +8,14 @@ from tidemark.operators import sequential
 SCHEMA = "source string, class string, raw string, t double, frame long, x1 double, y1 double, x2 double, y2 double, width int, height int"
 
 
+def boxes(a, b):
+    """Overlap over union, centre distance and size ratio."""
+    both = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+    s, t = ((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b))
+    away = math.dist(((a[0] + a[2]) / 2, (a[1] + a[3]) / 2), ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2))
+    return both / (s + t - both), away, min(s, t) / max(s, t)
+
+
 def one_go(data, most_gap):
     """raw -> track of each source, all segments against all tracks."""
     out, by = {}, {}
@@ -21,7 +29,7 @@ def one_go(data, most_gap):
             for t in tracks:
                 if not 0 <= start - t["end"] <= most_gap:
                     continue
-                both, distance, like = sequential._boxes(t["last"], first[5:9])
+                both, distance, like = boxes(t["last"], first[5:9])
                 if (both >= 0.05 or distance / math.hypot(1920, 1080) <= 0.12) and like >= 0.15:
                     able.append((distance / math.hypot(1920, 1080), start - t["end"], -both, len(able), t))
             t = min(able)[-1] if able else None

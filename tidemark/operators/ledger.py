@@ -13,21 +13,38 @@ def wildcard(a: Column, b: Column) -> Column:
     return (F.coalesce(a, F.lit("")) == F.coalesce(b, F.lit(""))) | (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
 
 
+def greedy_matching(edges: DataFrame, a: str, b: str, order: str) -> DataFrame:
+    """The edges that are taken when all are gone through in order and each is taken whose two ends are free. `order` is a column without ties.
+
+    Round by round every edge that comes first at both of its ends is taken, and what touches it goes: the same edges as one by one, since
+    nothing before such an edge can take an end of it. checkpoint() cuts each round's lineage.
+    """
+    left = edges.select(a, b, order).checkpoint()
+    out = None
+    while True:
+        first_a, first_b = left.groupBy(a).agg(F.min(order).alias("_a")), left.groupBy(b).agg(F.min(order).alias("_b"))
+        taken = left.join(first_a, a).join(first_b, b).where((F.col(order) == F.col("_a")) & (F.col(order) == F.col("_b"))).select(a, b, order).checkpoint()
+        out = taken if out is None else out.unionByName(taken)
+        left = left.join(taken.select(a), a, "left_anti").join(taken.select(b), b, "left_anti").select(a, b, order).checkpoint()
+        if left.limit(1).count() == 0:
+            return out
+
+
 def reconciled(used: DataFrame, upstream: DataFrame) -> DataFrame:
     """The ledger of all candidates: used windows take the upstream candidate whose current or original window and type they have and whose
     source doesn't differ; unmatched upstream candidates are discarded; unmatched windows stand for themselves.
 
     used: used_id, source, event_type, start, end, original_start, original_end. upstream: candidate_id, source, event_type, start, end, score, discard_cause.
-    Each candidate is taken once and each window takes one: the exact window before the original one, the same source before an unknown one, then smaller ids.
+    Each candidate is taken once and each window takes one, as long as any of its candidates is free: the exact window before the original one, the same
+    source before an unknown one, then smaller window, then smaller candidate ids.
     """
     keys = F.array(F.struct(F.lit(0).alias("tier"), F.col("start"), F.col("end")), F.struct(F.lit(1).alias("tier"), F.col("original_start").alias("start"), F.col("original_end").alias("end")))
     by_window = used.select("used_id", F.col("source").alias("used_source"), "event_type", F.explode(keys).alias("k")).select("used_id", "used_source", "event_type", "k.tier", "k.start", "k.end").where("start is not null and end is not null")
     both = by_window.join(upstream.select("candidate_id", "source", "event_type", "start", "end"), ["event_type", "start", "end"]).where(wildcard(F.col("used_source"), F.col("source")))
     exact = F.when(F.col("used_source") == F.col("source"), 0).otherwise(1)
     both = both.groupBy("used_id", "candidate_id").agg(F.min(F.struct(F.col("tier"), exact.alias("exact"))).alias("how"))
-    first = Window.partitionBy("used_id").orderBy("how", "candidate_id")
-    once = Window.partitionBy("candidate_id").orderBy("how", "used_id")
-    best = both.withColumn("_r", F.row_number().over(first)).where("_r = 1").withColumn("_o", F.row_number().over(once)).where("_o = 1").select("used_id", "candidate_id", F.col("how.tier").alias("tier"))
+    edges = both.withColumn("turn", F.struct("how", "used_id", "candidate_id"))
+    best = greedy_matching(edges, "used_id", "candidate_id", "turn").select("used_id", "candidate_id", F.col("turn.how.tier").alias("tier"))
     taken = used.select("used_id", F.col("source").alias("used_source"), F.col("start").alias("used_start"), F.col("end").alias("used_end")).join(best, "used_id", "left")
     out = taken.join(upstream, "candidate_id", "full_outer")
     selected = F.col("used_id").isNotNull()
@@ -58,12 +75,18 @@ def best_text_match(pairs: DataFrame, left: DataFrame, right: DataFrame, least:
 def related(drafts: DataFrame, candidates: DataFrame, least: float = 0.45, k: int = 10) -> DataFrame:
     """draft_id, candidate_id, similarity and rank: each draft's k candidates with the most similar tokens.
 
-    Candidates that share no token have similarity 0, so pairs are formed by shared tokens and their counts give the Jaccard exactly.
+    Two sets of a Jaccard similarity of `least` share one of their rarest tokens: with n tokens, one of the n - ceil(least * n) + 1 rarest.
+    Only these are joined, so that common tokens pair up nothing; pairs are then judged on the full sets.
     """
-    d = drafts.select("draft_id", F.size("tokens").alias("dn"), F.explode("tokens").alias("token"))
-    c = candidates.select("candidate_id", F.size("tokens").alias("cn"), F.explode("tokens").alias("token"))
-    both = d.join(c, "token").groupBy("draft_id", "candidate_id", "dn", "cn").agg(F.count(F.lit(1)).alias("n"))
-    scored = both.withColumn("similarity", F.col("n").cast("double") / (F.col("dn") + F.col("cn") - F.col("n"))).where(F.col("similarity") >= least)
+    rows = drafts.select(F.lit(0).alias("side"), F.col("draft_id").alias("id"), "tokens").union(candidates.select(F.lit(1), "candidate_id", "tokens"))
+    flat = rows.select("side", "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    seen = flat.groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
+    rare = F.row_number().over(Window.partitionBy("side", "id").orderBy("seen", "token"))
+    rarest = flat.join(seen, "token").withColumn("place", rare).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    d, c = rarest.where("side = 0").select(F.col("id").alias("draft_id"), "token"), rarest.where("side = 1").select(F.col("id").alias("candidate_id"), "token")
+    pairs = d.join(c, "token").select("draft_id", "candidate_id").distinct()
+    both = pairs.join(drafts.select("draft_id", F.col("tokens").alias("x")), "draft_id").join(candidates.select("candidate_id", F.col("tokens").alias("y")), "candidate_id")
+    scored = both.withColumn("similarity", jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= least)
     w = Window.partitionBy("draft_id").orderBy(F.desc("similarity"), "candidate_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("draft_id", "candidate_id", "similarity", "rank")
 

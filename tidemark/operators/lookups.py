@@ -6,26 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import key
+from tidemark.operators.overlap import points_in_intervals
 
 
-def first_pattern(rows: DataFrame, text: str, patterns: DataFrame, ident: str) -> DataFrame:
+def first_pattern(rows: DataFrame, text: str, patterns: DataFrame, ident: str, most: int = 10_000) -> DataFrame:
     """Rows with `label`: that of the first pattern (by ordinal) contained in the text, else null. patterns: ordinal, pattern, label.
 
-    The patterns are a list that people keep; they are gathered into one array, a row's text is searched for each of them.
+    The patterns are a list that people keep: up to `most` of them (more are a ValueError) are gathered into one array, and a row's text is searched for each.
     """
+    n = patterns.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} patterns")
     listed = patterns.agg(F.array_sort(F.collect_list(F.struct("ordinal", F.lower("pattern").alias("pattern"), "label"))).alias("_list"))
     hit = F.get(F.filter("_list", lambda p: F.contains(F.lower(F.coalesce(F.col(text), F.lit(""))), p["pattern"])), F.lit(0))
     return rows.join(F.broadcast(listed)).withColumn("label", hit["label"]).drop("_list")
 
 
-def defect_events(defects: DataFrame, events: DataFrame) -> DataFrame:
+def defect_events(defects: DataFrame, events: DataFrame, bucket: float = 60) -> DataFrame:
     """defect_id and ordinal: the event of the defect's id, else the first whose rendered span holds its time, else null.
 
-    defects: defect_id, reel, event_id, at_seconds; events: reel, ordinal, event_id, rendered_start, rendered_end.
+    defects: defect_id, reel, event_id, at_seconds; events: reel, ordinal, event_id, rendered_start, rendered_end. Times meet spans in buckets of `bucket` seconds.
     """
     by_id = defects.join(events, ["reel", "event_id"]).groupBy("defect_id").agg(F.min("ordinal").alias("a"))
     spans = events.select("reel", "ordinal", "rendered_start", "rendered_end")
-    by_time = defects.join(spans, "reel").where(F.col("at_seconds").between(F.col("rendered_start"), F.col("rendered_end"))).groupBy("defect_id").agg(F.min("ordinal").alias("b"))
+    hits = points_in_intervals(defects.select("defect_id", "reel", "at_seconds"), spans, ["reel"], "at_seconds", "rendered_start", "rendered_end", bucket)
+    by_time = hits.groupBy("defect_id").agg(F.min("ordinal").alias("b"))
     return defects.select("defect_id").join(by_id, "defect_id", "left").join(by_time, "defect_id", "left").select("defect_id", F.coalesce("a", "b").alias("ordinal"))
 
 

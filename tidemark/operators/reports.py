@@ -94,10 +94,13 @@ def decayed_labels(rows: DataFrame, by: list[str], label: str, days: Column, hal
 
 
 def indexed_percentile(values: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
-    """The value at place max(1, floor(n * share)) of each group in order, no interpolation."""
+    """The value at place max(1, floor(n * share)) of each group in order, no interpolation. Equal values are counted first, so a group's rows
+    never come together, only its different values."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k"))
     w = Window.partitionBy(*by)
-    ranked = values.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_r") == F.greatest(F.lit(1), F.floor(F.col("_n") * share))).select(*by, F.col(value).alias("suggested"), F.col("_n").alias("n"))
+    ranked = counts.withColumn("_past", F.sum("_k").over(w.orderBy(value))).withColumn("_n", F.sum("_k").over(w))
+    place = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
+    return ranked.where((F.col("_past") >= place) & (F.col("_past") - F.col("_k") < place)).select(*by, F.col(value).alias("suggested"), F.col("_n").alias("n"))
 
 
 def threshold_suggestion(labelled: DataFrame, provisional: DataFrame, by: list[str], value: str, current: float, least: int = 5) -> DataFrame:

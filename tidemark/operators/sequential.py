@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import geometry as g
 
@@ -22,40 +24,29 @@ def segments(detections: DataFrame) -> DataFrame:
     )
 
 
+def continuations(flat: DataFrame, most_gap: float, most_distance: float, least_iou: float, least_area: float) -> DataFrame:
+    """Which segment may go on from which: later and earlier segments (structs of their order) of one source, class and stretch, with the
+    rank of the pair. Segments meet in bands of `most_gap` seconds of one's end and the other's begin, so no group is joined all against all."""
+    band = lambda c: F.floor(F.col(c) / F.lit(max(most_gap, 1e-9)))
+    order = F.struct("first_t", "last_t", "raw")
+    box = lambda p: tuple(F.col(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2"))
+    early = flat.select("source", "class", "stretch", F.col("last_t").alias("a_end"), order.alias("earlier"), *(F.col(f"last_{c}").alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")), F.explode(F.array(band("last_t"), band("last_t") + 1)).alias("band"))
+    late = flat.select("source", "class", "stretch", F.col("first_t").alias("b_start"), order.alias("later"), *(F.col(f"first_{c}").alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")), F.coalesce(F.nullif(F.hypot("width", "height"), F.lit(0.0)), F.lit(1.0)).alias("diagonal"), band("first_t").alias("band"))
+    both = late.join(early, ["source", "class", "stretch", "band"])
+    gap, overlap, away = F.col("b_start") - F.col("a_end"), g.iou(box("a"), box("b")), g.centre_distance(box("a"), box("b")) / F.col("diagonal")
+    fit = gap.between(0, most_gap) & ((overlap >= least_iou) | (away <= most_distance)) & (g.area_ratio(box("a"), box("b")) >= least_area)
+    return both.where((F.col("earlier") < F.col("later")) & fit).select("source", "class", "stretch", "later", "earlier", F.struct(away.alias("away"), gap.alias("gap"), (-overlap).alias("apart")).alias("rank"))
+
+
 def stitched_tracks(detections: DataFrame, most_gap: float = 3.0, most_distance: float = 0.12, least_iou: float = 0.05, least_area: float = 0.15) -> DataFrame:
     """All detections with `track`: the canonical track that their raw track continues, and whether it was canonicalised.
 
-    Segments of a source and class in order of (first, last, raw) join the earlier canonical track whose last box is nearest (then: smallest
-    gap, largest overlap) among those that ended at most `most_gap` seconds before, overlap or stand close, and are of like size. A joined
-    segment that ends later moves its track's end. Detections without a track pass through. `canonical` ids are text. Segments are first
-    cut into stretches with no pause above `most_gap` (window functions), since no track goes on after one: Python gets one stretch at a time.
+    A segment may go on from one that ended at most `most_gap` seconds before, overlaps it or stands close, and is of like size. Segments
+    in order of (first, last, raw) take, of those that none before took, the one whose last box is nearest (then: smallest gap, largest
+    overlap, earlier segment); a chain of segments is one track, named after its first. Since a segment begins when the one it takes has ended, each
+    track's end is always its last segment. Detections without a track pass through; `canonical` ids are text. Joins tell the possible pairs; only
+    who takes whom is told in order, from the pairs of one stretch (cut by window functions where nothing was seen for `most_gap`) at a time.
     """
-    box = lambda r, p: tuple(r[f"{p}_{c}"] for c in ("x1", "y1", "x2", "y2"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracks: list[dict] = []
-        out = []
-        for r in pdf.sort_values(["first_t", "last_t", "raw"], kind="stable").to_dict("records"):
-            first, best, best_score = box(r, "first"), None, None
-            diagonal = math.hypot(r["width"], r["height"]) or 1.0
-            for t in tracks:
-                gap = r["first_t"] - t["end"]
-                if gap < 0 or gap > most_gap or any(pd.isna(x) for x in (*first, *t["last"])):
-                    continue
-                overlap, distance, like = _boxes(t["last"], first)
-                if overlap < least_iou and distance / diagonal > most_distance or like < least_area:
-                    continue
-                score = (distance / diagonal, gap, -overlap)
-                if best is None or score < best_score:
-                    best, best_score = t, score
-            if best is None:
-                best = {"name": r["raw"], "end": r["last_t"], "last": box(r, "last")}
-                tracks.append(best)
-            elif r["last_t"] >= best["end"]:
-                best["end"], best["last"] = r["last_t"], box(r, "last")
-            out.append((r["source"], r["class"], r["raw"], best["name"]))
-        return pd.DataFrame(out, columns=["source", "class", "raw", "canonical"])
-
     flat = segments(detections).select(
         "source", "class", "raw", "first_t", "last_t", *(F.col(f"{p}.{c}").cast("double").alias(f"{p}_{c}") for p in ("first", "last") for c in ("x1", "y1", "x2", "y2")),
         F.col("first.width").cast("double").alias("width"), F.col("first.height").cast("double").alias("height"),
@@ -63,125 +54,170 @@ def stitched_tracks(detections: DataFrame, most_gap: float = 3.0, most_distance:
     order = Window.partitionBy("source", "class").orderBy(F.asc_nulls_last("first_t"), "last_t", "raw")
     ended = F.max("last_t").over(order.rowsBetween(Window.unboundedPreceding, -1))
     cut = flat.withColumn("fresh", F.when(F.col("first_t") - ended > most_gap, 1).otherwise(0)).withColumn("stretch", F.sum("fresh").over(order)).drop("fresh")
-    names = cut.groupBy("source", "class", "stretch").applyInPandas(one, SEGMENT)
-    out = detections.join(names, ["source", "class", "raw"], "left")
-    return out.withColumn("track", F.col("canonical")).withColumn("status", F.when(F.col("canonical").isNull(), "passthrough").otherwise("canonicalized")).drop("canonical")
+    pairs = continuations(cut, most_gap, most_distance, least_iou, least_area).select("source", "class", "stretch", F.col("later.raw").alias("later"), F.col("earlier.raw").alias("earlier"), F.struct("later", "rank", "earlier").alias("turn"))
+    pairs = pairs.withColumn("turn", F.row_number().over(Window.partitionBy("source", "class", "stretch").orderBy("turn")))
+
+    def named(pdf: pd.DataFrame) -> pd.DataFrame:
+        root: dict[str, str] = {}
+        gone: set[str] = set()
+        for later, earlier in pdf.sort_values("turn")[["later", "earlier"]].itertuples(index=False):
+            if later not in root and earlier not in gone:
+                gone.add(earlier)
+                root[later] = root.get(earlier, earlier)  # the earlier segment's own turn is over
+        return pd.DataFrame({"source": pdf["source"].iloc[0], "class": pdf["class"].iloc[0], "raw": list(root), "canonical": list(root.values())})
+
+    joined = pairs.groupBy("source", "class", "stretch").applyInPandas(named, SEGMENT)
+    out = detections.join(joined, ["source", "class", "raw"], "left")
+    known = F.col("raw").isNotNull()
+    return out.withColumn("track", F.when(known, F.coalesce("canonical", "raw"))).withColumn("status", F.when(known, "canonicalized").otherwise("passthrough")).drop("canonical")
+
+
+def stitch_summary(stitched: DataFrame, by: list[str]) -> DataFrame:
+    """Of each group: raw tracks, tracks after stitching, and how many were joined."""
+    out = stitched.groupBy(*by).agg(F.count_distinct("class", "raw").alias("raw_tracks"), F.count_distinct("class", "track").alias("tracks"))
+    return out.withColumn("joined", F.col("raw_tracks") - F.col("tracks"))
 
 
-def _boxes(a: tuple, b: tuple) -> tuple[float, float, float]:
-    """Overlap over union, centre distance and size ratio of two boxes."""
-    both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    s, t = max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1]), max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
-    distance = math.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2)
-    return both / (s + t - both) if s + t > both else 0.0, distance, min(s, t) / max(s, t) if max(s, t) > 0 else 0.0
+GUARD = ["same_fingerprint", "same_event_id", "same_source_time_overlap", "same_track_time_overlap"]  # fixed values: reasons, in the order in which they are told
 
 
 def final_guard(events: DataFrame, key: list[str], same_source: float = 0.55, same_track: float = 0.70) -> DataFrame:
     """Rows with `kept`, `reason` and `rival`: in order of ordinal, a row that repeats a kept one (fingerprint, event id, source time, track time)
-    either falls or, of better quality, takes its place. Teasers neither fall nor strike.
+    either falls or, of better quality, takes its place; of several it meets the one whose place is oldest. Teasers neither fall nor strike.
 
-    Columns: ordinal, fingerprint, event_id, source, track, start, end, quality, teaser. The order runs through each group of `key` (a reel).
+    Columns: ordinal, fingerprint, event_id, source, track, start, end, quality, teaser. The order runs through each group of `key` (a reel);
+    ordinals are unique within one.
     """
-    names = ["ordinal", "kept", "reason", "rival"]
-    schema = "ordinal long, kept boolean, reason string, rival long"
-
-    def share(a: dict, b: dict) -> float:
-        seconds = max(0.0, min(a["end"], b["end"]) - max(a["start"], b["start"]))
-        shorter = min(a["end"] - a["start"], b["end"] - b["start"])
-        return seconds / shorter if shorter > 0 else 0.0
-
-    def why(a: dict, b: dict) -> str | None:
-        known = lambda c: not pd.isna(a[c]) and a[c] != "" and a[c] == b[c]
-        if a["teaser"] or b["teaser"]:
-            return None
-        if known("fingerprint"):
-            return "same_fingerprint"
-        if known("event_id"):
-            return "same_event_id"
-        if known("source") and share(a, b) >= same_source:
-            return "same_source_time_overlap"
-        return "same_track_time_overlap" if known("track") and share(a, b) >= same_track else None
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        fate: dict[int, tuple] = {}
-        for r in pdf.sort_values("ordinal").to_dict("records"):
-            at, reason = next(((i, x) for i, k in enumerate(kept) if (x := why(r, k))), (None, None))
-            if at is None:
-                kept.append(r)
-            elif r["quality"] > kept[at]["quality"]:
-                fate[kept[at]["ordinal"]] = (False, reason, r["ordinal"])
-                kept[at] = r
-            else:
-                fate[r["ordinal"]] = (False, reason, kept[at]["ordinal"])
-        rows = [(o, *fate.get(o, (True, None, None))) for o in pdf["ordinal"]]
-        return pd.DataFrame(rows, columns=names).astype({"rival": "Int64"})
-
     needed = events.select(*key, "ordinal", "fingerprint", "event_id", "source", "track", "start", "end", "quality", "teaser")
-    return events.join(needed.groupBy(*key).applyInPandas(one, schema), "ordinal")
+    schema = T.StructType([*(needed.schema[k] for k in key), *T.StructType.fromDDL("ordinal long, kept boolean, reason string, rival long")])
 
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("ordinal", ignore_index=True)
+        names = [pd.factorize(rows[c].where(rows[c].notna() & (rows[c] != "")))[0] for c in ("fingerprint", "event_id", "source", "track")]  # -1: not known
+        start, end, quality = (rows[c].to_numpy(np.float64) for c in ("start", "end", "quality"))
+        teaser = rows["teaser"].to_numpy(bool)
+        places = np.zeros(0, np.int64)  # who holds each place, the oldest place first
+        reason, rival = np.full(len(rows), None, object), np.full(len(rows), -1)
+        for r in np.arange(len(rows)):
+            shorter = np.minimum(end[r] - start[r], end[places] - start[places])
+            share = (np.minimum(end[r], end[places]) - np.maximum(start[r], start[places])) / np.where(shorter > 0, shorter, np.inf)
+            same = [(n[r] >= 0) & (n[places] == n[r]) for n in names]
+            same[2] &= share >= same_source
+            same[3] &= share >= same_track
+            meets = np.flatnonzero(np.any(same, 0) & ~teaser[places] & ~teaser[r])
+            if not len(meets):
+                places = np.append(places, r)
+                continue
+            at = meets[0]
+            loser, winner = (places[at], r) if quality[r] > quality[places[at]] else (r, places[at])
+            reason[loser] = next(name for name, hit in zip(GUARD, same, strict=True) if hit[at])
+            rival[loser] = rows["ordinal"].iloc[winner]
+            places[at] = winner
+        out = rows[key].assign(ordinal=rows["ordinal"], kept=pd.isna(reason), reason=reason, rival=pd.array(np.where(pd.isna(reason), None, rival), "Int64"))
+        return out[[*key, "ordinal", "kept", "reason", "rival"]]
+
+    return events.join(needed.groupBy(*key).applyInPandas(one, schema), [*key, "ordinal"])
+
+
+class Length:
+    """The length of a part while events join it: their seconds, a fade less at each joint, and its best scored slow event (the first of
+    equals) stretched: `stretch` lists (least score, share of the event that is slowed, times slower), highest score first."""
+
+    def __init__(self, fade: float, stretch: list[tuple[float, float, float]]):
+        self.fade, self.stretch, self.n, self.total, self.best, self.more = fade, stretch, 0, 0.0, -math.inf, 0.0
+
+    def with_event(self, seconds: float, score: float, slow: bool) -> Length:
+        out = Length(self.fade, self.stretch)
+        out.n, out.total = self.n + 1, self.total + seconds - (self.fade if self.n else 0.0)
+        out.best, out.more = self.best, self.more
+        if slow and score > self.best:
+            level = next(((share, times) for least, share, times in self.stretch if score >= least), None)
+            if level is not None:
+                out.best, out.more = score, seconds * level[0] * (level[1] - 1)
+        return out
+
+    def seconds(self) -> float:
+        return max(0.0, self.total + self.more)
+
+
+# How much of a slow event is slowed, and how much, by score.
+WHOLE_RIDE = [(9, 0.5, 2.5), (8, 0.4, 2.0)]
+BEST_FIRST = [(9, 0.5, 2.5), (7, 0.4, 2.0), (-math.inf, 0.3, 1.5)]
+
+
+def _packed(events: DataFrame, reel: str, columns: list[str], in_order, budget: float, fade: float, stretch: list, slow: str | None, alone: bool) -> DataFrame:
+    """ordinal, part and seconds of each reel's events: in order, a new part where the next wouldn't fit. An event too long for any part gets part -1,
+    or with `alone` a part for itself."""
+    schema = T.StructType([events.schema[reel], *T.StructType.fromDDL("ordinal long, part int, seconds double")])
 
-def packed_parts(events: DataFrame, reel: str, budget: float = 89.0 - 2.75, fade: float = 0.25, slow: bool = False) -> DataFrame:
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = in_order(pdf)
+        part, length, of, lengths = -1, None, [], []
+        for seconds, score, able in zip((rows["end"] - rows["start"]).astype(float), rows["score"], rows[slow] if slow else [False] * len(rows), strict=True):
+            own = Length(fade, stretch).with_event(seconds, score, bool(able))
+            if own.seconds() > budget and not alone:
+                of.append((-1, own.seconds()))
+                continue
+            more = length.with_event(seconds, score, bool(able)) if length else None
+            if more is None or more.seconds() > budget:
+                part, more = part + 1, own
+                lengths.append(0.0)
+            length = more
+            lengths[part] = length.seconds()
+            of.append((part, None))
+        seconds = [lengths[k] if s is None else s for k, s in of]
+        return pd.DataFrame({reel: rows[reel], "ordinal": rows["ordinal"], "part": [k for k, _ in of], "seconds": seconds})
+
+    return events.join(events.select(reel, *columns, *([slow] if slow else [])).groupBy(reel).applyInPandas(one, schema), [reel, "ordinal"])
+
+
+def packed_parts(events: DataFrame, reel: str, budget: float = 89.0 - 2.75, fade: float = 0.25, slow: str | None = None) -> DataFrame:
     """Rows with `part` (from 0) and `seconds` (of the whole part): whole events in order of (source first seen, start, ordinal), a new part where the next
-    would not fit. Fades shorten a part; with `slow`, its best scored event of 8 or more is stretched. An event that fits in no part gives part -1.
+    would not fit. Fades shorten a part; with a column `slow`, its best scored slow event of 8 or more is stretched. An event that fits in no part gives
+    part -1. Ordinals are unique within a reel.
     """
-    schema = "ordinal long, part int, seconds double"
 
-    def length(rows: list[tuple]) -> float:
-        total = sum(r[1] for r in rows) - fade * (len(rows) - 1)
-        able = [r for r in rows if slow and r[2] >= 8]
-        if able:
-            _, seconds, score = max(able, key=lambda r: r[2])
-            total += seconds * (0.5 * 2.5 - 0.5 if score >= 9 else 0.4 * 2.0 - 0.4)
-        return max(0.0, total)
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(_seen=pdf.groupby("source")["ordinal"].transform("min")).sort_values(["_seen", "start", "ordinal"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = pdf.groupby("source")["ordinal"].min()
-        rows = pdf.assign(_s=pdf["source"].map(seen)).sort_values(["_s", "start", "ordinal"])
-        parts: list[list[tuple]] = []
-        out = []
-        for o, s, e, score in rows[["ordinal", "start", "end", "score"]].itertuples(index=False):
-            item = (o, float(e - s), score)
-            if length([item]) > budget:
-                out.append((o, -1, length([item])))
-            elif parts and length([*parts[-1], item]) <= budget:
-                parts[-1].append(item)
-            else:
-                parts.append([item])
-        out += [(r[0], k, length(p)) for k, p in enumerate(parts) for r in p]
-        return pd.DataFrame(out, columns=["ordinal", "part", "seconds"])
-
-    return events.join(events.select(reel, "ordinal", "source", "start", "end", "score").groupBy(reel).applyInPandas(one, schema), "ordinal")
+    return _packed(events, reel, ["ordinal", "source", "start", "end", "score"], in_order, budget, fade, WHOLE_RIDE, slow, alone=False)
 
 
-def scored_parts(events: DataFrame, reel: str, budget: float = 85.0) -> DataFrame:
-    """Next-fit packing by falling score (ties: ordinal): rows with `part`. A longer event has a part for itself."""
+def part_annotations(packed: DataFrame, reel: str) -> DataFrame:
+    """Packed events with their part's number (from 1) and count, their place in the part and in the reel (from 1), and both totals; part -1 is left out."""
+    placed = packed.where("part >= 0")
+    order = ["part", "source_seen", "start", "ordinal"]
+    whole, part = Window.partitionBy(reel), Window.partitionBy(reel, "part")
+    seen = placed.withColumn("source_seen", F.min("ordinal").over(Window.partitionBy(reel, "source")))
+    return seen.select(
+        *packed.columns, (F.col("part") + 1).alias("part_number"), (F.max("part").over(whole) + 1).alias("part_count"), F.row_number().over(part.orderBy(*order)).alias("place_in_part"),
+        F.count(F.lit(1)).over(part).alias("events_in_part"), F.row_number().over(whole.orderBy(*order)).alias("place_in_reel"), F.count(F.lit(1)).over(whole).alias("events_in_reel"),
+    )
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        part, used, out = -1, math.inf, []
-        for o, s, e in pdf.sort_values(["score", "ordinal"], ascending=[False, True])[["ordinal", "start", "end"]].itertuples(index=False):
-            if used + (e - s) > budget:
-                part, used = part + 1, 0.0
-            used += e - s
-            out.append((o, part))
-        return pd.DataFrame(out, columns=["ordinal", "part"])
 
-    return events.join(events.select(reel, "ordinal", "start", "end", "score").groupBy(reel).applyInPandas(one, "ordinal long, part int"), "ordinal")
+def scored_parts(events: DataFrame, reel: str, budget: float = 85.0, fade: float = 0.25, slow: str | None = None) -> DataFrame:
+    """Rows with `part` and its `seconds`: next-fit packing by falling score (ties: ordinal). Fades shorten a part; with a column `slow` its best scored slow
+    event is stretched, whatever its score. A longer event has a part for itself. Ordinals are unique within a reel."""
+    by_score = lambda pdf: pdf.sort_values(["score", "ordinal"], ascending=[False, True])
+    return _packed(events, reel, ["ordinal", "start", "end", "score"], by_score, budget, fade, BEST_FIRST, slow, alone=True)
 
 
 def slow_runs_broken(events: DataFrame, reel: str) -> DataFrame:
-    """Rows with `place`: where two slow events stand side by side, the second changes places with the next that isn't slow, if there is one."""
+    """Rows with `place`: where two slow events stand side by side, the second changes places with the next that isn't slow, if there is one
+    before the last. The first and the last event keep their places. One pass does: what a place was given stays good for it. Ordinals are unique within a reel."""
+    schema = T.StructType([events.schema[reel], *T.StructType.fromDDL("ordinal long, place int")])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ordinal")[["ordinal", "slow"]].values.tolist()
-        for i in range(1, len(rows)):
-            if rows[i][1] and rows[i - 1][1]:
-                j = next((j for j in range(i + 1, len(rows)) if not rows[j][1]), None)
-                if j is not None:
-                    rows[i], rows[j] = rows[j], rows[i]
-        return pd.DataFrame([(r[0], k) for k, r in enumerate(rows)], columns=["ordinal", "place"])
-
-    return events.join(events.select(reel, "ordinal", "slow").groupBy(reel).applyInPandas(one, "ordinal long, place int"), "ordinal")
+        rows = pdf.sort_values("ordinal")
+        slow, who = rows["slow"].to_numpy(bool).copy(), rows["ordinal"].to_numpy().copy()
+        for k in np.arange(1, len(who) - 1):
+            plain = np.flatnonzero(~slow[k + 1 : -1]) if slow[k - 1] and slow[k] else ()
+            if len(plain):
+                two = [k, k + 1 + plain[0]]
+                slow[two], who[two] = slow[two[::-1]], who[two[::-1]]
+        return pd.DataFrame({reel: rows[reel].iloc[0], "ordinal": who, "place": np.arange(len(who))})
+
+    return events.join(events.select(reel, "ordinal", "slow").groupBy(reel).applyInPandas(one, schema), [reel, "ordinal"])
 
 
 def consuming_matches(wanted: DataFrame, offered: DataFrame, key: list[str]) -> DataFrame:

@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from tidemark.operators.overlap import points_in_intervals
 
 
-def rides(df: DataFrame, key: list[str], gap: float = 7.0, start: str = "start", end: str = "end", ordinal: str = "ordinal") -> DataFrame:
+def rides(df: DataFrame, key: list[str], gap: float = 7.0, start: str = "start", end: str = "end", ordinal: str = "ordinal", track: str | None = None) -> DataFrame:
     """`ride`: fragments of a key in order of start belong together while each starts at most `gap` seconds after the end of the one before
-    (not the latest end so far)."""
+    (not the latest end so far) and, with `track`, has its track, as far as both are known."""
     order = Window.partitionBy(*key).orderBy(start, ordinal)
-    fresh = F.when(F.col(start) <= F.lag(end).over(order) + gap, 0).otherwise(1)
-    return df.withColumn("_fresh", fresh).withColumn("ride", F.sum("_fresh").over(order)).drop("_fresh")
+    near = F.col(start) <= F.lag(end).over(order) + gap
+    if track:
+        near = near & F.coalesce(F.col(track) == F.lag(track).over(order), F.lit(True))
+    return df.withColumn("_fresh", F.when(near, 0).otherwise(1)).withColumn("ride", F.sum("_fresh").over(order)).drop("_fresh")
 
 
 def merged_rides(df: DataFrame, key: list[str], track: str, gap: float = 7.0) -> DataFrame:
     """One row for each ride: bounds, fragments, best score and the moment that has it (first on ties), tracks, outcome known, review reasons."""
     outcome = F.max("outcome")
-    out = rides(df, key, gap).groupBy(*key, "ride").agg(
+    out = rides(df, key, gap, track=track).groupBy(*key, "ride").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("fragments"), F.max("score").alias("score"),
         F.min_by("ordinal", F.struct(-F.col("score"), F.col("ordinal"))).alias("peak_ordinal"), F.array_sort(F.collect_set(track)).alias("tracks"), outcome.alias("outcome"),
     )
@@ -64,10 +66,13 @@ def top(df: DataFrame, key: list[str], order: list[Column], k: int) -> DataFrame
 
 
 def canonical_uploads(df: DataFrame, digest: str, order: list[Column], upload: str) -> DataFrame:
-    """Rows with `canonical` (the upload that stands for all of its digest: first in order) and `superseded`. A null digest stands for itself."""
-    w = Window.partitionBy(digest).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    best = F.when(F.col(digest).isNull(), F.col(upload)).otherwise(F.first(upload).over(w))
-    return df.withColumn("canonical", best).withColumn("superseded", F.col("canonical") != F.col(upload))
+    """Rows with `canonical` (the upload that stands for all of its digest: first in order) and `superseded`. A null digest stands for itself.
+
+    Spark keeps one row of a digest in each task before it deals them, so a digest of many uploads is no large group; nulls are set apart."""
+    known, alone = df.where(F.col(digest).isNotNull()), df.where(F.col(digest).isNull())
+    best = latest(known, [digest], order).select(F.col(digest).alias("_d"), F.col(upload).alias("canonical"))
+    both = known.join(best, F.col(digest) == F.col("_d")).drop("_d").unionByName(alone.withColumn("canonical", F.col(upload)))
+    return both.withColumn("superseded", F.col("canonical") != F.col(upload))
 
 
 def rendered_timeline(df: DataFrame, reel: str, fade: float = 0.25, ordinal: str = "ordinal") -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,10 +80,23 @@ def listing(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".mp4",
     return files.where(wanted)
 
 
-def file_digests(spark: SparkSession, path: str, most_bytes: int = 1 << 28) -> DataFrame:
-    """key and SHA-256 of files of at most `most_bytes` (null beyond that: Spark holds a file's content as one value)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.col("path").alias("key"), F.when(F.col("length") <= most_bytes, F.sha2("content", 256)).alias("sha256"))
+def file_digests(spark: SparkSession, path: str, chunk: int = 8 << 20) -> DataFrame:
+    """key and SHA-256 of files of any size, read in chunks of `chunk` bytes by the task that has the file, so that no content is ever one value."""
+    files = listing(spark, path, ("",)).select("key")
+
+    def digests(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            out = []
+            for key in part["key"]:
+                store, inner = pafs.FileSystem.from_uri(key.replace("file:/", "file:///", 1) if re.match("file:/[^/]", key) else key)
+                total = hashlib.sha256()
+                with store.open_input_stream(inner) as f:
+                    while data := f.read(chunk):
+                        total.update(data)
+                out.append(total.hexdigest())
+            yield part.assign(sha256=out)
+
+    return files.mapInPandas(digests, "key string, sha256 string")
 
 
 def unprocessed(files: DataFrame, done: DataFrame, recovered: DataFrame | None = None, key: str = "key") -> DataFrame:
