@@ -45,9 +45,9 @@ def with_tasks(drafts: DataFrame, tasks: DataFrame, authority: DataFrame) -> Dat
 def matching_sets(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_id, matches and right_id (where there is exactly one): rows with the same set of ids, whatever its order and repeats."""
     as_set = lambda c: F.array_sort(F.array_distinct(c))
-    r = right.select(F.col("id").alias("right_id"), as_set(F.col("ids")).alias("k"))
-    out = left.select(F.col("id").alias("left_id"), as_set(F.col("ids")).alias("k")).join(r, "k", "left").groupBy("left_id").agg(F.count("right_id").alias("matches"), F.min("right_id").alias("one"))
-    return out.select("left_id", "matches", F.when(F.col("matches") == 1, F.col("one")).alias("right_id"))
+    r = right.select(F.col("id").alias("right_id"), as_set(F.col("ids")).alias("k")).where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("right_id").alias("one"))
+    out = left.select(F.col("id").alias("left_id"), as_set(F.col("ids")).alias("k")).join(r, "k", "left")
+    return out.select("left_id", F.coalesce("n", F.lit(0)).alias("matches"), F.when(F.col("n") == 1, F.col("one")).alias("right_id"))
 
 
 def resolved_appearances(named: DataFrame, known: DataFrame) -> DataFrame:

@@ -103,6 +103,11 @@ def indexed_percentile(values: DataFrame, by: list[str], value: str, share: floa
     return ranked.where((F.col("_past") >= place) & (F.col("_past") - F.col("_k") < place)).select(*by, F.col(value).alias("suggested"), F.col("_n").alias("n"))
 
 
+def calibration(rows: DataFrame, by: list[str], approved: str, engagement: str) -> DataFrame:
+    """Of each group: approvals, and the median engagement of what was approved."""
+    return rows.where(F.col(approved)).groupBy(*by).agg(F.count(F.lit(1)).alias("approvals"), F.median(engagement).alias("middle"))
+
+
 def threshold_suggestion(labelled: DataFrame, provisional: DataFrame, by: list[str], value: str, current: float, least: int = 5) -> DataFrame:
     """The lower quartile of labelled values, else the 0.4 place of provisional ones, else the current threshold; with where it came from."""
     a = indexed_percentile(labelled, by, value, 0.25).where(F.col("n") >= least).select(*by, F.col("suggested").alias("a"))

@@ -65,6 +65,13 @@ def top(df: DataFrame, key: list[str], order: list[Column], k: int) -> DataFrame
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def page(df: DataFrame, order: list[Column], size: int, offset: int = 0, most: int = 50) -> tuple[DataFrame, bool]:
+    """A page of rows in order, of `size` rows kept in 1 to `most`, and whether there may be more (the page is full)."""
+    size = max(1, min(most, size))
+    rows = df.orderBy(*order).offset(max(0, offset)).limit(size)
+    return rows, rows.count() == size
+
+
 def canonical_uploads(df: DataFrame, digest: str, order: list[Column], upload: str) -> DataFrame:
     """Rows with `canonical` (the upload that stands for all of its digest: first in order) and `superseded`. A null digest stands for itself.
 
