@@ -197,3 +197,120 @@ def coverage_violations(rows: DataFrame, summary: DataFrame, run: str) -> DataFr
     both = own.join(summary.select(F.col(run).alias("_run"), "athletes", F.col("accounted").alias("said")), F.col(run) == F.col("_run"), "full_outer").select(F.coalesce(run, "_run").alias(run), "n", "k", "athletes", "said")
     wrong = both.where(~F.col("n").eqNullSafe(F.col("athletes")) | ~F.col("k").eqNullSafe(F.col("said"))).select(run, F.lit("summary_differs").alias("rule"))
     return twice.unionByName(gaps).unionByName(wrong)
+
+
+def run_metrics(drafts: DataFrame, sidecars: DataFrame, detections: DataFrame, overlaps: DataFrame, mixed: DataFrame, fragments: DataFrame, videos: int) -> DataFrame:
+    """One row of a run's counts and rates; each rate is 0 where its denominator is.
+
+    drafts: has_window, duplicate; sidecars: valid; detections: track, box_valid, time_valid, confidence; overlaps and mixed: a row for each pair and
+    window found; fragments: tracks, short_tracks (see fragmentation). Each table is summed up by itself, and only these sums meet.
+    """
+    d = drafts.agg(F.count(F.lit(1)).alias("draft_count"), F.count_if("has_window").alias("_windows"), F.count_if("duplicate").alias("duplicate_athlete_likely_draft_count"))
+    s = sidecars.agg(F.count_if("valid").alias("sidecar_count"), F.count_if(~F.col("valid")).alias("_errors"))
+    e = detections.agg(
+        F.count(F.lit(1)).alias("detection_count"), F.count_distinct("track").alias("unique_track_count"), F.count_if(F.col("track").isNull()).alias("_untracked"), F.count_if(~F.col("box_valid")).alias("_boxes"),
+        F.count_if(~F.col("time_valid")).alias("_times"), F.min("confidence").alias("least_confidence"), F.max("confidence").alias("most_confidence"),
+    )
+    o, m = overlaps.agg(F.count(F.lit(1)).alias("source_window_overlap_pair_count")), mixed.agg(F.count(F.lit(1)).alias("mixed_subject_likely_window_count"))
+    f = fragments.agg(F.coalesce(F.sum("tracks"), F.lit(0)).alias("_tracks"), F.coalesce(F.sum("short_tracks"), F.lit(0)).alias("short_track_count"))
+    one = d
+    for other in (s, e, o, m, f):
+        one = one.join(F.broadcast(other))  # one row each
+    n, c = F.col("draft_count"), F.col("detection_count")
+    rates = {
+        "draft_source_window_coverage_rate": safe_div(F.col("_windows"), F.greatest(n, F.lit(1))), "source_window_overlap_duplicate_rate": safe_div(F.col("source_window_overlap_pair_count"), n * (n - 1) / 2),
+        "mixed_subject_violation_rate": safe_div(F.col("mixed_subject_likely_window_count"), F.greatest(n, F.lit(1))), "duplicate_athlete_violation_rate": safe_div(F.col("duplicate_athlete_likely_draft_count"), F.greatest(n, F.lit(1))),
+        "short_track_rate": safe_div(F.col("short_track_count"), F.col("_tracks")), "sidecar_missing_rate": F.when((F.lit(videos) > 0) & (F.col("sidecar_count") == 0), 1.0).otherwise(0.0),
+        "sidecar_schema_error_rate": safe_div(F.col("_errors"), F.greatest(F.col("sidecar_count") + F.col("_errors"), F.lit(1))), "track_id_missing_rate": safe_div(F.col("_untracked"), c),
+        "bbox_out_of_bounds_rate": safe_div(F.col("_boxes"), c), "invalid_time_window_rate": safe_div(F.col("_times"), c), "detections_per_video": safe_div(c, F.greatest(F.lit(videos), F.lit(1))),
+        "tracks_per_video": safe_div(F.col("unique_track_count"), F.greatest(F.lit(videos), F.lit(1))),
+    }
+    return one.withColumns(rates).withColumn("video_count", F.lit(videos)).drop("_windows", "_errors", "_untracked", "_boxes", "_times", "_tracks")
+
+
+def policy_rollup(windows: DataFrame, run: str, expected: DataFrame) -> DataFrame:
+    """Of each run: evaluated, violating, explicit and unevaluated windows, the rates of both, windows with others allowed, and status.
+
+    windows: run, decision (null: no policy), others_allowed; expected: run, and the columns traced, drafts, reported, whose largest is the expected number of windows.
+    """
+    explicit = F.col("decision").isNotNull()
+    own = windows.groupBy(run).agg(
+        F.count(F.lit(1)).alias("evaluated"), F.count_if(explicit).alias("explicit"), F.count_if(F.col("decision") == "review_required").alias("violations"), F.count_if(F.coalesce("others_allowed", F.lit(False))).alias("others_allowed"),
+    )
+    both = expected.join(own, run, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("evaluated", "explicit", "violations", "others_allowed")})
+    most = F.greatest(F.coalesce("traced", F.lit(0)), F.coalesce("drafts", F.lit(0)), F.coalesce("reported", F.lit(0)))
+    out = both.withColumn("expected", most).withColumn("unevaluated", F.greatest(most - F.col("evaluated"), F.lit(0)))
+    bottom = F.greatest("expected", "evaluated")
+    out = out.withColumn("evidence_rate", F.when(bottom > 0, F.round(F.col("explicit") / bottom, 3)).otherwise(1.0)).withColumn("violation_rate", F.round(safe_div(F.col("violations"), F.col("evaluated")), 3))
+    gaps = (F.col("explicit") < F.col("evaluated")) | (F.col("unevaluated") > 0)
+    return out.withColumn("status", F.when(F.col("violations") > 0, "hard_block").when(gaps, "inconclusive").otherwise("pass")).drop("traced", "drafts", "reported")
+
+
+def qa_log(lines: DataFrame, run: str, drafts: DataFrame, line: str = "line", defect: str = r"\b([A-Z]+(?:_[A-Z]+)+)\b", critical: list[str] | None = None) -> DataFrame:
+    """Of each run's log: defects and critical ones named, uploads flagged and not, the gate's bypass, and how far uploads differ from the traced drafts.
+
+    An upload line says "uploaded N drafts"; the last one (by `place`) counts. drafts: run, draft_count.
+    """
+    named = F.regexp_extract_all(line, F.lit(defect), F.lit(1))
+    worst = F.filter(named, lambda x: x.isin(critical or [])) if critical else F.array().cast("array<string>")
+    count = F.regexp_extract(line, r"uploaded (\d+) drafts", 1).try_cast("int")
+    own = lines.groupBy(run).agg(
+        F.sum(F.size(named)).alias("defects"), F.sum(F.size(worst)).alias("critical"), F.count_if(F.contains(F.col(line), F.lit("QA-FLAGGED"))).alias("by_name"), F.count_if(F.contains(F.col(line), F.lit("uploading FLAGGED"))).alias("by_flow"),
+        F.count_if(F.contains(F.col(line), F.lit("QA still failing"))).alias("still_failing"), F.coalesce(F.max_by(count, F.when(count.isNotNull(), F.col("place"))), F.lit(0)).alias("uploaded"),
+    )
+    out = own.join(drafts, run, "left").withColumn("draft_count", F.coalesce("draft_count", F.lit(0))).withColumn("flagged", F.greatest("by_name", "by_flow"))
+    out = out.withColumn("unflagged", F.greatest(F.col("uploaded") - F.col("flagged"), F.lit(0))).withColumn("bypass", (F.col("critical") > 0) & (F.col("unflagged") > 0))
+    differs = (F.col("uploaded") > 0) & (F.col("draft_count") > 0) & (F.col("uploaded") != F.col("draft_count"))
+    return out.withColumn("mismatch", F.when(differs, F.abs(F.col("uploaded") - F.col("draft_count"))).otherwise(0)).drop("by_name", "by_flow")
+
+
+def qa_trace(drafts: DataFrame, windows: DataFrame, run: str, explicit: list[str]) -> DataFrame:
+    """Of each run: drafts, blocked and not, with a decision named in `explicit`, blocking defects, retries, windows marked for review whose draft is blocked
+    or open, and whether every draft is decided.
+
+    drafts: run, draft, decision, blocked, critical, retries, multi_person (a draft-level defect); windows: draft, review_required. A draft without a marked window but with the
+    draft-level defect counts as one marked window.
+    """
+    marked = windows.groupBy("draft").agg(F.count_if("review_required").alias("marked"))
+    d = drafts.join(marked, "draft", "left").withColumn("marked", F.coalesce("marked", F.lit(0)))
+    d = d.withColumn("marked", F.when((F.col("marked") == 0) & F.col("multi_person"), 1).otherwise(F.col("marked")))
+    told = F.coalesce(F.col("decision").isin(explicit), F.lit(False))
+    return d.groupBy(run).agg(
+        F.count(F.lit(1)).alias("drafts"), F.count_if("blocked").alias("blocked"), F.count_if(told).alias("explicit"), F.sum("critical").alias("blocking_defects"), F.sum(F.coalesce("retries", F.lit(0))).alias("retries"),
+        F.sum("marked").alias("marked"), F.sum(F.when(F.col("blocked"), F.col("marked")).otherwise(0)).alias("marked_blocked"), F.sum(F.when(F.col("blocked"), 0).otherwise(F.col("marked"))).alias("marked_open"),
+        F.bool_and(told | (F.col("blocked") & (F.col("critical") > 0))).alias("policy_explicit"),
+    )
+
+
+def person_summary(rows: DataFrame, person: Column) -> DataFrame:
+    """Of each person (unknown where null): candidates, selected, discarded, best score, and the counts of discard causes and stages as maps.
+
+    rows: selected, discarded, discard_stage, discard_cause, score. Groups are counted by stage and cause first, so a person of many rows is some counts.
+    """
+    named = rows.withColumn("person", F.coalesce(person, F.lit("unknown"))).withColumns({c: F.coalesce(c, F.lit("selected")) for c in ("discard_stage", "discard_cause")})
+    base = named.groupBy("person").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("selected").alias("selected"), F.count_if("discarded").alias("discarded"), F.max(F.coalesce("score", F.lit(0))).alias("score_max"))
+    stages, causes = counts_by(named, ["person"], "discard_stage"), counts_by(named, ["person"], "discard_cause")
+    return base.join(stages.withColumnRenamed("counts", "stages"), "person").join(causes.withColumnRenamed("counts", "causes"), "person")
+
+
+def ledger_summary(entries: DataFrame, draft: str) -> DataFrame:
+    """Of each draft: entries, and the counts of decisions and of value labels as maps. entries: draft, decision, labels."""
+    named = entries.withColumn("decision", F.coalesce("decision", F.lit("unknown")))
+    base = named.groupBy(draft).agg(F.count(F.lit(1)).alias("entries"))
+    decisions = counts_by(named, [draft], "decision").withColumnRenamed("counts", "decisions")
+    labels = counts_by(named.select(draft, F.explode("labels").alias("label")), [draft], "label").withColumnRenamed("counts", "labels")
+    return base.join(decisions, draft).join(labels, draft, "left")
+
+
+def session_violations(persons: DataFrame, events: DataFrame, session: str) -> DataFrame:
+    """session, rule: persons without an id or with another's, events without a finite window from 0 on, with a score outside 1 to 10, or without a type.
+
+    persons: session, person; events: session, start, end, score, event_type (numbers null where they couldn't be read).
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    missing = persons.where(blank(F.col("person"))).select(session, F.lit("person_without_id").alias("rule"))
+    twice = persons.where(~blank(F.col("person"))).groupBy(session, F.trim("person").alias("p")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(session, F.lit("duplicate_person_id").alias("rule"))
+    good = F.coalesce((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") < float("inf")), F.lit(False))
+    rules = {"invalid_time_window": good, "score_outside_1_to_10": F.coalesce(F.col("score").between(1, 10), F.lit(False)), "missing_type": ~blank(F.col("event_type"))}
+    broken = constraint_violations(events, session, rules)
+    return missing.unionByName(twice).unionByName(broken).groupBy(session, "rule").agg(F.count(F.lit(1)).alias("n"))

@@ -150,3 +150,52 @@ def manifest_upserts(manifest: DataFrame, rows: DataFrame) -> DataFrame:
     """athlete_key, parts, uploaded, revision: the latest revision of an athlete wins; `publishable` where all of its parts are uploaded."""
     merged = upsert(manifest, rows, ["athlete_key"], [F.desc("revision")])
     return merged.withColumn("publishable", (F.col("parts") > 0) & (F.col("uploaded") == F.col("parts")))
+
+
+def only_active(batches: DataFrame, states: list[str], by: list[str]) -> DataFrame:
+    """Of each group its batch in one of the states that no run has taken, where there is exactly one; else null, with `reason`: none_active or several_active.
+
+    batches: batch_id, state, run_id, and the groups' columns.
+    """
+    free = F.when(F.col("state").isin(states) & F.col("run_id").isNull(), F.col("batch_id"))
+    out = batches.groupBy(*by).agg(F.count(free).alias("active"), F.min(free).alias("one"))
+    return out.select(*by, F.when(F.col("active") == 1, F.col("one")).alias("batch_id"), F.when(F.col("active") == 0, "none_active").when(F.col("active") > 1, "several_active").alias("reason"))
+
+
+def begin_completion(uploads: DataFrame, commands: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Uploads asked to complete become `completing` if they have a multipart session, are uploading, paused or completing, and all parts and bytes are there; what
+    was asked and can't be is rejected with its reason. uploads: upload_id, state, size, protocol, session, expected_parts, completed_parts; parts: upload_id, size."""
+    got = parts.groupBy(F.col("upload_id").alias("_u")).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_b"))
+    there = uploads.join(got, F.col("upload_id") == F.col("_u"), "left").drop("_u").withColumns({"_n": F.coalesce("_n", F.lit(0)), "_b": F.coalesce("_b", F.lit(0))})
+    reason = (
+        F.when((F.coalesce("protocol", F.lit("")) != "multipart") | F.col("session").isNull(), "no_multipart_session").when(~F.col("state").isin("uploading", "paused", "completing"), "wrong_state")
+        .when(F.col("_n") != F.col("expected_parts"), "parts_missing").when(F.col("_b") != F.col("size"), "byte_total_differs")
+    )
+    new, rejects = transition(there, commands, "upload_id", reason.isNull(), {"state": F.lit("completing"), "completed_parts": F.col("_n").cast(uploads.schema["completed_parts"].dataType)}, reason)
+    return new.drop("_n", "_b"), rejects
+
+
+def recoverable_error(uploads: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A failed attempt is noted (2000 letters at most); completing goes back to uploading. Verified, superseded and aborted uploads are left alone."""
+    ok = ~F.col("state").isin("verified", "superseded", "aborted")
+    said = F.substring(F.coalesce("cmd_error", F.lit("multipart operation failed")), 1, 2000)
+    return transition(uploads, commands, "upload_id", ok, {"state": F.when(F.col("state") == "completing", "uploading").otherwise(F.col("state")), "last_error": said}, F.col("state"))
+
+
+def aborted(uploads: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Uploads become aborted, their first time kept; verified and superseded ones stay."""
+    ok = ~F.col("state").isin("verified", "superseded")
+    said = F.nullif(F.substring(F.coalesce("cmd_error", F.lit("")), 1, 2000), F.lit(""))
+    return transition(uploads, commands, "upload_id", ok, {"state": F.lit("aborted"), "aborted_at": F.coalesce("aborted_at", "cmd_at"), "last_error": said}, F.col("state"))
+
+
+def local_cleanup(uploads: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is told of the local copy's cleanup (not_required, confirmed or failed), or why it can't be: confirmed only after verification, not_required only
+    where none is, failed only with an error. uploads: upload_id, state, cleanup_required, cleanup, cleanup_error."""
+    told = F.lower(F.trim(F.coalesce("cmd_status", F.lit(""))))
+    reason = (
+        F.when(~told.isin("not_required", "confirmed", "failed"), "unknown_status").when((told == "confirmed") & (F.col("state") != "verified"), "not_verified")
+        .when((told == "not_required") & F.col("cleanup_required"), "cleanup_is_required").when((told == "failed") & (F.trim(F.coalesce("cmd_error", F.lit(""))) == ""), "error_missing")
+    )
+    error = F.when(told == "failed", F.substring("cmd_error", 1, 2000))
+    return transition(uploads, commands, "upload_id", reason.isNull(), {"cleanup": told, "cleanup_error": error}, reason)

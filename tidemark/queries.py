@@ -741,3 +741,6 @@ def q80_coverage_violations(spark, d):
 def q81_constraint_violations(spark, d):
     rules = {"name": F.rlike("c_name", F.lit("^Customer#[0-9]*[02468]$")), "balance": F.col("c_acctbal") >= 0, "segment": F.col("c_mktsegment").isin("BUILDING", "MACHINERY")}
     return reports.constraint_violations(table(spark, d, "customer"), "c_custkey", rules)
+
+
+from tidemark import queries_rules  # noqa: E402, F401  registers its queries with those above
