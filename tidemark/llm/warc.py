@@ -38,12 +38,13 @@ RECORDS = T.StructType(
     ]
 )
 MEMBERS = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("member", T.BinaryType())])
-DROPPED = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg)\b[^>]*>.*?</\1\s*>|<(?:script|style|noscript|template|svg)\b[^>]*/>", re.S | re.I)
-BREAKS = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|title|head|body|html|blockquote|pre|form|option|dt|dd)\b[^>]*>", re.I)
-TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HIDDEN = ("script", "style", "noscript", "template", "svg")
+BREAKS = set("p div br hr li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav title head body html blockquote pre form option dt dd".split())
+NAME = re.compile("[a-zA-Z][a-zA-Z0-9]*")
+VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
+LANG, LINK = re.compile(r"\blang" + VALUE, re.I), re.compile(r"\bhref" + VALUE, re.I)
+LOWER = {c: c + 32 for c in range(65, 91)}  # A-Z alone: places stay as they are
+UNSAFE = re.compile("[\x00-\x20\x7f]")
 
 
 def digest(data: bytes) -> str:
@@ -54,11 +55,84 @@ def record_id(kind: str, key: str, data: bytes) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{kind} {key} {hashlib.sha256(data).hexdigest()}')}>"
 
 
+class Page:
+    """What one scan of a page finds: its text, title, language and links. Each place is looked at a fixed number of times, however broken the page.
+
+    Comments and hidden elements (scripts, styles and the like) are left out with their content, and one without an end is a mere tag. A tag
+    ends at the next `>`; a `<` without one, or before other than a letter, `/`, `!` or `?`, is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.low = page, page.translate(LOWER)
+        self.ends: dict[str, int] = {}  # of each kind of hidden element the next end that is known, -1 for none
+        self.title: str | None = None
+        self.lang: str | None = None
+        self.links: list[str] = []
+        out, at, title_from = [], 0, -1
+        while (tag := page.find("<", at)) >= 0:
+            out.append(page[at:tag])
+            at = tag
+            if page.startswith("<!--", tag) and (end := self._end("-->", tag + 4)) >= 0:
+                out.append(" ")
+                at = end + 3
+                continue
+            close = page.find(">", tag) if tag + 1 < len(page) and (page[tag + 1].isascii() and page[tag + 1].isalpha() or page[tag + 1] in "/!?") else -2
+            if close == -1:
+                break
+            if close == -2:
+                out.append("<")
+                at = tag + 1
+                continue
+            ends = page[tag + 1] == "/"
+            named = NAME.match(self.low, tag + 1 + ends)
+            name = named[0] if named else ""
+            inside = page[tag : close + 1]
+            at = close + 1
+            out.append("\n" if name in BREAKS else " ")
+            if name in HIDDEN and not ends and not inside.endswith("/>") and (end := self._end(f"</{name}", at)) >= 0:
+                at = page.find(">", end) + 1
+            elif name == "a" and not ends and (found := LINK.search(inside)):
+                self.links.append(unescaped(found[1] or found[2] or found[3] or ""))
+            elif name == "html" and not ends and self.lang is None and (found := LANG.search(inside)):
+                self.lang = found[1] or found[2] or found[3]
+            elif name == "title" and self.title is None:
+                if ends and title_from >= 0:
+                    self.title = " ".join(unescaped("".join(out[title_from:])).split())
+                elif not ends and title_from < 0:
+                    title_from = len(out)
+        out.append(page[at:])
+        lines = (" ".join(x.split()) for x in unescaped("".join(out)).split("\n"))
+        self.text = "\n".join(x for x in lines if x)
+
+    def _end(self, mark: str, at: int) -> int:
+        """Where the next `mark` is that ends something: a hidden element's is followed by blanks and `>` alone."""
+        known = self.ends.get(mark, 0)
+        if known < 0 or known >= at and mark in self.ends:
+            return known
+        while (at := self.low.find(mark, at)) >= 0:
+            past = at + len(mark)
+            while mark != "-->" and past < len(self.low) and self.low[past].isspace():
+                past += 1
+            if mark == "-->" or self.low.startswith(">", past):
+                break
+            at = past
+        self.ends[mark] = at
+        return at
+
+
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers too long for any character are cut first, since they would take long to read."""
+    return html.unescape(re.sub("&#[0-9]{9,}", "&#999999999", text))
+
+
 def plain_text(page: str) -> str:
     """The text of a page: no scripts, styles and comments, a line for each block element, entities decoded, blanks of a line joined."""
-    text = TAG.sub(" ", BREAKS.sub("\n", DROPPED.sub(" ", page)))
-    lines = (" ".join(x.split()) for x in html.unescape(text).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return Page(page).text
+
+
+def header_safe(value: str) -> str:
+    """A value without blanks and control characters, which would end or forge header lines: each becomes %XX."""
+    return UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", value)
 
 
 def headers_of(row: dict) -> list[dict]:
@@ -71,6 +145,7 @@ def headers_of(row: dict) -> list[dict]:
 
 def response(page_id: int | None, url: str | None, page: str, date: str) -> dict:
     payload = page.encode("utf-8", "surrogatepass")
+    url = None if url is None else header_safe(url)
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     row = {"page_id": page_id, "record_type": "response", "refers_to": None, "target_uri": url, "date": date, "content_type": "application/http; msgtype=response", "refers_to_payload_digest": None}
     row |= {"record_id": record_id("response", f"{page_id} {url} {date}", payload), "content_length": len(head) + len(payload), "block_digest": digest(head + payload), "payload_digest": digest(payload), "block": head + payload}
@@ -82,17 +157,17 @@ def derived(source: dict) -> list[dict]:
     head, _, payload = source["block"].partition(b"\r\n\r\n")
     page = payload.decode("utf-8", "replace")
     http = [x.partition(":")[::2] for x in head.decode("latin-1").split("\r\n")[1:]]
-    title, lang = TITLE.search(page), LANG.search(page)
+    seen = Page(page)
     fields = {
-        "title": " ".join(html.unescape(title[1]).split()) if title else None,
-        "languages": lang[1] if lang else None,
-        "outlinks": [html.unescape(a or b or c) for a, b, c in LINK.findall(DROPPED.sub(" ", page))],
+        "title": seen.title,
+        "languages": seen.lang,
+        "outlinks": seen.links,
         "source-http-headers": {k.strip(): v.strip() for k, v in http},
         "source-content-length": len(payload),
         "source-payload-digest": source["payload_digest"],
         "source-block-digest": source["block_digest"],
     }
-    blocks = {"metadata": ("application/json", json.dumps(fields, ensure_ascii=False, sort_keys=True).encode("utf-8", "surrogatepass")), "conversion": ("text/plain", plain_text(page).encode("utf-8", "surrogatepass"))}
+    blocks = {"metadata": ("application/json", json.dumps(fields, ensure_ascii=False, sort_keys=True).encode("utf-8", "surrogatepass")), "conversion": ("text/plain", seen.text.encode("utf-8", "surrogatepass"))}
     out = []
     for kind, (content_type, block) in blocks.items():
         row = {"page_id": source["page_id"], "record_type": kind, "refers_to": source["record_id"], "target_uri": source["target_uri"], "date": source["date"], "content_type": content_type, "block": block}
@@ -112,7 +187,7 @@ def parsed(data: bytes) -> Iterator[dict]:
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         lines = data[at:end].decode().split("\r\n")
-        headers = [{"name": n, "value": v.strip()} for n, v in (x.split(":", 1) for x in lines[1:])]
+        headers = [{"name": n, "value": v.strip(" \t")} for n, v in (x.split(":", 1) for x in lines[1:])]
         size = int(next(h["value"] for h in headers if h["name"].lower() == "content-length"))
         yield {"version": lines[0], "headers": headers, "block": data[end + 4 : end + 4 + size]}
         at = end + 4 + size + 4
@@ -131,7 +206,7 @@ def _rows(pages: DataFrame, make, columns: tuple[str, ...], most: int = 256) ->
 
 
 def responses(pages: DataFrame, url: str = "url", page: str = "html", id_column: str = "page_id", date: str = DATE) -> DataFrame:
-    """One response record for every page. A null page is an empty one; a null address leaves its header out."""
+    """One response record for every page. A null page is an empty one; a null address leaves its header out; blanks and control characters in one become %XX."""
     named = pages.select(F.col(id_column).cast("long").alias("i"), F.col(url).cast("string").alias("u"), F.col(page).cast("string").alias("h"))
     return _rows(named, lambda r: [response(r["i"], r["u"], r["h"] or "", date)], ("i", "u", "h"))
 
