@@ -2,7 +2,7 @@
 
 All rolling word k-gram hashes of the documents are joined with the templates' (a fixed table, broadcast). A hit at document
 word i and template word j votes for the diagonal i - j; diagonals of a few words' difference are one occurrence with insertions or
-deletions, and an occurrence counts where enough of the template's k-grams stand in it.
+deletions, and an occurrence counts where enough of the template's k-grams stand in it, word for word.
 """
 
 from __future__ import annotations
@@ -67,21 +67,26 @@ def words_of(text: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """The templates' k-grams with the hash of the first two words, and of all where they are four."""
+    """The templates' k-grams: their words, and the hash of the first two."""
     rows = spark.createDataFrame(template_rows(), "label string, base boolean, k int, grams int, j int, words array<string>")
-    return rows.select("label", "base", "k", "grams", "j", F.xxhash64(*(F.get("words", F.lit(o)) for o in range(SHORT))).alias("t2"), F.xxhash64(*(F.get("words", F.lit(o)) for o in range(LONG))).alias("t4"))
+    return rows.select("label", "base", "k", "grams", "j", "words", F.xxhash64(*(F.get("words", F.lit(o)) for o in range(SHORT))).alias("t2"))
 
 
 def occurrences(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id, text_hash, label, base, first and last word and coverage (0 to 1) of every occurrence of a template's k-grams.
 
-    Null texts have no words. Rows that repeat an id and a text count once.
+    Every pair of neighbouring words is hashed; those that no template has go before the join, those that are left are joined with
+    the templates' places by their hash, and a place votes only where the k-gram's words are the template's. Null texts have no words. Rows
+    that repeat an id and a text count once.
     """
+    known = templates(docs.sparkSession)  # a fixed table of some hundred rows
+    hashes = [r.t2 for r in known.select("t2").distinct().collect()]
     words = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(F.col(text)).alias("w")).where(F.size("w") >= SHORT)
-    gram = lambda i, k: F.xxhash64(*(F.get("w", i + o) for o in range(k)))
-    rolled = words.select("doc_id", "text_hash", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - SHORT), lambda i: F.struct(gram(i, SHORT).alias("h2"), gram(i, LONG).alias("h4")))).alias("i", "h"))
-    known = F.broadcast(templates(docs.sparkSession))  # a fixed table of some hundred rows
-    hits = rolled.join(known, (F.col("h.h2") == F.col("t2")) & ((F.col("k") == SHORT) | (F.col("h.h4") == F.col("t4"))))
+    two = lambda i: F.xxhash64(*(F.get("w", i + o) for o in range(SHORT)))
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - SHORT), lambda i: two(i).isin(hashes))
+    rolled = words.select("doc_id", "text_hash", F.explode(F.transform(places, lambda i: F.struct(i.alias("i"), F.slice("w", i + 1, LONG).alias("g")))).alias("p"))
+    rolled = rolled.select("doc_id", "text_hash", "p.i", "p.g", F.xxhash64(*(F.get("p.g", F.lit(o)) for o in range(SHORT))).alias("h2"))
+    hits = rolled.join(F.broadcast(known), (F.col("h2") == F.col("t2")) & (F.slice("g", F.lit(1), F.col("k")) == F.col("words")))
     votes = hits.groupBy("doc_id", "text_hash", "label", "base", "k", "grams", (F.col("i") - F.col("j")).alias("diagonal")).agg(F.collect_set("j").alias("js"), F.min("i").alias("first"), F.max("i").alias("last"))
     order = Window.partitionBy("doc_id", "text_hash", "label").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(order) > F.when(F.col("k") == LONG, SLACK).otherwise(0)
