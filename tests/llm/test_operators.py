@@ -15,6 +15,8 @@ from tidemark.llm.common import table
 LOWER = {i: i + 32 for i in range(65, 91)}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, cls long, leak string"
 
+SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+
 
 def spaced(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
@@ -192,8 +194,27 @@ def test_leaks_equal_brute_force(spark, alphabet, block):
     items = [(k, said(rnd.choice([1, 2, 4, 9, 10, 11, 25, 40]) if k % 3 else 30)) for k in range(25)] + [(90, "!!"), (91, "")]
     docs = [(k, said(rnd.randrange(0, 80)) + ". " + (items[k % 25][1].upper() if k % 4 == 0 else "")) for k in range(60)] + [(100, None), (101, "")]
     bench = spark.createDataFrame(items + [(92, None)], "item_id long, text string")
-    got = {r.doc_id: (r.leak.n_words, sum(s.past - s.first for s in r.leak["spans"]), list(r.leak["items"])) for r in decontaminate.find_leaks(documents(spark, docs).drop("leak"), bench, most_bytes=block).collect()}
+    found = decontaminate.find_leaks(documents(spark, docs), bench, most_bytes=block)
+    assert found.columns == [*SCHEMA_NAMES, "leak_"]  # the documents' own column of that name stays
+    rows = found.collect()
+    got = {r.doc_id: (r.leak_.n_words, sum(s.past - s.first for s in r.leak_["spans"]), list(r.leak_["items"])) for r in rows}
+    assert len(rows) == len(docs) and all(r.leak == "y" for r in rows)
     assert got == brute_leaks(docs, items)
+    for r in rows:  # the stretches' bytes are those of their words
+        text = (r.text or "").encode()
+        for s in r.leak_["spans"]:
+            assert alnum(text[s.begin : s.end].decode()) == alnum(r.text)[s.first : s.past]
+
+
+def test_leaks_of_a_large_benchmark_are_one_pass(spark):
+    """However large the benchmark, documents go through one Python stage for their windows, and nothing is broadcast but bitmaps."""
+    bench = spark.range(400).select(F.col("id").alias("item_id"), F.concat_ws(" ", *(F.concat(F.lit("w"), (F.col("id") * 13 + k) % 997) for k in range(20))).alias("text"))
+    docs = bench.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("before "), "text", F.lit(" after")).alias("text"))
+    found = decontaminate.find_leaks(docs, bench, most_bytes=500)
+    assert found.where("size(leak.spans) = 1 and leak.spans[0].past - leak.spans[0].first >= 20").count() == 400
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 0  # all was written before; only rows with leaks are joined
+    assert decontaminate.find_leaks(docs, bench.limit(0)).where("size(leak.spans) > 0").count() == 0
 
 
 def test_decontaminated_text(spark, words):
@@ -201,7 +222,7 @@ def test_decontaminated_text(spark, words):
     item = [rnd.choice(words) for _ in range(30)]
     clean = " ".join(rnd.choice(words) for _ in range(90))
     rows = [(1, "Été: " + clean + " " + " ".join(item[5:22]) + ", done."), (2, clean), (3, " ".join(item)), (4, None)]
-    out = {r.doc_id: r.text for r in decontaminate.decontaminated(documents(spark, rows).drop("leak"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    out = {r.doc_id: r.text for r in decontaminate.decontaminated(documents(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
     assert out == {1: "Été: " + clean + "  " + ", done.", 2: clean, 4: None}
 
 

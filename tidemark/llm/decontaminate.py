@@ -4,6 +4,9 @@ A document's words are streamed through the automaton, which keeps the longest s
 Where that suffix is `window` words long or more, the last `window` words are an item's window and are hit; an item of fewer
 words counts where it occurs as a whole. Most words never reach the automaton: numpy hashes all pairs of neighbouring words, and
 only stretches whose every pair may occur in an item, as long as the shortest window, are streamed.
+
+A benchmark of up to some MB is one automaton, broadcast to a single narrow pass. Of a larger one, Spark joins the hashes of the
+documents' windows with those of the items' first; a text then goes only through automata of the items it may hold.
 """
 
 from __future__ import annotations
@@ -14,7 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemark.llm.common import Scratch, free_name, id_marks, told_apart
 from tidemark.llm.words import ALNUM, BASE, Slice, mixed, slices
 
 
@@ -80,7 +86,7 @@ class Automaton:
         return state
 
     def read(self, words: list[bytes]) -> Iterator[tuple[int, int, set[int] | list[int]]]:
-        """(place of the last word, words, items) of every window found."""
+        """(place of the last word, words, items) of every window found; the items are the automaton's own set, not a copy."""
         state = size = 0
         for at, w in enumerate(words):
             while state and w not in self.next[state]:
@@ -143,48 +149,48 @@ class Detector:
             text = int(s.text_of[begin])
             origin = int(s.word_at[text])
             words = [s.low[p:q].tobytes() for p, q in zip(s.begin[begin:end].tolist(), s.end[begin:end].tolist(), strict=True)]
-            found = sorted((at - k + 1, at + 1, tuple(items)) for at, k, items in self.automaton.read(words))
+            groups: dict[int, set[int] | list[int]] = {}  # a window that many items share is looked at once
+            found = []
+            for at, k, who in self.automaton.read(words):
+                groups[id(who)] = who
+                found.append((at - k + 1, at + 1))
             if found:
                 spans, items = out.setdefault(text, ([], set()))
-                for a, b, who in found:
+                items.update(*groups.values())
+                for a, b in sorted(found):
                     a, b = a + begin - origin, b + begin - origin
                     if spans and a <= spans[-1][1]:
                         spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
                     else:
                         spans.append((a, b))
-                    items.update(who)
         return out
 
 
 FOUND = "n_words long, spans array<struct<first: int, past: int, begin: int, end: int>>, items array<string>"
+LEAK = "struct<n_words: bigint, spans: array<struct<first: int, past: int, begin: int, end: int>>, items: array<string>>"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def blocks_of(benchmark: DataFrame, text: str, id_column: str, most_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of about `most_bytes` bytes, dealt by a hash of their ids; one block is held at a time."""
-    items = benchmark.select(F.col(id_column).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null")
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = int(-(-size // most_bytes)) or 1
-    for k in range(n):
-        yield sorted((r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect())
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_text: str = "text", item_id: str = "item_id", most_bytes: int = 1 << 20) -> DataFrame:
-    """All columns of docs with `leak`: n_words, the merged hit stretches (words first to past - 1, bytes begin to end - 1 of the
-    UTF-8 text) and the items, sorted as strings.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_text: str = "text", item_id: str = "item_id", most_bytes: int = 4 << 20, into: str = "leak") -> DataFrame:
+    """All columns of docs with `into` (where docs have such a column, the name with underscores behind): n_words, the merged hit stretches (words first
+    to past - 1, bytes begin to end - 1 of the UTF-8 text) and the items, sorted as strings.
 
     Words are runs of 0-9, letters and non-ASCII characters, A-Z lower-cased. Null and empty texts have no words. Items with a
-    null id or text, or no word, have no window. The benchmark is measured first: each block of `most_bytes` bytes is one
-    broadcast and one further pass over a document's words within the same scan; nothing is shuffled.
+    null id or text, or no word, have no window; an empty benchmark hits nothing. The benchmark is measured first: up to `most_bytes`
+    bytes of it are broadcast, and documents go through one pass in which nothing is shuffled; a larger one is joined (see _routed).
     """
-    out = docs.withColumn("leak", F.lit(None).cast(f"struct<{FOUND.replace(' long', ': bigint').replace(' array', ': array')}>"))
-    for block in blocks_of(benchmark, item_text, item_id, most_bytes):
-        out = _one_pass(out, block, window, text)
-    return out
-
-
-def _one_pass(docs: DataFrame, block: list[tuple[str, str]], window: int, text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    at, leak = docs.columns.index(text), docs.columns.index("leak")
+    into = free_name(docs, into)
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
+    size = items.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
+    if size > most_bytes:
+        return _routed(docs, items, window, text, most_bytes, into)
+    return _one_pass(docs, sorted((r.i, r.t) for r in items.collect()), window, text, into)
+
+
+def _one_pass(docs: DataFrame, block: list[tuple[str, str]], window: int, text: str, into: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(block)  # within find_leaks' most_bytes
+    rows = docs.withColumn(into, F.lit(None).cast(LEAK))
+    at, leak = rows.columns.index(text), rows.columns.index(into)
     ready: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,37 +198,108 @@ def _one_pass(docs: DataFrame, block: list[tuple[str, str]], window: int, text:
             ready["it"] = Detector(shared.value, window)
         names = [i for i, _ in shared.value]
         for batch in batches:
+            kind = batch.column(leak).type
             for part, s in slices(batch, at, ALNUM):
                 found = ready["it"].hits(s)
-                before = part.column(leak)
-                if before.null_count == len(before) and not found:
-                    rows = pa.StructArray.from_arrays([pa.array(s.n_words.astype(np.int64)), _empty(s.n, before.type.field("spans").type), _empty(s.n, before.type.field("items").type)], fields=list(before.type))
+                if not found:
+                    told = pa.StructArray.from_arrays([pa.array(s.n_words.astype(np.int64)), _empty(s.n, kind.field("spans").type), _empty(s.n, kind.field("items").type)], fields=list(kind))
                 else:
-                    rows = pa.array([_merged(b, found.get(k), s, k, names) for k, b in enumerate(before.to_pylist())], before.type)
-                yield pa.RecordBatch.from_arrays([rows if c == leak else x for c, x in enumerate(part.columns)], schema=part.schema)
+                    told = pa.array([_told(found.get(k), s, k, names) for k in range(s.n)], kind)
+                yield pa.RecordBatch.from_arrays([told if c == leak else x for c, x in enumerate(part.columns)], schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _empty(n: int, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], kind.value_type), type=kind)
 
 
-def _merged(before: dict | None, found: tuple | None, s: Slice, text: int, names: list[str]) -> dict:
-    spans = [(x["first"], x["past"]) for x in before["spans"]] if before else []
-    items = set(before["items"]) if before else set()
-    if found:
-        items |= {names[k] for k in found[1]}
-        own = sorted(spans + found[0])
-        spans = own[:1]
-        for a, b in own[1:]:
-            if a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-            else:
-                spans.append((a, b))
+def _told(found: tuple | None, s: Slice, text: int, names: list[str]) -> dict:
+    spans, items = found or ([], ())
     w, origin = int(s.word_at[text]), int(s.at[text])
     places = [{"first": a, "past": b, "begin": int(s.begin[w + a]) - origin, "end": int(s.end[w + b - 1]) - origin} for a, b in spans]
-    return {"n_words": int(s.n_words[text]), "spans": places, "items": sorted(items)}
+    return {"n_words": int(s.n_words[text]), "spans": places, "items": sorted({names[k] for k in items})}
+
+
+def _windows(rows: DataFrame, window: int, key: str, also: list[int] | None, marks: np.ndarray | None = None, bits: int = 0) -> DataFrame:
+    """key and h: the hashes of a text's windows (`window` words, or all of a shorter text's); with `also`, of all its runs of so many words too, and
+    only those that the marks may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, s in slices(batch, 1, ALNUM):
+                h = s.hashes()
+                found = [s.shingles(h, k) for k in [window, *(also or [])]]
+                hashes, of = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+                if shared is not None:
+                    place = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+                    hit = (shared.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+                    hashes, of = hashes[hit], of[hit]
+                two = np.unique(np.stack([of.astype(np.uint64), hashes]), axis=1)
+                yield pa.record_batch([part.column(0).take(pa.array(two[0].astype(np.int64))), pa.array(two[1].view(np.int64))], names=["key", "h"])
+
+    shared = None if marks is None else rows.sparkSession.sparkContext.broadcast(marks)
+    return rows.select(F.col(key).alias("key"), "t").mapInArrow(run, f"key {dict(rows.dtypes)[key]}, h long")
+
+
+def _bitmap(windows: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the first bits of the hashes: 16 bits for each, 2**30 (128 MB) at most, whatever the benchmark's size."""
+    width = min(30, max(15, (16 * windows.count()).bit_length()))
+    slot = F.shiftrightunsigned("h", 64 - width) + 1
+    marks = windows.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    out = np.zeros((1 << width) // 8, np.uint8)
+    for r in marks.toLocalIterator():
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out, width
+
+
+def _routed(docs: DataFrame, items: DataFrame, window: int, text: str, most_bytes: int, into: str) -> DataFrame:
+    """The same for a benchmark of any size, by distinct texts (told by xxhash64). The items' windows are hashed; the documents' windows that a bitmap of
+    these may hold are joined with them, which gives the items that a text may share a window with. Each such text meets its items in groups of about
+    `most_bytes`, through an automaton for each group, and the groups' stretches are merged. Texts that share no hash aren't shuffled."""
+    scratch = Scratch(docs.sparkSession)
+    owned = scratch.keep(_windows(items, window, "i", None), "windows")
+    short = items.select(F.regexp_count("t", F.lit(WORD)).alias("n")).where(F.col("n").between(1, window - 1)).agg(F.array_sort(F.collect_set("n"))).first()[0]
+    marks, bits = _bitmap(owned)
+    texts = docs.select(F.xxhash64(F.col(text).cast("string")).alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
+    met = _windows(texts, window, "k", list(short), marks, bits).distinct().join(owned.select("h", F.col("key").alias("i")), "h").select("key", "i").distinct()
+    met = scratch.keep(met.join(items.select("i", "t", F.octet_length("t").alias("bytes")), "i"), "met")
+    groups = met.groupBy(F.col("key").alias("k")).agg(F.ceil(F.sum("bytes") / most_bytes).alias("groups"))
+    groups = scratch.keep(groups, "groups")
+    listed = met.join(groups, met.key == groups.k).groupBy("key", F.pmod(F.xxhash64("i"), "groups").alias("group")).agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("items"))
+    wanted, _ = told_apart(texts, F.col("k"), *id_marks(groups, "k", scratch))
+    whole = wanted.groupBy("k").agg(F.first("t").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part = batch.slice(row, 1)
+                own = [(x["i"], x["t"]) for x in part.column(2)[0].as_py()]
+                for _, s in slices(part, 1, ALNUM):
+                    told = _told(Detector(own, window, 16).hits(s).get(0), s, 0, [i for i, _ in own])
+                    yield pa.RecordBatch.from_pylist([{"key": part.column(0)[0].as_py(), **told}], schema=arrow)
+
+    schema = T.StructType([T.StructField("key", T.LongType()), *T.StructType.fromDDL(FOUND)])
+    arrow = to_arrow_schema(schema)
+    found = listed.join(whole, listed.key == whole.k).select("key", "t", "items").mapInArrow(run, schema)
+
+    def merged(done, x):
+        last = F.element_at(done, -1)
+        joined = F.struct(last["first"].alias("first"), F.greatest(last["past"], x["past"]).alias("past"), last["begin"].alias("begin"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(done) > 0) & (x["first"] <= F.try_element_at(done, F.lit(-1))["past"]), F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), joined)).otherwise(F.array_append(done, x))
+
+    spans = F.array_sort(F.flatten(F.collect_list("spans")))
+    each = found.groupBy("key").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    start = F.array().cast("array<struct<first: int, past: int, begin: int, end: int>>")
+    leaks = each.where(F.size("spans") > 0).select("key", F.struct("n_words", F.aggregate("spans", start, merged).alias("spans"), "items").cast(LEAK).alias("_leak"))
+    leaks = scratch.keep(leaks, "leaks")
+
+    n_words = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    clean = F.struct(n_words.alias("n_words"), start.alias("spans"), F.array().cast("array<string>").alias("items")).cast(LEAK)
+    hit, others = told_apart(docs, F.xxhash64(F.col(text).cast("string")), *id_marks(leaks, "key", scratch))
+    rows = hit.select(F.struct("*").alias("_row"), F.xxhash64(F.col(text).cast("string")).alias("_key"), clean.alias("_clean"))
+    joined = rows.join(leaks, F.col("_key") == F.col("key"), "left").select("_row.*", F.coalesce("_leak", "_clean").alias(into))
+    return joined.union(others.withColumn(into, clean))
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -239,15 +316,17 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Data
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_share: float = 0.5, text: str = "text") -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_share: float = 0.5, text: str = "text", most_bytes: int = 4 << 20) -> DataFrame:
     """The documents without their hit stretches; those hit in more than `most_share` of their words go as a whole.
 
     The bytes from a stretch's first word to its last are cut and one blank is left. Clean documents keep their text as it is, null too.
     """
-    leaks = find_leaks(docs, benchmark, window, text)
-    n_hit = F.aggregate("leak.spans", F.lit(0).cast("long"), lambda total, x: total + x.past - x.first)
-    kept = leaks.where(n_hit <= F.col("leak.n_words") * most_share)
-    return kept.withColumn(text, F.when(F.size("leak.spans") > 0, without(F.col(text), F.col("leak.spans"))).otherwise(F.col(text))).drop("leak")
+    own = free_name(docs, "leak")
+    leaks = find_leaks(docs, benchmark, window, text, most_bytes=most_bytes)
+    leak = F.col(own)
+    n_hit = F.aggregate(leak["spans"], F.lit(0).cast("long"), lambda total, x: total + x.past - x.first)
+    kept = leaks.where(n_hit <= leak["n_words"] * most_share)
+    return kept.withColumn(text, F.when(F.size(leak["spans"]) > 0, without(F.col(text), leak["spans"])).otherwise(F.col(text))).drop(own)
 
 
 def without(text, spans):
