@@ -252,6 +252,28 @@ def test_topk_stops_early():
     assert max(depths) < 2000
 
 
+def test_topk_stops_early_on_the_embeddings(spark, sf_dir):
+    """On the real vectors nearly all queries stop before the lists' ends, and the bounds hold at every depth."""
+    rows = table(spark, sf_dir.replace("sf0.001", "sf0.1"), "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("v")).where("v is not null").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.v for r in rows], np.float32)
+    lists, q = topk.Lists(x), x[ids % 50 == 0]
+    exact = q @ x.T
+    asked = {}
+    for depth in (250, 1000, 1500, 1750, len(x)):
+        lower, upper = topk.bounds(q, lists, depth)
+        assert (lower <= exact).all() and (upper >= exact).all()
+        bar = np.sort(lower, 1)[:, -5]
+        asked[depth] = float(((upper >= bar[:, None]).sum(1) <= len(x) // 16).mean())
+    assert asked[1500] > 0.5 and asked[1750] > 0.95
+
+
+def test_topk_of_an_empty_table_and_of_no_query(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.5, 1.0])], "vec_id long, embedding array<float>")
+    assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.search(df, F.col("vec_id") % 50 == 0).count() == 0
+    assert [(r.query_id, r.vec_id) for r in topk.search(df.withColumns({"id": F.lit(1), "dims": F.lit(2), "rank": F.lit(0)}), F.col("vec_id") == 1).collect()] == [(1, 2)]
+
+
 def test_pieces_equal_the_library(spark, sf_dir, odd):
     import sentencepiece
 

@@ -266,22 +266,22 @@ def _routed(docs: DataFrame, items: DataFrame, window: int, text: str, most_byte
     met = scratch.keep(met.join(items.select("i", "t", F.octet_length("t").alias("bytes")), "i"), "met")
     groups = met.groupBy(F.col("key").alias("k")).agg(F.ceil(F.sum("bytes") / most_bytes).alias("groups"))
     groups = scratch.keep(groups, "groups")
-    listed = met.join(groups, met.key == groups.k).groupBy("key", F.pmod(F.xxhash64("i"), "groups").alias("group")).agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("items"))
+    listed = met.join(groups, met.key == groups.k).select("key", F.pmod(F.xxhash64("i"), "groups").alias("group"), "i", "t")
     wanted, _ = told_apart(texts, F.col("k"), *id_marks(groups, "k", scratch))
-    whole = wanted.groupBy("k").agg(F.first("t").alias("t"))
+    whole = wanted.groupBy("k").agg(F.first("t").alias("t")).join(groups.withColumnRenamed("k", "key"), F.col("k") == F.col("key"))
+    whole = whole.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"), "t")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                part = batch.slice(row, 1)
-                own = [(x["i"], x["t"]) for x in part.column(2)[0].as_py()]
-                for _, s in slices(part, 1, ALNUM):
-                    told = _told(Detector(own, window, 16).hits(s).get(0), s, 0, [i for i, _ in own])
-                    yield pa.RecordBatch.from_pylist([{"key": part.column(0)[0].as_py(), **told}], schema=arrow)
+    def run(own: pa.Table, texts: pa.Table) -> pa.Table:
+        if not own.num_rows or not texts.num_rows:
+            return pa.Table.from_pylist([], schema=arrow)
+        items = sorted(zip(own.column("i").to_pylist(), own.column("t").to_pylist(), strict=True))
+        batch = texts.combine_chunks().to_batches()[0]
+        _, s = next(slices(batch, batch.schema.get_field_index("t"), ALNUM))
+        return pa.Table.from_pylist([{"key": batch.column("key")[0].as_py(), **_told(Detector(items, window, 16).hits(s).get(0), s, 0, [i for i, _ in items])}], schema=arrow)
 
     schema = T.StructType([T.StructField("key", T.LongType()), *T.StructType.fromDDL(FOUND)])
     arrow = to_arrow_schema(schema)
-    found = listed.join(whole, listed.key == whole.k).select("key", "t", "items").mapInArrow(run, schema)
+    found = listed.groupBy("key", "group").cogroup(whole.groupBy("key", "group")).applyInArrow(run, schema)
 
     def merged(done, x):
         last = F.element_at(done, -1)

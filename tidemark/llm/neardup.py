@@ -236,21 +236,18 @@ def _between_blocks(mixed_: DataFrame, sets: DataFrame, percent: int, scratch: S
     task that their three numbers (hub, i, j) are dealt to."""
     blocks = mixed_.join(sets, "cls").groupBy("hub", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block"), "blocks").agg(F.collect_list(F.struct("cls", "comp", "elements")).alias("members"))
     blocks = scratch.keep(blocks, "blocks")
-    left = blocks.select("hub", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("members").alias("x"))
-    right = blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), F.col("members").alias("y"))
-    two = left.join(right, ["hub", "i", "j"]).select("x", "y")
+    left = blocks.select("hub", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), "members")
+    right = blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), "members")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x, y = (_members(batch.column(c)[k].values) for c in (0, 1))
-                found = joining(x, y, percent)
-                yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+    def met(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = joining(_members(x), _members(y), percent) if x.num_rows and y.num_rows else []
+        return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    return two.mapInArrow(run, "a long, b long")
+    return left.groupBy("hub", "i", "j").cogroup(right.groupBy("hub", "i", "j")).applyInArrow(met, "a long, b long")
 
 
-def _members(rows: pa.StructArray) -> list[tuple]:
+def _members(block: pa.Table) -> list[tuple]:
+    rows = block.column("members").combine_chunks().flatten()
     lists = rows.field("elements")
     flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
     return [(c, g, flat[s:e]) for c, g, s, e in zip(rows.field("cls").to_pylist(), rows.field("comp").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]

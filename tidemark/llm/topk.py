@@ -1,10 +1,11 @@
 """Exact top-k inner products by aggregation of sorted lists without random access.
 
-Vectors are packed in blocks. Within a block every dimension has its list of vectors sorted by component. For a query the lists
-are read in turns, from the high end where its component is positive, else from the low end; a vector's lower bound
-is what was read of it plus the worst that its unread components can add, its upper bound takes the lists' current ends instead.
-Reading stops once no vector outside can reach the k-th lower bound; then the final scores of those inside are resolved by
-reading on for them alone. All queries of a block read in step, so that the bounds of a turn are four matrix products.
+Vectors are packed in blocks. Within a block every dimension has its list of vectors sorted by component, and each vector's length is
+known. For a query the lists are read in steps, from the high end where its component is positive, else from the low end. What was read
+of a vector adds up; what wasn't can't be more than the lists' present ends allow, nor more than the unread parts' lengths do (Cauchy and
+Schwarz); so much for its upper bound, and likewise for its lower. Reading for a query stops once few vectors outside its k best lower bounds
+can still reach them; the lists are then read on for those inside alone, which resolves their scores. All queries of a block read in
+step, so that the bounds of a step are matrix products.
 """
 
 from __future__ import annotations
@@ -28,51 +29,72 @@ def scaled(vectors: Column, factor: int = 256) -> Column:
 
 
 class Lists:
-    """The sorted lists of a block: for each dimension the vectors' places by falling component."""
+    """The sorted lists of a block: for each dimension the vectors' places by falling component, and the components."""
 
     def __init__(self, x: np.ndarray):
-        self.x, self.n = x, len(x)
+        self.n, self.dims = x.shape
         self.order = np.argsort(-x, 0, kind="stable")
-        self.low, self.high = x.min(0), x.max(0)
+        self.values = np.take_along_axis(x, self.order, 0)
+        self.columns = np.broadcast_to(np.arange(self.dims), x.shape)
+        self.squares = (x * x).sum(1)
 
-    def read(self, depth: int) -> tuple[np.ndarray, ...]:
-        """After `depth` entries of every list from its high end, and as many from its low end: for either direction the least
-        and the most that each vector's components can be."""
+    def read(self, depth: int) -> list[tuple[np.ndarray, ...]]:
+        """After `depth` entries of every list from its high end, then from its low end: what was read (0 elsewhere), where nothing was (1, else
+        0), and the least and the most that components not read can be."""
         out = []
-        columns = np.arange(self.x.shape[1])
-        for end in (False, True):
-            order = self.order[::-1] if end else self.order
-            seen = np.zeros(self.x.shape, bool)
-            seen[order[:depth], columns] = True
-            here = self.x[order[min(depth, self.n) - 1], columns]  # where the lists are now
-            least, most = (here, self.high) if end else (self.low, here)
-            out += [np.where(seen, self.x, least), np.where(seen, self.x, most)]
-        return tuple(out)
-
-
-def top_k(queries: np.ndarray, query_ids: np.ndarray, lists: Lists, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for low in (False, True):
+            part = slice(self.n - depth, self.n) if low else slice(0, depth)
+            read, open_ = np.zeros((self.n, self.dims), self.values.dtype), np.ones((self.n, self.dims), self.values.dtype)
+            read[self.order[part], self.columns[part]] = self.values[part]
+            open_[self.order[part], self.columns[part]] = 0
+            here = self.values[self.n - depth if low else depth - 1]  # where the lists are now
+            out.append((read, open_, here, self.values[0]) if low else (read, open_, self.values[-1], here))
+        return out
+
+    def resolved(self, places: np.ndarray) -> np.ndarray:
+        """The whole vectors at some places, by reading the lists through once more for these alone."""
+        where = np.full(self.n, -1)
+        where[places] = np.arange(len(places))
+        row = where[self.order]
+        out = np.zeros((len(places), self.dims), self.values.dtype)
+        out[row[row >= 0], self.columns[row >= 0]] = self.values[row >= 0]
+        return out
+
+
+def bounds(q: np.ndarray, lists: Lists, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query and vector the least and the most that the score can be after `depth` entries of each list."""
+    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+    (high, high_open, high_least, high_most), (low, low_open, low_least, low_most) = lists.read(depth)
+    seen = plus @ high.T + minus @ low.T
+    lower = seen + plus @ (high_open * high_least).T + minus @ (low_open * low_most).T
+    upper = seen + plus @ (high_open * high_most).T + minus @ (low_open * low_least).T
+    mine = (plus * plus) @ high_open.T + (minus * minus) @ low_open.T
+    known = (q > 0).astype(q.dtype) @ (high * high).T + (q <= 0).astype(q.dtype) @ (low * low).T
+    rest = np.sqrt(np.maximum(mine, 0) * np.maximum(lists.squares - known, 0)) * 1.0001 + 1  # room for rounding
+    return np.maximum(lower, seen - rest), np.minimum(upper, seen + rest)
+
+
+def top_k(queries: np.ndarray, query_ids: np.ndarray, lists: Lists, ids: np.ndarray, k: int, steps: int = 8) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its place, and places and scores of the k best vectors of a block but its own; ties to smaller ids, all that tie at the end included by id."""
-    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
     own = query_ids[:, None] == ids[None]
-    depth, open_ = max(1, lists.n // 4), np.arange(len(queries))
-    inside: list[np.ndarray | None] = [None] * len(queries)
+    step = max(1, -(-lists.n // steps))
+    depth, open_ = min(lists.n, 2 * step), np.arange(len(queries))  # nothing closes in the first steps
+    inside: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
     while len(open_):
-        depth = min(depth, lists.n)
-        high_low, high_high, low_low, low_high = lists.read(depth)
-        # a positive component reads high ends, a negative one low ends, where its product is largest
-        lower = plus[open_] @ high_low.T + minus[open_] @ low_high.T
-        upper = plus[open_] @ high_high.T + minus[open_] @ low_low.T
+        lower, upper = bounds(queries[open_], lists, depth)
         lower[own[open_]], upper[own[open_]] = -np.inf, -np.inf
         at = min(k, lists.n) - 1
         bar = -np.partition(-lower, at, 1)[:, at]
         may = (upper >= bar[:, None]) & ~own[open_]
-        few = may.sum(1) <= max(8 * k, lists.n // 16)
-        for row in np.flatnonzero(few | (depth == lists.n)):
+        few = (may.sum(1) <= max(8 * k, lists.n // 16)) | (depth == lists.n)
+        for row in np.flatnonzero(few):
             inside[open_[row]] = np.flatnonzero(may[row])
-        open_ = open_[~few] if depth < lists.n else open_[:0]
-        depth *= 2
+        open_ = open_[~few]
+        depth = min(lists.n, depth + step)
+    needed = np.unique(np.concatenate(inside)) if inside else np.zeros(0, np.int64)
+    vectors = lists.resolved(needed)
     for i, places in enumerate(inside):
-        scores = lists.x[places] @ queries[i]
+        scores = vectors[np.searchsorted(needed, places)] @ queries[i]
         best = np.lexsort((ids[places], -scores))[:k]
         yield i, places[best], scores[best]
 
@@ -110,27 +132,34 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embe
 
     Ties go to the smaller vec_id; a query with fewer than k others gets all. Vectors that are null or hold a null or non-finite
     component take no part, nor do rows without an id; vectors meet those of their own length. Rows that repeat an id are other
-    rows' candidates each, but never their own id's. Scores are exact below 2**53. Candidates stay in blocks where they
-    lie; queries are dealt in blocks, and each two blocks meet once, joined by the queries' block number.
+    rows' candidates each, but never their own id's. Scores are exact below 2**53. Candidates are packed in blocks where they lie, queries
+    in blocks too; blocks of both are dealt to a grid of tasks, and each two meet once, in the cell of their row and column.
     """
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), scaled(F.col(vector)).alias("v"), is_query.alias("q")).where("v is not null and id is not null")
     asked = rows.where("q").select("id", "v").distinct()
-    parts = max(1, -(-asked.count() // queries_in_block))
-    asked = packed(asked.repartition(parts, "id"), queries_in_block).select(F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"), F.col("dims").alias("d"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    there = packed(rows.select("id", "v"), block).select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    met = there.join(asked, (F.col("dims") == F.col("d")) & (there.part == asked.part)).select("dims", "ids", "vectors", "query_ids", "queries")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, asking = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
-                x = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), row["dims"])
-                y = np.frombuffer(row["queries"], np.float64).reshape(len(asking), row["dims"])
-                if row["dims"] and row["dims"] * np.abs(x).max() * np.abs(y).max() < 1 << 24:
-                    x, y = x.astype(np.float32), y.astype(np.float32)  # whole numbers that are exact there too
-                out = [(asking[i], ids[p], s) for i, places, scores in top_k(y, asking, Lists(x), ids, k) for p, s in zip(places.tolist(), scores.tolist(), strict=True)]
-                yield pa.record_batch([pa.array([o[c] for o in out], pa.float64() if c == 2 else pa.int64()).cast(pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(run, OUT)
+    per = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("asked")).first()
+    wide, high = max(1, -(-per.asked // queries_in_block)), max(1, -(-per.n // block))
+    side = max(1, min(8, int((wide * high / (2 * vectors.sparkSession.sparkContext.defaultParallelism)) ** 0.5)))
+    across, down = -(-wide // side), -(-high // side)  # cells of about side * side pairs of blocks: a candidate block is sent to `across` tasks, not to every query block
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = packed(asked.repartition(wide, "id"), queries_in_block).withColumn("c", F.pmod(F.xxhash64("ids"), F.lit(across))).withColumn("r", every(down))
+    there = packed(rows.select("id", "v"), block).withColumn("r", F.pmod(F.xxhash64("ids"), F.lit(down))).withColumn("c", every(across))
+
+    def cell(candidates: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 3]
+        for row in (r for b in candidates.to_batches() for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist()):
+            ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dims"])
+            lists = None
+            for ask in (r for b in queries.to_batches() for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist() if r["dims"] == row["dims"]):
+                asking, y = np.frombuffer(ask["ids"], np.int64), np.frombuffer(ask["vectors"], np.float64).reshape(ask["n"], ask["dims"])
+                small = row["dims"] and row["dims"] * np.abs(x).max() * np.abs(y).max() < 1 << 24  # whole numbers that are exact as 32-bit floats too
+                kind = np.float32 if small else np.float64
+                if lists is None or lists.values.dtype != kind:
+                    lists = Lists(x.astype(kind))
+                for i, places, scores in top_k(y.astype(kind), asking, lists, ids, k):
+                    found.append([np.full(len(places), asking[i]), ids[places], scores.astype(np.int64)])
+        return pa.table([np.concatenate([f[c] for f in found]) for c in range(3)], names=["query_id", "vec_id", "score"])
+
+    found = there.groupBy("r", "c").cogroup(asked.groupBy("r", "c")).applyInArrow(cell, OUT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
