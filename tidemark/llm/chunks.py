@@ -93,7 +93,8 @@ def chunk_pairs(docs: DataFrame, span: int = 10, text: str = "text", id_column:
 def repeated_passages(docs: DataFrame, least_words: int = 28, span: int = 10, text: str = "text", id_column: str = "doc_id", scratch: Scratch | None = None, hashed: bool = False) -> DataFrame:
     """doc_id, begin and end (bytes of the UTF-8 text), words and first_doc_id (the least id that any of its chunks is in) of every
     passage of at least `least_words` words whose pairs of chunks all stand in documents with smaller ids, or earlier in the same
-    text, too; with `hashed`, text_hash (xxhash64) too.
+    text, too; with `hashed`, text_hash (xxhash64) too. A word or line said over and over within one text is no passage: of a repeat
+    within a text more than half of the pairs of chunks must differ from each other.
 
     Any passage of 51 words or more that two documents share holds such a run: its hashes are the same from the 4th word on, a cut that
     both have is among the `span` words from there and among its last `span`, so 51 - 3 - 2 (span - 1) - 1 = 29 words lie between. Rows
@@ -108,16 +109,16 @@ def repeated_passages(docs: DataFrame, least_words: int = 28, span: int = 10, te
     seen = pairs.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").select("digest", "first_doc_id")
     seen = scratch.keep(seen, "digests")
     maybe, others = told_apart(pairs, F.col("digest"), *id_marks(seen, "digest", scratch))
-    met = maybe.join(seen, "digest", "left").where("again or doc_id > first_doc_id").select("doc_id", "text_hash", F.coalesce("first_doc_id", "doc_id").alias("first_doc_id"), "b", "e")
-    found = met.union(others.where("again").select("doc_id", "text_hash", "doc_id", "b", "e")).distinct()
+    met = maybe.join(seen, "digest", "left").where("again or doc_id > first_doc_id").select("doc_id", "text_hash", F.coalesce("first_doc_id", "doc_id").alias("first_doc_id"), "b", "e", "digest")
+    found = met.union(others.where("again").select("doc_id", "text_hash", "doc_id", "b", "e", "digest")).distinct()
     high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF))
-    rows = found.select("doc_id", "text_hash", "first_doc_id", high("b").alias("begin"), low("b").alias("middle"), high("e").alias("end"), F.shiftright(low("e"), 16).alias("words"), low("e").bitwiseAND(0xFFFF).alias("next_words"))
+    rows = found.select("doc_id", "text_hash", "first_doc_id", "digest", high("b").alias("begin"), low("b").alias("middle"), high("e").alias("end"), F.shiftright(low("e"), 16).alias("words"), low("e").bitwiseAND(0xFFFF).alias("next_words"))
     order = Window.partitionBy("doc_id", "text_hash").orderBy("begin")
     fresh = F.when(F.lag("middle").over(order) == F.col("begin"), 0).otherwise(1)
     runs = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
     words = F.sum("words") + F.max_by("next_words", "begin")
-    passages = runs.groupBy("doc_id", "text_hash", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), words.alias("words"), F.min("first_doc_id").alias("first_doc_id"))
-    return passages.where(F.col("words") >= least_words).select("doc_id", "begin", "end", "words", "first_doc_id", *(["text_hash"] if hashed else []))
+    passages = runs.groupBy("doc_id", "text_hash", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), words.alias("words"), F.min("first_doc_id").alias("first_doc_id"), (2 * F.count_distinct("digest") > F.count(F.lit(1))).alias("varied"))
+    return passages.where((F.col("words") >= least_words) & (F.col("varied") | (F.col("first_doc_id") < F.col("doc_id")))).select("doc_id", "begin", "end", "words", "first_doc_id", *(["text_hash"] if hashed else []))
 
 
 def deduplicated(docs: DataFrame, least_words: int = 28, span: int = 10, text: str = "text", id_column: str = "doc_id") -> DataFrame:

@@ -126,7 +126,7 @@ def unescaped(text: str) -> str:
 
 
 def plain_text(page: str) -> str:
-    """The text of a page: no scripts, styles and comments, a line for each block element, entities decoded, blanks of a line joined."""
+    """The text of a page: no scripts, styles and comments, a line for each block element, a blank for other tags, entities decoded, blanks of a line joined."""
     return Page(page).text
 
 
