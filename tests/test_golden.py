@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry, intervals, text
-from tidemark.operators import greedy, identity, ledger, overlap, reports, sequential, states, timeline
+from tidemark.operators import greedy, identity, ledger, overlap, policies, reports, sequential, states, timeline
 
 
 def rows(df, *cols):
@@ -208,3 +208,63 @@ def test_empty_tables(spark):
     assert greedy.source_window_dedup(none).count() == 0
     assert overlap.overlapping_pairs(none, ["source"], "ordinal").count() == 0
     assert timeline.rides(none, ["source"]).count() == 0
+
+
+def test_rides_of_different_known_tracks_stay_apart(spark):
+    rows_ = [(0, "v", 0.0, 10.0, 5, "a", None), (1, "v", 12.0, 20.0, 6, "b", None), (2, "v", 22.0, 30.0, 7, None, None), (3, "v", 32.0, 40.0, 7, "a", None), (4, "v", 41.0, 50.0, 9, "a", 1.0)]
+    df = spark.createDataFrame(rows_, "ordinal long, source string, start double, end double, score int, track string, outcome double")
+    got = [(r.start, r.end, r.fragments) for r in timeline.merged_rides(df, ["source"], "track").orderBy("start").collect()]
+    assert got == [(0.0, 10.0, 1), (12.0, 50.0, 4)]  # only neighbours are compared: b, unknown, a, a
+
+
+def test_descriptions_merge_into_the_first_cluster_only(spark):
+    clusters = spark.createDataFrame([(1, "red cap"), (2, "red cap"), (3, "red cap"), (4, ""), (5, ""), (6, None), (7, "red cap")], "cluster long, description string")
+    members = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (4, 12), (5, 13), (6, 14), (7, 11)], "cluster long, clip long")
+    got = {r.cluster: r.merged_into for r in identity.merge_by_description(clusters, members).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}  # 2 shares a clip with 1, 7 with what 1 holds by then
+
+
+def test_slow_runs_hold_both_ends(spark):
+    def places(flags):
+        df = spark.createDataFrame([("r", k, f) for k, f in enumerate(flags)], "reel string, ordinal long, slow boolean")
+        return [r.ordinal for r in sequential.slow_runs_broken(df, "reel").orderBy("place").collect()]
+
+    assert places([True, True, True, False]) == [0, 1, 2, 3]
+    assert places([True, True, False, True]) == [0, 2, 1, 3]
+    assert places([True, True, True, False, False, True]) == [0, 3, 2, 4, 1, 5]
+    assert places([True, True]) == [0, 1] and places([True]) == [0]
+
+
+def test_scored_parts_count_fades_and_slow_motion(spark):
+    rows_ = [("r", k, 0.0, 28.4, 5, True) for k in range(3)]
+    df = spark.createDataFrame(rows_, "reel string, ordinal long, start double, end double, score int, slow boolean")
+    assert {r.part for r in sequential.scored_parts(df, "reel").collect()} == {0}  # 85.2 less two fades
+    assert sorted(r.part for r in sequential.scored_parts(df, "reel", slow="slow").collect()) == [0, 0, 1]  # and 0.15 of the best
+    long = df.limit(1).withColumn("end", F.lit(200.0))
+    assert [(r.part, r.seconds) for r in sequential.scored_parts(long, "reel").collect()] == [(0, 200.0)]
+
+
+def test_ledger_takes_second_choices(spark):
+    used = spark.createDataFrame([(1, "a", "x", 0.0, 5.0, None, None), (2, "a", "x", 0.0, 5.0, None, None)], "used_id long, source string, event_type string, start double, end double, original_start double, original_end double")
+    up = spark.createDataFrame([(11, "a", "x", 0.0, 5.0, 1, None), (12, None, "x", 0.0, 5.0, 1, None)], "candidate_id long, source string, event_type string, start double, end double, score int, discard_cause string")
+    got = {r.used_id: (r.candidate_id, r.match) for r in ledger.reconciled(used, up).collect()}
+    assert got == {1: (11, "matched"), 2: (12, "matched")}
+
+
+def test_drafts_of_the_same_windows(spark):
+    m = [(1, 0, None, "v", 0.1, 5.0, None, 5, None, None, False), (2, 0, None, "v", 0.0, 5.1, None, 7, 0.5, 2.0, False), (2, 1, None, "v", 0.0, 2.0, None, 9, None, None, True), (3, 0, "f", "v", 0.0, 5.0, None, 5, None, None, False)]
+    moments = spark.createDataFrame(m, "draft long, ordinal long, fingerprint string, source string, start double, end double, track string, score int, visible double, confidence double, teaser boolean")
+    drafts = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 3)], "draft long, ordinal long")
+    got = {r.draft: (r.quality, r.kept, r.rival) for r in greedy.draft_fingerprint_dedup(drafts, moments).collect()}
+    assert got == {1: (7.0, False, 2), 2: (8.5, True, None), 3: (7.0, True, None), 4: (0.0, True, None)}
+
+
+def test_a_social_moment_passes_and_a_lost_actor_does_not(spark):
+    row = spark.range(1)
+    none = F.lit(None)
+    reasons = policies.ambiguity_reasons({"target_lost": F.lit(True)}, {}, none.cast("boolean"), none.cast("double"), {}, F.lit(False), none.cast("boolean"), F.lit("identity switches here"), none.cast("boolean"))
+    actor = policies.primary_actor(reasons, F.lit("a"), none.cast("boolean"), F.lit(0.25), F.lit(3), none.cast("boolean"))
+    gate = policies.multi_person_gate(actor["decision"], F.array(F.lit("a"), F.lit("b")), none.cast("boolean"), none.cast("array<string>"), F.lit("Celebration"), none.cast("string"))
+    r = row.select(actor.alias("a"), gate.alias("g")).first()
+    assert (r.a.decision, r.a.defect, r.a.reasons) == ("review_required", "IDENTITY_SWITCH", ["target_lost", "identity_switch_description", "primary_continuity_ratio:0.250"])
+    assert (r.g.decision, r.g.social, r.g.visible) == ("allowed_social_moment", True, 2)

@@ -55,3 +55,56 @@ def test_once_and_sink(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("k", "v").collect()] == [(1, "b")]
     late = live.late_rows(spark.createDataFrame([(5.0, 0.0, 10.0), (10.5, 0.0, 10.0), (12.0, 0.0, 10.0)], "t double, lo double, hi double"), "t", "lo", "hi")
     assert [(r.t, r.place) for r in late.orderBy("t", "place").collect()] == [(5.0, "inside"), (10.0, "clamped"), (12.0, "outside_chunk_bounds")]
+
+
+def events_stream(spark, sf_dir, folder, parts=4):
+    """The events as a stream of some files in order of time, one a batch."""
+    e = live.event_time(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    e.repartitionByRange(parts, "ts").write.parquet(str(folder))
+    return e, spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def drained(df, name, folder, mode):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(folder)).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    return df.sparkSession.table(name)
+
+
+def test_quiet_sessions_on_a_stream(spark, sf_dir, tmp_path):
+    """Every session that the watermark has passed comes once, with the rows that the batch form gives it."""
+    e, stream = events_stream(spark, sf_dir, tmp_path / "in")
+    got = [(r.user_id, r.first, r.past, r.rows) for r in drained(live.quiet_sessions(stream, ["user_id"], quiet="2 hours", late="0 seconds"), "quiet", tmp_path / "c", "append").collect()]
+    want = {(r.user_id, r.first, r.past, r.rows) for r in live.quiet_sessions(e, ["user_id"], quiet="2 hours").collect()}
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) > 0.7 * len(want)
+
+
+def test_once_on_a_stream(spark, sf_dir, tmp_path):
+    e, stream = events_stream(spark, sf_dir, tmp_path / "in")
+    got = [r.user_id for r in drained(live.once(stream, "user_id", late="1000 days"), "once", tmp_path / "c", "append").collect()]
+    assert sorted(got) == sorted({r.user_id for r in e.collect()})
+
+
+def test_rate_limit_on_a_stream(spark, sf_dir, tmp_path):
+    e, stream = events_stream(spark, sf_dir, tmp_path / "in")
+    count = lambda df: live.sliding_counts(df, ["event_type"], 2, width="2 hours", slide="1 hour", late="0 seconds")
+    got = {(r.event_type, r.start): r.rows for r in drained(count(stream), "sliding", tmp_path / "c", "update").groupBy("event_type", "start").agg(F.max("rows").alias("rows")).collect()}
+    assert got == {(r.event_type, r.start): r.rows for r in count(e).collect()}
+
+
+def test_allowed_and_latest_on_a_stream(spark, sf_dir, tmp_path):
+    e, stream = events_stream(spark, sf_dir, tmp_path / "in")
+    kinds = ["view", "purchase"]
+    status = live.latest_status(live.allowed_events(stream, "event_type", kinds).select("user_id", "ts", "event_type"), "user_id", "ts", "event_type")
+    rows = drained(status, "latest", tmp_path / "c", "update").groupBy("key").agg(F.max_by("value", "at_ns").alias("value")).collect()
+    want = e.where(F.col("event_type").isin(kinds)).groupBy("user_id").agg(F.max_by("event_type", "ts").alias("value")).collect()
+    assert {r.key: r.value for r in rows} == {str(r.user_id): r.value for r in want}
+
+
+def test_digests_of_files_larger_than_a_chunk(spark, tmp_path):
+    import hashlib
+
+    data = bytes(range(256)) * 5000
+    (tmp_path / "large.bin").write_bytes(data)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    got = {r.key.rsplit("/", 1)[1]: r.sha256 for r in readers.file_digests(spark, str(tmp_path), chunk=1000).collect()}
+    assert got == {"large.bin": hashlib.sha256(data).hexdigest(), "empty.bin": hashlib.sha256(b"").hexdigest()}

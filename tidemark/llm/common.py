@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,13 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's own checkpoint folder. Without either a
-    ValueError: no other folder is known to be seen by all. In local mode a folder of the warehouse does, as all run on one machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's own checkpoint folder. Without either a cluster's
+    session gets a ValueError, since no other folder is known to be seen by all; a local one, which is one process, a new temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root and spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.scratch"
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 

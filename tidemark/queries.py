@@ -6,6 +6,8 @@ event), of a person (the user), with a score; and points with a track and a box.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -304,12 +306,15 @@ def q29_components(spark, d):
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; without one, and without any set, a local session's go to its warehouse."""
+    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir. Without one, and without any set, a cluster's session gets a ValueError, a
+    local one, which is one process, a new temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named or not spark.sparkContext.getCheckpointDir():
-        if not named and not spark.sparkContext.master.startswith("local"):
+    if named:
+        spark.sparkContext.setCheckpointDir(named)
+    elif not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
 
 
 @query("""with c as (select l_orderkey as cluster, l_linenumber % 3 as clip, l_suppkey % 4 as n from lineitem), x as (select cluster, count(*) > count(distinct clip) as same_clip, count(distinct case when n > 0 then n end) > 1 as numbers from c group by 1)

@@ -11,9 +11,6 @@ from tidemark.plans import sessions
 from tidemark.queries import _DETECTIONS, _MOMENTS, detections, moments, query, table
 from tidemark.sources import sinks
 
-E = F.col("event_id")
-NONE = F.lit(None)
-
 
 def events(spark, d):
     return table(spark, d, "events")
@@ -27,27 +24,30 @@ def joined(column):
     select event_id, case when event_id % 6 > 2 then try_cast(t as double) end as number, cast(greatest(10, least(500, coalesce(case when event_id % 6 > 2 then try_cast(t as double) end, 5))) as double) as clamped,
     cast(case when event_id % 4 = 0 then 7 else greatest(0, event_id % 9 - event_id % 5) end as bigint) as seconds, event_id % 9 > event_id % 5 and event_id % 7 > 0 as valid from x""")
 def q82_numbers_and_windows(spark, d):
-    said = F.when(E % 6 == 0, "none").when(E % 6 == 1, "").when(E % 6 == 2, "nan").otherwise(F.floor(E / 3).cast("string"))
+    e_id = F.col("event_id")
+    said = F.when(e_id % 6 == 0, "none").when(e_id % 6 == 1, "").when(e_id % 6 == 2, "nan").otherwise(F.floor(e_id / 3).cast("string"))
     number = intervals.optional_number(said)
-    source = F.when(E % 7 > 0, "clip").otherwise(" ")
-    seconds = intervals.duration(E % 5, E % 9, F.when(E % 4 == 0, F.lit(7)))
-    return events(spark, d).select("event_id", number.alias("number"), intervals.clamp(F.coalesce(number, F.lit(5.0)), 10.0, 500.0).alias("clamped"), seconds.cast("long").alias("seconds"), intervals.valid_window(E % 5, E % 9, source).alias("valid"))
+    source = F.when(e_id % 7 > 0, "clip").otherwise(" ")
+    seconds = intervals.duration(e_id % 5, e_id % 9, F.when(e_id % 4 == 0, F.lit(7)))
+    return events(spark, d).select("event_id", number.alias("number"), intervals.clamp(F.coalesce(number, F.lit(5.0)), 10.0, 500.0).alias("clamped"), seconds.cast("long").alias("seconds"), intervals.valid_window(e_id % 5, e_id % 9, source).alias("valid"))
 
 
 @query("""with x as (select event_id, event_id % 30 + event_id % 8 / 8.0 as s, event_id % 30 + event_id % 8 / 8.0 + event_id % 16 / 4.0 as e from events),
     y as (select *, case when round_even((s - floor(s + 1e-9)) * 100, 0) < 60 then floor(s + 1e-9) * 60 + round_even((s - floor(s + 1e-9)) * 100, 0) end as ms, case when round_even((e - floor(e + 1e-9)) * 100, 0) < 60 then floor(e + 1e-9) * 60 + round_even((e - floor(e + 1e-9)) * 100, 0) end as me from x),
     z as (select *, coalesce(e - s < 5 and me - ms >= 5, false) as use from y) select event_id, cast(8 * case when use then ms else s end as bigint) as start8, cast(8 * case when use then me else e end as bigint) as end8, case when use then 'minute_second' else 'decimal_seconds' end as encoding from z""")
 def q83_recovered_windows(spark, d):
-    s = (E % 30).cast("double") + (E % 8) / 8
-    r = intervals.recovered(s, s + (E % 16) / 4)
+    e_id = F.col("event_id")
+    s = (e_id % 30).cast("double") + (e_id % 8) / 8
+    r = intervals.recovered(s, s + (e_id % 16) / 4)
     return events(spark, d).withColumn("r", r).select("event_id", F.rint(F.col("r.start") * 8).cast("long").alias("start8"), F.rint(F.col("r.end") * 8).cast("long").alias("end8"), F.col("r.encoding").alias("encoding"))
 
 
 @query("""with x as (select event_id, event_id % 12 as a, event_id % 12 + event_id % 7 as b, event_id % 20 as c, case when event_id % 5 > 0 then event_id % 20 + event_id % 4 end as d from events)
     select event_id, case when d is not null then greatest(0, c - b, a - d) end as gap, case when d is not null then 8 * greatest(0, least(b, d) - greatest(a, c)) // nullif(case when least(b - a, d - c) > 0 then least(b - a, d - c) end, 0) end as share8 from x""")
 def q84_gaps(spark, d):
-    a, b, c = E % 12, E % 12 + E % 7, E % 20
-    end = F.when(E % 5 > 0, c + E % 4)
+    e_id = F.col("event_id")
+    a, b, c = e_id % 12, e_id % 12 + e_id % 7, e_id % 20
+    end = F.when(e_id % 5 > 0, c + e_id % 4)
     shorter = F.least(b - a, end - c)
     share = F.when(end.isNotNull() & (shorter > 0), F.floor(intervals.overlap_ratio(a, b, c, end) * 8 + 1e-9))
     return events(spark, d).select("event_id", intervals.gap_seconds(a, b, c, end).alias("gap"), share.alias("share8"))
@@ -72,12 +72,13 @@ def q85_text_similarity(spark, d):
     cast(round_even(1000 * (score * 0.75 + greatest(0, least(1, coalesce(v, 1))) * 1.5 + greatest(0, least(1, coalesce(c, 1)))), 0) as bigint) as guard,
     cast(round_even(1000 * (score * 10 + event_id % 4 * 3 - greatest(0, s - 8) * 0.7 - case when box then 8 else 0 end), 0) as bigint) as impact from x""")
 def q86_qualities(spark, d):
-    score, v, c = E % 11, F.when(E % 5 > 0, (E % 10) / 8), F.when(E % 3 > 0, (E % 9) / 8)
+    e_id = F.col("event_id")
+    score, v, c = e_id % 11, F.when(e_id % 5 > 0, (e_id % 10) / 8), F.when(e_id % 3 > 0, (e_id % 9) / 8)
     whole = lambda x: F.rint(x * 1000).cast("long")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     return events(spark, d).select(
-        "event_id", whole(scores.dedup_quality(score, zero(v), zero(c), (E % 20).cast("double"), E % 2 == 0, E % 7 < 3)).alias("dedup"), whole(scores.guard_quality(score.cast("double"), v, c)).alias("guard"),
-        whole(scores.impact(score, E % 4, (E % 20).cast("double"), E % 2 == 0)).alias("impact"),
+        "event_id", whole(scores.dedup_quality(score, zero(v), zero(c), (e_id % 20).cast("double"), e_id % 2 == 0, e_id % 7 < 3)).alias("dedup"), whole(scores.guard_quality(score.cast("double"), v, c)).alias("guard"),
+        whole(scores.impact(score, e_id % 4, (e_id % 20).cast("double"), e_id % 2 == 0)).alias("impact"),
     )
 
 
@@ -85,12 +86,13 @@ def q86_qualities(spark, d):
     case when least(event_id % 3000, event_id % 2900 + 1) = 0 then 'unknown' when least(event_id % 3000, event_id % 2900 + 1) >= 2160 then '4k' when least(event_id % 3000, event_id % 2900 + 1) >= 1440 then '1440p' when least(event_id % 3000, event_id % 2900 + 1) >= 1080 then '1080p' when least(event_id % 3000, event_id % 2900 + 1) >= 720 then '720p' else 'low' end as tier,
     event_id % 11 >= 6 or (event_type = 'view' and event_id % 13 > 0) as admitted, case when event_id % 4 = 3 and event_id % 6 <> 4 then 'slide' else ['cut', 'fade', 'slide', 'zoom'][event_id % 4 + 1] end as transition from events""")
 def q87_completion_tier_admission(spark, d):
-    part = scores.wave_completion(F.when(E % 2 == 1, E), F.when(E % 3 == 2, E), F.when(E % 5 == 4, E % 40), F.lit(25))
-    failed = scores.failed_takeoff(F.when(E % 13 == 0, "Missed the wave again").otherwise("fine"), NONE.cast("string"))
-    wanted = F.element_at(F.array(*(F.lit(x) for x in ("cut", "fade", "slide", "zoom"))), (E % 4 + 1).cast("int"))
+    e_id = F.col("event_id")
+    part = scores.wave_completion(F.when(e_id % 2 == 1, e_id), F.when(e_id % 3 == 2, e_id), F.when(e_id % 5 == 4, e_id % 40), F.lit(25))
+    failed = scores.failed_takeoff(F.when(e_id % 13 == 0, "Missed the wave again").otherwise("fine"), F.lit(None).cast("string"))
+    wanted = F.element_at(F.array(*(F.lit(x) for x in ("cut", "fade", "slide", "zoom"))), (e_id % 4 + 1).cast("int"))
     return events(spark, d).select(
-        "event_id", F.rint(part * 10).cast("long").alias("tenths"), scores.render_tier(E % 3000, E % 2900 + 1).alias("tier"), scores.admitted(E % 11, F.col("event_type") == "view", failed).alias("admitted"),
-        scores.transitions(E % 6, F.lit(5), wanted).alias("transition"),
+        "event_id", F.rint(part * 10).cast("long").alias("tenths"), scores.render_tier(e_id % 3000, e_id % 2900 + 1).alias("tier"), scores.admitted(e_id % 11, F.col("event_type") == "view", failed).alias("admitted"),
+        scores.transitions(e_id % 6, F.lit(5), wanted).alias("transition"),
     )
 
 
@@ -111,10 +113,11 @@ def q88_keys_and_labels(spark, d):
     array_to_string(list_filter([case when event_id % 120 = 0 then 'missing_duration' end, case when event_id % 120 > 90 then 'too_long' end, case when event_id % 2000 + 1 < 1280 then 'low_resolution' end,
         case when abs((event_id % 1100) / (event_id % 2000 + 1) - 9.0 / 16) > 0.02 then 'wrong_aspect' end, case when event_id % 3 = 0 then 'audio_unknown' end, case when event_id % 3 = 1 then 'audio_present' end], lambda x: x is not null), ',') as issues from events""")
 def q89_qa_rules(spark, d):
-    kind = F.element_at(F.array(*(F.lit(x) for x in ("DUPLICATE_MOMENT", "SHAKY", "DARK", "BLUR", "OTHER"))), (E % 5 + 1).cast("int"))
-    blocking = scores.blocking(F.when((E % 5 == 0) & (E % 7 == 0), "OTHER").otherwise(kind), F.when(E % 3 == 0, "Critical").otherwise("minor"), ["DUPLICATE_MOMENT"], ["SHAKY"])
-    audio = F.when(E % 3 == 1, True).when(E % 3 == 2, False)
-    return events(spark, d).select("event_id", blocking.alias("blocking"), scores.verdict(E % 3 > 0, E % 100, E % 4).alias("verdict"), joined(scores.output_issues(E % 1100, E % 2000 + 1, E % 120, audio)).alias("issues"))
+    e_id = F.col("event_id")
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("DUPLICATE_MOMENT", "SHAKY", "DARK", "BLUR", "OTHER"))), (e_id % 5 + 1).cast("int"))
+    blocking = scores.blocking(F.when((e_id % 5 == 0) & (e_id % 7 == 0), "OTHER").otherwise(kind), F.when(e_id % 3 == 0, "Critical").otherwise("minor"), ["DUPLICATE_MOMENT"], ["SHAKY"])
+    audio = F.when(e_id % 3 == 1, True).when(e_id % 3 == 2, False)
+    return events(spark, d).select("event_id", blocking.alias("blocking"), scores.verdict(e_id % 3 > 0, e_id % 100, e_id % 4).alias("verdict"), joined(scores.output_issues(e_id % 1100, e_id % 2000 + 1, e_id % 120, audio)).alias("issues"))
 
 
 _NARRATIVE = """n as (select event_id, event_type, user_id, event_id % 11 as score, case when event_id % 5 > 0 then event_id % 10 / 8.0 end as v, case when event_id % 3 > 0 then event_id % 9 / 8.0 end as c, ['valid', 'adjusted', 'rejected', 'odd'][event_id % 4 + 1] as w,
@@ -125,11 +128,12 @@ b as (select *, score * 0.6 + greatest(0, least(1, coalesce(v, 1))) * 1.6 + grea
 
 
 def narrative(spark, d):
-    v, c = F.when(E % 5 > 0, (E % 10) / 8), F.when(E % 3 > 0, (E % 9) / 8)
-    status = F.element_at(F.array(*(F.lit(x) for x in ("valid", "adjusted", "rejected", "odd"))), (E % 4 + 1).cast("int"))
-    known = policies.identity_known(F.when(E % 6 == 0, "Low"), F.when(E % 17 == 0, True))
-    labels = F.array_compact(F.array(F.when(E % 2 == 0, "FULL_RIDE"), F.when(E % 3 == 0, "FALL"), F.when(E % 5 == 0, "BORING"), F.when(E % 7 == 0, "BAD_CROP"), F.lit("HERO")))
-    return events(spark, d).select("event_id", "event_type", "user_id", policies.quality_evidence(v, c, status, known).alias("evidence"), policies.narrative_quality((E % 11).cast("double"), v, c, E % 2 == 0, E % 3 == 0, status, known).alias("base"), labels.alias("labels"))
+    e_id = F.col("event_id")
+    v, c = F.when(e_id % 5 > 0, (e_id % 10) / 8), F.when(e_id % 3 > 0, (e_id % 9) / 8)
+    status = F.element_at(F.array(*(F.lit(x) for x in ("valid", "adjusted", "rejected", "odd"))), (e_id % 4 + 1).cast("int"))
+    known = policies.identity_known(F.when(e_id % 6 == 0, "Low"), F.when(e_id % 17 == 0, True))
+    labels = F.array_compact(F.array(F.when(e_id % 2 == 0, "FULL_RIDE"), F.when(e_id % 3 == 0, "FALL"), F.when(e_id % 5 == 0, "BORING"), F.when(e_id % 7 == 0, "BAD_CROP"), F.lit("HERO")))
+    return events(spark, d).select("event_id", "event_type", "user_id", policies.quality_evidence(v, c, status, known).alias("evidence"), policies.narrative_quality((e_id % 11).cast("double"), v, c, e_id % 2 == 0, e_id % 3 == 0, status, known).alias("base"), labels.alias("labels"))
 
 
 @query(f"""with {_NARRATIVE} select event_id, evidence, cast(round(base * 1000) as bigint) as base1000, cast(round(1000 * (base + len(list_intersect(labels, ['FULL_RIDE', 'FALL'])) - 1.5 * len(list_intersect(labels, ['BORING', 'BAD_CROP'])))) as bigint) as value1000,
@@ -145,9 +149,10 @@ def q90_editorial_value(spark, d):
     r as (select draft, k, q, first_value(draft) over (partition by k order by q desc, draft) as best from g)
     select a.draft, cast(coalesce(q, 0) as bigint) as quality, coalesce(best = a.draft, true) as kept, case when best <> a.draft then best end as rival from a left join r using (draft)""")
 def q91_draft_duplicates(spark, d):
+    e_id = F.col("event_id")
     m = events(spark, d).select(
-        E.alias("ordinal"), F.floor(E / 4).alias("draft"), (E % 9 == 0).alias("teaser"), (E % 11).alias("score"), F.when(E % 5 == 0, F.concat(F.lit("fp"), F.col("user_id").cast("string"))).alias("fingerprint"), F.when(E % 7 > 0, F.col("event_type")).alias("source"),
-        (E % 3).cast("double").alias("start"), (E % 3 + F.col("user_id") % 2).cast("double").alias("end"), NONE.cast("string").alias("track"), NONE.cast("double").alias("visible"), NONE.cast("double").alias("confidence"),
+        e_id.alias("ordinal"), F.floor(e_id / 4).alias("draft"), (e_id % 9 == 0).alias("teaser"), (e_id % 11).alias("score"), F.when(e_id % 5 == 0, F.concat(F.lit("fp"), F.col("user_id").cast("string"))).alias("fingerprint"), F.when(e_id % 7 > 0, F.col("event_type")).alias("source"),
+        (e_id % 3).cast("double").alias("start"), (e_id % 3 + F.col("user_id") % 2).cast("double").alias("end"), F.lit(None).cast("string").alias("track"), F.lit(None).cast("double").alias("visible"), F.lit(None).cast("double").alias("confidence"),
     )
     drafts = m.select("draft", F.col("draft").alias("o")).distinct().withColumnRenamed("o", "ordinal")
     return greedy.draft_fingerprint_dedup(drafts, m).select("draft", F.rint("quality").cast("long").alias("quality"), "kept", "rival")
@@ -158,9 +163,10 @@ _DECIDED = f"""c as (select event_id, event_id % 3 = 0 as selected, event_id % 2
 
 
 def decided(spark, d):
-    stage = F.element_at(F.array(*(F.lit(x) for x in _STAGES)), (E % 6 + 1).cast("int"))
-    cause = F.when(E % 5 > 0, F.concat(F.lit("cause_"), (E % 5).cast("string")))
-    return events(spark, d).select("event_id", (E % 3 == 0).alias("selected"), (E % 2 == 0).alias("pre"), stage.alias("stage"), cause.alias("cause"), F.when(F.col("user_id") % 50 > 0, F.col("user_id").cast("string")).alias("person"), (E % 11).alias("score"))
+    e_id = F.col("event_id")
+    stage = F.element_at(F.array(*(F.lit(x) for x in _STAGES)), (e_id % 6 + 1).cast("int"))
+    cause = F.when(e_id % 5 > 0, F.concat(F.lit("cause_"), (e_id % 5).cast("string")))
+    return events(spark, d).select("event_id", (e_id % 3 == 0).alias("selected"), (e_id % 2 == 0).alias("pre"), stage.alias("stage"), cause.alias("cause"), F.when(F.col("user_id") % 50 > 0, F.col("user_id").cast("string")).alias("person"), (e_id % 11).alias("score"))
 
 
 @query(f"""with {_DECIDED} select event_id, case when selected and pre then 'analyzer_selected,prefilter_passed,draft_uploaded' when selected then 'analyzer_selected,draft_uploaded' when stage = 'selector' then 'selector,' || coalesce(cause, 'None')
@@ -184,7 +190,8 @@ def q93_person_summary(spark, d):
 @query(f"""with {_NARRATIVE}, x as (select user_id as draft, case when event_id % 4 > 0 then event_type end as decision, labels from n), l as (select draft, string_agg(label || '=' || k, ',' order by label) as labels from (select draft, label, count(*) as k from (select draft, unnest(labels) as label from x) group by 1, 2) group by 1),
     q as (select draft, string_agg(decision || '=' || k, ',' order by decision) as decisions, sum(k)::bigint as entries from (select draft, coalesce(decision, 'unknown') as decision, count(*) as k from x group by 1, 2) group by 1) select draft, entries, decisions, labels from q left join l using (draft)""")
 def q94_ledger_summary(spark, d):
-    rows = narrative(spark, d).select(F.col("user_id").alias("draft"), F.when(E % 4 > 0, F.col("event_type")).alias("decision"), "labels")
+    e_id = F.col("event_id")
+    rows = narrative(spark, d).select(F.col("user_id").alias("draft"), F.when(e_id % 4 > 0, F.col("event_type")).alias("decision"), "labels")
     flat = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
     return reports.ledger_summary(rows, "draft").withColumn("decisions", flat("decisions")).withColumn("labels", flat("labels"))
 
@@ -200,14 +207,15 @@ g as (select *, case when blocked then 'review_required' when sure then 'allowed
 
 
 def actors(spark, d):
+    e_id = F.col("event_id")
     e = events(spark, d)
     reasons = policies.ambiguity_reasons(
-        {"identity_switch": F.when(E % 13 == 0, True), "target_lost": E % 19 == 0}, {"primary_actor_status": F.when(E % 8 == 3, "Occluded").otherwise("stable")}, F.when(E % 23 == 0, False).when(E % 4 == 0, True),
-        F.when(E % 16 < 3, (E % 16 + 1) / 8).otherwise(0.75), {"multiple_active_subjects": E % 5 == 0}, E % 2 == 1, E % 29 == 0, F.when(E % 31 == 0, "The camera loses track of the target"), E % 7 == 0,
+        {"identity_switch": F.when(e_id % 13 == 0, True), "target_lost": e_id % 19 == 0}, {"primary_actor_status": F.when(e_id % 8 == 3, "Occluded").otherwise("stable")}, F.when(e_id % 23 == 0, False).when(e_id % 4 == 0, True),
+        F.when(e_id % 16 < 3, (e_id % 16 + 1) / 8).otherwise(0.75), {"multiple_active_subjects": e_id % 5 == 0}, e_id % 2 == 1, e_id % 29 == 0, F.when(e_id % 31 == 0, "The camera loses track of the target"), e_id % 7 == 0,
     )
     e = e.withColumn("reasons", reasons)
-    continuity = F.when(E % 6 > 0, (E % 8) / 8)
-    actor = policies.primary_actor(F.col("reasons"), F.when(E % 3 > 0, F.col("user_id")), F.when(E % 23 == 0, False).when(E % 4 == 0, True), continuity, E % 4, E % 29 == 0)
+    continuity = F.when(e_id % 6 > 0, (e_id % 8) / 8)
+    actor = policies.primary_actor(F.col("reasons"), F.when(e_id % 3 > 0, F.col("user_id")), F.when(e_id % 23 == 0, False).when(e_id % 4 == 0, True), continuity, e_id % 4, e_id % 29 == 0)
     return e.withColumn("actor", actor)
 
 
@@ -221,15 +229,17 @@ def q95_primary_actor(spark, d):
 @query(f"""with {_ACTOR}, s as (select g.*, event_id % 37 = 0 or event_id % 41 = 0 or event_id % 43 = 0 or event_id % 47 = 0 as social from g)
     select event_id, case when social then 'allowed_social_moment' else decision end as decision, social, 1 + cast(event_id % 3 > 0 as int) + cast(event_id % 3 > 1 as int) as visible from s""")
 def q96_multi_person_gate(spark, d):
+    e_id = F.col("event_id")
     a = actors(spark, d)
-    ids = F.array(F.lit("a"), F.when(E % 3 > 0, "b"), F.when(E % 3 > 1, "c"), F.lit("a"))
-    gate = policies.multi_person_gate(F.col("actor.decision"), ids, F.when(E % 37 == 0, True), F.when(E % 41 == 0, F.array(F.lit("HIGH_FIVE"))), F.when(E % 43 == 0, "Team-Interaction"), F.when(E % 47 == 0, "a High Five"))
+    ids = F.array(F.lit("a"), F.when(e_id % 3 > 0, "b"), F.when(e_id % 3 > 1, "c"), F.lit("a"))
+    gate = policies.multi_person_gate(F.col("actor.decision"), ids, F.when(e_id % 37 == 0, True), F.when(e_id % 41 == 0, F.array(F.lit("HIGH_FIVE"))), F.when(e_id % 43 == 0, "Team-Interaction"), F.when(e_id % 47 == 0, "a High Five"))
     return a.withColumn("g", gate).select("event_id", F.col("g.decision").alias("decision"), F.col("g.social").alias("social"), F.col("g.visible").alias("visible"))
 
 
 @query(f"""with {_ACTOR} select event_id, len(reasons) > 0 as focused, case when len(reasons) > 0 then event_id + 2 else event_id end as start, case when len(reasons) > 0 then event_id + 2 + event_id % 12 else event_id + 20 end as "end" from a where len(reasons) = 0 or (event_id % 5 > 0 and event_id % 12 >= 6)""")
 def q97_focused_or_dropped(spark, d):
-    a = actors(spark, d).withColumns({"start": E, "end": E + 20, "focused_start": E + 2, "focused_end": F.when(E % 5 > 0, E + 2 + E % 12)})
+    e_id = F.col("event_id")
+    a = actors(spark, d).withColumns({"start": e_id, "end": e_id + 20, "focused_start": e_id + 2, "focused_end": F.when(e_id % 5 > 0, e_id + 2 + e_id % 12)})
     return policies.focused_or_dropped(a, F.col("reasons")).select("event_id", "focused", "start", "end")
 
 
@@ -237,9 +247,10 @@ def q97_focused_or_dropped(spark, d):
     select e.event_id, case when e.event_id % 4 > 0 then 'not_needed' when c.event_id is not null then 'clean_subwindow_rescued' else 'no_clean_subwindow_found' end as rescue, case when e.event_id % 4 = 0 and c.event_id is not null then s else e.event_id end as start, case when e.event_id % 4 = 0 and c.event_id is not null then t else e.event_id + 30 end as "end",
     case when e.event_id % 4 = 0 and c.event_id is not null then user_id else user_id % 7 end as track, case when e.event_id % 4 > 0 or c.event_id is null then user_id % 5 end as athlete from events e left join c using (event_id)""")
 def q98_rescued(spark, d):
+    e_id = F.col("event_id")
     u = F.col("user_id")
-    e = events(spark, d).select("event_id", E.alias("start"), (E + 30).alias("end"), (E % 4 == 0).alias("defect"), u.alias("primary"), (u % 7).alias("track"), (u % 5).alias("athlete"))
-    clean = events(spark, d).where(F.col("event_type").isin("view", "click")).select("event_id", (E + 3).alias("start"), (E + 11).alias("end"))
+    e = events(spark, d).select("event_id", e_id.alias("start"), (e_id + 30).alias("end"), (e_id % 4 == 0).alias("defect"), u.alias("primary"), (u % 7).alias("track"), (u % 5).alias("athlete"))
+    clean = events(spark, d).where(F.col("event_type").isin("view", "click")).select("event_id", (e_id + 3).alias("start"), (e_id + 11).alias("end"))
     return policies.rescued(e, clean, "event_id", "defect", "primary", ["athlete"]).select("event_id", "rescue", "start", "end", "track", "athlete")
 
 
@@ -271,8 +282,9 @@ def q100_run_metrics(spark, d):
     select *, greatest(expected - evaluated, 0) as unevaluated, round(explicit / greatest(expected, evaluated), 3) as evidence_rate, case when evaluated > 0 then round(violations / evaluated, 3) else 0 end as violation_rate,
     case when violations > 0 then 'hard_block' when explicit < evaluated or expected > evaluated then 'inconclusive' else 'pass' end as status from b""")
 def q101_policy_rollup(spark, d):
+    e_id = F.col("event_id")
     bad = (F.col("event_type") == "error") & (F.col("user_id") % 3 == 0)
-    w = events(spark, d).select(F.col("user_id").alias("run"), F.when(E % 7 > 0, F.when(bad, "review_required").otherwise("allowed")).alias("decision"), (E % 4 == 0).alias("others_allowed"))
+    w = events(spark, d).select(F.col("user_id").alias("run"), F.when(e_id % 7 > 0, F.when(bad, "review_required").otherwise("allowed")).alias("decision"), (e_id % 4 == 0).alias("others_allowed"))
     k = F.col("c_custkey")
     expected = table(spark, d, "customer").select(k.alias("run"), F.when(k % 2 == 0, k % 90).alias("traced"), (k % 70).alias("drafts"), F.lit(1).cast("long").alias("reported"))
     return reports.policy_rollup(w, "run", expected)
@@ -283,9 +295,10 @@ def q101_policy_rollup(spark, d):
     select run, defects, critical, still_failing, cast(uploaded as int) as uploaded, coalesce(c_custkey % 9, 0) as draft_count, flagged, greatest(uploaded - flagged, 0) as unflagged, critical > 0 and uploaded > flagged as bypass,
     case when uploaded > 0 and coalesce(c_custkey % 9, 0) > 0 then abs(uploaded - c_custkey % 9) else 0 end as mismatch from g left join customer on c_custkey = run""")
 def q102_qa_log(spark, d):
-    line = F.when(E % 6 == 0, F.concat(F.lit("uploaded "), (E % 8).cast("string"), F.lit(" drafts"))).when(E % 6 == 1, "defect BAD_CROP and CUT_TOO_EARLY").when(E % 6 == 2, "uploading FLAGGED draft").when(E % 6 == 3, "name QA-FLAGGED x").when(E % 6 == 4, "QA still failing").otherwise("WRONG_ATHLETE seen")
+    e_id = F.col("event_id")
+    line = F.when(e_id % 6 == 0, F.concat(F.lit("uploaded "), (e_id % 8).cast("string"), F.lit(" drafts"))).when(e_id % 6 == 1, "defect BAD_CROP and CUT_TOO_EARLY").when(e_id % 6 == 2, "uploading FLAGGED draft").when(e_id % 6 == 3, "name QA-FLAGGED x").when(e_id % 6 == 4, "QA still failing").otherwise("WRONG_ATHLETE seen")
     drafts = table(spark, d, "customer").select(F.col("c_custkey").alias("run"), (F.col("c_custkey") % 9).alias("draft_count"))
-    return reports.qa_log(events(spark, d).select(F.col("user_id").alias("run"), E.alias("place"), line.alias("line")), "run", drafts, critical=["WRONG_ATHLETE"])
+    return reports.qa_log(events(spark, d).select(F.col("user_id").alias("run"), e_id.alias("place"), line.alias("line")), "run", drafts, critical=["WRONG_ATHLETE"])
 
 
 @query("""with d as (select o_orderkey as draft, o_custkey % 50 as run, case o_orderkey % 4 when 0 then 'pass' when 1 then 'blocked' when 2 then 'odd' end as decision, o_orderkey % 4 = 1 or o_orderkey % 8 = 2 as blocked, cast(o_orderkey % 3 as int) as critical, case when o_orderkey % 5 > 0 then cast(o_orderkey % 4 as int) end as retries, o_orderkey % 6 = 0 as multi from orders),
@@ -322,7 +335,7 @@ def upload_rows(spark, d):
     state = F.element_at(F.array(*(F.lit(x) for x in ("uploading", "paused", "verified", "completing", "superseded", "aborted"))), (k % 6 + 1).cast("int"))
     return table(spark, d, "orders").select(
         k.alias("upload_id"), state.alias("state"), F.when(k % 7 > 0, "multipart").otherwise("single_put").alias("protocol"), F.when(k % 11 > 0, "s").alias("session"), (k % 5).alias("expected_parts"), F.lit(0).cast("long").alias("completed_parts"),
-        NONE.cast("string").alias("last_error"), NONE.cast("timestamp").alias("aborted_at"), (k % 2 == 0).alias("cleanup_required"), F.lit("pending").alias("cleanup"), NONE.cast("string").alias("cleanup_error"),
+        F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("timestamp").alias("aborted_at"), (k % 2 == 0).alias("cleanup_required"), F.lit("pending").alias("cleanup"), F.lit(None).cast("string").alias("cleanup_error"),
     )
 
 
@@ -399,7 +412,8 @@ def q111_reedit_tasks(spark, d):
 
 @query("""select event_id, case when user_id % 9 = 0 then 'no_input' when event_id % 7 = 0 then 'failed' when event_id % 4 = 0 then 'no_reviewable_drafts' else 'succeeded' end as status, case when event_id % 3 = 0 and event_type = 'view' then ts + interval 7 days when event_id % 3 > 0 then timestamp '2024-06-01' end as expires, case when event_type = 'click' then timestamp '2024-03-01' else ts end as updated_at from events""")
 def q112_run_and_row_times(spark, d):
-    e = events(spark, d).withColumn("at", F.col("ts").cast("timestamp")).withColumns({"inputs": F.col("user_id") % 9, "exit_code": F.when(E % 7 == 0, 1).otherwise(0), "reviewable": E % 4, "expires": F.when(E % 3 > 0, F.lit("2024-06-01").cast("timestamp")), "updated_at": F.col("ts").cast("timestamp")})
+    e_id = F.col("event_id")
+    e = events(spark, d).withColumn("at", F.col("ts").cast("timestamp")).withColumns({"inputs": F.col("user_id") % 9, "exit_code": F.when(e_id % 7 == 0, 1).otherwise(0), "reviewable": e_id % 4, "expires": F.when(e_id % 3 > 0, F.lit("2024-06-01").cast("timestamp")), "updated_at": F.col("ts").cast("timestamp")})
     e = states.touched(states.expiries(states.terminal_status(e), F.col("event_type") == "view", "at", "expires"), F.col("event_type") == "click", F.lit("2024-03-01").cast("timestamp"))
     return e.select("event_id", "status", F.col("expires").cast("timestamp_ntz").alias("expires"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
@@ -435,10 +449,11 @@ def q116_padded(spark, d):
 @query("""select event_id, case when event_id % 2 = 0 and event_id % 3 > 0 then event_id + 1 else event_id end as start, case when event_id % 2 = 0 and event_id % 3 > 0 then event_id + 9 else event_id + 20 end as "end", greatest(event_id, event_id + 20 - case when event_id % 5 = 0 then 15 else 11 end) as cut_start,
     case when event_id % 4 > 0 then event_id + greatest(20 - event_id % 25, 0) else event_id end as cap_start, case when event_id % 4 > 0 then event_id + 20 else event_id + least(20, event_id % 25) end as cap_end from events""")
 def q117_cut_windows(spark, d):
-    final = [F.when(E % 2 == 0, E + 1), F.when(E % 3 > 0, E + 9)]
-    w = sessions.effective(final, [E, E + 20])
-    cut = intervals.effective_cut(E, E + 20, E % 5 == 0, NONE)
-    cap = intervals.capped(E, E + 20, (E % 25).cast("double"), E % 4 > 0)
+    e_id = F.col("event_id")
+    final = [F.when(e_id % 2 == 0, e_id + 1), F.when(e_id % 3 > 0, e_id + 9)]
+    w = sessions.effective(final, [e_id, e_id + 20])
+    cut = intervals.effective_cut(e_id, e_id + 20, e_id % 5 == 0, F.lit(None))
+    cap = intervals.capped(e_id, e_id + 20, (e_id % 25).cast("double"), e_id % 4 > 0)
     whole = lambda c: c.cast("long")
     return events(spark, d).select("event_id", w["start"].alias("start"), w["end"].alias("end"), whole(cut["start"]).alias("cut_start"), whole(cap["start"]).alias("cap_start"), whole(cap["end"]).alias("cap_end"))
 
@@ -516,7 +531,8 @@ def q125_best_of_three(spark, d):
 
 @query("""select event_type as g, user_id % 5 as k, string_agg(s || '=' || n, ',' order by s) as counts from (select event_type, user_id, event_id % 4 as s, count(*) over (partition by event_type, user_id % 5, event_id % 4) as n, row_number() over (partition by event_type, user_id % 5, event_id % 4 order by event_id) as r from events) where r = 1 group by 1, 2""")
 def q126_counts_by(spark, d):
-    e = events(spark, d).select(F.col("event_type").alias("g"), (F.col("user_id") % 5).alias("k"), (E % 4).cast("string").alias("s"))
+    e_id = F.col("event_id")
+    e = events(spark, d).select(F.col("event_type").alias("g"), (F.col("user_id") % 5).alias("k"), (e_id % 4).cast("string").alias("s"))
     flat = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
     return reports.counts_by(e, ["g", "k"], "s").select("g", "k", flat.alias("counts"))
 
@@ -561,23 +577,25 @@ def q130_extended(spark, d):
 @query("""select event_id, 'p' || user_id as person, case when event_id % 3 > 0 then 'ride' else 'highlight' end as kind, cast(event_id % 50 as double) as start, cast(case when event_id % 4 > 0 then event_id % 50 + 7 else event_id % 50 + 10 end as double) as "end", cast(greatest(1, least(10, event_id % 14)) as int) as score,
     cast(greatest(1, least(2, event_id % 4)) as double) as zoom, case when event_id % 2 = 0 then 'fade' else 'slide' end as transition from events where event_id % 11 > 0 and event_id % 13 > 0""")
 def q131_reply_events(spark, d):
-    e = E.cast("string")
-    kind = F.when(E % 3 > 0, '"type": "ride", ').otherwise("")
-    end = F.when(E % 4 > 0, F.concat(F.lit('"end": '), (E % 50 + 7).cast("string"), F.lit(", "))).otherwise(F.lit(""))
-    start = F.when(E % 13 > 0, (E % 50).cast("string")).otherwise('"soon"')
-    edit = F.concat(F.lit('"edit": {"zoom": '), (E % 4).cast("string"), F.lit(', "transition_out": "'), F.when(E % 2 == 0, "Fade").otherwise("swirl"), F.lit('"}'))
-    one = F.concat(F.lit("{"), kind, F.lit('"start": '), start, F.lit(", "), end, F.lit('"score": '), (E % 14).cast("string"), F.lit(", "), edit, F.lit("}"))
+    e_id = F.col("event_id")
+    e = e_id.cast("string")
+    kind = F.when(e_id % 3 > 0, '"type": "ride", ').otherwise("")
+    end = F.when(e_id % 4 > 0, F.concat(F.lit('"end": '), (e_id % 50 + 7).cast("string"), F.lit(", "))).otherwise(F.lit(""))
+    start = F.when(e_id % 13 > 0, (e_id % 50).cast("string")).otherwise('"soon"')
+    edit = F.concat(F.lit('"edit": {"zoom": '), (e_id % 4).cast("string"), F.lit(', "transition_out": "'), F.when(e_id % 2 == 0, "Fade").otherwise("swirl"), F.lit('"}'))
+    one = F.concat(F.lit("{"), kind, F.lit('"start": '), start, F.lit(", "), end, F.lit('"score": '), (e_id % 14).cast("string"), F.lit(", "), edit, F.lit("}"))
     raw = F.concat(F.lit('```json\n{"activity": "surf", "persons": [{"id": "p'), F.col("user_id").cast("string"), F.lit('", "events": ['), one, F.lit("]}]}\n```"))
-    replies = events(spark, d).select("event_id", F.when(E % 11 > 0, raw).otherwise(F.concat(F.lit("no reply "), e)).alias("raw"))
+    replies = events(spark, d).select("event_id", F.when(e_id % 11 > 0, raw).otherwise(F.concat(F.lit("no reply "), e)).alias("raw"))
     return sessions.events_of(replies)[0].select("event_id", "person", F.col("event_type").alias("kind"), "start", "end", "score", "zoom", "transition")
 
 
 @query("""with x as (select event_id, event_id % 3 as k, 5 + event_id % 466 + case when event_id % 2 = 0 then 480 * (event_id % 3) else 0 end as s, event_id % 60 as n from events)
     select event_id, case when k = 0 or event_id % 2 = 1 then 'chunk_local' else 'source_global' end as basis, cast(480 * k + 5 + event_id % 466 as double) as start, cast(480 * k + least(480, 5 + event_id % 466 + 10 + n) as double) as "end", 5 + event_id % 466 + 10 + n > 480 as clamped, 'chunk_' || lpad(cast(k as varchar), 2, '0') || ':A' as person from x""")
 def q132_on_source_time(spark, d):
-    k, local = E % 3, 5 + E % 466
-    shift = F.when(E % 2 == 0, 480 * k).otherwise(0)
-    e = events(spark, d).select("event_id", F.lit("v").alias("source"), k.alias("chunk_index"), F.lit("A").alias("person"), (local + shift).cast("double").alias("start"), (local + shift + 10 + E % 60).cast("double").alias("end"))
+    e_id = F.col("event_id")
+    k, local = e_id % 3, 5 + e_id % 466
+    shift = F.when(e_id % 2 == 0, 480 * k).otherwise(0)
+    e = events(spark, d).select("event_id", F.lit("v").alias("source"), k.alias("chunk_index"), F.lit("A").alias("person"), (local + shift).cast("double").alias("start"), (local + shift + 10 + e_id % 60).cast("double").alias("end"))
     chunks = timeline.chunk_specs(spark.createDataFrame([("v", 1440.0)], "source string, seconds double"), "source", "seconds", 480.0)
     return sessions.on_source_time(e, chunks)[0].select("event_id", "basis", "start", "end", "clamped", "person")
 
@@ -587,9 +605,10 @@ def q132_on_source_time(spark, d):
     f as (select list_reduce(rows, lambda acc, x: case when len(acc.free) = 0 then acc else {'w': x.w, 'free': list_filter(acc.free, lambda y: y.i <> list_sort(list_transform(acc.free, lambda z: {'d': abs(z.e - x.w.e), 'i': z.i}))[1].i),
         'out': list_append(acc.out, {'w': x.w.i, 'o': list_sort(list_transform(acc.free, lambda z: {'d': abs(z.e - x.w.e), 'i': z.i}))[1].i})} end).out as out from s), u as (select unnest(out) as p from f) select p.w as wanted_id, p.o as offer_id from u""")
 def q133_consuming_matches(spark, d):
+    e_id = F.col("event_id")
     e = events(spark, d).select(F.col("user_id").alias("k"), "event_id", "value")
-    wanted = e.where("value >= 30").select("k", F.col("event_id").alias("wanted_id"), (E * 7 % 1000).alias("end"))
-    offered = e.where("not value >= 30").select("k", F.col("event_id").alias("offer_id"), (E * 11 % 1000).alias("end"))
+    wanted = e.where("value >= 30").select("k", F.col("event_id").alias("wanted_id"), (e_id * 7 % 1000).alias("end"))
+    offered = e.where("not value >= 30").select("k", F.col("event_id").alias("offer_id"), (e_id * 11 % 1000).alias("end"))
     return sequential.consuming_matches(wanted, offered, ["k"])
 
 
@@ -670,51 +689,56 @@ def q142_missing_members(spark, d):
 
 @query("""select event_id, case when event_id % 20 - 8 between 0 and 6 then 'inside' when event_id % 20 - 8 in (-1, 7) then 'clamped' else 'outside_chunk_bounds' end as place, cast(case when event_id % 20 - 8 = -1 then 0 when event_id % 20 - 8 = 7 then 6 else event_id % 20 - 8 end as double) as at from events""")
 def q143_late_rows(spark, d):
+    e_id = F.col("event_id")
     from tidemark.streaming import live
 
-    e = events(spark, d).select("event_id", (E % 20 - 8).cast("double").alias("at"), F.lit(0.0).alias("low"), F.lit(6.0).alias("high"))
+    e = events(spark, d).select("event_id", (e_id % 20 - 8).cast("double").alias("at"), F.lit(0.0).alias("low"), F.lit(6.0).alias("high"))
     return live.late_rows(e, "at", "low", "high").select("event_id", "place", "at")
 
 
 @query("""with f as (select event_id as k, case event_id % 3 when 0 then 'a' when 1 then 'b' end as kind from events), t as (select event_id as k from events where event_type = 'view'), r as (select event_id as k from events where event_type = 'view' and user_id % 5 = 0)
     select f.k, coalesce(kind, 'c') as kind from f where k not in (select k from t) or k in (select k from r)""")
 def q144_unprocessed(spark, d):
+    e_id = F.col("event_id")
     from tidemark.sources import readers
 
     e = events(spark, d)
-    files = e.select(E.alias("key"), F.when(E % 3 == 0, "a").when(E % 3 == 1, "b").otherwise("c").alias("kind"))
-    done = e.where("event_type = 'view'").select(E.alias("key"))
-    again = e.where("event_type = 'view' and user_id % 5 = 0").select(E.alias("key"))
+    files = e.select(e_id.alias("key"), F.when(e_id % 3 == 0, "a").when(e_id % 3 == 1, "b").otherwise("c").alias("kind"))
+    done = e.where("event_type = 'view'").select(e_id.alias("key"))
+    again = e.where("event_type = 'view' and user_id % 5 = 0").select(e_id.alias("key"))
     return readers.unprocessed(files, done, again).withColumnRenamed("key", "k")
 
 
 @query("""with d as (select event_id as k, user_id as track, [event_id % 40, 5, event_id % 40 + user_id % 3, 9] as box, case when event_id % 7 > 0 then 'person' end as class, case when event_id % 11 > 0 then 'x' end as t, event_id % 100 / 100.0 as c from events)
     select k, case when class is null then 'missing_class' when t is null then 'missing_track' when track % 3 = 0 then 'invalid_box' when k % 13 = 0 then 'invalid_time' end as reason from d where k % 100 >= 25""")
 def q145_normalised_detections(spark, d):
+    e_id = F.col("event_id")
     from tidemark.sources import readers
 
     rows = events(spark, d).select(
-        E.alias("k"), F.when(E % 7 > 0, "person").alias("class_name"), F.when(E % 11 > 0, "x").alias("track_id"), F.array(*(c.cast("double") for c in (E % 40, F.lit(5), E % 40 + F.col("user_id") % 3, F.lit(9)))).alias("bbox_xyxy"),
-        F.when(E % 13 == 0, -1.0).otherwise(1.0).alias("time_sec"), ((E % 100) / 100).alias("confidence"),
+        e_id.alias("k"), F.when(e_id % 7 > 0, "person").alias("class_name"), F.when(e_id % 11 > 0, "x").alias("track_id"), F.array(*(c.cast("double") for c in (e_id % 40, F.lit(5), e_id % 40 + F.col("user_id") % 3, F.lit(9)))).alias("bbox_xyxy"),
+        F.when(e_id % 13 == 0, -1.0).otherwise(1.0).alias("time_sec"), ((e_id % 100) / 100).alias("confidence"),
     )
     good, bad = readers.normalised_detections(rows, 0.25)
-    return good.select("k", NONE.cast("string").alias("reason")).unionByName(bad.select("k", "reason"))
+    return good.select("k", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("k", "reason"))
 
 
 @query("""select event_id // 4 as video, min(event_id % 3) as priority, 'p' || min(case when event_id % 3 = m then event_id end) as path from (select *, min(event_id % 3) over (partition by event_id // 4) as m from events) group by 1""")
 def q146_preferred_sidecars(spark, d):
+    e_id = F.col("event_id")
     from tidemark.sources import readers
 
-    e = events(spark, d).select(F.floor(E / 4).alias("video"), (E % 3).alias("priority"), E.alias("path"))
+    e = events(spark, d).select(F.floor(e_id / 4).alias("video"), (e_id % 3).alias("priority"), e_id.alias("path"))
     return readers.preferred_sidecars(e).withColumn("path", F.concat(F.lit("p"), F.col("path").cast("string")))
 
 
 @query("""select event_id as frame_index, cast(n as int) as place, event_id / 30.0 as time_sec, case n when 0 then 'a' else 'b' end as class_name, event_id % 5 + n as track_id from events, (values (0), (1)) v(n)""")
 def q147_columnar_detections(spark, d):
+    e_id = F.col("event_id")
     from tidemark.sources import readers
 
     rows = events(spark, d).select(
-        F.lit("v").alias("source_video"), E.alias("frame_index"), F.lit(30.0).alias("fps"), F.array(F.array(F.lit(1.0)), F.array(F.lit(2.0))).alias("boxes"), F.array(F.lit(0.5), F.lit(0.6)).alias("confidences"),
-        F.array(F.lit("a"), F.lit("b")).alias("classes"), F.array(E % 5, E % 5 + 1).alias("tracks"),
+        F.lit("v").alias("source_video"), e_id.alias("frame_index"), F.lit(30.0).alias("fps"), F.array(F.array(F.lit(1.0)), F.array(F.lit(2.0))).alias("boxes"), F.array(F.lit(0.5), F.lit(0.6)).alias("confidences"),
+        F.array(F.lit("a"), F.lit("b")).alias("classes"), F.array(e_id % 5, e_id % 5 + 1).alias("tracks"),
     )
     return readers.columnar_detections(rows).select("frame_index", "place", "time_sec", "class_name", "track_id")
