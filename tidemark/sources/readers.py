@@ -72,7 +72,7 @@ def log_lines(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataF
 
 
 def listing(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".mp4", ".mov", ".m4v")) -> DataFrame:
-    """key, size and time of the files below a path with one of the suffixes; contents aren't read."""
+    """key, size and time of the files below a path with one of the suffixes; contents aren't read. Empty files aren't listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     low, wanted = F.lower("key"), F.lit(False)
     for s in suffixes:
@@ -81,7 +81,7 @@ def listing(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".mp4",
 
 
 def file_digests(spark: SparkSession, path: str, chunk: int = 8 << 20) -> DataFrame:
-    """key and SHA-256 of files of any size, read in chunks of `chunk` bytes by the task that has the file, so that no content is ever one value."""
+    """key and SHA-256 of files of any size, read in chunks of `chunk` bytes by the task that has the file, so that no content is ever one value. Empty files aren't listed."""
     files = listing(spark, path, ("",)).select("key")
 
     def digests(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

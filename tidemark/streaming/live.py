@@ -58,7 +58,8 @@ def upsert_sink(path: str, key: list[str], at: str):
 
 
 def latest_status(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """key, value, at of every key's latest row, state held by Spark."""
+    """key, at_ns and value of every key's latest row (the first of equals), state held by Spark; keys and values keep their types."""
+    kinds = dict(df.dtypes)
 
     def step(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         best = state.get if state.exists else None
@@ -70,4 +71,4 @@ def latest_status(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
             state.update(best)
             yield pd.DataFrame({"key": [k[0]], "at_ns": [best[0]], "value": [best[1]]})
 
-    return df.groupBy(key).applyInPandasWithState(step, "key string, at_ns long, value string", "at long, value string", "update", GroupStateTimeout.NoTimeout)
+    return df.groupBy(key).applyInPandasWithState(step, f"key {kinds[key]}, at_ns long, value {kinds[value]}", f"at long, value {kinds[value]}", "update", GroupStateTimeout.NoTimeout)
