@@ -434,9 +434,9 @@ def q114_manifest_upserts(spark, d):
     return states.manifest_upserts(old, new).drop("revision")
 
 
-@query("""select l_orderkey as upload_id, l_linenumber as part, cast(l_quantity as bigint) as size from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey desc, l_suppkey desc) as r from lineitem) where r = 1""")
+@query("""select l_orderkey as upload_id, l_linenumber as part, cast(l_quantity as bigint) as size from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey desc, l_suppkey desc, l_quantity desc) as r from lineitem) where r = 1""")
 def q115_parts_recorded(spark, d):
-    line = table(spark, d, "lineitem").selectExpr("l_orderkey as upload_id", "l_linenumber as part", "cast(l_quantity as long) as size", "struct(l_partkey, l_suppkey) as seq")
+    line = table(spark, d, "lineitem").selectExpr("l_orderkey as upload_id", "l_linenumber as part", "cast(l_quantity as long) as size", "struct(l_partkey, l_suppkey, l_quantity) as seq")
     return states.record_parts(line.limit(0).drop("seq"), line)
 
 
