@@ -39,11 +39,14 @@ RECORDS = T.StructType(
 )
 MEMBERS = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("member", T.BinaryType())])
 HIDDEN = ("script", "style", "noscript", "template", "svg")
-BREAKS = set("p div br hr li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav title head body html blockquote pre form option dt dd".split())
-NAME = re.compile("[a-zA-Z][a-zA-Z0-9]*")
+# Each pattern is tried on a page up to its last `>` only, so that `[^>]*>` always finds its end and no place is looked at again.
+HIDE = re.compile(rf"<!--|<({'|'.join(HIDDEN)})\b[^>]*>", re.I)
+CLOSE = {"!": re.compile("-->")} | {x: re.compile(rf"</{x}\s*>", re.I) for x in HIDDEN}
+BREAKS = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|title|head|body|html|blockquote|pre|form|option|dt|dd)\b[^>]*>", re.I)
+TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
+HTML, ANCHOR, TITLE, TITLE_END = (re.compile(x, re.I) for x in (r"<html\b[^>]*>", r"<a\b[^>]*>", r"<title\b[^>]*>", r"</title\s*>"))
 VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 LANG, LINK = re.compile(r"\blang" + VALUE, re.I), re.compile(r"\bhref" + VALUE, re.I)
-LOWER = {c: c + 32 for c in range(65, 91)}  # A-Z alone: places stay as they are
 UNSAFE = re.compile("[\x00-\x20\x7f]")
 
 
@@ -56,68 +59,43 @@ def record_id(kind: str, key: str, data: bytes) -> str:
 
 
 class Page:
-    """What one scan of a page finds: its text, title, language and links. Each place is looked at a fixed number of times, however broken the page.
+    """A page's text, title, language and links, in time in proportion to its length, however broken it is.
 
     Comments and hidden elements (scripts, styles and the like) are left out with their content, and one without an end is a mere tag. A tag
     ends at the next `>`; a `<` without one, or before other than a letter, `/`, `!` or `?`, is text.
     """
 
     def __init__(self, page: str):
-        self.page, self.low = page, page.translate(LOWER)
-        self.ends: dict[str, int] = {}  # of each kind of hidden element the next end that is known, -1 for none
-        self.title: str | None = None
-        self.lang: str | None = None
-        self.links: list[str] = []
-        out, at, title_from = [], 0, -1
-        while (tag := page.find("<", at)) >= 0:
-            out.append(page[at:tag])
-            at = tag
-            if page.startswith("<!--", tag) and (end := self._end("-->", tag + 4)) >= 0:
-                out.append(" ")
-                at = end + 3
-                continue
-            close = page.find(">", tag) if tag + 1 < len(page) and (page[tag + 1].isascii() and page[tag + 1].isalpha() or page[tag + 1] in "/!?") else -2
-            if close == -1:
-                break
-            if close == -2:
-                out.append("<")
-                at = tag + 1
-                continue
-            ends = page[tag + 1] == "/"
-            named = NAME.match(self.low, tag + 1 + ends)
-            name = named[0] if named else ""
-            inside = page[tag : close + 1]
-            at = close + 1
-            out.append("\n" if name in BREAKS else " ")
-            if name in HIDDEN and not ends and not inside.endswith("/>") and (end := self._end(f"</{name}", at)) >= 0:
-                at = page.find(">", end) + 1
-            elif name == "a" and not ends and (found := LINK.search(inside)):
-                self.links.append(unescaped(found[1] or found[2] or found[3] or ""))
-            elif name == "html" and not ends and self.lang is None and (found := LANG.search(inside)):
-                self.lang = found[1] or found[2] or found[3]
-            elif name == "title" and self.title is None:
-                if ends and title_from >= 0:
-                    self.title = " ".join(unescaped("".join(out[title_from:])).split())
-                elif not ends and title_from < 0:
-                    title_from = len(out)
-        out.append(page[at:])
-        lines = (" ".join(x.split()) for x in unescaped("".join(out)).split("\n"))
+        shown = self._shown(page)
+        end = shown.rfind(">") + 1
+        tags, rest = shown[:end], shown[end:]
+        lines = (" ".join(x.split()) for x in unescaped(TAG.sub(" ", BREAKS.sub("\n", tags)) + rest).split("\n"))
         self.text = "\n".join(x for x in lines if x)
-
-    def _end(self, mark: str, at: int) -> int:
-        """Where the next `mark` is that ends something: a hidden element's is followed by blanks and `>` alone."""
-        known = self.ends.get(mark, 0)
-        if known < 0 or known >= at and mark in self.ends:
-            return known
-        while (at := self.low.find(mark, at)) >= 0:
-            past = at + len(mark)
-            while mark != "-->" and past < len(self.low) and self.low[past].isspace():
-                past += 1
-            if mark == "-->" or self.low.startswith(">", past):
-                break
-            at = past
-        self.ends[mark] = at
-        return at
+        first = TITLE.search(tags)
+        last = TITLE_END.search(tags, first.end()) if first else None
+        self.title = " ".join(unescaped(TAG.sub(" ", tags[first.end() : last.start()])).split()) if last else None
+        html_tag = HTML.search(tags)
+        lang = LANG.search(html_tag[0]) if html_tag else None
+        self.lang = lang[1] or lang[2] or lang[3] if lang else None
+        links = (LINK.search(m[0]) for m in ANCHOR.finditer(tags))
+        self.links = [unescaped(m[1] or m[2] or m[3] or "") for m in links if m]
+
+    @staticmethod
+    def _shown(page: str) -> str:
+        """The page with a blank for each comment and hidden element. Where the next end of a kind is, or that there is none, is found once."""
+        parts, kept, at, limit = [], 0, 0, page.rfind(">") + 1
+        ends: dict[str, re.Match | None] = {}
+        while begin := HIDE.search(page, at, limit):
+            at, name = begin.end(), (begin[1] or "!").lower()
+            if name != "!" and begin[0].endswith("/>"):
+                continue
+            if name not in ends or ends[name] is not None and ends[name].start() < at:
+                ends[name] = CLOSE[name].search(page, at)
+            if ends[name] is not None:
+                parts.append(page[kept : begin.start()])
+                kept = at = ends[name].end()
+        parts.append(page[kept:])
+        return " ".join(parts)
 
 
 def unescaped(text: str) -> str:
