@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from tests_llm_brute import leak_hits
+from brute import leak_hits
 
 from tidemark.llm import decontaminate
 from tidemark.llm.words import ALNUM, Slice

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tests_llm_brute import leak_hits, near_groups
+from brute import leak_hits, near_groups
 
 
 @pytest.fixture(scope="module")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, decontaminate, langid, licenses, neardup, pieces, shards, topk, toxicity, warc
+from tidemark.llm import chunks, decontaminate, langid, lexical, licenses, lloyd, neardup, pieces, shards, tokencounts, topk, toxicity, warc
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,6 +159,71 @@ def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.withColumn("headers", F.array_join(shown, "\n")).withColumn("block", F.col("block").cast("string"))
 
 
+@query
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings"))
+
+
+_LLOYD_ROUND = """
+a{r} as materialized (
+    select id, owner, d from (
+        select v.id, c.c as owner, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) as d,
+            row_number() over (partition by v.id order by d, c.c) as place
+        from v cross join c{r} c) where place = 1)"""
+_LLOYD_CENTROIDS = """
+m{r} as (
+    select owner, j, sum(e) as s, count(*) as n
+    from (select a.owner, unnest(v.x) as e, unnest(range(1, 65)) as j from a{p} a join v using (id)) group by owner, j),
+n{r} as (select owner, list(cast((s - ((s % n) + n) % n) // n as bigint) order by j) as x from m{r} group by owner),
+c{r} as materialized (select c.c, coalesce(n.x, c.x) as x from c{p} c left join n{r} n on n.owner = c.c)"""
+ORACLES["op11_delta_lloyd"] = (
+    """
+with v as materialized (
+    select row_number() over () as id, vec_id, list_transform(embedding, lambda e: cast(floor(1024 * e::double) as bigint)) as x from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+c0 as materialized (select row_number() over (order by h, vec_id) - 1 as c, x from (select sha256('3:' || vec_id) as h, vec_id, x from v order by h, vec_id limit 8)),"""
+    + ",".join(_LLOYD_ROUND.format(r=r) + "," + _LLOYD_CENTROIDS.format(r=r + 1, p=r) for r in range(10))
+    + ","
+    + _LLOYD_ROUND.format(r=10)
+    + """
+select v.vec_id, cast(a.owner as int) as cluster, cast(a.d as bigint) as distance, cast(sum(a.d) over (partition by a.owner) as bigint) as cluster_inertia,
+    cast(sum(a.d) over () as bigint) as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256
+from a10 a join v using (id) join c10 c on c.c = a.owner
+"""
+)
+
+
+@query
+def op12_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_wavelet_search"] = r"""
+with dw as (
+    select row_number() over () as d, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+    from documents),
+tf as (select d, doc_id, t, count(*) as tf from dw group by all),
+sizes as (select d, sum(tf) as n from tf group by d),
+total as (select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as terms from sizes),
+asked as (
+    select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+    from benchmark),
+df as (select t, count(*) as df from tf group by t),
+weights as (
+    select item_id, t, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w from asked join df using (t), total),
+scored as (
+    select item_id, d, any_value(doc_id) as doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + cast(90 * n * docs as bigint) // terms)))) as score
+    from weights join tf using (t) join sizes using (d), total group by item_id, d)
+select item_id, cast(rank as int) as rank, doc_id, cast(score as bigint) as score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10
+"""
+
+
+@query
+def op13_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
