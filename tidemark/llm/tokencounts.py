@@ -391,6 +391,6 @@ def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = 10
 
 def words_of(text: str) -> Iterator[str]:
     """The words that the first transducer makes of one text without special strings."""
-    kinds = Kinds()(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)) if text else np.zeros(0, np.uint8)
-    at = [*np.flatnonzero(begins(kinds)).tolist(), len(text)] if text else []
+    kinds = Kinds()(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+    at = [*np.flatnonzero(begins(np.append(kinds, np.uint8(END)))).tolist(), len(text)]
     yield from (text[a:b] for a, b in zip(at, at[1:], strict=False))
