@@ -36,7 +36,7 @@ class Lists:
         self.order = np.argsort(-x, 0, kind="stable")
         self.values = np.take_along_axis(x, self.order, 0)
         self.columns = np.broadcast_to(np.arange(self.dims), x.shape)
-        self.squares = (x * x).sum(1)
+        self.squares = (x.astype(np.float64) ** 2).sum(1)
 
     def read(self, depth: int) -> list[tuple[np.ndarray, ...]]:
         """After `depth` entries of every list from its high end, then from its low end: what was read (0 elsewhere), where nothing was (1, else
@@ -68,9 +68,11 @@ def bounds(q: np.ndarray, lists: Lists, depth: int) -> tuple[np.ndarray, np.ndar
     seen = plus @ high.T + minus @ low.T
     lower = seen + plus @ (high_open * high_least).T + minus @ (low_open * low_most).T
     upper = seen + plus @ (high_open * high_most).T + minus @ (low_open * low_least).T
-    mine = (plus * plus) @ high_open.T + (minus * minus) @ low_open.T
-    known = (q > 0).astype(q.dtype) @ (high * high).T + (q <= 0).astype(q.dtype) @ (low * low).T
-    rest = np.sqrt(np.maximum(mine, 0) * np.maximum(lists.squares - known, 0)) * 1.0001 + 1  # room for rounding
+    wide = lambda x: x.astype(np.float64)  # noqa: E731  # squares may be too large for 32 bits where products aren't
+    mine = wide(plus) ** 2 @ wide(high_open).T + wide(minus) ** 2 @ wide(low_open).T
+    known = wide(q > 0) @ (wide(high) ** 2).T + wide(q <= 0) @ (wide(low) ** 2).T
+    unread = np.maximum(lists.squares - known, 0) + lists.squares * 1e-12  # what rounding may have taken
+    rest = np.sqrt((np.maximum(mine, 0) * (1 + 1e-12)) * unread) * (1 + 1e-9) + 1
     return np.maximum(lower, seen - rest), np.minimum(upper, seen + rest)
 
 
