@@ -183,7 +183,7 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     left = at < len(a)
     k = [np.bincount(code[left], minlength=len(names)), np.bincount(code[~left], minlength=len(names))]
     product = k[0] * k[1]
-    out = np.zeros((len(a), len(b)), np.float32)
+    out = np.zeros((len(a), len(b)), np.int64)
     frequent = np.flatnonzero(product >= 4096)
     for low in range(0, len(frequent), 4096):
         column = np.full(len(names), -1)
@@ -193,7 +193,7 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         c = column[code]
         x[at[left & (c >= 0)], c[left & (c >= 0)]] = 1
         y[at[~left & (c >= 0)] - len(a), c[~left & (c >= 0)]] = 1
-        out += x @ y.T
+        out += (x @ y.T).astype(np.int64)  # at most 4,096 each, which 32 bits hold
     rare = (product > 0) & (product < 4096)
     order = np.flatnonzero(~left & rare[code])
     order = order[np.argsort(code[order], kind="stable")]  # b's entries by element
