@@ -30,21 +30,70 @@ def greedy_matching(edges: DataFrame, a: str, b: str, order: str) -> DataFrame:
             return out
 
 
+def nth_with_nth(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:
+    """a_id and b_id: within equal keys, where all rows of a suit all of b, the first takes the first, the second the second: one by one in
+    order of ids, each row of a taking the first free one of b, gives the same. Rows are numbered, never paired up all with all."""
+    place = lambda df, ident: df.select(*keys, ident).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(ident)))
+    return place(a, a_id).join(place(b, b_id), [*keys, "_n"]).select(a_id, b_id)
+
+
+def unknown_with_known(used: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """used_id and candidate_id of rows of equal keys, some of which (`any`) suit every row of the other side while the others suit only the other side's `any` ones.
+
+    In most groups that leaves two classes that all suit each other, and these go by number. Only groups with both kinds on both sides depend on the order of
+    all their rows; these are gone through with two pointers, one group a fold.
+    """
+    counted = lambda df, name: df.groupBy(*keys).agg(F.count_if("any").alias(f"{name}_any"), F.count_if(~F.col("any")).alias(f"{name}_own"))
+    loads = counted(used, "u").join(counted(candidates, "c"), keys)
+    loads = loads.select(*keys, ((F.col("u_any") > 0) & (F.col("u_own") > 0) & (F.col("c_any") > 0) & (F.col("c_own") > 0)).alias("mixed"), (F.col("c_any") > 0).alias("c"), (F.col("u_any") > 0).alias("u"))
+    left, right = used.join(loads, keys), candidates.join(loads, keys)
+    plain = nth_with_nth(left.where(~F.col("mixed") & (F.col("any") | F.col("c"))), right.where(~F.col("mixed") & (F.col("any") | F.col("u"))), keys, "used_id", "candidate_id")
+
+    wants = left.where("mixed").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("used_id", "any"))).alias("wants"))
+    ids = lambda want: F.array_sort(F.collect_list(F.when(F.col("any") == want, F.col("candidate_id"))))
+    has = right.where("mixed").groupBy(*keys).agg(ids(True).alias("common"), ids(False).alias("own"))
+    kind = dict(candidates.dtypes)["candidate_id"]
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.array().cast(f"array<{kind}>").alias("got"))
+
+    def step(state: Column, want: Column) -> Column:
+        common, own = F.get("common", state["i"]), F.when(want["any"], F.get("own", state["j"]))
+        first = own.isNull() | (common < own)  # the shared ones come first, or there is no other
+        takes_common = common.isNotNull() & F.coalesce(first, F.lit(True))
+        takes_own = ~takes_common & own.isNotNull()
+        got = F.array_append(state["got"], F.when(takes_common, common).when(takes_own, own))
+        return F.struct((state["i"] + takes_common.cast("int")).alias("i"), (state["j"] + takes_own.cast("int")).alias("j"), got.alias("got"))
+
+    told = wants.join(has, keys).select(F.explode(F.arrays_zip("wants", F.aggregate("wants", start, step)["got"].alias("got"))).alias("z"))
+    return plain.unionByName(told.select(F.col("z.wants.used_id").alias("used_id"), F.col("z.got").alias("candidate_id")).where("candidate_id is not null"))
+
+
 def reconciled(used: DataFrame, upstream: DataFrame) -> DataFrame:
     """The ledger of all candidates: used windows take the upstream candidate whose current or original window and type they have and whose
     source doesn't differ; unmatched upstream candidates are discarded; unmatched windows stand for themselves.
 
     used: used_id, source, event_type, start, end, original_start, original_end. upstream: candidate_id, source, event_type, start, end, score, discard_cause.
     Each candidate is taken once and each window takes one, as long as any of its candidates is free: the exact window before the original one, the same
-    source before an unknown one, then smaller window, then smaller candidate ids.
+    source before an unknown one, then smaller window, then smaller candidate ids. Ids are unique.
+
+    Rows of one window, type and source are interchangeable, so four steps do (exact or original window, same or unknown source), each matching whole classes by
+    number; how many rows tie doesn't matter. Each step's matches are kept by checkpoint(), so a checkpoint folder must be set.
     """
-    keys = F.array(F.struct(F.lit(0).alias("tier"), F.col("start"), F.col("end")), F.struct(F.lit(1).alias("tier"), F.col("original_start").alias("start"), F.col("original_end").alias("end")))
-    by_window = used.select("used_id", F.col("source").alias("used_source"), "event_type", F.explode(keys).alias("k")).select("used_id", "used_source", "event_type", "k.tier", "k.start", "k.end").where("start is not null and end is not null")
-    both = by_window.join(upstream.select("candidate_id", "source", "event_type", "start", "end"), ["event_type", "start", "end"]).where(wildcard(F.col("used_source"), F.col("source")))
-    exact = F.when(F.col("used_source") == F.col("source"), 0).otherwise(1)
-    both = both.groupBy("used_id", "candidate_id").agg(F.min(F.struct(F.col("tier"), exact.alias("exact"))).alias("how"))
-    edges = both.withColumn("turn", F.struct("how", "used_id", "candidate_id"))
-    best = greedy_matching(edges, "used_id", "candidate_id", "turn").select("used_id", "candidate_id", F.col("turn.how.tier").alias("tier"))
+    free, offered = used, upstream.select("candidate_id", "source", "event_type", "start", "end")
+    window, matches = ["event_type", "start", "end"], []
+    blank = (F.coalesce("source", F.lit("")) == "").alias("any")
+    for tier, (start, end) in enumerate((("start", "end"), ("original_start", "original_end"))):
+        for same in (True, False):
+            wanted = free.select("used_id", "source", "event_type", F.col(start).alias("start"), F.col(end).alias("end"))
+            if same:
+                found = nth_with_nth(wanted, offered, [*window, "source"], "used_id", "candidate_id")
+            else:
+                found = unknown_with_known(wanted.select("used_id", *window, blank), offered.select("candidate_id", *window, blank), window)
+            found = found.withColumn("tier", F.lit(tier)).checkpoint()
+            matches.append(found)
+            free, offered = free.join(found, "used_id", "left_anti"), offered.join(found, "candidate_id", "left_anti")
+    best = matches[0]
+    for more in matches[1:]:
+        best = best.unionByName(more)
     taken = used.select("used_id", F.col("source").alias("used_source"), F.col("start").alias("used_start"), F.col("end").alias("used_end")).join(best, "used_id", "left")
     out = taken.join(upstream, "candidate_id", "full_outer")
     selected = F.col("used_id").isNotNull()
