@@ -110,9 +110,10 @@ def framing(samples: Column, confidence: Column, visible: Column, height_share:
     return F.struct(F.when(reason.isNull(), "tracked_crop").otherwise("contain").alias("mode"), F.coalesce(reason, F.lit("stable_track_trajectory")).alias("reason"))
 
 
-def transitions(place: Column, last: Column, wanted: Column) -> Column:
-    """"zoom" only on the event before the last."""
-    return F.when((wanted == "zoom") & (place != last - 1), "slide").otherwise(wanted)
+def transitions(place: Column, last: Column, wanted: Column, has_zoom: Column | None = None) -> Column:
+    """"zoom" only on the event before the last (places from 1), and always there if any event of a reel of three or more asks for it (`has_zoom`)."""
+    rule = F.when((wanted == "zoom") & (place != last - 1), "slide").otherwise(wanted)
+    return rule if has_zoom is None else F.when(has_zoom & (last >= 3) & (place == last - 1), "zoom").otherwise(rule)
 
 
 def required_evidence(has_box: Column, visible: Column, track: Column, tracks: Column, least: float = 0.35) -> Column:

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that similarity leaves out.
+COLORS_AND_EQUIPMENT = [  # fixed values
+    "black", "dark", "white", "red", "pink", "brown", "blue", "green", "yellow", "turquoise", "lilac", "orange",
+    "longboard", "shortboard", "board", "wetsuit", "bikini", "shirt", "swimsuit", "trunks", "shorts",
+]
 STOPWORDS = ["and", "the", "with", "for", "from", "player", "athlete", "person", "surfer", "wearing"]
 
 
@@ -45,6 +49,19 @@ def numbers(text: Column) -> Column:
     return F.array_sort(F.array_union(hashed, named))
 
 
+def shirt_numbers(text: Column) -> Column:
+    """Numbers of one to three digits that a description gives by #, number, no., bib, jersey or player, as a sorted set."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    marked = F.regexp_extract_all(low, F.lit(r"(?:#|number\s+|no\.\s*|bib\s+|jersey\s+)([0-9]{1,3})"), F.lit(1))  # fixed patterns
+    named = F.regexp_extract_all(low, F.lit(r"\bplayer\s+([0-9]{1,3})\b"), F.lit(1))
+    return F.array_sort(F.array_union(marked, named))
+
+
+def described(text: Column) -> Column:
+    """A description as a key: lower-cased, only letters a-z, digits and inner blanks left."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9 ]", ""))
+
+
 def tokens(text: Column, least: int = 3, stopwords: list[str] | None = None) -> Column:
     """Distinct tokens of at least `least` characters, without stop words, sorted."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import basename, jaccard
+from tidemark.functions.intervals import gap_seconds
+from tidemark.functions.text import COLORS_AND_EQUIPMENT, basename, jaccard, vocabulary_overlap
 
 
 def wildcard(a: Column, b: Column) -> Column:
@@ -121,25 +122,86 @@ def best_text_match(pairs: DataFrame, left: DataFrame, right: DataFrame, least:
     return scored.where(F.col("similarity") >= least).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("left_id", "right_id", "similarity")
 
 
-def related(drafts: DataFrame, candidates: DataFrame, least: float = 0.45, k: int = 10) -> DataFrame:
-    """draft_id, candidate_id, similarity and rank: each draft's k candidates with the most similar tokens.
+def sharing_rare_tokens(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Distinct (left_id, right_id) that holds all pairs of rows (id, tokens) of a Jaccard similarity of `least` or more, and few others.
 
-    Two sets of a Jaccard similarity of `least` share one of their rarest tokens: with n tokens, one of the n - ceil(least * n) + 1 rarest.
-    Only these are joined, so that common tokens pair up nothing; pairs are then judged on the full sets.
+    Two such sets share one of their rarest tokens: with n tokens, one of the n - ceil(least * n) + 1 rarest. Only these are joined, so that common
+    tokens pair up nothing.
     """
-    rows = drafts.select(F.lit(0).alias("side"), F.col("draft_id").alias("id"), "tokens").union(candidates.select(F.lit(1), "candidate_id", "tokens"))
+    rows = left.select(F.lit(0).alias("side"), "id", "tokens").union(right.select(F.lit(1), "id", "tokens"))
     flat = rows.select("side", "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     seen = flat.groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
     rare = F.row_number().over(Window.partitionBy("side", "id").orderBy("seen", "token"))
     rarest = flat.join(seen, "token").withColumn("place", rare).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    d, c = rarest.where("side = 0").select(F.col("id").alias("draft_id"), "token"), rarest.where("side = 1").select(F.col("id").alias("candidate_id"), "token")
-    pairs = d.join(c, "token").select("draft_id", "candidate_id").distinct()
+    l, r = rarest.where("side = 0").select(F.col("id").alias("left_id"), "token"), rarest.where("side = 1").select(F.col("id").alias("right_id"), "token")  # noqa: E741
+    return l.join(r, "token").select("left_id", "right_id").distinct()
+
+
+def related(drafts: DataFrame, candidates: DataFrame, least: float = 0.45, k: int = 10) -> DataFrame:
+    """draft_id, candidate_id, similarity and rank: each draft's k candidates with the most similar tokens, at least `least`."""
+    pairs = sharing_rare_tokens(drafts.withColumnRenamed("draft_id", "id"), candidates.withColumnRenamed("candidate_id", "id"), least).toDF("draft_id", "candidate_id")
     both = pairs.join(drafts.select("draft_id", F.col("tokens").alias("x")), "draft_id").join(candidates.select("candidate_id", F.col("tokens").alias("y")), "candidate_id")
     scored = both.withColumn("similarity", jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= least)
     w = Window.partitionBy("draft_id").orderBy(F.desc("similarity"), "candidate_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("draft_id", "candidate_id", "similarity", "rank")
 
 
+LEAST_RELATED, EACH_TOKEN, OF_ANCHOR, NEAR_IN_TIME, NEAR_SECONDS = 0.45, 0.15, 0.5, 0.25, 60.0  # fixed values
+FRAGMENT_SCORE, FRAGMENT_TOKENS = 0.9, 2  # fixed values
+
+
+def with_anchor(drafts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Drafts (draft_id, name, tokens) with anchor tokens, start and end: those of the first selected candidate (by id) of the draft's name or of no draft."""
+    chosen = candidates.where("selected").select("draft_name", F.struct(F.col("candidate_id").alias("id"), F.col("tokens").alias("t"), F.col("start").alias("s"), F.col("end").alias("e")).alias("c"))
+    named = chosen.where("draft_name is not null").groupBy(F.col("draft_name").alias("name")).agg(F.min_by("c", "c.id").alias("own"))
+    loose = chosen.where("draft_name is null").agg(F.min_by("c", "c.id").alias("loose"))  # one row
+    both = drafts.join(named, "name", "left").join(F.broadcast(loose))
+    anchor = F.when(F.col("own").isNull() | (F.col("loose.id") < F.col("own.id")), F.coalesce("loose", "own")).otherwise(F.col("own"))
+    return both.withColumn("_a", anchor).select("draft_id", "name", "tokens", F.coalesce("_a.t", F.array().cast("array<string>")).alias("anchor"), F.col("_a.s").alias("anchor_start"), F.col("_a.e").alias("anchor_end"))
+
+
+def relatedness(drafts: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
+    """draft_id, candidate_id, relatedness, to_label, to_anchor, shared (tokens of colour or equipment), gap, fragment and rank: each draft's k most telling
+    candidates that are related to it (by fragment, score, relatedness; ties by candidate_id).
+
+    drafts: draft_id, name, tokens (of its label). candidates: candidate_id, draft_name, tokens, start, end, score, selected, discarded. The draft's own selected
+    candidates are left out. Relatedness is the similarity to the label, 0.15 for each shared token of colour or equipment, half of the similarity to the
+    draft's first selected candidate (its anchor), and 0.25 within 60 seconds of it. It must reach 0.45.
+
+    Pairs come from four indexes, whose least values follow from that sum; what none of them finds can't reach it: labels of a similarity of 0.1, anchors of 0.19, two shared
+    tokens of the vocabulary, or one together with nearness in time. They are then judged exactly.
+    """
+    d = with_anchor(drafts, candidates)
+    c = candidates.select("candidate_id", "draft_name", F.col("tokens").alias("words"), "start", "end", "score", "selected", "discarded")
+    ids = c.select(F.col("candidate_id").alias("id"), F.col("words").alias("tokens"))
+    by_label = sharing_rare_tokens(d.select(F.col("draft_id").alias("id"), "tokens"), ids, 0.1)
+    by_anchor = sharing_rare_tokens(d.select(F.col("draft_id").alias("id"), F.col("anchor").alias("tokens")), ids, 0.19)
+
+    known = lambda tokens: F.array_sort(F.array_intersect(tokens, F.array(*map(F.lit, COLORS_AND_EQUIPMENT))))
+    twos = lambda tokens: F.flatten(F.transform(tokens, lambda x: F.transform(F.filter(tokens, lambda y: y > x), lambda y: F.concat_ws(" ", x, y))))
+    dk, ck = d.withColumn("k", known(F.col("tokens"))), c.withColumn("k", known(F.col("words")))
+    by_two = dk.select(F.col("draft_id").alias("left_id"), F.explode(twos(F.col("k"))).alias("two")).join(ck.select(F.col("candidate_id").alias("right_id"), F.explode(twos(F.col("k"))).alias("two")), "two").drop("two")
+    slot = lambda at: F.floor(at / NEAR_SECONDS).cast("long")
+    near = NEAR_SECONDS + 0.01
+    early = dk.where("anchor_start is not null and anchor_end is not null").select(F.col("draft_id").alias("left_id"), "anchor_start", "anchor_end", F.explode("k").alias("token"))
+    early = early.withColumn("slot", F.explode(F.sequence(slot(F.col("anchor_start") - near), F.greatest(slot(F.col("anchor_start") - near), slot(F.col("anchor_end") + near)))))
+    late = ck.where("start is not null and end is not null").select(F.col("candidate_id").alias("right_id"), "start", "end", F.explode("k").alias("token"))
+    late = late.withColumn("slot", F.explode(F.sequence(slot(F.col("start")), F.greatest(slot(F.col("start")), slot(F.col("end"))))))
+    by_time = early.join(late, ["token", "slot"]).select("left_id", "right_id")
+
+    pairs = by_label.unionByName(by_anchor).unionByName(by_two).unionByName(by_time).distinct().toDF("draft_id", "candidate_id")
+    both = pairs.join(d, "draft_id").join(c, "candidate_id").where(~(F.coalesce("selected", F.lit(False)) & (F.coalesce(F.col("draft_name") == F.col("name"), F.lit(False)))))
+    shared = vocabulary_overlap(F.col("words"), F.col("tokens"), COLORS_AND_EQUIPMENT)
+    both = both.withColumns({"to_label": F.round(jaccard(F.col("words"), F.col("tokens")), 3), "to_anchor": F.round(jaccard(F.col("words"), F.col("anchor")), 3), "shared": shared})
+    both = both.withColumn("gap", F.round(gap_seconds(F.col("start"), F.col("end"), F.col("anchor_start"), F.col("anchor_end")), 2))
+    total = F.col("to_label") + EACH_TOKEN * F.size("shared") + OF_ANCHOR * F.col("to_anchor") + F.when(F.col("gap") <= NEAR_SECONDS, NEAR_IN_TIME).otherwise(0.0)
+    both = both.withColumn("relatedness", F.round(total, 3)).where(F.col("relatedness") >= LEAST_RELATED)
+    fragment = F.coalesce("discarded", F.lit(False)) & ((F.col("relatedness") >= FRAGMENT_SCORE) | (F.size("shared") >= FRAGMENT_TOKENS))
+    w = Window.partitionBy("draft_id").orderBy(F.desc("fragment"), F.desc(F.coalesce("score", F.lit(0))), F.desc("relatedness"), "candidate_id")
+    out = both.withColumn("fragment", fragment).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.select("draft_id", "candidate_id", "relatedness", "to_label", "to_anchor", F.array_join("shared", ",").alias("shared"), "gap", "fragment", "rank")
+
+
 def missed_moments(feedback: DataFrame, ledger: DataFrame, event: str = "MISSING_GOOD_MOMENT") -> DataFrame:
     """Each feedback of that kind with its draft's ledger rows: how many, how many dropped, and the dropped ids in order."""
     asked = feedback.where(F.col("feedback_event") == event)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.overlap import points_in_intervals
 
@@ -104,18 +106,61 @@ def single_slow(df: DataFrame, reel: str, place: str = "place", least: int = 8)
     return df.withColumn("slow_final", last & F.col("slow") & (F.col("score") >= least))
 
 
-def teasers(df: DataFrame, reel: str, place: str = "place", at: float = 0.65, seconds: float = 2.5) -> DataFrame:
-    """The events and, for each reel, a teaser of its last one at place 0."""
-    last = F.row_number().over(Window.partitionBy(reel).orderBy(F.desc(place))) == 1
-    start = F.col("start") + (F.col("end") - F.col("start")) * at
-    extra = df.withColumn("_l", last).where("_l").drop("_l").withColumn("start", start).withColumn("end", F.least("end", F.col("start") + seconds)).withColumn(place, F.lit(0)).withColumn("teaser", F.lit(True))
-    return df.withColumn("teaser", F.lit(False)).unionByName(extra)
+TEASER_AT, TEASER_SECONDS, TEASER_SPARE, SINGLE_CAP = 0.65, 2.5, 2.0, 15.0  # fixed values
+
+
+def teasers(df: DataFrame, reel: str, place: str = "place", at: float = TEASER_AT, seconds: float = TEASER_SECONDS, spare: float = TEASER_SPARE, cap: float = SINGLE_CAP) -> DataFrame:
+    """The events and, for each reel whose last one is more than `spare` longer than a teaser, a teaser of that one at place 0.
+
+    A teaser's middle lies at `at` of the last event, but all of it inside; of a reel's only event, which is shown for `cap` seconds at most, it is the end of
+    what is shown."""
+    w = Window.partitionBy(reel)
+    last = F.row_number().over(w.orderBy(F.desc(place))) == 1
+    length = F.col("end") - F.col("start")
+    middle = F.greatest(F.col("start"), F.least(F.col("start") + length * at - seconds / 2, F.col("end") - seconds))
+    start = F.when(F.col("_n") > 1, middle).otherwise(F.col("start") + F.least(length, F.lit(cap)) - seconds)
+    told = df.withColumn("_l", last).withColumn("_n", F.count(F.lit(1)).over(w))
+    extra = told.where(F.col("_l") & (length > seconds + spare)).withColumn("start", start).withColumn("end", F.col("start") + seconds).withColumn(place, F.lit(0)).withColumn("teaser", F.lit(True))
+    return df.withColumn("teaser", F.lit(False)).unionByName(extra.drop("_l", "_n"))
 
 
-def unique_names(df: DataFrame, name: str, ordinal: str) -> DataFrame:
-    """`unique_name`: the second and later rows of a name get _02, _03 and so on."""
+def single_capped(df: DataFrame, events: str, cap: float = SINGLE_CAP) -> DataFrame:
+    """`shown_until`: a reel's only event (`events`: how many the reel has) ends after `cap` seconds, others where they end."""
+    return df.withColumn("shown_until", F.when(F.col(events) == 1, F.least("end", F.col("start") + cap)).otherwise(F.col("end")))
+
+
+def unique_names(df: DataFrame, name: str, ordinal: str, suffix: str = ".mp4") -> DataFrame:
+    """`unique_name`, in order of `ordinal`: a name that is taken gets the first free number from _02 on, before its suffix (`suffix` where it has none).
+
+    Names that differ by such numbers alone may take each other's; only these families (of one stem) are gone through row by row. A family of
+    one name is numbered by a window.
+    """
+    ends = r"^(.+)(\.[^.]+)$"
+    stem = F.when(F.rlike(name, F.lit(ends)), F.regexp_extract(name, ends, 1)).otherwise(F.col(name))
+    tail = F.when(F.rlike(name, F.lit(ends)), F.regexp_extract(name, ends, 2)).otherwise(F.lit(suffix))
+    named = df.withColumn("_stem", stem).withColumn("_tail", tail).withColumn("_family", F.concat(F.regexp_replace("_stem", r"(_\d{2,})+$", ""), F.lit("|"), "_tail"))
+    mixed = named.groupBy("_family").agg((F.min(name) != F.max(name)).alias("_mixed"))
+    told = named.join(mixed, "_family", "left")
     k = F.row_number().over(Window.partitionBy(name).orderBy(ordinal))
-    return df.withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.format_string("_%02d", k))))
+    plain = told.where(~F.coalesce("_mixed", F.lit(False))).withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat("_stem", F.lit("_"), F.lpad(k.cast("string"), F.greatest(F.lit(2), F.length(k.cast("string"))), F.lit("0")), "_tail")))
+    inside = told.where("_mixed")
+
+    def numbered(rows: pd.DataFrame) -> pd.DataFrame:
+        used, after = set(), {}
+        out = []
+        for one, s, t in rows.sort_values(ordinal)[[name, "_stem", "_tail"]].itertuples(index=False):
+            n = after.get(one, 2)
+            new = one
+            while new in used:
+                new, n = f"{s}_{n:02d}{t}", n + 1
+            after[one] = n
+            used.add(new)
+            out.append(new)
+        return rows.sort_values(ordinal).assign(unique_name=out)
+
+    schema = T.StructType([*inside.schema.fields, T.StructField("unique_name", T.StringType())])
+    both = plain.unionByName(inside.groupBy("_family").applyInPandas(numbered, schema))
+    return both.drop("_stem", "_tail", "_family", "_mixed")
 
 
 def multiset_matches(left: DataFrame, right: DataFrame, key: list[str], ordinal: str) -> DataFrame:

@@ -557,7 +557,7 @@ def q56_moving_peak(spark, d):
     return timeline.moving_peak(m, ["source", "person"], "hour", "v", 3)
 
 
-@query("""select ordinal, case when k = 1 then name else name || '_' || lpad(cast(k as varchar), 2, '0') end as unique_name from (select event_id as ordinal, 'draft ' || event_type || ' ' || user_id as name, row_number() over (partition by event_type, user_id order by event_id) as k from events)""")
+@query("""select ordinal, case when k = 1 then name else name || '_' || printf('%02d', k) || '.mp4' end as unique_name from (select event_id as ordinal, 'draft ' || event_type || ' ' || user_id as name, row_number() over (partition by event_type, user_id order by event_id) as k from events)""")
 def q57_unique_names(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("ordinal"), F.concat(F.lit("draft "), F.col("event_type"), F.lit(" "), F.col("user_id").cast("string")).alias("name"))
     return timeline.unique_names(e, "name", "ordinal").select("ordinal", "unique_name")
@@ -748,4 +748,4 @@ def q81_constraint_violations(spark, d):
     return reports.constraint_violations(table(spark, d, "customer"), "c_custkey", rules)
 
 
-from tidemark import queries_rules  # noqa: E402, F401  registers its queries with those above
+from tidemark import queries_chains, queries_rules  # noqa: E402, F401  register their queries with those above

@@ -612,11 +612,12 @@ def q133_consuming_matches(spark, d):
     return sequential.consuming_matches(wanted, offered, ["k"])
 
 
-@query(f"""with {_MOMENTS}, t as (select person, ordinal, start, "end", false as teaser from m), l as (select person, ordinal, start, "end", row_number() over (partition by person order by ordinal desc) as r from m)
-    select person, ordinal, cast(start as double) as start, cast("end" as double) as "end", teaser from t union all select person, ordinal, start + ("end" - start) * 0.5, least("end", start + ("end" - start) * 0.5 + 30), true from l where r = 1""")
+@query(f"""with {_MOMENTS}, t as (select person, ordinal, start, "end", false as teaser from m), l as (select person, ordinal, cast(start as double) as start, cast("end" as double) as "end", row_number() over (partition by person order by ordinal desc) as r, count(*) over (partition by person) as n from m),
+    x as (select *, case when n > 1 then greatest(start, least(start + ("end" - start) * 0.65 - 1.25, "end" - 2.5)) else start + least("end" - start, 15) - 2.5 end as s from l where r = 1 and "end" - start > 4.5)
+    select person, ordinal, cast(start as double) as start, cast("end" as double) as "end", teaser from t union all select person, ordinal, s, s + 2.5, true from x""")
 def q134_teasers(spark, d):
     m = moments(spark, d).withColumns({"start": F.col("start").cast("double"), "end": F.col("end").cast("double"), "place": F.col("ordinal")})
-    return timeline.teasers(m, "person", at=0.5, seconds=30).select("person", "ordinal", "start", "end", "teaser")
+    return timeline.teasers(m, "person").select("person", "ordinal", "start", "end", "teaser")
 
 
 @query("""with f as (select l_orderkey as g, l_linenumber * 1000000 + l_partkey as n, 'f' || l_partkey as file, case when l_suppkey % 3 = 0 then null else l_suppkey % 3 = 1 end as audio, l_quantity > 40 as bad from lineitem),
