@@ -68,11 +68,11 @@ def bounds(q: np.ndarray, lists: Lists, depth: int) -> tuple[np.ndarray, np.ndar
     seen = plus @ high.T + minus @ low.T
     lower = seen + plus @ (high_open * high_least).T + minus @ (low_open * low_most).T
     upper = seen + plus @ (high_open * high_most).T + minus @ (low_open * low_least).T
-    wide = lambda x: x.astype(np.float64)  # noqa: E731  # squares may be too large for 32 bits where products aren't
-    mine = wide(plus) ** 2 @ wide(high_open).T + wide(minus) ** 2 @ wide(low_open).T
-    known = wide(q > 0) @ (wide(high) ** 2).T + wide(q <= 0) @ (wide(low) ** 2).T
-    unread = np.maximum(lists.squares - known, 0) + lists.squares * 1e-12  # what rounding may have taken
-    rest = np.sqrt((np.maximum(mine, 0) * (1 + 1e-12)) * unread) * (1 + 1e-9) + 1
+    mine = (plus * plus) @ high_open.T + (minus * minus) @ low_open.T
+    known = (q > 0).astype(q.dtype) @ (high * high).T + (q <= 0).astype(q.dtype) @ (low * low).T
+    slack = lists.dims * 2.0**-22  # more than rounding to 32 bits may take from a sum of so many squares
+    unread = np.maximum(lists.squares - known, 0) + lists.squares * slack
+    rest = np.sqrt(mine * (1 + slack) * unread) + 1
     return np.maximum(lower, seen - rest), np.minimum(upper, seen + rest)
 
 
