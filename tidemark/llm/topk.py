@@ -71,8 +71,8 @@ def bounds(q: np.ndarray, lists: Lists, depth: int) -> tuple[np.ndarray, np.ndar
     mine = (plus * plus) @ high_open.T + (minus * minus) @ low_open.T
     known = (q > 0).astype(q.dtype) @ (high * high).T + (q <= 0).astype(q.dtype) @ (low * low).T
     slack = lists.dims * 2.0**-22  # more than rounding to 32 bits may take from a sum of so many squares
-    unread = np.maximum(lists.squares - known, 0) + lists.squares * slack
-    rest = np.sqrt(mine * (1 + slack) * unread) + 1
+    reach = (lists.squares * (1 + 2 * slack)).astype(q.dtype)
+    rest = np.sqrt(mine * np.maximum(reach - known, 0)) * q.dtype.type(1 + slack) + q.dtype.type(1)
     return np.maximum(lower, seen - rest), np.minimum(upper, seen + rest)
 
 
