@@ -146,7 +146,7 @@ def related(drafts: DataFrame, candidates: DataFrame, least: float = 0.45, k: in
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("draft_id", "candidate_id", "similarity", "rank")
 
 
-LEAST_RELATED, EACH_TOKEN, OF_ANCHOR, NEAR_IN_TIME, NEAR_SECONDS = 0.45, 0.15, 0.5, 0.25, 60.0  # fixed values
+LEAST_RELATED, EACH_TOKEN, NEAR_IN_TIME, NEAR_SECONDS = 0.45, 0.15, 0.25, 60.0  # fixed values
 FRAGMENT_SCORE, FRAGMENT_TOKENS = 0.9, 2  # fixed values
 
 
@@ -166,7 +166,7 @@ def relatedness(drafts: DataFrame, candidates: DataFrame, k: int = 10) -> DataFr
 
     drafts: draft_id, name, tokens (of its label). candidates: candidate_id, draft_name, tokens, start, end, score, selected, discarded. The draft's own selected
     candidates are left out. Relatedness is the similarity to the label, 0.15 for each shared token of colour or equipment, half of the similarity to the
-    draft's first selected candidate (its anchor), and 0.25 within 60 seconds of it. It must reach 0.45.
+    draft's first selected candidate (its anchor), and 0.25 within 60 seconds of it, in thousandths (halves up). It must reach 0.45.
 
     Pairs come from four indexes, whose least values follow from that sum; what none of them finds can't reach it: labels of a similarity of 0.1, anchors of 0.19, two shared
     tokens of the vocabulary, or one together with nearness in time. They are then judged exactly.
@@ -192,10 +192,13 @@ def relatedness(drafts: DataFrame, candidates: DataFrame, k: int = 10) -> DataFr
     pairs = by_label.unionByName(by_anchor).unionByName(by_two).unionByName(by_time).distinct().toDF("draft_id", "candidate_id")
     both = pairs.join(d, "draft_id").join(c, "candidate_id").where(~(F.coalesce("selected", F.lit(False)) & (F.coalesce(F.col("draft_name") == F.col("name"), F.lit(False)))))
     shared = vocabulary_overlap(F.col("words"), F.col("tokens"), COLORS_AND_EQUIPMENT)
-    both = both.withColumns({"to_label": F.round(jaccard(F.col("words"), F.col("tokens")), 3), "to_anchor": F.round(jaccard(F.col("words"), F.col("anchor")), 3), "shared": shared})
+    thousandths = lambda a, b: F.round(jaccard(F.col(a), F.col(b)) * 1000).cast("long")
+    both = both.withColumns({"_label": thousandths("words", "tokens"), "_anchor": thousandths("words", "anchor"), "shared": shared})
     both = both.withColumn("gap", F.round(gap_seconds(F.col("start"), F.col("end"), F.col("anchor_start"), F.col("anchor_end")), 2))
-    total = F.col("to_label") + EACH_TOKEN * F.size("shared") + OF_ANCHOR * F.col("to_anchor") + F.when(F.col("gap") <= NEAR_SECONDS, NEAR_IN_TIME).otherwise(0.0)
-    both = both.withColumn("relatedness", F.round(total, 3)).where(F.col("relatedness") >= LEAST_RELATED)
+    near_in_time = F.when(F.col("gap") <= NEAR_SECONDS, int(2000 * NEAR_IN_TIME)).otherwise(0)
+    doubled = 2 * F.col("_label") + int(2000 * EACH_TOKEN) * F.size("shared") + F.col("_anchor") + near_in_time  # half of the anchor's, so in whole numbers of a 2000th
+    both = both.withColumns({"to_label": F.col("_label") / 1000, "to_anchor": F.col("_anchor") / 1000, "relatedness": F.floor((doubled + 1) / 2) / 1000})
+    both = both.where(F.col("relatedness") >= LEAST_RELATED)
     fragment = F.coalesce("discarded", F.lit(False)) & ((F.col("relatedness") >= FRAGMENT_SCORE) | (F.size("shared") >= FRAGMENT_TOKENS))
     w = Window.partitionBy("draft_id").orderBy(F.desc("fragment"), F.desc(F.coalesce("score", F.lit(0))), F.desc("relatedness"), "candidate_id")
     out = both.withColumn("fragment", fragment).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -99,14 +99,14 @@ a as (
     from d join c on c.selected and (c.draft_name = d.name or c.draft_name is null) group by d.draft_id),
 x as (
     select d.draft_id, candidate_id, score, not selected as discarded, list_intersect(list_intersect(words, label), {text.COLORS_AND_EQUIPMENT}) as shared,
-        case when len(words) = 0 or len(label) = 0 then 0 else round(len(list_intersect(words, label)) / len(list_distinct(words || label)), 3) end as to_label,
-        case when len(words) = 0 or len(coalesce(anchor, [])) = 0 then 0 else round(len(list_intersect(words, anchor)) / len(list_distinct(words || anchor)), 3) end as to_anchor,
+        case when len(words) = 0 or len(label) = 0 then 0 else cast(round(len(list_intersect(words, label)) / len(list_distinct(words || label)) * 1000) as bigint) end as to_label,
+        case when len(words) = 0 or len(coalesce(anchor, [])) = 0 then 0 else cast(round(len(list_intersect(words, anchor)) / len(list_distinct(words || anchor)) * 1000) as bigint) end as to_anchor,
         round(greatest(0, s - c."end", c.start - e), 2) as gap
     from d left join a using (draft_id) cross join c where not (selected and coalesce(draft_name = name, false))),
-r as (select *, round(to_label + 0.15 * len(shared) + 0.5 * to_anchor + case when gap <= 60 then 0.25 else 0 end, 3) as relatedness from x),
-f as (select *, discarded and (relatedness >= 0.9 or len(shared) >= 2) as fragment from r where relatedness >= 0.45),
+r as (select *, (2 * to_label + 300 * len(shared) + to_anchor + case when gap <= 60 then 500 else 0 end + 1) // 2 as relatedness from x),
+f as (select *, discarded and (relatedness >= 900 or len(shared) >= 2) as fragment from r where relatedness >= 450),
 o as (select *, row_number() over (partition by draft_id order by fragment desc, score desc, relatedness desc, candidate_id) as rank from f)
-select draft_id, candidate_id, cast(round(relatedness * 1000) as bigint) as thousandths, array_to_string(list_sort(shared), ',') as shared, gap, fragment, cast(rank as int) as rank from o where rank <= 10""")
+select draft_id, candidate_id, cast(relatedness as bigint) as thousandths, array_to_string(list_sort(shared), ',') as shared, gap, fragment, cast(rank as int) as rank from o where rank <= 10""")
 def q149_relatedness(spark, d):
     p, size, at = table(spark, d, "part"), F.col("p_size"), F.col("p_partkey") * 7 % 3600
     said = F.concat("p_name", F.lit(" "), "p_type", F.when(size % 2 == 0, " black wetsuit").otherwise(""))
