@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores, text
-from tidemark.operators import chain, ledger, timeline
+from tidemark.operators import chain, identity, ledger, timeline
 
 CLUSTERS = "cluster long, description string, position long, ident string, clip string, own string"
 PEOPLE = "ident string, clip string, own string, position long"
@@ -158,3 +158,12 @@ def test_zoom_moves_to_the_event_before_the_last(spark):
 
     assert rule(["zoom", "slide", "slide", "cut"]) == ["slide", "slide", "zoom", "cut"]
     assert rule(["cut", "zoom"]) == ["cut", "slide"] and rule(["zoom", "cut"]) == ["zoom", "cut"] and rule(["cut", "fade", "cut"]) == ["cut", "fade", "cut"]
+
+
+def test_edges_are_vetoed_by_other_shirt_numbers(spark):
+    best = [(i, o, 0.95, 1) for i, o in ((1, 2), (2, 1), (3, 4), (4, 3), (5, 6), (6, 5))]
+    said = [(1, "#7"), (2, "player 8"), (3, "#7 or #8"), (4, "bib 8"), (5, "#9")]
+    numbers = spark.createDataFrame(said, "id long, own string").select("id", text.shirt_numbers(F.col("own")).alias("numbers"))
+    df = spark.createDataFrame(best, "id long, other long, similarity double, rank int")
+    edges = lambda **more: sorted(tuple(r) for r in identity.mutual_edges(df, "id", **more).collect())
+    assert edges() == [(1, 2), (3, 4), (5, 6)] and edges(numbers=numbers) == [(3, 4), (5, 6)]
