@@ -262,7 +262,7 @@ def test_drafts_of_the_same_windows(spark):
 def test_a_social_moment_passes_and_a_lost_actor_does_not(spark):
     row = spark.range(1)
     none = F.lit(None)
-    reasons = policies.ambiguity_reasons({"target_lost": F.lit(True)}, {}, none.cast("boolean"), none.cast("double"), {}, F.lit(False), none.cast("boolean"), F.lit("identity switches here"), none.cast("boolean"))
+    reasons = policies.ambiguity_reasons({"target_lost": F.lit(True)}, {}, none.cast("boolean"), none.cast("double"), {}, F.lit("a"), none.cast("boolean"), F.lit("identity switches here"), none.cast("boolean"))
     actor = policies.primary_actor(reasons, F.lit("a"), none.cast("boolean"), F.lit(0.25), F.lit(3), none.cast("boolean"))
     gate = policies.multi_person_gate(actor["decision"], F.array(F.lit("a"), F.lit("b")), none.cast("boolean"), none.cast("array<string>"), F.lit("Celebration"), none.cast("string"))
     r = row.select(actor.alias("a"), gate.alias("g")).first()

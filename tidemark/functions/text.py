@@ -110,3 +110,34 @@ def vocabulary_overlap(a: Column, b: Column, vocabulary: list[str]) -> Column:
 def draft_label(name: Column) -> Column:
     """A draft's name without its DRAFT prefix and its date or part suffix."""
     return F.trim(F.regexp_replace(F.regexp_replace(name, r"(?i)^\s*draft[\s_:-]*", ""), r"(?i)[\s_-]*((\d{4}-?\d{2}-?\d{2})|(part[\s_-]*\d+)|(_\d{2}))\s*$", ""))
+
+
+def _ascii(c: Column) -> Column:
+    """A text with characters beyond ASCII as JSON escapes, those beyond 16 bits as two."""
+    four = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(x: Column) -> Column:
+        code = F.ascii(x)
+        above = code - 0x10000
+        pair = F.concat(four(F.lit(0xD800) + F.shiftright(above, 10)), four(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))))
+        return F.when(code < 128, x).when(code < 0x10000, four(code)).otherwise(pair)
+
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(c, ""), escaped), "")).otherwise(c)
+
+
+def canonical_json(raw: Column) -> Column:
+    """JSON text with the keys of every object sorted, no blanks between, and only ASCII; null for what isn't JSON. It goes through a VARIANT, so numbers are
+    written in one way too (1.50 as 1.5)."""
+    return _ascii(F.to_json(F.try_parse_json(raw)))
+
+
+def cleaned_json(value: Column) -> Column:
+    """Any struct, array or map with text keys as canonical JSON: what JSON has no kind for (dates, time stamps, bytes) becomes text, nested as deep as it may be."""
+    return _ascii(F.to_json(F.to_variant_object(value)))
+
+
+def json_digest(raw: Column, length: int = 16) -> Column:
+    """The first digits of a SHA-1 over JSON text that tells nothing of key order, letter case or blanks; what isn't JSON is digested as a text."""
+    told = F.coalesce(canonical_json(raw), raw)
+    plain = F.regexp_replace(F.trim(F.lower(told)), r"\s+", " ")
+    return F.substring(F.sha1(plain.cast("binary")), 1, length)

@@ -9,17 +9,46 @@ from tidemark.functions.text import key
 from tidemark.operators.overlap import points_in_intervals
 
 
-def first_pattern(rows: DataFrame, text: str, patterns: DataFrame, ident: str, most: int = 10_000) -> DataFrame:
-    """Rows with `label`: that of the first pattern (by ordinal) contained in the text, else null. patterns: ordinal, pattern, label.
+GRAM = 3  # letters by which texts and needles meet
 
-    The patterns are a list that people keep: up to `most` of them (more are a ValueError) are gathered into one array, and a row's text is searched for each.
+
+def first_needle(rows: DataFrame, text: str, needles: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Rows with `label`: that of the first needle (by ordinal, then label) that the text holds, in any case, else null.
+
+    needles: ordinal, needle, label, at_end (held only where the text ends with it). However many there are, none is gone through row by row: each different text is
+    looked up by its pieces of up to `gram` letters, each needle by that one of its own pieces which the fewest texts have, and what meets is compared letter by letter.
+    Null and empty needles are in no text.
     """
-    n = patterns.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} patterns")
-    listed = patterns.agg(F.array_sort(F.collect_list(F.struct("ordinal", F.lower("pattern").alias("pattern"), "label"))).alias("_list"))
-    hit = F.get(F.filter("_list", lambda p: F.contains(F.lower(F.coalesce(F.col(text), F.lit(""))), p["pattern"])), F.lit(0))
-    return rows.join(F.broadcast(listed)).withColumn("label", hit["label"]).drop("_list")
+    lowered = F.lower(F.col(text))
+    pieces = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: c.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    sharp = needles.select("ordinal", "label", "at_end", F.lower("needle").alias("needle")).where("needle != ''").distinct()
+    sized = [F.when(F.length("needle") == n if n < gram else F.length("needle") >= n, pieces(F.col("needle"), n)) for n in range(1, gram + 1)]
+    uses = sharp.select("*", F.explode(F.array_distinct(F.coalesce(*sized))).alias("piece"))
+    texts = rows.select(lowered.alias("_said")).where("_said is not null").distinct()
+    cut = texts.select("_said", F.explode(F.array_distinct(F.concat(*(pieces(F.col("_said"), n) for n in range(1, gram + 1))))).alias("piece"))
+    known = cut.join(uses.select("piece").distinct(), "piece", "left_semi")
+    common = known.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece"))["piece"]
+    chosen = uses.join(common, "piece", "left").groupBy("ordinal", "label", "at_end", "needle").agg(rarest.alias("piece"))
+    holds = F.when(F.col("at_end"), F.endswith("_said", F.col("needle"))).otherwise(F.contains("_said", F.col("needle")))
+    first = known.join(chosen, "piece").where(holds).groupBy("_said").agg(F.min(F.struct("ordinal", "label"))["label"].alias("label"))
+    return rows.drop("label").join(first, lowered == F.col("_said"), "left").drop("_said")
+
+
+def first_pattern(rows: DataFrame, text: str, patterns: DataFrame, ident: str | None = None) -> DataFrame:
+    """Rows with `label`: that of the first pattern (by ordinal) contained in the text, else null. patterns: ordinal, pattern, label."""
+    return first_needle(rows, text, patterns.select("ordinal", F.col("pattern").alias("needle"), "label", F.lit(False).alias("at_end")))
+
+
+def clients_of(rows: DataFrame, text: str, clients: DataFrame) -> DataFrame:
+    """Rows with `label`: the first client (by ordinal) whose shirt number or pattern a description holds. clients: ordinal, client, jersey, pattern.
+
+    A shirt number is told as "#7", "number 7", "no. 7", as a word between blanks, or as the last word."""
+    shirt = F.trim(F.col("jersey").cast("string"))
+    form = lambda before, after="", end=False: F.struct(F.concat(F.lit(before), shirt, F.lit(after)).alias("needle"), F.lit(end).alias("at_end"))
+    shirts = F.array(form("#"), form("number "), form("no. "), form(" ", " "), form(" ", end=True))
+    worn = clients.where(shirt != "").select("ordinal", F.col("client").alias("label"), F.explode(shirts).alias("f")).select("ordinal", "f.needle", "label", "f.at_end")
+    return first_needle(rows, text, worn.union(clients.select("ordinal", F.col("pattern"), F.col("client"), F.lit(False))))
 
 
 def defect_events(defects: DataFrame, events: DataFrame, bucket: float = 60) -> DataFrame:

@@ -15,12 +15,12 @@ NEGATIVE = ["BAD_CROP", "WRONG_ATHLETE", "DUPLICATE_ATHLETE", "DUPLICATE_MOMENT"
 UNSURE = ["low", "none", "unknown"]
 BAD_STATES = ["ambiguous", "unclear", "unknown", "lost", "switched", "identity_switch", "target_lost", "occluded", "blocked"]
 SOCIAL = ["high_five", "celebration", "team_interaction"]  # and the types of moments that are meant to show several people
-PHRASES = {
-    "identity_switch_description": ["identity switches", "switches to another player", "switches to another athlete"],
-    "target_lost_description": ["loses track of the target"],
-    "primary_actor_unclear_description": ["primary athlete is unclear", "cannot tell which player"],
-    "primary_actor_occluded_description": ["target is obscured at the key moment"],
-}
+STABLE_STATES = ["clear", "continuous", "followed", "stable", "tracked"]
+PHRASES = [  # in the order in which they are told
+    ("identity switches", "identity_switch_description"), ("switches to another player", "identity_switch_description"), ("switches to another athlete", "identity_switch_description"),
+    ("loses track of the target", "target_lost_description"), ("primary athlete is unclear", "primary_actor_unclear_description"),
+    ("target is obscured at the key moment", "primary_actor_occluded_description"), ("cannot tell which player", "primary_actor_unclear_description"),
+]
 LEAST_CONFIDENCE, LEAST_CONTINUITY, LEAST_VISIBLE = 0.55, 0.50, 0.35
 
 
@@ -65,22 +65,30 @@ def decision_path(selected: Column, prefilter: Column, stage: Column, cause: Col
     )
 
 
-def ambiguity_reasons(flags: dict[str, Column], states: dict[str, Column], clear: Column, confidence: Column, active: dict[str, Column], centred: Column, pending: Column, description: Column, focused: Column) -> Column:
+def ambiguity_reasons(flags: dict[str, Column], states: dict[str, Column], clear: Column, confidence: Column, active: dict[str, Column], actor: Column, pending: Column, description: Column, focused: Column) -> Column:
     """Why it isn't sure who a moment is about, in order and once each. Booleans have three states: null says nothing.
 
-    flags and active: named booleans, of which the active ones count only where the target isn't surely centred; states: named states of tracking; description is
-    left out where the evidence is of a focused stretch.
+    flags and active: named booleans; states: named states of tracking, in any case, with blanks or dashes. Others who are active count only where the target isn't
+    surely centred: an actor, said to be clear, in a stable and no bad state, of enough confidence; what is missing of that is told before them. focused: the
+    evidence's scope is a focused stretch, so the description of the whole window isn't read.
     """
     no = F.lit(None).cast("string")
+    named = {k: F.translate(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")), "- ", "__") for k, c in states.items()}
+    sure = F.when(confidence.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence.cast("double"))))
+    low = F.when(sure < LEAST_CONFIDENCE, F.concat(F.lit("primary_actor_confidence:"), F.format_string("%.3f", sure)))
+    any_ = lambda cs: F.coalesce(F.greatest(F.lit(False), *(F.coalesce(c, F.lit(False)) for c in cs), F.lit(False)), F.lit(False))
+    known = F.coalesce(F.trim(actor.cast("string")) != "", F.lit(False))
+    stable, bad = any_([c.isin(STABLE_STATES) for c in named.values()]), any_([c.isin(BAD_STATES) for c in named.values()])
+    centred = ~bad & known & F.coalesce(clear, F.lit(False)) & stable & F.coalesce(sure >= LEAST_CONFIDENCE, F.lit(False))
+    open_ = any_(list(active.values())) & ~centred
     told = [F.when(c, F.lit(k)).otherwise(no) for k, c in flags.items()]
-    told += [F.when(F.lower(c).isin(BAD_STATES), F.concat(F.lit(f"{k}:"), F.lower(c))).otherwise(no) for k, c in states.items()]
-    told.append(F.when(~clear, "primary_actor_clear:false"))
-    told.append(F.when(confidence < LEAST_CONFIDENCE, F.concat(F.lit("primary_actor_confidence:"), F.format_string("%.3f", confidence.cast("double")))))
-    off = ~F.coalesce(centred, F.lit(False))
-    told += [F.when(c & off, F.lit(k)).otherwise(no) for k, c in active.items()]
+    told += [F.when(c.isin(BAD_STATES), F.concat(F.lit(f"{k}:"), c)).otherwise(no) for k, c in named.items()]
+    told += [F.when(~clear, "primary_actor_clear:false"), low]
+    told += [F.when(open_ & ~known, "primary_actor_id:missing"), F.when(open_ & ~F.coalesce(clear, F.lit(False)), "primary_actor_clear:not_proven")]
+    told += [F.when(open_ & ~stable, "identity_continuity:not_proven_stable"), F.when(open_ & sure.isNull(), "primary_actor_confidence:missing")]
+    told += [F.when(c & open_, F.lit(k)).otherwise(no) for k, c in active.items()]
     told.append(F.when(pending, "focused_subwindow_validation_required"))
-    broad = ~F.coalesce(focused, F.lit(False)) & ~F.coalesce(pending, F.lit(False))
-    told += [F.when(broad & has_any(description, terms), F.lit(code)).otherwise(no) for code, terms in PHRASES.items()]
+    told += [F.when(~F.coalesce(focused, F.lit(False)) & has_any(description, [phrase]), F.lit(code)).otherwise(no) for phrase, code in PHRASES]
     return F.array_distinct(F.array_compact(F.array(*told)))
 
 

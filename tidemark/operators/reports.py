@@ -108,12 +108,13 @@ def calibration(rows: DataFrame, by: list[str], approved: str, engagement: str)
     return rows.where(F.col(approved)).groupBy(*by).agg(F.count(F.lit(1)).alias("approvals"), F.median(engagement).alias("middle"))
 
 
-def threshold_suggestion(labelled: DataFrame, provisional: DataFrame, by: list[str], value: str, current: float, least: int = 5) -> DataFrame:
-    """The lower quartile of labelled values, else the 0.4 place of provisional ones, else the current threshold; with where it came from."""
+def threshold_suggestion(labelled: DataFrame, provisional: DataFrame, by: list[str], value: str, current: float, least: int = 5, everyone: DataFrame | None = None) -> DataFrame:
+    """The lower quartile of labelled values, else the 0.4 place of provisional ones, else the current threshold; with where it came from. Groups are those of
+    either table, or of `everyone`."""
     a = indexed_percentile(labelled, by, value, 0.25).where(F.col("n") >= least).select(*by, F.col("suggested").alias("a"))
     b = indexed_percentile(provisional, by, value, 0.40).where(F.col("n") >= least).select(*by, F.col("suggested").alias("b"))
-    everyone = labelled.select(*by).union(provisional.select(*by)).distinct()
-    out = everyone.join(a, by, "left").join(b, by, "left")
+    groups = (labelled.select(*by).union(provisional.select(*by)) if everyone is None else everyone.select(*by)).distinct()
+    out = groups.join(a, by, "left").join(b, by, "left")
     return out.select(*by, F.coalesce("a", "b", F.lit(current)).alias("threshold"), F.when(F.col("a").isNotNull(), "labelled").when(F.col("b").isNotNull(), "provisional").otherwise("current").alias("basis"))
 
 
@@ -199,13 +200,14 @@ def coverage_violations(rows: DataFrame, summary: DataFrame, run: str) -> DataFr
     return twice.unionByName(gaps).unionByName(wrong)
 
 
-def run_metrics(drafts: DataFrame, sidecars: DataFrame, detections: DataFrame, overlaps: DataFrame, mixed: DataFrame, fragments: DataFrame, videos: int) -> DataFrame:
+def run_metrics(drafts: DataFrame, sidecars: DataFrame, detections: DataFrame, overlaps: DataFrame, mixed: DataFrame, fragments: DataFrame, videos: int, exit_code: int | None = None, summary_found: bool = True, trace_found: bool = False) -> DataFrame:
     """One row of a run's counts and rates; each rate is 0 where its denominator is.
 
-    drafts: has_window, duplicate; sidecars: valid; detections: track, box_valid, time_valid, confidence; overlaps and mixed: a row for each pair and
-    window found; fragments: tracks, short_tracks (see fragmentation). Each table is summed up by itself, and only these sums meet.
+    drafts: has_window, duplicate, in_trace (the decision trace tells of it); sidecars: valid; detections: track, box_valid, time_valid, confidence; overlaps and mixed: a row for each pair and
+    window found; fragments: tracks, short_tracks (see fragmentation). summary_found, trace_found: the run's summary and any trace file are there; a trace that tells
+    of a draft is one. Each table is summed up by itself, and only these sums meet.
     """
-    d = drafts.agg(F.count(F.lit(1)).alias("draft_count"), F.count_if("has_window").alias("_windows"), F.count_if("duplicate").alias("duplicate_athlete_likely_draft_count"))
+    d = drafts.agg(F.count(F.lit(1)).alias("draft_count"), F.count_if("has_window").alias("_windows"), F.count_if("duplicate").alias("duplicate_athlete_likely_draft_count"), F.count_if("in_trace").alias("draft_metadata_count"))
     s = sidecars.agg(F.count_if("valid").alias("sidecar_count"), F.count_if(~F.col("valid")).alias("_errors"))
     e = detections.agg(
         F.count(F.lit(1)).alias("detection_count"), F.count_distinct("track").alias("unique_track_count"), F.count_if(F.col("track").isNull()).alias("_untracked"), F.count_if(~F.col("box_valid")).alias("_boxes"),
@@ -223,7 +225,9 @@ def run_metrics(drafts: DataFrame, sidecars: DataFrame, detections: DataFrame, o
         "short_track_rate": safe_div(F.col("short_track_count"), F.col("_tracks")), "sidecar_missing_rate": F.when((F.lit(videos) > 0) & (F.col("sidecar_count") == 0), 1.0).otherwise(0.0),
         "sidecar_schema_error_rate": safe_div(F.col("_errors"), F.greatest(F.col("sidecar_count") + F.col("_errors"), F.lit(1))), "track_id_missing_rate": safe_div(F.col("_untracked"), c),
         "bbox_out_of_bounds_rate": safe_div(F.col("_boxes"), c), "invalid_time_window_rate": safe_div(F.col("_times"), c), "detections_per_video": safe_div(c, F.greatest(F.lit(videos), F.lit(1))),
-        "tracks_per_video": safe_div(F.col("unique_track_count"), F.greatest(F.lit(videos), F.lit(1))),
+        "tracks_per_video": safe_div(F.col("unique_track_count"), F.greatest(F.lit(videos), F.lit(1))), "track_fragmentation_rate": safe_div(F.col("short_track_count"), F.col("_tracks")),
+        "artifact_upload_missing_rate": F.lit(0.0 if summary_found else 1.0), "draft_without_decision_trace_rate": F.when((n > 0) & (F.col("draft_metadata_count") == 0) & ~F.lit(trace_found), 1.0).otherwise(0.0),
+        "no_drafts_with_candidates_rate": F.lit(0.0), "exit_code": F.lit(exit_code).cast("int"),
     }
     return one.withColumns(rates).withColumn("video_count", F.lit(videos)).drop("_windows", "_errors", "_untracked", "_boxes", "_times", "_tracks")
 

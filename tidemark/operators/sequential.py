@@ -168,7 +168,7 @@ def _packed(events: DataFrame, reel: str, columns: list[str], in_order, budget:
         seconds = [lengths[k] if s is None else s for k, s in of]
         return pd.DataFrame({reel: rows[reel], "ordinal": rows["ordinal"], "part": [k for k, _ in of], "seconds": seconds})
 
-    return events.join(events.select(reel, *columns, *([slow] if slow else [])).groupBy(reel).applyInPandas(one, schema), [reel, "ordinal"])
+    return events.join(events.select(*dict.fromkeys([reel, *columns, *([slow] if slow else [])])).groupBy(reel).applyInPandas(one, schema), [reel, "ordinal"])
 
 
 def packed_parts(events: DataFrame, reel: str, budget: float = 89.0 - 2.75, fade: float = 0.25, slow: str | None = None) -> DataFrame:

@@ -74,6 +74,23 @@ def page(df: DataFrame, order: list[Column], size: int, offset: int = 0, most: i
     return rows, rows.count() == size
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], after: tuple | None, size: int, most: int = 50) -> DataFrame:
+    """The page of `size` rows (kept in 1 to `most`) that follows the row whose order columns are `after` (null: the first page). order: column and whether it falls.
+
+    Which rows come later is a filter on the first order column, which the scan takes, and a finer one, so a late page costs no more than the first. Order columns
+    hold no nulls, and together tell rows apart."""
+    size = max(1, min(most, size))
+    by = [F.desc(c) if falls else F.asc(c) for c, falls in order]
+    if after is None:
+        return df.orderBy(*by).limit(size)
+    beyond = F.lit(False)
+    for (c, falls), at in reversed(list(zip(order, after))):
+        further = F.col(c) < at if falls else F.col(c) > at
+        beyond = further | ((F.col(c) == at) & beyond)
+    (c, falls), at = order[0], after[0]
+    return df.where((F.col(c) <= at) if falls else (F.col(c) >= at)).where(beyond).orderBy(*by).limit(size)
+
+
 def canonical_uploads(df: DataFrame, digest: str, order: list[Column], upload: str) -> DataFrame:
     """Rows with `canonical` (the upload that stands for all of its digest: first in order) and `superseded`. A null digest stands for itself.
 
@@ -100,6 +117,22 @@ def narrative_order(df: DataFrame, reel: str, score: str = "score", ordinal: str
     return df.withColumn("place", place.cast("int"))
 
 
+LEAST_CLIMAX = 6.5  # fixed value
+
+
+def quality_order(df: DataFrame, reel: str, quality: str = "quality", evidence: str = "evidence", least: float = LEAST_CLIMAX, ordinal: str = "ordinal") -> DataFrame:
+    """`place` (from 1) and `climax`: a reel's best event with evidence and a quality of `least` comes last, the best of the others first, the rest between
+    them by rising quality. A reel without such an event rises all through. Ties keep the order of ordinals."""
+    w = Window.partitionBy(reel)
+    fit = F.coalesce(F.col(evidence) & (F.col(quality) >= least), F.lit(False))
+    told = df.withColumn("climax", fit & (F.row_number().over(w.orderBy(F.desc(fit), F.desc(quality), ordinal)) == 1))
+    told = told.withColumns({"_n": F.count(F.lit(1)).over(w), "_any": F.bool_or("climax").over(w), "_down": F.row_number().over(w.orderBy("climax", F.desc(quality), ordinal))})
+    opens = F.col("_any") & ~F.col("climax") & (F.col("_down") == 1)
+    rises = F.row_number().over(Window.partitionBy(reel, "climax", "_opens").orderBy(quality, ordinal))
+    place = F.when(F.col("climax"), F.col("_n")).when(F.col("_opens"), 1).when(F.col("_any"), rises + 1).otherwise(rises)
+    return told.withColumn("_opens", opens).withColumn("place", place.cast("int")).drop("_n", "_any", "_down", "_opens")
+
+
 def single_slow(df: DataFrame, reel: str, place: str = "place", least: int = 8) -> DataFrame:
     """`slow_final`: only a reel's last event, if flagged and scored `least`."""
     last = F.row_number().over(Window.partitionBy(reel).orderBy(F.desc(place))) == 1

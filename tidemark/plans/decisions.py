@@ -17,8 +17,8 @@ def selected_moments(moments: DataFrame, person: list[str] | None = None, least:
     return greedy.source_window_dedup(chosen).where("kept").drop("kept", "duplicate_of")
 
 
-def parts(moments: DataFrame, reel: str = "source") -> DataFrame:
-    """Selected moments in parts that fit a reel."""
+def parts(moments: DataFrame, reel: str = "person") -> DataFrame:
+    """Selected moments in parts that fit a reel; `reel` names whose reel it is."""
     return sequential.packed_parts(selected_moments(moments), reel)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import chunk_window, clamp, finite, namespaced
@@ -59,6 +59,48 @@ def on_source_time(events: DataFrame, chunks: DataFrame, source: str = "source",
     return good, named.where("not _w.valid").select(*keep, "start", "end", F.col("_w.reason").alias("reason"))
 
 
+def judged_candidates(candidates: DataFrame, chunks: DataFrame, source: str = "source", least: float = 4.0) -> DataFrame:
+    """All candidates of numbered chunks, those with a good window moved to their source's time line, the others discarded with the reason and their window as told.
+
+    candidates: source, chunk_index, person, start, end, selected, discarded, selection_reason, discard_cause and anything else; `originally_selected` keeps what was chosen, and
+    valid, encoding, basis, clamped and recovered (told in minutes and seconds) say what became of the window.
+    """
+    counted = chunks.join(chunks.groupBy(source).agg(F.count(F.lit(1)).alias("_chunks")), source).select(source, "chunk_index", F.col("offset").alias("_offset"), F.col("length").alias("_length"), "_chunks")
+    both = candidates.join(counted, [source, "chunk_index"]).withColumn("_w", chunk_window(F.col("start"), F.col("end"), F.col("_offset"), F.col("_length"), least))
+    ok = F.col("_w.valid")
+    out = both.withColumn("originally_selected", F.coalesce("selected", F.lit(False))).withColumns({
+        "person": namespaced(F.col("chunk_index"), F.col("_chunks"), F.col("person")), "valid": ok, "selected": ok & F.col("originally_selected"),
+        "discarded": ~ok | F.coalesce("discarded", F.lit(False)), "selection_reason": F.when(ok, F.col("selection_reason")),
+        "discard_cause": F.when(ok, F.col("discard_cause")).otherwise(F.coalesce("_w.reason", F.lit("timestamp_outside_chunk_bounds"))),
+        "start": F.when(ok, F.col("_w.start")).otherwise(F.col("start")), "end": F.when(ok, F.col("_w.end")).otherwise(F.col("end")),
+        "encoding": F.when(ok, F.col("_w.encoding")), "basis": F.when(ok, F.col("_w.basis")), "clamped": ok & F.coalesce("_w.clamped", F.lit(False)),
+        "recovered": ok & F.coalesce(F.col("_w.encoding") == "minute_second", F.lit(False)),
+    })
+    return out.drop("_w", "_offset", "_length", "_chunks")
+
+
+def _counters(encodings: list[str], bases: list[str]) -> list[Column]:
+    counts = {"selected": F.col("selected"), "discarded": F.col("discarded"), "invalid": ~F.col("valid"), "clamped": F.col("clamped"), "recovered": F.col("recovered")}
+    counts |= {f"encoding_{e}": F.col("encoding") == e for e in encodings} | {f"basis_{b}": F.col("basis") == b for b in bases}
+    given = F.coalesce(F.max(F.col("discarded").cast("int")) == 1, F.lit(False)) & (F.count_if(F.col("discarded") & F.coalesce(F.col("discard_cause") == "", F.lit(True))) == 0)
+    return [F.count(F.lit(1)).alias("candidates"), *(F.count_if(c).alias(k) for k, c in counts.items()), given.alias("causes_available")]
+
+
+ENCODINGS, BASES = ["decimal_seconds", "minute_second"], ["chunk_local", "source_global"]
+
+
+def candidate_counters(judged: DataFrame, by: list[str]) -> DataFrame:
+    """Of each group of judged candidates: how many there are, were selected, discarded, invalid, clamped, recovered, of each encoding and basis, and whether
+    there are discarded ones that all have a cause."""
+    return judged.groupBy(*by).agg(*_counters(ENCODINGS, BASES))
+
+
+def counted_on_the_way(judged: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same candidates and their counters over all, which Spark gathers while the candidates are written or otherwise used: no pass of their own."""
+    seen = Observation("candidates")
+    return judged.observe(seen, *_counters(ENCODINGS, BASES)), seen
+
+
 def effective(first: list[Column], original: list[Column]) -> Column:
     """The final window where both of its bounds are known, else the original one."""
     whole = first[0].isNotNull() & first[1].isNotNull()

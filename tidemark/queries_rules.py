@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry, intervals, scores, text
-from tidemark.operators import greedy, identity, ledger, lookups, policies, reports, sequential, states, timeline
+from tidemark.operators import greedy, identity, ledger, lookups, overlap, policies, reports, sequential, states, timeline
 from tidemark.plans import sessions
-from tidemark.queries import _DETECTIONS, _MOMENTS, detections, moments, query, table
+from tidemark.queries import _DETECTIONS, _MOMENTS, _PAIRS, _WINDOWS, detections, moments, query, table, windows
 from tidemark.sources import sinks
 
 
@@ -196,10 +196,20 @@ def q94_ledger_summary(spark, d):
     return reports.ledger_summary(rows, "draft").withColumn("decisions", flat("decisions")).withColumn("labels", flat("labels"))
 
 
-_ACTOR = """a as (select event_id, list_filter([case when event_id % 13 = 0 then 'identity_switch' end, case when event_id % 19 = 0 then 'target_lost' end, case when event_id % 8 = 3 then 'primary_actor_status:occluded' end, case when event_id % 23 = 0 then 'primary_actor_clear:false' end,
-    case when event_id % 16 < 3 then 'primary_actor_confidence:' || ['0.125', '0.250', '0.375'][event_id % 16 + 1] end, case when event_id % 5 = 0 and event_id % 2 = 0 then 'multiple_active_subjects' end, case when event_id % 29 = 0 then 'focused_subwindow_validation_required' end,
-    case when event_id % 31 = 0 and event_id % 29 > 0 and event_id % 7 > 0 then 'target_lost_description' end], lambda x: x is not null) as reasons, case when event_id % 3 > 0 then user_id end as actor, case when event_id % 23 = 0 then false when event_id % 4 = 0 then true end as clear,
-    case when event_id % 6 > 0 then event_id % 8 / 8.0 end as continuity, event_id % 4 as visible, event_id % 29 = 0 as pending from events),
+_ACTOR = """x as (
+    select *, case event_id % 8 when 3 then 'occluded' when 4 then 'identity_switch' when 5 then 'drifting' else 'stable' end as state, case when event_id % 23 = 0 then false when event_id % 4 = 0 then true end as clear,
+        case when event_id % 16 < 3 then (event_id % 16 + 1) / 8.0 when event_id % 16 <> 9 then 0.75 end as sure, case when event_id % 3 > 0 then user_id end as actor from events),
+y as (select *, event_id % 5 = 0 and not coalesce(state = 'stable' and actor is not null and clear and sure >= 0.55, false) as open from x),
+a as (
+    select event_id, list_filter([
+        case when event_id % 13 = 0 then 'identity_switch' end, case when event_id % 19 = 0 then 'target_lost' end, case when state in ('occluded', 'identity_switch') then 'primary_actor_status:' || state end,
+        case when not clear then 'primary_actor_clear:false' end, case when event_id % 16 < 3 then 'primary_actor_confidence:' || ['0.125', '0.250', '0.375'][event_id % 16 + 1] end,
+        case when open and actor is null then 'primary_actor_id:missing' end, case when open and not coalesce(clear, false) then 'primary_actor_clear:not_proven' end,
+        case when open and state <> 'stable' then 'identity_continuity:not_proven_stable' end, case when open and sure is null then 'primary_actor_confidence:missing' end,
+        case when open then 'multiple_active_subjects' end, case when event_id % 29 = 0 then 'focused_subwindow_validation_required' end,
+        case when event_id % 31 = 0 and event_id % 7 > 0 then 'target_lost_description' end], lambda x: x is not null) as reasons,
+        actor, clear, case when event_id % 6 > 0 then event_id % 8 / 8.0 end as continuity, event_id % 4 as visible, event_id % 29 = 0 as pending
+    from y),
 w as (select *, pending and actor is not null and coalesce(continuity >= 0.5, false) as waits from a),
 l as (select *, list_filter(reasons, lambda x: not (waits and x = 'focused_subwindow_validation_required')) || case when continuity < 0.5 then ['primary_continuity_ratio:' || ['0.000', '0.125', '0.250', '0.375'][event_id % 8 + 1]] else [] end as told from w),
 p as (select *, len(told) > 0 as blocked, actor is not null or coalesce(clear, false) or waits or coalesce(continuity >= 0.5, false) as sure from l),
@@ -210,8 +220,10 @@ def actors(spark, d):
     e_id = F.col("event_id")
     e = events(spark, d)
     reasons = policies.ambiguity_reasons(
-        {"identity_switch": F.when(e_id % 13 == 0, True), "target_lost": e_id % 19 == 0}, {"primary_actor_status": F.when(e_id % 8 == 3, "Occluded").otherwise("stable")}, F.when(e_id % 23 == 0, False).when(e_id % 4 == 0, True),
-        F.when(e_id % 16 < 3, (e_id % 16 + 1) / 8).otherwise(0.75), {"multiple_active_subjects": e_id % 5 == 0}, e_id % 2 == 1, e_id % 29 == 0, F.when(e_id % 31 == 0, "The camera loses track of the target"), e_id % 7 == 0,
+        {"identity_switch": F.when(e_id % 13 == 0, True), "target_lost": e_id % 19 == 0},
+        {"primary_actor_status": F.when(e_id % 8 == 3, "Occluded").when(e_id % 8 == 4, " Identity Switch").when(e_id % 8 == 5, "drifting").otherwise("stable")},
+        F.when(e_id % 23 == 0, False).when(e_id % 4 == 0, True), F.when(e_id % 16 < 3, (e_id % 16 + 1) / 8).when(e_id % 16 != 9, 0.75), {"multiple_active_subjects": e_id % 5 == 0},
+        F.when(e_id % 3 > 0, F.col("user_id")), e_id % 29 == 0, F.when(e_id % 31 == 0, "The camera loses track of the target"), e_id % 7 == 0,
     )
     e = e.withColumn("reasons", reasons)
     continuity = F.when(e_id % 6 > 0, (e_id % 8) / 8)
@@ -260,21 +272,37 @@ def q99_cluster_evidence(spark, d):
     return policies.cluster_evidence(rows, "cluster", "app", "box", "usable", "visible")
 
 
-@query(f"""with {_MOMENTS}, {_DETECTIONS}, f as (select source, count(distinct track) as tracks, count(*) filter (k < 2600000) as short from (select source, track, max(t) - min(t) as k from d group by 1, 2) group by 1),
-    x as (select count(*) as n, count(*) filter (score > 1) as w, count(*) filter (score = 10) as dup from m), y as (select count(*) as c, count(distinct case when point_id % 9 > 0 then track end) as u, count(*) filter (point_id % 9 = 0) as no_track, count(*) filter (x2 > 1700) as boxes, count(*) filter (point_id % 100 = 0) as times, min(confidence) as lo, max(confidence) as hi from d),
-    z as (select sum(tracks) as tracks, sum(short) as short from f), s as (select count(*) as k from customer where c_acctbal >= 0), r as (select count(*) as k from customer where c_acctbal < 0), o as (select count(*) as k from m where score = 3), q as (select count(*) as k from m where score = 4)
-    select n as draft_count, s.k as sidecar_count, c as detection_count, u as unique_track_count, o.k as overlap_pairs, q.k as mixed_windows, cast(short as bigint) as short_track_count, lo as least_confidence, hi as most_confidence, w / n as window_rate, o.k / (n * (n - 1) / 2) as overlap_rate, q.k / n as mixed_rate,
-    short / tracks as short_rate, r.k / (s.k + r.k) as error_rate, no_track / c as untracked_rate, boxes / c as box_rate, times / c as time_rate, c / 40 as per_video from x, y, z, s, r, o, q""")
+@query(f"""with {_MOMENTS}, {_DETECTIONS}, {_PAIRS}, {_WINDOWS},
+    f as (select source, count(distinct track) as tracks, count(*) filter (k < 2600000) as short from (select source, track, max(t) - min(t) as k from d group by 1, 2) group by 1),
+    x as (select count(*) as n, count(*) filter (score > 1) as w, count(*) filter (score = 10) as dup, count(*) filter (score <> 2) as told from m),
+    y as (
+        select count(*) as c, count(distinct case when point_id % 9 > 0 then track end) as u, count(*) filter (point_id % 9 = 0) as no_track, count(*) filter (x2 > 1700) as boxes,
+            count(*) filter (point_id % 100 = 0) as times, min(confidence) as lo, max(confidence) as hi from d),
+    z as (select sum(tracks) as tracks, sum(short) as short from f), s as (select count(*) as k from customer where c_acctbal >= 0), r as (select count(*) as k from customer where c_acctbal < 0),
+    o as (select count(*) as k from q), t as (select window_id, track, count(*) as n from h group by all),
+    v as (select count(*) as k from (select window_id from t group by 1 having sum(n) >= 4 and count(*) >= 2 and max(n) <= sum(n) * 0.7))
+    select n as draft_count, told as draft_metadata_count, s.k as sidecar_count, c as detection_count, u as unique_track_count, o.k as overlap_pairs, v.k as mixed_windows, cast(short as bigint) as short_track_count,
+        lo as least_confidence, hi as most_confidence, w / n as window_rate, o.k / (n * (n - 1) / 2) as overlap_rate, v.k / n as mixed_rate, dup as duplicate_drafts, dup / n as duplicate_rate,
+        short / tracks as short_rate, short / tracks as fragmentation_rate, r.k / (s.k + r.k) as error_rate, no_track / c as untracked_rate, boxes / c as box_rate, times / c as time_rate, c / 40 as per_video,
+        cast(0 as double) as trace_missing_rate, cast(1 as double) as upload_missing_rate, cast(0 as double) as without_drafts_rate, 3 as exit_code
+    from x, y, z, s, r, o, v""")
 def q100_run_metrics(spark, d):
     m, p, c = moments(spark, d), detections(spark, d), table(spark, d, "customer")
-    drafts = m.select((F.col("score") > 1).alias("has_window"), (F.col("score") == 10).alias("duplicate"))
+    drafts = m.select((F.col("score") > 1).alias("has_window"), (F.col("score") == 10).alias("duplicate"), (F.col("score") != 2).alias("in_trace"))
     points = p.select(F.when(F.col("point_id") % 9 > 0, F.col("track")).alias("track"), (F.col("x2") <= 1700).alias("box_valid"), (F.col("point_id") % 100 > 0).alias("time_valid"), "confidence")
-    out = reports.run_metrics(drafts, c.select((F.col("c_acctbal") >= 0).alias("valid")), points, m.where("score = 3"), m.where("score = 4"), reports.fragmentation(p, "source", "track", short=2_600_000), 40)
-    return out.select(
-        "draft_count", "sidecar_count", "detection_count", "unique_track_count", F.col("source_window_overlap_pair_count").alias("overlap_pairs"), F.col("mixed_subject_likely_window_count").alias("mixed_windows"), "short_track_count", "least_confidence", "most_confidence",
-        F.col("draft_source_window_coverage_rate").alias("window_rate"), F.col("source_window_overlap_duplicate_rate").alias("overlap_rate"), F.col("mixed_subject_violation_rate").alias("mixed_rate"), F.col("short_track_rate").alias("short_rate"),
-        F.col("sidecar_schema_error_rate").alias("error_rate"), F.col("track_id_missing_rate").alias("untracked_rate"), F.col("bbox_out_of_bounds_rate").alias("box_rate"), F.col("invalid_time_window_rate").alias("time_rate"), F.col("detections_per_video").alias("per_video"),
-    )
+    pairs = overlap.overlapping_pairs(m, ["source"], "ordinal", differ="person")
+    mixed = reports.mixed_windows(overlap.points_in_intervals(p, windows(spark, d), ["source"]), "window_id", "track")
+    sidecars = c.select((F.col("c_acctbal") >= 0).alias("valid"))
+    out = reports.run_metrics(drafts, sidecars, points, pairs, mixed, reports.fragmentation(p, "source", "track", short=2_600_000), 40, exit_code=3, summary_found=False)
+    named = {
+        "overlap_pairs": "source_window_overlap_pair_count", "mixed_windows": "mixed_subject_likely_window_count", "window_rate": "draft_source_window_coverage_rate", "overlap_rate": "source_window_overlap_duplicate_rate",
+        "mixed_rate": "mixed_subject_violation_rate", "duplicate_drafts": "duplicate_athlete_likely_draft_count", "duplicate_rate": "duplicate_athlete_violation_rate", "short_rate": "short_track_rate",
+        "fragmentation_rate": "track_fragmentation_rate", "error_rate": "sidecar_schema_error_rate", "untracked_rate": "track_id_missing_rate", "box_rate": "bbox_out_of_bounds_rate",
+        "time_rate": "invalid_time_window_rate", "per_video": "detections_per_video", "trace_missing_rate": "draft_without_decision_trace_rate", "upload_missing_rate": "artifact_upload_missing_rate",
+        "without_drafts_rate": "no_drafts_with_candidates_rate",
+    }
+    plain = ["draft_count", "draft_metadata_count", "sidecar_count", "detection_count", "unique_track_count", "short_track_count", "least_confidence", "most_confidence", "exit_code"]
+    return out.select(*plain, *(F.col(v).alias(k) for k, v in named.items()))
 
 
 @query("""with w as (select user_id as run, count(*) as evaluated, count(*) filter (event_id % 7 > 0) as explicit, count(*) filter (event_id % 7 > 0 and event_type = 'error' and user_id % 3 = 0) as violations, count(*) filter (event_id % 4 = 0) as others_allowed from events group by 1),
