@@ -88,22 +88,21 @@ def crc_mod(column: str, n: int) -> Column:
 
 
 def bounded(rows: DataFrame, by: str, each: int, id_column: str, seed: int = 7, most_rows: int = 8192, most_classes: int = 4096) -> DataFrame:
-    """About `each` rows of every class in `by` (all, where there are fewer), fewer of each where all classes together would give more than
-    `most_rows`; picked by a hash of the id, twice as many in all at the very most. More than `most_classes` classes are a ValueError: none is left out.
+    """About `each` rows of every class in `by` (all, where there are fewer, and one at least), fewer of each where all classes together would give more than
+    `most_rows`; picked by a hash of the id, twice as many and one more of each in all at the very most. Of more than `most_classes` classes the commonest are taken
+    (equal counts: in order of value), a bound on the sample.
 
     One grouped count, then a filter on the scan: nothing is shuffled by class, so a class with most of the rows does no harm.
     """
-    counts = rows.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(by).limit(most_classes + 1).collect()
-    if len(counts) > most_classes:
-        raise ValueError(f"more than {most_classes} classes")
-    each = min(each, most_rows // max(1, len(counts)))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_column)), F.lit(1 << 30))
-    shares = {value: int((1 << 30) * min(1.0, each / n)) for value, n in counts if n > each}
-    part = F.lit(1 << 30)
-    if shares:
-        listed = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))
-        part = F.coalesce(F.try_element_at(listed, F.col(by)), part)
-    return rows.where(F.col(by).isNotNull() & (draw < part)).limit(2 * each * max(1, len(counts)))
+    named = rows.where(F.col(by).isNotNull())
+    counts = named.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("first")).orderBy(F.desc("n"), by).limit(most_classes).collect()
+    each = min(each, max(1, most_rows // max(1, len(counts))))
+    if not counts:
+        return named
+    shares = {r[by]: max(int((1 << 30) * min(1.0, each / r["n"])), r["first"] + 1) for r in counts}
+    listed = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))
+    return named.where(draw < F.coalesce(F.try_element_at(listed, F.col(by)), F.lit(0))).limit((2 * each + 1) * len(counts))
 
 
 def per_text(docs: DataFrame, fields: str, fn: Callable[[list], list], text: str = "text", id_column: str = "doc_id", rows: int = 1024, more: tuple[str, ...] = ()) -> DataFrame:

@@ -67,7 +67,8 @@ class LanguageModel:
     def losses(self, features: np.ndarray) -> np.ndarray:
         """Mean logistic loss of each language's codeword against the bit margins, one row a text."""
         margins = features @ self.weights + self.bias
-        return np.logaddexp(0, -margins[:, None, :] * self.book[None]).mean(2)
+        ones = (self.book > 0).astype(np.float32).T  # a bit costs one amount where it is 1 and another where it isn't, so two products give all losses
+        return (np.logaddexp(0, -margins) @ ones + np.logaddexp(0, margins) @ (1 - ones)) / self.book.shape[1]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, str | None, bool]]:
         out = [(UNDETERMINED, 0.0, None, False)] * len(texts)
@@ -102,7 +103,8 @@ def train(features: np.ndarray, labels: list[str], bits: int | None = None, roun
     book = codebook(max(1, len(languages)), bits, seed)
     weights, bias = np.zeros((dims, bits), np.float32), np.zeros(bits, np.float32)
     if len(languages) > 1:
-        y = np.array([languages.index(x) for x in labels])
+        place = {x: k for k, x in enumerate(languages)}
+        y = np.array([place[x] for x in labels])
         target = book[y]
         weigh = (1 / np.bincount(y)[y] / len(languages)).astype(np.float32)[:, None]
         v, vb, rate = weights.copy(), bias.copy(), np.float32(8.0)
@@ -119,8 +121,8 @@ def train(features: np.ndarray, labels: list[str], bits: int | None = None, roun
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id", each: int = 400, dims: int = 4096, most_rows: int = 8192) -> LanguageModel:
-    """Fits on about `each` rows of every language there is (fewer of each where they would be over `most_rows` in all, twice that at
-    most), a stated bounded sample. Whole texts become counts on the executors, of which only those above 0 are sent; the driver
+    """Fits on about `each` rows of every language there is (one at least; fewer of each where they would be over `most_rows` in all, twice that and one of each at
+    most; of more than 4,096 values of `lang` the commonest), a stated bounded sample. Whole texts become counts on the executors, of which only those above 0 are sent; the driver
     holds 2 * most_rows * dims * 4 bytes at most."""
 
     def features(texts: list, langs: list) -> list:
@@ -142,7 +144,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", id_colum
     """Language of every whole text: doc_id, lang_pred, score, runner_up, ambiguous. One pass, nothing shuffled.
 
     Null, empty and letterless texts are `und` with score 0. With no labelled row to learn from, all are `und`. Repeated rows
-    give repeated results; other columns are not looked at. Equal losses go to the language that sorts first.
+    give repeated results; other columns are not looked at. Equal losses go to the language that sorts first. A very long text is
+    counted as a whole, in memory of some 30 bytes a character.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # dims * bits floats, whatever the input's size
     return per_text(docs, OUT, lambda texts: list(zip(*shared.value.predict(texts), strict=True)) or [[]] * 4, text, id_column)
