@@ -122,7 +122,8 @@ def _ascii(c: Column) -> Column:
         pair = F.concat(four(F.lit(0xD800) + F.shiftright(above, 10)), four(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))))
         return F.when(code < 128, x).when(code < 0x10000, four(code)).otherwise(pair)
 
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(c, ""), escaped), "")).otherwise(c)
+    told = lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(t, ""), escaped), "")).otherwise(t)
+    return F.get(F.transform(F.array(c), told), F.lit(0))  # so the text is made once, not in each branch
 
 
 def canonical_json(raw: Column) -> Column:
