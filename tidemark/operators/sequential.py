@@ -1,4 +1,4 @@
-"""Rules that change what they have kept while they go on: one group at a time, in pandas, after Spark has grouped and narrowed the rows."""
+"""Rules that change what they have kept while they go on: mostly one group at a time, in pandas, after Spark has grouped and narrowed the rows."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import geometry as g
+from tidemark.operators import packing
 
 SEGMENT = "source string, class string, raw string, canonical string"
 
@@ -119,68 +120,37 @@ def final_guard(events: DataFrame, key: list[str], same_source: float = 0.55, sa
     return events.join(needed.groupBy(*key).applyInPandas(one, schema), [*key, "ordinal"])
 
 
-class Length:
-    """The length of a part while events join it: their seconds, a fade less at each joint, and its best scored slow event (the first of
-    equals) stretched: `stretch` lists (least score, share of the event that is slowed, times slower), highest score first."""
-
-    def __init__(self, fade: float, stretch: list[tuple[float, float, float]]):
-        self.fade, self.stretch, self.n, self.total, self.best, self.more = fade, stretch, 0, 0.0, -math.inf, 0.0
-
-    def with_event(self, seconds: float, score: float, slow: bool) -> Length:
-        out = Length(self.fade, self.stretch)
-        out.n, out.total = self.n + 1, self.total + seconds - (self.fade if self.n else 0.0)
-        out.best, out.more = self.best, self.more
-        if slow and score > self.best:
-            level = next(((share, times) for least, share, times in self.stretch if score >= least), None)
-            if level is not None:
-                out.best, out.more = score, seconds * level[0] * (level[1] - 1)
-        return out
-
-    def seconds(self) -> float:
-        return max(0.0, self.total + self.more)
-
-
 # How much of a slow event is slowed, and how much, by score.
 WHOLE_RIDE = [(9, 0.5, 2.5), (8, 0.4, 2.0)]
 BEST_FIRST = [(9, 0.5, 2.5), (7, 0.4, 2.0), (-math.inf, 0.3, 1.5)]
 
 
-def _packed(events: DataFrame, reel: str, columns: list[str], in_order, budget: float, fade: float, stretch: list, slow: str | None, alone: bool) -> DataFrame:
-    """ordinal, part and seconds of each reel's events: in order, a new part where the next wouldn't fit. An event too long for any part gets part -1,
-    or with `alone` a part for itself."""
-    schema = T.StructType([events.schema[reel], *T.StructType.fromDDL("ordinal long, part int, seconds double")])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = in_order(pdf)
-        part, length, of, lengths = -1, None, [], []
-        for seconds, score, able in zip((rows["end"] - rows["start"]).astype(float), rows["score"], rows[slow] if slow else [False] * len(rows), strict=True):
-            own = Length(fade, stretch).with_event(seconds, score, bool(able))
-            if own.seconds() > budget and not alone:
-                of.append((-1, own.seconds()))
-                continue
-            more = length.with_event(seconds, score, bool(able)) if length else None
-            if more is None or more.seconds() > budget:
-                part, more = part + 1, own
-                lengths.append(0.0)
-            length = more
-            lengths[part] = length.seconds()
-            of.append((part, None))
-        seconds = [lengths[k] if s is None else s for k, s in of]
-        return pd.DataFrame({reel: rows[reel], "ordinal": rows["ordinal"], "part": [k for k, _ in of], "seconds": seconds})
-
-    return events.join(events.select(*dict.fromkeys([reel, *columns, *([slow] if slow else [])])).groupBy(reel).applyInPandas(one, schema), [reel, "ordinal"])
+def _packed(events: DataFrame, reel: str, order: list, budget: float, fade: float, levels: list, slow: str | None, alone: bool, by_source: bool = False) -> DataFrame:
+    """Events with the part and seconds that `packing.parts` gives, in order of the given columns, with `by_source` of their sources as first seen before. An
+    event too long for any part gets part -1 and its own seconds, or with `alone` a part for itself; one without a reel, an ordinal or both times gets neither."""
+    seconds = F.col("end").cast("double") - F.col("start").cast("double")
+    able = F.coalesce(F.col(slow).cast("boolean"), F.lit(False)) if slow else F.lit(False)
+    rank, gain = packing.stretched(seconds, F.col("score"), able, levels)
+    names = [f"_order{k}" for k in range(len(order))]
+    sized = events.select(reel, "ordinal", seconds.alias("seconds"), rank.alias("rank"), gain.alias("gain"), *[c.alias(n) for c, n in zip(order, names, strict=True)], *(["source"] if by_source else []))
+    sized = sized.where(F.col(reel).isNotNull() & F.col("ordinal").isNotNull() & F.col("seconds").isNotNull()).checkpoint()
+    if by_source:
+        seen = sized.groupBy(reel, "source").agg(F.min("ordinal").alias("_seen"))
+        sized = sized.join(seen, [reel, "source"], "left").withColumn("_seen", F.coalesce("_seen", F.lit((1 << 63) - 1)))
+        names = ["_seen", *names]
+    own = F.greatest(F.lit(0.0), F.col("seconds") + F.col("gain"))
+    found = packing.parts(sized if alone else sized.where(own <= budget), reel, names, budget, fade)
+    if not alone:
+        found = found.unionByName(sized.where(own > budget).select(reel, "ordinal", F.lit(-1).alias("part"), own.alias("seconds")))
+    return events.join(found, [reel, "ordinal"], "left")
 
 
 def packed_parts(events: DataFrame, reel: str, budget: float = 89.0 - 2.75, fade: float = 0.25, slow: str | None = None) -> DataFrame:
     """Rows with `part` (from 0) and `seconds` (of the whole part): whole events in order of (source first seen, start, ordinal), a new part where the next
-    would not fit. Fades shorten a part; with a column `slow`, its best scored slow event of 8 or more is stretched. An event that fits in no part gives
-    part -1. Ordinals are unique within a reel.
+    would not fit; events without a source come last. Fades shorten a part; with a column `slow`, its best scored slow event of 8 or more is stretched. An
+    event that fits in no part gives part -1. Ordinals are unique within a reel. Reels may be of any length (see `packing.parts`); a checkpoint folder must be set.
     """
-
-    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(_seen=pdf.groupby("source")["ordinal"].transform("min")).sort_values(["_seen", "start", "ordinal"])
-
-    return _packed(events, reel, ["ordinal", "source", "start", "end", "score"], in_order, budget, fade, WHOLE_RIDE, slow, alone=False)
+    return _packed(events, reel, [F.col("start"), F.col("ordinal")], budget, fade, WHOLE_RIDE, slow, alone=False, by_source=True)
 
 
 def part_annotations(packed: DataFrame, reel: str) -> DataFrame:
@@ -197,9 +167,10 @@ def part_annotations(packed: DataFrame, reel: str) -> DataFrame:
 
 def scored_parts(events: DataFrame, reel: str, budget: float = 85.0, fade: float = 0.25, slow: str | None = None) -> DataFrame:
     """Rows with `part` and its `seconds`: next-fit packing by falling score (ties: ordinal). Fades shorten a part; with a column `slow` its best scored slow
-    event is stretched, whatever its score. A longer event has a part for itself. Ordinals are unique within a reel."""
-    by_score = lambda pdf: pdf.sort_values(["score", "ordinal"], ascending=[False, True])
-    return _packed(events, reel, ["ordinal", "start", "end", "score"], by_score, budget, fade, BEST_FIRST, slow, alone=True)
+    event is stretched, whatever its score. A longer event has a part for itself; events without a score come last. Ordinals are unique within a reel. Reels may
+    be of any length (see `packing.parts`); a checkpoint folder must be set."""
+    falling = F.coalesce(-F.col("score").cast("double"), F.lit(math.inf))
+    return _packed(events, reel, [falling, F.col("ordinal")], budget, fade, BEST_FIRST, slow, alone=True)
 
 
 def slow_runs_broken(events: DataFrame, reel: str) -> DataFrame:

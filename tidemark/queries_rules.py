@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import geometry, intervals, scores, text
 from tidemark.operators import greedy, identity, ledger, lookups, overlap, policies, reports, sequential, states, timeline
 from tidemark.plans import sessions
-from tidemark.queries import _DETECTIONS, _MOMENTS, _PAIRS, _WINDOWS, detections, moments, query, table, windows
+from tidemark.queries import _DETECTIONS, _MOMENTS, _PAIRS, _WINDOWS, detections, moments, query, shared_checkpoints, table, windows
 from tidemark.sources import sinks
 
 
@@ -509,6 +509,7 @@ def q119_render_dedup(spark, d):
     k as (select person, list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: list_concat(acc, [case when acc[-1].t + x[1].t - 1 <= 340 then {{'o': x[1].o, 'p': acc[-1].p, 't': acc[-1].t + x[1].t - 1}} else {{'o': x[1].o, 'p': acc[-1].p + 1, 't': x[1].t}} end])) as r from g), f as (select unnest(r, recursive := true) from k)
     select o as ordinal, cast(p as int) as part from f""")
 def q120_scored_parts(spark, d):
+    shared_checkpoints(spark)
     m = moments(spark, d).withColumn("end", F.col("start") + 5 + F.col("score") * 3)
     return sequential.scored_parts(m, "person").select("ordinal", "part")
 
@@ -666,6 +667,7 @@ def q135_silent_variants(spark, d):
     select ordinal, cast(p + 1 as int) as part_number, cast(max(p) over (partition by person) + 1 as int) as part_count, cast(row_number() over (partition by person, p order by seen, start, ordinal) as int) as place_in_part, count(*) over (partition by person, p) as events_in_part,
     cast(row_number() over (partition by person order by p, seen, start, ordinal) as int) as place_in_reel from z""")
 def q136_part_annotations(spark, d):
+    shared_checkpoints(spark)
     m = moments(spark, d).withColumn("end", F.col("start") + 5 + F.col("score") * 3)
     return sequential.part_annotations(sequential.packed_parts(m, "person"), "person").select("ordinal", "part_number", "part_count", "place_in_part", "events_in_part", "place_in_reel")
 
