@@ -175,7 +175,8 @@ def scored_parts(events: DataFrame, reel: str, budget: float = 85.0, fade: float
 
 def slow_runs_broken(events: DataFrame, reel: str) -> DataFrame:
     """Rows with `place`: where two slow events stand side by side, the second changes places with the next that isn't slow, if there is one
-    before the last. The first and the last event keep their places. One pass does: what a place was given stays good for it. Ordinals are unique within a reel."""
+    before the last. The first and the last event keep their places. One pass does: what a place was given stays good for it. Ordinals are unique within a reel;
+    an event without a reel or ordinal gets no place, a null `slow` is none."""
     schema = T.StructType([events.schema[reel], *T.StructType.fromDDL("ordinal long, place int")])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -186,9 +187,10 @@ def slow_runs_broken(events: DataFrame, reel: str) -> DataFrame:
             if len(plain):
                 two = [k, k + 1 + plain[0]]
                 slow[two], who[two] = slow[two[::-1]], who[two[::-1]]
-        return pd.DataFrame({reel: rows[reel].iloc[0], "ordinal": who, "place": np.arange(len(who))})
+        return rows[[reel]].assign(ordinal=who, place=np.arange(len(who)))
 
-    return events.join(events.select(reel, "ordinal", "slow").groupBy(reel).applyInPandas(one, schema), [reel, "ordinal"])
+    known = events.where(F.col(reel).isNotNull() & F.col("ordinal").isNotNull()).select(reel, "ordinal", F.coalesce("slow", F.lit(False)).alias("slow"))
+    return events.join(known.groupBy(reel).applyInPandas(one, schema), [reel, "ordinal"], "left")
 
 
 def consuming_matches(wanted: DataFrame, offered: DataFrame, key: list[str]) -> DataFrame:

@@ -749,4 +749,4 @@ def q81_constraint_violations(spark, d):
     return reports.constraint_violations(table(spark, d, "customer"), "c_custkey", rules)
 
 
-from tidemark import queries_chains, queries_edits, queries_rules  # noqa: E402, F401  register their queries with those above
+from tidemark import queries_chains, queries_edits, queries_orders, queries_rules  # noqa: E402, F401  register their queries with those above
