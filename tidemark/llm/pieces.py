@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+PAIR_BITS = 20  # of the table of neighbouring characters: 1 MB
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 EDGE = re.compile(f"(?<=[^ {MARK}])[ {MARK}]")  # where a word ends and the next begins
 DEFAULT_MODEL = "piece_bpe_32k.model"
@@ -119,7 +121,7 @@ class Encoder:
     pairs are numbers: a piece's id, or the model's size and more for a character that no piece has; all are bounded.
     """
 
-    def __init__(self, pieces: Pieces, most_bytes: int = 24 << 20, most_pairs: int = 1 << 17):
+    def __init__(self, pieces: Pieces, most_bytes: int = 40 << 20, most_pairs: int = 1 << 18):
         self.p, self.most_pairs = pieces, most_pairs
         self.most = most_bytes // 2
         self.pairs: dict[int, bool] = {}
@@ -130,6 +132,28 @@ class Encoder:
         self.base = len(pieces.shown)
         self.tails = {x[k:]: -1 for x in pieces.ids for k in range(1, len(x))} | pieces.ids  # what pieces end with: -1 where it is no piece itself
 
+        inside = np.frombuffer("".join(a + b for x in pieces.ids for a, b in zip(x, x[1:], strict=False)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.joined = np.zeros(1 << PAIR_BITS, bool)  # by a hash: whether two neighbouring characters stand together in any piece
+        self.joined[self._neighbours(inside)[::2]] = True
+
+    @staticmethod
+    def _neighbours(codes: np.ndarray) -> np.ndarray:
+        mixed = (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:]) * np.uint32(0x85EBCA6B)
+        return (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - PAIR_BITS)
+
+    def units(self, words: list[str]) -> tuple[list[str], list[int]]:
+        """Words cut wherever two neighbouring characters stand together in no piece, which no piece then crosses: their units, and where each
+        word's begin (one more than words). Colliding hashes only leave a cut out, which changes no ids."""
+        text = "".join(words)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        cut = np.ones(len(codes) + 1, bool)
+        cut[1:-1] = ~self.joined[self._neighbours(codes)] if len(codes) else False
+        starts = np.cumsum([0, *map(len, words)])
+        cut[starts] = True
+        at = np.flatnonzero(cut)
+        ends = at.tolist()
+        return [text[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], np.searchsorted(at, starts).tolist()
+
     def spelt(self, state: int) -> str:
         return "" if state < 0 else chr(state - self.base) if state >= self.base else self.names[state]
 
@@ -189,16 +213,28 @@ class Encoder:
                     flat.extend(self.p.byte_ids[b] for b in chr(state - base).encode("utf-8", "surrogatepass"))
             yield word, flat.tobytes()
 
-    def coded(self, words: list[str]) -> list[bytes]:
+    def _recall(self, words: set[str]) -> set[str]:
+        """Those of some words that aren't remembered; words of the old generation move up."""
         young, old = self.young, self.old
-        for w in set(words).difference(young):
-            x = old.get(w)
-            if x is not None:
-                young[w] = x
-                self.held += 2 * len(w) + len(x) + 160
-        for w, x in self.add(set(words).difference(young)):
-            young[w] = x
-            self.held += 2 * len(w) + len(x) + 160
+        new = words.difference(young)
+        for w in new.intersection(old):
+            self._remember(w, old[w])
+        return new.difference(young)
+
+    def _remember(self, word: str, ids: bytes) -> None:
+        self.young[word] = ids
+        self.held += 2 * len(word) + len(ids) + 160
+
+    def coded(self, words: list[str]) -> list[bytes]:
+        """Each word's ids. Words not remembered are put together from their units, which many words share."""
+        young = self.young
+        new = list(self._recall(set(words)))
+        units, at = self.units(new)
+        for u, x in self.add(self._recall(set(units))):
+            self._remember(u, x)
+        for w, a, b in zip(new, at[:-1], at[1:], strict=True):
+            if b - a > 1:
+                self._remember(w, b"".join(map(young.__getitem__, units[a:b])))
         out = list(map(young.__getitem__, words))
         if self.held > self.most:
             self.old, self.young, self.held = young, {}, 0
@@ -232,6 +268,12 @@ class Encoder:
         sizes.append(np.fromiter(map(len, got), np.int64, len(got)) // 4)
 
 
+@lru_cache(1)
+def _encoder(pieces: Pieces) -> Encoder:
+    """A worker's encoder, which goes on from task to task with what it remembers, as long as the model is the same broadcast one."""
+    return Encoder(pieces)
+
+
 def decoded(pieces: Pieces, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
     """The texts of some ids, as UTF-8: pieces joined, marks as blanks, without the one that the begin was given."""
     size = np.diff(pieces.byte_at)[ids]
@@ -256,16 +298,14 @@ def encode(docs: DataFrame, model_path: str | None = None, text: str = "text", i
     that no piece has become their UTF-8 bytes' pieces. Repeated rows give repeated results; other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(model_path or default_path()))  # the model's size, whatever the input's
-    state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not state:
-            state["it"] = Encoder(shared.value)
+        encoder = _encoder(shared.value)
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             for part in _parts(batch, lengths, 1 << 19):
                 texts = part.column(1).to_pylist()
-                ids, at = state["it"].encode(texts)
+                ids, at = encoder.encode(texts)
                 same = [(t or "").encode("utf-8", "surrogatepass") == d for t, d in zip(texts, decoded(shared.value, ids, at), strict=True)]
                 yield pa.record_batch(
                     [part.column(0), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(same, pa.bool_())],
