@@ -269,9 +269,9 @@ class Encoder:
 
 
 @lru_cache(1)
-def _encoder(pieces: Pieces) -> Encoder:
+def _encoder(pieces: Pieces, most_bytes: int = 40 << 20, most_pairs: int = 1 << 18) -> Encoder:
     """A worker's encoder, which goes on from task to task with what it remembers, as long as the model is the same broadcast one."""
-    return Encoder(pieces)
+    return Encoder(pieces, most_bytes, most_pairs)
 
 
 def decoded(pieces: Pieces, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -291,16 +291,17 @@ def _parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.R
         low = high
 
 
-def encode(docs: DataFrame, model_path: str | None = None, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, model_path: str | None = None, text: str = "text", id_column: str = "doc_id", most_bytes: int = 40 << 20, most_pairs: int = 1 << 18) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (decoding the ids gives the text again) of every whole text. One pass, nothing shuffled.
 
     Null and empty texts have no ids. A text with U+2581 itself decodes to blanks there, so its round_trip is false. Characters
     that no piece has become their UTF-8 bytes' pieces. Repeated rows give repeated results; other columns are not looked at.
+    A worker remembers words of `most_bytes` bytes and `most_pairs` pairs of pieces, which changes its time and memory only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(model_path or default_path()))  # the model's size, whatever the input's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
+        encoder = _encoder(shared.value, most_bytes, most_pairs)
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             for part in _parts(batch, lengths, 1 << 19):
