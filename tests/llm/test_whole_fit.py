@@ -1,5 +1,7 @@
 """The toxicity model is fitted on every labelled row, of any length, in groups whose steps are averaged."""
 
+import re
+
 import numpy as np
 
 from tidemark.llm import toxicity
@@ -35,3 +37,18 @@ def test_the_model_is_the_same_however_rows_are_dealt(spark):
     one, two = (toxicity.fit(docs.repartition(n), labels.repartition(n), group_rows=40, least=5) for n in (1, 7))
     assert one.thresholds == two.thresholds and all(np.array_equal(one.p[k], two.p[k]) for k in one.p)
     assert np.array_equal(one.languages.weights, two.languages.weights)
+
+
+def test_words_are_shuffled_once(spark, monkeypatch):
+    docs, labels = rows_of(spark, 60)
+    plans = []
+    keep = toxicity.Scratch.keep
+    monkeypatch.setattr(toxicity.Scratch, "keep", lambda self, df, name: plans.append(df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")) or keep(self, df, name))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # labels that are too many to be sent to all
+    try:
+        toxicity.fit(docs, labels, group_rows=20, least=5, visits=100)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    carried = [len(re.findall(r"\) Exchange\nInput \[\d+\]: \[[^\]]*\bw#", p)) for p in plans]
+    assert sum(carried) == 1, carried  # before, once to meet their labels and once more to meet their group
