@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tidemark.llm import pieces
 
 
@@ -26,3 +28,30 @@ def test_words_of_known_units_are_not_searched_again():
 def test_a_worker_keeps_its_encoder_from_task_to_task():
     p = pieces.Pieces(pieces.default_path())
     assert pieces._encoder(p) is pieces._encoder(p)
+
+
+def test_only_new_words_are_looked_up_among_old_ones():
+    class Old(dict):
+        def __iter__(self):
+            raise AssertionError("goes through all that is remembered")  # before, for every some hundred thousand characters
+
+    e = pieces.Encoder(pieces.Pieces(pieces.default_path()))
+    was = e.coded(["▁one", "▁two"])
+    e.old, e.young = Old(e.young), {}
+    assert e.coded(["▁two", "▁three", "▁one"])[::2] == was[::-1] and set(e.young) >= {"▁one", "▁two"}
+
+
+def test_a_character_is_one_step_and_ids_are_those_of_merging():
+    p = pieces.Pieces(pieces.default_path())
+    rnd = random.Random(7)
+    words = ["▁" * (k % 3) + "".join(rnd.choice("aeinorstdh\n$é\U0001f600\ud800") for _ in range(rnd.randrange(1, 14))) for k in range(600)]
+    for most in (1 << 18, 3):  # what is remembered changes nothing
+        e = pieces.Encoder(p, most_pairs=most)
+        steps = []
+        reads = e.reads
+        e.reads = lambda at, c: steps.append((at[""], c)) or reads(at, c)
+        for w, ids in e.add(words):
+            want = [i for x in p.merged(w) for i in ([p.ids[x]] if x in p.ids else [p.byte_ids[b] for b in x.encode("utf-8", "surrogatepass")])]
+            assert np.frombuffer(ids, np.int32).tolist() == want
+        if most > 3:
+            assert len(steps) == len(set(steps)) < sum(map(len, words)) / 2  # each end and next character are looked for once

@@ -124,13 +124,17 @@ class Encoder:
     def __init__(self, pieces: Pieces, most_bytes: int = 40 << 20, most_pairs: int = 1 << 18):
         self.p, self.most_pairs = pieces, most_pairs
         self.most = most_bytes // 2
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, dict[int, bool]] = {}  # of each piece, by the state before it, whether it may follow
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0  # bytes of the young words, about
         self.names = {i: x for x, i in pieces.ids.items()}
+        self.scores = {i: pieces.scores[x] for x, i in pieces.ids.items()}
         self.base = len(pieces.shown)
-        self.tails = {x[k:]: -1 for x in pieces.ids for k in range(1, len(x))} | pieces.ids  # what pieces end with: -1 where it is no piece itself
+        self.heads = {x[:k] for x in pieces.ids for k in range(1, len(x) + 1)} | {""}  # what pieces begin with
+        self.reading: dict[str, dict[str, object]] = {"": {"": ""}}  # by head: the head itself, and by the next character what `reads` gives
+        self.ends: dict[str, tuple[tuple[int, int, dict[int, bool]], ...]] = {}
+        self.noted = self.stepped = 0  # pairs and characters read that are remembered
 
         inside = np.frombuffer("".join(a + b for x in pieces.ids for a, b in zip(x, x[1:], strict=False)).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.joined = np.zeros(1 << PAIR_BITS, bool)  # by a hash: whether two neighbouring characters stand together in any piece
@@ -158,19 +162,40 @@ class Encoder:
         return "" if state < 0 else chr(state - self.base) if state >= self.base else self.names[state]
 
     def fits(self, before: int, piece: int) -> bool:
-        if len(self.pairs) >= self.most_pairs:
-            self.pairs.clear()
+        if self.noted >= self.most_pairs:
+            for known in self.pairs.values():
+                known.clear()
+            self.noted = 0
         a, b = self.spelt(before), self.names[piece]
         good = self.p.merged(a + b) == ([a, b] if a else [b])
-        self.pairs[before << 24 | piece] = good
+        self.pairs.setdefault(piece, {})[before] = good
+        self.noted += 1
         return good
 
+    def reads(self, at: dict[str, object], c: str) -> tuple[dict[str, object], tuple[tuple[int, int, dict[int, bool]], ...]]:
+        """From the longest end of a text that pieces begin with, one character on: the next such end, and the pieces that end there, the longest first, with their
+        lengths and what is known of the states before them."""
+        if self.stepped >= self.most_pairs:
+            for x, known in self.reading.items():
+                known.clear()
+                known[""] = x
+            self.stepped = 0
+        x = at[""] + c
+        while x not in self.heads:
+            x = x[1:]
+        if x not in self.ends:
+            inside = [(self.p.ids[x[k:]], len(x) - k) for k in range(len(x)) if x[k:] in self.p.ids]
+            self.ends[x] = tuple((i, n, self.pairs.setdefault(i, {})) for i, n in inside)
+        at[c] = got = self.reading.setdefault(x, {"": x}), self.ends[x]
+        self.stepped += 1
+        return got
+
     def add(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
-        """Each of some new words with its ids. Depth first through their trie: `last`, `size` and `total` hold the states of the present
-        word's prefixes (last piece, its length, score so far), and a word goes on from the states of the prefix it shares with the one before."""
-        tails, fits, bpe = self.tails, self.fits, self.p.kind == "bpe"
-        scores, pairs, base = self.p.scores, self.pairs, self.base
-        last, size, total = [-1], [0], [0.0]
+        """Each of some new words with its ids. Depth first through their trie: `last`, `total` and `read` hold the states of the present word's
+        prefixes (last piece, score so far, what `reads` goes on from), and a word goes on from the states of the prefix it shares with the one before."""
+        reads, fits, bpe = self.reads, self.fits, self.p.kind == "bpe"
+        names, scores, base = self.names, self.scores, self.base
+        last, total, read = [-1], [0.0], [self.reading[""]]
         before = ""
         for word in sorted(words):
             shared = 0
@@ -178,46 +203,41 @@ class Encoder:
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :], size[shared + 1 :], total[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                best, way, n = None, base + ord(word[end - 1]), 1  # an unknown character stands for itself
-                for begin in range(end - 1, -1, -1):
-                    piece = tails.get(word[begin:end])
-                    if piece is None:
-                        break
-                    if piece < 0:
-                        continue
-                    if bpe:
-                        ok = pairs.get(last[begin] << 24 | piece)
-                        if ok or ok is None and fits(last[begin], piece):
-                            way, n = piece, end - begin
+            del last[shared + 1 :], total[shared + 1 :], read[shared + 1 :]
+            at = read[shared]
+            for end, c in enumerate(word[shared:], shared + 1):
+                at, ending = at.get(c) or reads(at, c)
+                way = -1
+                if bpe:
+                    for piece, long, known in ending:
+                        ok = known.get(last[end - long])
+                        if ok or ok is None and fits(last[end - long], piece):
+                            way = piece
                             break
-                    else:
-                        score = total[begin] + scores[word[begin:end]]
-                        if best is None or score > best:
-                            best, way, n = score, piece, end - begin
-                last.append(way)
-                size.append(n)
-                if not bpe:
+                else:
+                    best = None
+                    for piece, long, _ in ending:
+                        score = total[end - long] + scores[piece]
+                        if best is None or score >= best:  # of equal ways the one of the shortest last piece
+                            best, way = score, piece
                     total.append(best if best is not None else total[end - 1] - 1e4)
+                last.append(way if way >= 0 else base + ord(c))  # an unknown character stands for itself
+                read.append(at)
             before = word
             back, end = [], len(word)
             while end:
                 back.append(last[end])
-                end -= size[end]
-            flat = array("i")
-            for state in reversed(back):
-                if state < base:
-                    flat.append(state)
-                else:
-                    flat.extend(self.p.byte_ids[b] for b in chr(state - base).encode("utf-8", "surrogatepass"))
-            yield word, flat.tobytes()
+                end -= len(names[last[end]]) if last[end] < base else 1
+            back.reverse()
+            if back and max(back) >= base:
+                back = [i for state in back for i in ([state] if state < base else (self.p.byte_ids[b] for b in chr(state - base).encode("utf-8", "surrogatepass")))]
+            yield word, array("i", back).tobytes()
 
     def _recall(self, words: set[str]) -> set[str]:
         """Those of some words that aren't remembered; words of the old generation move up."""
         young, old = self.young, self.old
         new = words.difference(young)
-        for w in new.intersection(old):
+        for w in filter(old.__contains__, new):  # as many looks as new words; an intersection goes through all that is remembered
             self._remember(w, old[w])
         return new.difference(young)
 
