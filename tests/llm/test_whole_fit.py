@@ -52,3 +52,12 @@ def test_words_are_shuffled_once(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     carried = [len(re.findall(r"\) Exchange\nInput \[\d+\]: \[[^\]]*\bw#", p)) for p in plans]
     assert sum(carried) == 1, carried  # before, once to meet their labels and once more to meet their group
+
+
+def test_words_meet_their_labels_in_one_python_step(spark):
+    words = spark.createDataFrame([(i, "en", i % 5 == 0, 4, bytes([i, 0, 0, 0])) for i in [*range(40), 7]], "i long, l string, held boolean, n long, w binary")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5, 60, 2)], "i long, y int")
+    packed = toxicity._packed(toxicity.Labelled(words, labels), 6)
+    assert packed._jdf.queryExecution().executedPlan().toString().count("InArrow") == 1  # one Python worker a task
+    got = [x for r in packed.collect() for x in zip(np.frombuffer(r.w, np.int32).tolist(), r.y, r.held, r.n, strict=True)]
+    assert sorted(got) == sorted((i, i % 2, i % 5 == 0, 1) for i in [*range(5, 40, 2), 7])  # neither words without label nor labels without words

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,6 @@ import xxhash
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm import langid
 from tidemark.llm.common import Scratch, id_marks, per_text, told_apart
@@ -219,40 +219,36 @@ def _dealt(rows: DataFrame, groups: int) -> DataFrame:
     return rows.withColumn("g", F.pmod(F.xxhash64(F.lit(3), F.col("i").cast("string")), F.lit(groups)).cast("long"))
 
 
-def _labelled(found: DataFrame, known: DataFrame, groups: int) -> DataFrame:
-    """i, l, held, w and y of the rows that have a label, those of a group side by side in one task: they meet their labels there, so that words are shuffled once."""
-    schema = T.StructType([*(found.schema[c] for c in ("i", "l", "held", "w")), T.StructField("y", T.IntegerType())])
+@dataclass(frozen=True)
+class Labelled:
+    """Words (i, l, held, n, w) and labels (i, y) of rows, which meet only where groups are made, so that words are shuffled once."""
 
-    def meet(rows: pa.Table, labels: pa.Table) -> pa.Table:
-        y = labels["y"].take(pc.index_in(rows["i"], value_set=labels["i"].combine_chunks()))
-        return rows.select(["i", "l", "held", "w"]).append_column("y", y).filter(pc.is_valid(y))
+    words: DataFrame
+    labels: DataFrame
 
-    return _dealt(found, groups).groupBy("g").cogroup(_dealt(known, groups).groupBy("g")).applyInArrow(meet, schema)
+    def rows(self) -> DataFrame:
+        """i, l, held, n and y of the rows that have a label, without their words."""
+        return self.words.select("i", "l", "held", "n").join(self.labels, "i")
 
+    def count(self) -> int:
+        return self.rows().count()
 
-def _packed(rows: DataFrame, groups: int) -> DataFrame:
-    """One row for each group, of rows as `_labelled` gives them: their labels, languages, whether held out, words and numbers of words, in the order of id and words."""
 
-    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        own = pa.Table.from_batches(parts).sort_by([("i", "ascending"), ("w", "ascending"), ("y", "ascending"), ("l", "ascending")])
-        sizes = pc.divide(pc.binary_length(own["w"]), 4).cast(pa.int64()).to_numpy()
-        return pa.record_batch([pa.array([x], t.type) for x, t in zip((own["g"][0].as_py(), own["y"].to_pylist(), own["l"].to_pylist(), own["held"].to_pylist(), sizes.tolist(), b"".join(own["w"].to_pylist())), arrow, strict=True)], schema=arrow)
+def _packed(rows: Labelled, groups: int) -> DataFrame:
+    """One row for each group, to which rows are dealt by a hash of their ids: their labels, languages, whether held out, words and numbers of words, in the order of id and words."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.RecordBatch] = []  # of one group
-        for batch in batches:
-            g = batch.column("g").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)] if len(g) else []
-            for low, high in zip(cuts, cuts[1:]):
-                if parts and parts[0].column("g")[0].as_py() != g[low]:
-                    yield packed(parts)
-                    parts = []
-                parts.append(batch.slice(low, high - low))
-        if parts:
-            yield packed(parts)
+    def pack(words: pa.Table, labels: pa.Table) -> pa.Table:
+        y = labels["y"].take(pc.index_in(words["i"], value_set=labels["i"].combine_chunks()))
+        own = words.append_column("y", y).filter(pc.is_valid(y))
+        if not own.num_rows:
+            return arrow.empty_table()
+        own = own.sort_by([("i", "ascending"), ("w", "ascending"), ("y", "ascending"), ("l", "ascending")])
+        sizes = pc.divide(pc.binary_length(own["w"]), 4).cast(pa.int64()).to_numpy()
+        return pa.table({"g": [own["g"][0].as_py()], "y": [own["y"].to_pylist()], "l": [own["l"].to_pylist()], "held": [own["held"].to_pylist()], "n": [sizes.tolist()], "w": [b"".join(own["w"].to_pylist())]}, schema=arrow)
 
     arrow = pa.schema([("g", pa.int64()), ("y", pa.list_(pa.int32())), ("l", pa.list_(pa.string())), ("held", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("w", pa.binary())])
-    return _dealt(rows, groups).mapInArrow(pack, "g long, y array<int>, l array<string>, held array<boolean>, n array<long>, w binary")
+    words, labels = (_dealt(t, groups).groupBy("g") for t in (rows.words.drop("n"), rows.labels))
+    return words.cogroup(labels).applyInArrow(pack, "g long, y array<int>, l array<string>, held array<boolean>, n array<long>, w binary")
 
 
 def _pass(packed: DataFrame, model: ToxicityModel, turn: int, known: list[str], step: bool) -> DataFrame:
@@ -356,8 +352,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 
     found = per_text(wanted, "l string, w binary", tokens, "t", "i", more=("l",)).withColumnRenamed("doc_id", "i")
     found = scratch.keep(found.withColumn("held", F.pmod(F.xxhash64(F.lit(5), F.col("i").cast("string")), F.lit(5)) == 0).withColumn("n", F.octet_length("w").cast("long")), "words")
-    labelled = found.select("i", "l", "held", "n").join(known, "i")  # words are left where they are until the number of groups is known
-    counts = scratch.keep(labelled.groupBy("l", "held", "y").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("bytes")), "counts")
+    labelled = Labelled(found, known)
+    counts = scratch.keep(labelled.rows().groupBy("l", "held", "y").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("bytes")), "counts")
     size = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sum("bytes").alias("bytes"), F.sum(F.when(~F.col("held"), F.col("rows"))).alias("own"), F.sum(F.when(~F.col("held"), F.col("rows") * F.col("y"))).alias("toxic"), (F.sum(F.col("rows") * F.col("y")) / F.sum("rows")).alias("share")).first()
     m = ToxicityModel(bits=bits)
     m.languages, m.thresholds = langid.train(np.zeros((0, 1), np.float32), []), {"": 0.0}
@@ -369,7 +365,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     both = counts.where("held and l is not null").groupBy("l").agg(F.sum(F.col("rows") * F.col("y")).alias("ones"), F.sum("rows").alias("n"))
     told = sorted(r.l for r in both.where((F.col("ones") >= least) & (F.col("n") - F.col("ones") >= least)).collect())
     groups = max(1, -(-size.rows // group_rows), -(-size.bytes // (4 * group_words)))
-    packed = scratch.keep(_packed(_labelled(found.drop("n"), known, groups), groups), "groups")
+    packed = scratch.keep(_packed(labelled, groups), "groups")
     scratch.drop(found)
     turns = min(10, max(3, round(visits / size.own)))
     best, least_loss = None, math.inf
