@@ -224,6 +224,39 @@ def test_descriptions_merge_into_the_first_cluster_only(spark):
     assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}  # 2 shares a clip with 1, 7 with what 1 holds by then
 
 
+def merged_one_by_one(clusters, clips):
+    out, held, first = {}, {}, {}
+    for c, said in sorted(clusters):
+        f = first.setdefault(said, c)
+        free = not held.setdefault(said, set()) & clips.get(c, set())
+        held[said] |= clips.get(c, set()) if free else set()
+        out[c] = f if free else c
+    return out
+
+
+def test_descriptions_of_many_clusters(spark, monkeypatch):
+    """In rounds and by folds as one by one; clusters of the same clips take no part twice, and no fold holds more than the limit."""
+    loads, fold = [0], identity.taken_by_fold
+
+    def counted(sets):
+        loads.append(sets.groupBy("description").count().agg(F.max("count")).first()[0] or 0)
+        return fold(sets)
+
+    monkeypatch.setattr(identity, "taken_by_fold", counted)
+    rnd = random.Random(4)
+    clusters = [(k, rnd.choice("ab")) for k in range(400)]
+    clips = {k: {rnd.randrange(90) for _ in range(rnd.choice([0, 1, 2, 3]))} for k in range(400)}
+    clips |= {k: {5, 6} for k in range(100, 200)}
+    c, m = spark.createDataFrame(clusters, "cluster long, description string"), spark.createDataFrame([(k, x) for k, v in clips.items() for x in v], "cluster long, clip long")
+    for limit in (2000, 20, 1):
+        got = {r.cluster: r.merged_into for r in identity.merge_by_description(c, m, limit).collect()}
+        assert got == merged_one_by_one(clusters, clips) and max(loads) <= limit
+        loads.clear()
+    alike = spark.range(100_000).select(F.col("id").alias("cluster"), F.lit("red cap").alias("description"))
+    out = identity.merge_by_description(alike, alike.select("cluster", (F.col("cluster") % 3).alias("clip")))
+    assert out.where("merged_into = 0").count() == 3 and loads == [3]  # three sets of clips, not 100,000 clusters
+
+
 def test_slow_runs_hold_both_ends(spark):
     def places(flags):
         df = spark.createDataFrame([("r", k, f) for k, f in enumerate(flags)], "reel string, ordinal long, slow boolean")
