@@ -694,8 +694,7 @@ def q138_mutual_nearest(spark, d):
 def q139_best_text_match(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).alias("s"), text.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"))
     left, right = p.where("id % 2 = 0"), p.where("id % 2 = 1")  # the two sides: even and odd parts
-    pairs = left.select(F.col("id").alias("left_id"), "s").join(right.select(F.col("id").alias("right_id"), "s"), "s").drop("s")
-    return ledger.best_text_match(pairs, left, right, 0.6)
+    return ledger.best_text_match_within(left, right, ["s"], 0.6)
 
 
 @query("""select o_orderkey as k, o_custkey as owner, p.c_nationkey as sport, 10 + case when p.c_nationkey % 2 = 0 then p.c_nationkey else -10 end + case when o_orderstatus = 'O' then 3 else 0 end as contrast, o_orderstatus = 'F' or o_custkey = 7 as visible from orders join customer p on c_custkey = o_custkey""")
